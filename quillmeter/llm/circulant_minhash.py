@@ -168,10 +168,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
     left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    small = sets.select(F.col("cls"), "n")
-    near = pairs.join(small.toDF("a", "na0"), "a").join(small.toDF("b", "nb0"), "b").where(100 * F.least("na0", "nb0") >= SIMILARITY * F.greatest("na0", "nb0")).select("a", "b")
     both = F.size(F.array_intersect("sa", "sb"))
-    return near.join(left, "a").join(right, "b").where(100 * both >= SIMILARITY * (F.col("na") + F.col("nb") - both)).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(100 * both >= SIMILARITY * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, folder: str | None = None) -> DataFrame:
