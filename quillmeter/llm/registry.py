@@ -6,16 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import circulant_minhash
+from . import bloom_cascade, circulant_minhash, mixing, prefix_join, pu_quality, quality_rules, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_prefix_join": prefix_join.op1_prefix_join,
+        "op2_repair_tokens": token_files.op2_repair_tokens,
+        "op3_bloom_cascade": bloom_cascade.op3_bloom_cascade,
+        "op5_block_mix": mixing.op5_block_mix,
+        "op6_pu_quality": pu_quality.op6_pu_quality,
         "op8_circulant_minhash": circulant_minhash.op8_circulant_minhash,
+        "op9_boosted_rules": quality_rules.op9_boosted_rules,
+        "op10_factorization_machine": toxicity.op10_factorization_machine,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_prefix_join": prefix_join.OP1_SQL,
+        "op3_bloom_cascade": bloom_cascade.OP3_SQL,
         "op8_circulant_minhash": circulant_minhash.OP8_SQL,
     }
