@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_cascade, circulant_minhash, mixing, prefix_join, pu_quality, quality_rules, token_files, toxicity
+from . import bloom_cascade, chat_format, circulant_minhash, mixing, prefix_join, pu_quality, quality_rules, token_files, toxicity, trie_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,8 +14,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_prefix_join": prefix_join.op1_prefix_join,
         "op2_repair_tokens": token_files.op2_repair_tokens,
         "op3_bloom_cascade": bloom_cascade.op3_bloom_cascade,
+        "op4_prefix_target": chat_format.op4_prefix_target,
         "op5_block_mix": mixing.op5_block_mix,
         "op6_pu_quality": pu_quality.op6_pu_quality,
+        "op7_trie_counts": trie_counts.op7_trie_counts,
         "op8_circulant_minhash": circulant_minhash.op8_circulant_minhash,
         "op9_boosted_rules": quality_rules.op9_boosted_rules,
         "op10_factorization_machine": toxicity.op10_factorization_machine,
@@ -26,5 +28,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_prefix_join": prefix_join.OP1_SQL,
         "op3_bloom_cascade": bloom_cascade.OP3_SQL,
+        "op4_prefix_target": chat_format.OP4_SQL,
         "op8_circulant_minhash": circulant_minhash.OP8_SQL,
     }
