@@ -32,6 +32,11 @@ def levels(price: Column) -> Column:
 
 def cost_usd(tokens: Column, price: Column) -> Column:
     """Flat, whole-request or marginal cost; null without a price."""
+    # the levels are bound to a lambda variable, so that the plan holds them once
+    return F.when(price.isNotNull(), F.get(F.transform(F.array(levels(price)), lambda found: _billed(tokens, price, found)), F.lit(0)))
+
+
+def _billed(tokens: Column, price: Column, all_levels: Column) -> Column:
     d = lambda name: F.coalesce(tokens[name], F.lit(0)).cast("double")
     out = d("output") + d("reasoning")
     w1 = F.coalesce(one_hour_writes(tokens), F.lit(0)).cast("double")
@@ -47,7 +52,6 @@ def cost_usd(tokens: Column, price: Column) -> Column:
     def blend(r: Column) -> Column:
         return F.when(context == 0.0, 0.0).otherwise((d("input") * r["input"] + d("cache_read") * r["r"] + writes(r)) / F.when(context == 0.0, 1.0).otherwise(context))
 
-    all_levels = levels(price)
     base, steps = F.element_at(all_levels, 1), F.slice(all_levels, 2, 1 << 20)
     # the first tier that the context does not exceed stops the climb
     active = F.element_at(F.filter(all_levels, lambda r, k: (k == 0) | (context > r["threshold"])), -1)
@@ -58,9 +62,8 @@ def cost_usd(tokens: Column, price: Column) -> Column:
         return F.when(context > r["threshold"], over).otherwise(s)
 
     marginal = F.aggregate(steps, start, climb, lambda s: s["usd"] + (context - s["at"]) * s["rate"])
-    tiered = F.size(all_levels) > 1
-    usd = F.when(~tiered, bill(base)).when(price["tier_mode"] == "whole-request", bill(active)).otherwise((marginal + out * base["output"]) / 1_000_000.0)
-    return F.when(price.isNotNull(), usd)
+    whole = price["tier_mode"] == "whole-request"
+    return F.when(F.size(all_levels) == 1, bill(base)).when(whole, bill(active)).otherwise((marginal + out * base["output"]) / 1_000_000.0)
 
 
 def is_zero_cost(price: Column) -> Column:

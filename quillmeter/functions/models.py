@@ -14,8 +14,9 @@ FAMILY = r"^anthropic\.(claude-[a-z]+)-(\d+)-(\d+)(?:-\d{8})?-v\d+(?::\d+)?$"
 
 def _widened(variants: Column, derive: Callable[[Column], Column]) -> Column:
     """All variants, then what each derives, first occurrences in order; nulls are no variants."""
-    more = F.flatten(F.transform(variants, derive))
-    return F.array_distinct(F.array_compact(F.concat(variants, more)))
+    # bound to a lambda variable: the plan holds the variants' expression once
+    both = F.transform(F.array(variants), lambda v: F.array_distinct(F.array_compact(F.concat(v, F.flatten(F.transform(v, derive))))))
+    return F.get(both, F.lit(0))
 
 
 def candidate_keys(model: Column) -> Column:

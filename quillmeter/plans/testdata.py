@@ -179,10 +179,10 @@ def _rollup_priced(mode: str) -> Query:
     return run
 
 
-def _events_priced(by: str, mode: str, key_ms: int = 18_000_000) -> Query:
+def _events_priced(by: str, mode: str, key_ms: int = 18_000_000, digits: int = 6) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         p = pricing.price_events(usage(spark, d), catalog(spark), by, "UTC", mode, key_ms)
-        return p.select("key", "events", "priced", F.round("usd", 6).alias("usd"), "kind", F.array_join("models", ",").alias("models"))
+        return p.select("key", "events", "priced", F.round("usd", digits).alias("usd"), "kind", F.array_join("models", ",").alias("models"))
 
     return run
 
@@ -216,8 +216,8 @@ f AS (SELECT text, ok, TRY_CAST(substr(text, 1, 4) AS INT) AS y, TRY_CAST(substr
   coalesce(TRY_CAST(regexp_extract(text, '^.{16}:(\d{2})', 1) AS BIGINT), 0) AS s, coalesce(TRY_CAST(rpad(substr(regexp_extract(text, '\.(\d+)', 1), 1, 3), 3, '0') AS BIGINT), 0) AS f,
   regexp_extract(substr(text, 12), '([+-])(\d{2}):(\d{2})$', ['g', 'oh', 'om']) AS o FROM p)
 SELECT text, CASE WHEN ok AND m BETWEEN 1 AND 12 AND d BETWEEN 1 AND 31 AND h < 24 AND mi < 60 AND s < 60 THEN
-  epoch_ms(make_timestamp(y, CASE WHEN m BETWEEN 1 AND 12 THEN m ELSE 1 END, 1, 0, 0, 0)) + (d - 1) * 86400000 + h * 3600000 + mi * 60000 + s * 1000 + f
-  - CASE WHEN o.g = '' THEN 0 ELSE (CASE WHEN o.g = '-' THEN -1 ELSE 1 END) * (o.oh::BIGINT * 60 + o.om::BIGINT) * 60000 END END AS ms FROM f"""
+  epoch_ms(make_timestamp(y, CASE WHEN m BETWEEN 1 AND 12 THEN m ELSE 1 END, 1, 0, 0, 0)) + (d - 1)::BIGINT * 86400000 + h * 3600000 + mi * 60000 + s * 1000 + f
+  - CASE WHEN o.g = '' THEN 0 ELSE (CASE WHEN o.g = '-' THEN -1 ELSE 1 END) * (TRY_CAST(o.oh AS BIGINT) * 60 + TRY_CAST(o.om AS BIGINT)) * 60000 END END AS ms FROM f"""
 
 PATHS = (" /home/me/repo/ ", "/home//me///repo", r"C:\Users\Me\Repo", r"C:\\", r"\\\\Server\\Share\\Dir", "relative/Path/", "/", "   ")
 
@@ -266,7 +266,7 @@ def queries() -> dict[str, Query]:
         "price_rollups_display": _rollup_priced("display"),
         "price_rollups_auto": _rollup_priced("auto"),
         "price_events_by_day": _events_priced("day", "calculate"),
-        "price_events_by_session": _events_priced("session", "auto"),
+        "price_events_by_session": _events_priced("session", "auto", digits=4),
         "price_events_by_model": _events_priced("model", "display"),
         "price_events_by_block": _events_priced("block", "calculate"),
         "cost_tier_whole": _tier_cost("claude-sonnet-4-5"),
@@ -287,12 +287,12 @@ SELECT model AS key, events, source IS NOT NULL AS priced, {usd} AS usd,
   source IS NOT NULL AND tiered AND (events > 1 OR calls > 1) AND {shown} AS tiered_aggregate FROM g LEFT JOIN rates USING (model)"""
 
 
-def _priced_events_sql(key: str, mode: str) -> str:
+def _priced_events_sql(key: str, mode: str, digits: int = 6) -> str:
     calc = f"CASE WHEN source IS NOT NULL THEN {_cost_sql()} ELSE 0 END"
     one = {"calculate": calc, "display": "coalesce(cost_usd, 0)", "auto": f"coalesce(cost_usd, {calc})"}[mode]
     shown = "usd" if mode != "calculate" else "CASE WHEN priced THEN usd END"
     return f"""WITH u AS ({USAGE_DUCK}), {_RATES},
-g AS (SELECT {key} AS key, count(*) AS events, bool_and(source IS NOT NULL) AS priced, round(sum({one}), 6) AS usd, count(DISTINCT model) AS n, string_agg(DISTINCT model, ',' ORDER BY model) AS models
+g AS (SELECT {key} AS key, count(*) AS events, bool_and(source IS NOT NULL) AS priced, round(sum({one}), {digits}) AS usd, count(DISTINCT model) AS n, string_agg(DISTINCT model, ',' ORDER BY model) AS models
   FROM u LEFT JOIN rates USING (model) GROUP BY 1)
 SELECT key, events, priced, {shown} AS usd, CASE WHEN n = 1 THEN 'single' ELSE 'multi' END || CASE WHEN priced THEN '-hit' ELSE '-miss' END AS kind, models FROM g"""
 
@@ -310,6 +310,14 @@ _KEYS = {
 }
 
 
+def _priced_blocks_sql(width: int) -> str:
+    inner = _block_sql(width)
+    keyed = inner[: inner.index("SELECT strftime")]
+    key = "strftime(make_timestamp(start * 1000), '%Y-%m-%dT%H:%M:%S.') || lpad((start % 1000)::VARCHAR, 3, '0') || 'Z'"
+    rest = _priced_events_sql(key, "calculate").replace(f"WITH u AS ({USAGE_DUCK}), {_RATES},", "").replace("FROM u LEFT JOIN", "FROM k LEFT JOIN")
+    return f"{keyed.rstrip()}, {_RATES}, {rest}"
+
+
 def oracle_sql() -> dict[str, str]:
     u = f"WITH u AS ({USAGE_DUCK}) "
     plain = ", ".join(_PLAIN)
@@ -342,8 +350,9 @@ def oracle_sql() -> dict[str, str]:
         "price_rollups_display": _priced_rollup_sql("display"),
         "price_rollups_auto": _priced_rollup_sql("auto"),
         "price_events_by_day": _priced_events_sql("strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d')", "calculate"),
-        "price_events_by_session": _priced_events_sql("session_id", "auto"),
+        "price_events_by_session": _priced_events_sql("session_id", "auto", 4),
         "price_events_by_model": _priced_events_sql("model", "display"),
+        "price_events_by_block": _priced_blocks_sql(18_000_000),
         "cost_tier_whole": _tier_sql("claude-sonnet-4-5"),
         "cost_tier_marginal": _tier_sql("gpt-5"),
         "ts_grammar": _GRAMMAR_SQL,
