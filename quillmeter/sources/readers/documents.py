@@ -26,7 +26,7 @@ def _gemini(files: list[Loaded]) -> Parsed:
                 yield Skip(f"{f.path}:{k + 1}", "malformed JSON line")
             else:
                 rows.append((f"{f.path}:{k + 1}", v))
-        session = next((text(get(v, "sessionId")) for _, v in rows if text(get(v, "sessionId"))), None) or stem(f.path)
+        session = next((text(get(v, "sessionId")) for _, v in rows if text(get(v, "sessionId"))), None) or f.path
     else:
         doc = f.json()
         if not isinstance(doc, dict):
@@ -71,6 +71,8 @@ def _amp(files: list[Loaded]) -> Parsed:
     session, created, where = text(doc.get("id")) or stem(f.path), finite(doc.get("created")), workspace(str(get(doc, "env", "initial", "trees", "0", "uri") or "").removeprefix("file://"))
 
     def when(own: object, ident: object) -> str:
+        if isinstance(own, str) and parse_ms(own) is not None:
+            return own
         late = epoch(created + finite(ident) * 1000, "ms") if created is not None and finite(ident) is not None else None
         return stamp(own) or late or f.mtime_iso
 
@@ -91,7 +93,7 @@ def _amp(files: list[Loaded]) -> Parsed:
         if get(m, "role") != "assistant" or not isinstance(u, dict):
             continue
         turn, pending = pending, False
-        model = text(u.get("model"))
+        model = text(u.get("model")) or text(m.get("model"))
         if model is None:
             yield Skip(f"{f.path}:{k}", "malformed usage record")
             continue
@@ -130,6 +132,7 @@ def _droid(files: list[Loaded]) -> Parsed:
         yield Skip(f.path, "malformed JSON")
         return
     if not isinstance(n, dict):
+        yield Skip(f.path, "session without usage")
         return
     raw = text(doc.get("model"))
     if raw is None:
@@ -171,7 +174,8 @@ def _augment(files: list[Loaded]) -> Parsed:
             yield Skip(f"{f.path}:{k}", "malformed usage record")
             continue
         ident = text(get(x, "request_id")) or scalar(t.get("sequenceId")) or str(k)
-        e = Event(session, ident, when, model, counter(u, "input_tokens"), counter(u, "output_tokens"), counter(u, "cache_read_input_tokens"), counter(u, "cache_creation_input_tokens"), turn=True, key=f"{session}:{ident}")
+        name = f"augment:{session}:req:{ident}"
+        e = Event(session, name, when, model, counter(u, "input_tokens"), counter(u, "output_tokens"), counter(u, "cache_read_input_tokens"), counter(u, "cache_creation_input_tokens"), turn=True, key=name)
         if e.total:
             yield e
 
@@ -188,20 +192,22 @@ def _codebuff(files: list[Loaded]) -> Parsed:
         yield Skip(f.path, "malformed JSON")
         return
     chat = os.path.basename(os.path.dirname(f.path))
-    session = "/".join([*f.path.replace("\\", "/").split("/")[-4:-3], chat])
+    session = "/".join([*f.path.replace("\\", "/").split("/")[-6:-5], *f.path.replace("\\", "/").split("/")[-4:-3], chat])
     started = stamp(re.sub(r"T(\d{2})-(\d{2})-(\d{2})", r"T\1:\2:\3", chat))
     for k, m in enumerate(rows):
         meta = get(m, "metadata")
         if get(m, "variant") not in ("ai", "agent") and get(m, "role") != "assistant":
             continue
         history = items(get(meta, "runState", "sessionState", "mainAgentState", "messageHistory"))
-        options = [get(h, "providerOptions", "codebuff") or get(h, "metadata", "codebuff") or h for h in reversed(history)]
+        sides = [get(h, "providerOptions") or get(h, "metadata") or h for h in reversed(history)]
+        options = [x for s in sides for x in (s, get(s, "codebuff"))]
         chain = [get(meta, "usage"), get(meta, "codebuff", "usage"), *(get(o, "usage") for o in options)]
         e = Event(session, "", "", "")
         for u in chain:
             for bucket, names in _BUFF.items():
                 if not getattr(e, bucket):
-                    setattr(e, bucket, counter(u, *names))
+                    nested = get(u, "promptTokensDetails", "cachedTokens") or get(u, "prompt_tokens_details", "cached_tokens")
+                    setattr(e, bucket, counter(u, *names) or (counter({"n": nested}, "n") if bucket == "cache_read" else 0))
         if not e.total:
             continue
         models = [get(meta, "model"), get(meta, "codebuff", "model"), *(get(o, "model") for o in options)]
@@ -358,7 +364,7 @@ def _trae(files: list[Loaded]) -> Parsed:
             continue
         from ..kit import iso
 
-        yield Event(stem(f.path), f"{stem(f.path)}:{k}", iso(ms + (shift if naive(own) else 0)) or f.mtime_iso, model, *n, turn=True)
+        yield Event(stem(f.path), f"{f.path}:{k}", iso(ms + (shift if naive(own) else 0)) or f.mtime_iso, model, *n, turn=True)
 
 
 def _trae_files(ctx: Context) -> list[File]:
@@ -406,7 +412,7 @@ def _reasonix(files: list[Loaded]) -> Parsed:
             continue
         hit = counter(c, "cacheHitTokens")
         fresh = counter(c, "cacheMissTokens") if finite(c.get("cacheMissTokens")) is not None else split_input(counter(c, "promptTokens"), hit)
-        e = Event(session, session, when, model, fresh, done - think, hit, 0, think, turn=True, workspace=workspace(head.get("cwd") or head.get("workspace")), title=text(head.get("title")), rank=float(parse_ms(when) or 0))
+        e = Event(session, x.path, when, model, fresh, done - think, hit, 0, think, turn=True, workspace=workspace(head.get("cwd") or head.get("workspace")), title=text(head.get("title")) or text(head.get("preview")), rank=float(parse_ms(when) or 0))
         if e.total:
             yield e
 
@@ -444,7 +450,7 @@ READERS = [
     Reader("amp", lambda c: under([os.path.join(c.get("AMP_DATA_DIR") or c.at(".local", "share", "amp"), "threads")], lambda p: re.fullmatch(r"T-.*\.json", os.path.basename(p)) is not None), _amp),
     Reader("droid", lambda c: units(under([c.get("DROID_SESSIONS_DIR") or c.at(".factory", "sessions")], ends(".settings.json", ".jsonl")), lambda p: re.sub(r"(\.settings\.json|\.jsonl)$", "", p)), _droid, _latest),
     Reader("augment", lambda c: under([c.get("AUGMENT_SESSIONS_DIR") or c.at(".augment", "sessions")], JSON), _augment),
-    Reader("codebuff", lambda c: under([os.path.join(r, "projects") for r in _buff_roots(c)], ends("chat-messages.json")), _codebuff),
+    Reader("codebuff", lambda c: under([r if os.path.basename(r) == "projects" else os.path.join(r, "projects") for r in _buff_roots(c)], ends("chat-messages.json")), _codebuff),
     Reader("jcode", lambda c: units(under([os.path.join(c.get("JCODE_HOME") or c.at(".jcode"), "sessions")], ends(".json", ".journal.jsonl")), lambda p: re.sub(r"(\.journal\.jsonl|\.json)$", "", p)), _jcode),
     Reader("mux", lambda c: under([c.get("MUX_SESSIONS_DIR") or c.at(".mux", "sessions")], ends("session-usage.json")), _mux),
     _extension("roo", "rooveterinaryinc.roo-cline"),

@@ -69,10 +69,10 @@ def _claude(agent: str) -> Callable[[list[Loaded]], Parsed]:
             read = optional(usage.get("cache_read_input_tokens"))
             if buddy and finite(get(row, "providerData", "rawUsage", "prompt_tokens")) is not None:
                 fresh = split_input(fresh, read)
-            hour = get(usage, "cache_creation", "ephemeral_1h_input_tokens")
+            hour = finite(get(usage, "cache_creation", "ephemeral_1h_input_tokens"))  # of any other kind it is not reported
             ident = text(get(message, "id")) or text(row.get("requestId")) or text(row.get("uuid")) or text(row.get("id")) or f"{f.path}:{k}"
             cost = finite(row.get("costUSD"))
-            return Event(text(row.get("sessionId")) or stem(f.path), ident, when, model, fresh, cell(usage.get("output_tokens")), read, optional(usage.get("cache_creation_input_tokens")), 0, None if hour is None else cell(hour), after, row.get("isSidechain") is True, cost_usd=cost, workspace=workspace(row.get("cwd")), key=ident)
+            return Event(text(row.get("sessionId")) or stem(f.path), ident, when, model, fresh, cell(usage.get("output_tokens")), read, optional(usage.get("cache_creation_input_tokens")), 0, int(hour) if hour is not None and hour >= 0 else None, after, row.get("isSidechain") is True, cost_usd=cost, workspace=workspace(row.get("cwd")), key=ident)
 
         yield from guarded(f, handle)
 
@@ -89,15 +89,12 @@ def _claude_files(ctx: Context) -> list[File]:
 
 def _pi(files: list[Loaded]) -> Parsed:
     f = files[0]
-    session, depth, cwd, title, pending = stem(f.path), 0.0, None, None, False
+    session, depth, pending = stem(f.path), 0.0, False
 
     def handle(k: int, row: dict) -> Event | None:
-        nonlocal session, depth, cwd, title, pending
+        nonlocal session, depth, pending
         if row.get("type") == "session":
-            session, depth, cwd = text(row.get("id")) or session, finite(row.get("rlmDepth")) or 0.0, row.get("cwd") or cwd
-            return None
-        if row.get("type") == "session_info":
-            title = text(row.get("name")) or title
+            session, depth = text(row.get("id")) or session, finite(row.get("rlmDepth")) or 0.0
             return None
         message = row.get("message")
         if row.get("type") != "message" or not isinstance(message, dict):
@@ -115,7 +112,7 @@ def _pi(files: list[Loaded]) -> Parsed:
         if ident is None or model is None or when is None:
             raise Malformed
         hour = get(usage, "cacheWrite1h")
-        e = Event(session, ident, when, model, cell(get(usage, "input")), cell(get(usage, "output")), cell(get(usage, "cacheRead")), cell(get(usage, "cacheWrite")), optional(get(usage, "reasoning")), None if hour is None else cell(hour), turn, depth > 0, workspace=workspace(cwd), title=title)
+        e = Event(session, ident, when, model, cell(get(usage, "input")), cell(get(usage, "output")), cell(get(usage, "cacheRead")), cell(get(usage, "cacheWrite")), optional(get(usage, "reasoning")), None if hour is None else cell(hour), turn, depth > 0)
         e.output = split_input(e.output, e.reasoning)
         e.key = f"{session}:{ident}:{model}:{tokens_key(e)}"
         return e
@@ -186,7 +183,7 @@ def _qwen(files: list[Loaded]) -> Parsed:
                 yield item
                 continue
             k, row = item
-            session = text(row.get("sessionId")) or stem(f.path)
+            session = text(row.get("sessionId")) or f"{os.path.basename(os.path.dirname(os.path.dirname(f.path)))}-{stem(f.path)}"
             if row.get("type") == "user":
                 pending[session] = True
             usage = row.get("usageMetadata")
@@ -194,8 +191,8 @@ def _qwen(files: list[Loaded]) -> Parsed:
                 continue
             try:
                 n = {c: optional(usage.get(f"{c}TokenCount")) for c in ("prompt", "candidates", "cachedContent", "thoughts")}
-                when, model = stamp(row.get("timestamp")), text(row.get("model"))
-                if when is None or model is None:
+                when, model = stamp(row.get("timestamp")), text(row.get("model")) or "unknown"
+                if when is None:
                     raise Malformed
             except Malformed:
                 yield Skip(f"{f.path}:{k + 1}", "malformed usage record")
@@ -333,7 +330,7 @@ def _junie(files: list[Loaded]) -> Parsed:
             if model is None or when is None:
                 yield Skip(f"{f.path}:{k + 1}", "malformed usage record")
                 continue
-            e = Event(session, f"{session}:{k}:{j}", when, model, counter(u, "inputTokens", "input_tokens"), counter(u, "outputTokens", "output_tokens"), counter(u, "cacheInputTokens", "cacheReadTokens"), counter(u, "cacheCreateTokens", "cacheWriteTokens"), counter(u, "reasoningTokens"))
+            e = Event(session, f"{f.path}:{k}:{j}", when, model, counter(u, "inputTokens", "input_tokens"), counter(u, "outputTokens", "output_tokens"), counter(u, "cacheInputTokens", "cacheReadTokens"), counter(u, "cacheCreateTokens", "cacheWriteTokens"), counter(u, "reasoningTokens"))
             e.key = f"{session}:{when}:{model}:{tokens_key(e)}"
             if e.total and e.key not in seen:
                 seen.add(e.key)
@@ -356,7 +353,7 @@ def _codex(files: list[Loaded]) -> Parsed:
     seen: set[str] = set()
     for f in files:
         model, before, user, early, keys, pending = None, None, False, 0, [], []
-        session, cwd, sub = re.sub(r"^rollout-", "", stem(f.path)), None, False
+        session, sub = stem(f.path), False
         for item in objects(f):
             if isinstance(item, Skip):
                 yield item
@@ -364,10 +361,10 @@ def _codex(files: list[Loaded]) -> Parsed:
             k, row = item
             body, kind = row.get("payload"), row.get("type")
             if kind == "session_meta":
-                session, cwd = text(get(body, "id")) or session, get(body, "cwd") or cwd
+                session = text(get(body, "id")) or session
                 sub = isinstance(get(body, "source"), dict) and "subagent" in body["source"] or sub
             elif kind == "turn_context":
-                model, cwd = text(get(body, "model")) or model, get(body, "cwd") or cwd
+                model = text(get(body, "model")) or model
             elif kind == "event_msg" and get(body, "type") == "user_message":
                 user = True
             elif kind == "response_item" and get(body, "type") == "message" and get(body, "role") == "user":
@@ -396,7 +393,7 @@ def _codex(files: list[Loaded]) -> Parsed:
                     early += 1
                     continue
                 i, o, r, w, z = counts
-                pending.append(Event(session, f"{f.path}:{k}", when, model, i, split_input(o, z), r, w, z, turn=turn, subagent=sub, workspace=workspace(cwd)))
+                pending.append(Event(session, f"{f.path}:{k}", when, model, i, split_input(o, z), r, w, z, turn=turn, subagent=sub))
         if model is None and (early or keys):
             yield Skip(f.path, "no model context")
             continue
@@ -404,9 +401,7 @@ def _codex(files: list[Loaded]) -> Parsed:
             yield Warn(f"{early} token counts before the first model", f.path)
         if pending:
             seen.update(keys)
-            for e in pending:
-                e.workspace = e.workspace or workspace(cwd)
-                yield e
+            yield from pending
 
 
 def _codex_files(ctx: Context) -> list[File]:
@@ -478,7 +473,7 @@ def _otel(f: Loaded) -> Parsed:
         response = _attr(a, "gen_ai.response.id")
         c = {
             "rank": rank, "trace": trace, "span": span, "when": when or f.mtime_iso, "model": text(_attr(a, "gen_ai.response.model", "gen_ai.request.model")), "response": response, "line": k,
-            "in": i, "out": o, "read": finite(_attr(a, "gen_ai.usage.cache_read.input_tokens", "gen_ai.usage.cache_read_input_tokens")) or 0, "write": finite(_attr(a, "gen_ai.usage.cache_creation.input_tokens", "gen_ai.usage.cache_creation_input_tokens")) or 0,
+            "in": i, "out": o, "read": finite(_attr(a, "gen_ai.usage.cache_read.input_tokens", "gen_ai.usage.cache_read_input_tokens")) or 0, "write": finite(_attr(a, "gen_ai.usage.cache_creation.input_tokens", "gen_ai.usage.cache_write.input_tokens", "gen_ai.usage.cache_creation_input_tokens")) or 0,
             "think": finite(_attr(a, "gen_ai.usage.reasoning.output_tokens", "gen_ai.usage.reasoning_tokens")) or 0,
             "session": next((str(x) for x in (_attr(a, "gen_ai.conversation.id"), _attr(a, "copilot_chat.session_id", "session.id"), _attr(a, "interaction.id"), response, trace) if x), trace),
         }
