@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from urllib.parse import unquote
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,28 +16,28 @@ from .kit import Context, Event, Loaded, Malformed, Reader, Skip
 ORDER = ["lane", "root_ord", "src_path", "src_ord"]
 _EVENT = "session_id string, message_id string, timestamp string, model string, input bigint, output bigint, cache_read bigint, cache_write bigint, reasoning bigint, cache_write_1h bigint, turn boolean, subagent boolean, calls bigint, cost_usd double, workspace string, title string, key string, rank double"
 PARSED = f"kind string, message string, location string, lane int, root_ord int, src_path string, src_ord bigint, {_EVENT}"
-_NAMES = [c.split()[0] for c in PARSED.split(", ")]
 
 
 def _local(path: str) -> str:
     return unquote(path[5:]) if path.startswith("file:") else path
 
 
-def _rows(reader: Reader, files: list[Loaded]) -> pd.DataFrame:
+_KINDS = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
+_SCHEMA = pa.schema([(n, _KINDS[k]) for n, k in (c.split() for c in PARSED.split(", "))])
+
+
+def _rows(reader: Reader, files: list[Loaded]) -> pa.Table:
     out, first = [], files[0]
+    place = {"lane": first.lane, "root_ord": first.root, "src_path": first.path}
     try:
         for k, item in enumerate(reader.parse(files)):
-            place = {"lane": first.lane, "root_ord": first.root, "src_path": first.path, "src_ord": k}
             if isinstance(item, Event):
-                out.append({"kind": "event", **place, **vars(item)})
+                out.append({"kind": "event", **place, "src_ord": k, **vars(item)})
             else:
-                out.append({"kind": "skip" if isinstance(item, Skip) else "warning", "message": item.message, "location": item.location, **place})
+                out.append({"kind": "skip" if isinstance(item, Skip) else "warning", "message": item.message, "location": item.location, **place, "src_ord": k})
     except Malformed:
-        out.append({"kind": "skip", "message": "malformed file", "location": first.path, "lane": first.lane, "root_ord": first.root, "src_path": first.path, "src_ord": 0})
-    frame = pd.DataFrame(out, columns=_NAMES)
-    for c in ("input", "output", "cache_read", "cache_write", "reasoning", "cache_write_1h", "calls"):
-        frame[c] = frame[c].astype("Int64")
-    return frame
+        out.append({"kind": "skip", "message": "malformed file", "location": first.path, **place, "src_ord": 0})
+    return pa.Table.from_pylist(out, schema=_SCHEMA)
 
 
 def parsed(spark: SparkSession, reader: Reader, ctx: Context) -> DataFrame:
@@ -50,11 +50,11 @@ def parsed(spark: SparkSession, reader: Reader, ctx: Context) -> DataFrame:
     read = spark.read.format("binaryFile").load([f.path for f in files])
     raw = read.select("path", "content", F.unix_millis("modificationTime").alias("mtime"))
 
-    def load(pdf: pd.DataFrame) -> list[Loaded]:
+    def load(batch: pa.Table | pa.RecordBatch) -> list[Loaded]:
         found = []
-        for path, content, mtime in zip(pdf["path"], pdf["content"], pdf["mtime"]):
-            f = where[_local(path)]
-            found.append(Loaded(f.path, f.root, f.lane, bytes(content), int(mtime)))
+        for path, content, mtime in zip(batch.column("path"), batch.column("content"), batch.column("mtime")):
+            f = where[_local(path.as_py())]
+            found.append(Loaded(f.path, f.root, f.lane, content.as_py(), mtime.as_py()))
         return sorted(found, key=lambda x: (x.lane, x.root, x.path))
 
     if grouped:
@@ -64,14 +64,14 @@ def parsed(spark: SparkSession, reader: Reader, ctx: Context) -> DataFrame:
         else:
             table = spark.createDataFrame([(p, f.unit or p) for p, f in where.items()], "_p string, unit string")
             keyed = raw.withColumn("_p", F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^file:", "")).join(table, "_p").drop("_p")
-        return keyed.groupBy("unit").applyInPandas(lambda pdf: _rows(reader, load(pdf)), PARSED)
+        return keyed.groupBy("unit").applyInArrow(lambda t: _rows(reader, load(t)), PARSED)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for f in load(pdf):
-                yield _rows(reader, [f])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for f in load(batch):
+                yield from _rows(reader, [f]).to_batches()
 
-    return raw.mapInPandas(run, PARSED)
+    return raw.mapInArrow(run, PARSED)
 
 
 def read(spark: SparkSession, reader: Reader, ctx: Context) -> tuple[DataFrame, DataFrame]:
