@@ -27,7 +27,7 @@ _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LANE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers = np.ones(1, np.uint64)
+_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,26 +39,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> np.ndarray:
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of _STEP and of its inverse modulo 2**64."""
     global _powers
-    if len(_powers) < n:
-        with np.errstate(over="ignore"):
-            _powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 4096), _STEP)]))
+    if len(_powers[0]) < n:
+        size = max(n, PIECE_BYTES + 4096)
+        inverse = np.uint64(pow(int(_STEP), -1, 1 << 64))
+        both = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x)])) for x in (_STEP, inverse))
+        if size > 4 * PIECE_BYTES:
+            return both  # for one very long text; too large to keep
+        _powers = both
     return _powers
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end), all of length one or more."""
+    """64-bit hashes of the byte spans [start, end), all of length one or more.
+
+    A span's polynomial is a difference of prefix sums over the whole array,
+    brought back to the span's start by the inverse power, all modulo 2**64.
+    """
     if not len(start):
         return np.zeros(0, np.uint64)
+    up, down = _power(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    v = _BYTE[data]
+    v *= up[: len(data)]
+    np.cumsum(v, out=sums[1:])
     size = end - start
-    first = np.cumsum(size) - size
-    pos = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(first, size)
-    at = pos + np.repeat(start, size)
-    powers = _power(int(size.max()))
-    v = _BYTE[data[at]]
-    v *= powers[pos]
-    return mix(np.add.reduceat(v, first) + size.astype(np.uint64) * _LANE[63])
+    return mix((sums[end] - sums[start]) * down[start] + size.astype(np.uint64) * _LANE[63])
 
 
 @dataclass
@@ -160,3 +168,45 @@ def gather(values: np.ndarray, first: np.ndarray, size: np.ndarray, which: np.nd
     ends = np.cumsum(n)
     total = int(ends[-1]) if len(ends) else 0
     return values[np.arange(total) + np.repeat(first[which] - (ends - n), n)]
+
+
+class HashIndex:
+    """64-bit keys to int32 values in flat arrays, looked up a batch at a time."""
+
+    def __init__(self, bits: int = 16):
+        self.bits, self.count = bits, 0
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, -1 where there is none."""
+        out, slot = np.full(len(keys), -1, np.int32), self._slots(keys)
+        todo = np.arange(len(keys))
+        while len(todo):
+            at = slot[todo]
+            value = self.values[at]
+            hit = (self.keys[at] == keys[todo]) & (value >= 0)
+            out[todo[hit]] = value[hit]
+            todo = todo[~hit & (value >= 0)]
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Distinct keys that are not in yet."""
+        if 2 * (self.count + len(keys)) > 1 << self.bits:
+            full = self.values >= 0
+            old = self.keys[full], self.values[full]
+            self.__init__(max(self.bits + 1, int(np.ceil(np.log2(2 * (self.count + len(keys)) + 2)))))
+            self.add(*old)
+        self.count += len(keys)
+        slot = self._slots(keys)
+        todo = np.arange(len(keys))
+        while len(todo):
+            at = slot[todo]
+            free = self.values[at] < 0
+            self.keys[at[free]], self.values[at[free]] = keys[todo[free]], values[todo[free]]
+            lost = (self.keys[at] != keys[todo]) | ~free
+            todo = todo[lost]
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)

@@ -34,11 +34,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import saved, work_dir
-from .textkernel import LOWER, SPACE, gather, pieces, span_hashes, text_bytes
+from .textkernel import LOWER, SPACE, HashIndex, gather, pieces, span_hashes, text_bytes
 
 END_ID = 2
 END, FIRST_RULE = 1 << 19, 1 << 20  # how a block holds the end id; its first nonterminal
-BLOCK_TOKENS, RUN_ROUNDS, ROUND_PAIRS, LEAST_USES = 2_000_000, 4, 4096, 6
+BLOCK_TOKENS, RUN_ROUNDS, ROUND_PAIRS, LEAST_USES, SLOT_BITS = 2_000_000, 4, 4096, 6, 18
 CACHE_PIECES = 1_500_000
 MAGIC = b"QMRP0001"
 
@@ -57,21 +57,23 @@ _CLASS[[0x0B, 0x0C]] = _OTHER
 def _classes(data: np.ndarray) -> np.ndarray:
     cls = _CLASS[data]
     if len(data) > 1:
-        # two-byte letters of the Latin blocks, but for the signs U+00D7 and U+00F7
+        # two-byte letters of the Latin blocks, but for the signs U+00D7 and U+00F7,
+        # and U+0130, which lower case takes apart
         lead = (data[:-1] >= 0xC3) & (data[:-1] <= 0xC9)
         lead &= ~((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
+        lead &= ~((data[:-1] == 0xC4) & (data[1:] == 0xB0))
         at = np.flatnonzero(lead)
         cls[at] = _LETTER
         cls[at + 1] = _LETTER
     return cls
 
 
-def piece_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of the pieces of already lower-cased rows."""
+def piece_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of the pieces of already lower-cased rows, and whether each is of one class."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
-        return none, none, none
+        return none, none, none, none.astype(bool)
     cls = _classes(data)
     left, right = cls[:-1], cls[1:]
     plain = (left < _OTHER) & (right < _OTHER)
@@ -87,7 +89,20 @@ def piece_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     start, end = bound[:-1], bound[1:]
     full = cls[start] != _BLANK
     start, end = start[full], end[full]
-    return start, end, np.searchsorted(offsets, start, side="right") - 1
+    odd = np.zeros(n + 1, np.int32)
+    np.cumsum(cls == _OTHER, out=odd[1:])
+    return start, end, np.searchsorted(offsets, start, side="right") - 1, odd[end] == odd[start]
+
+
+def _byte_chars() -> dict[int, int]:
+    """The characters that a byte-level pre-tokenizer writes for bytes: printable
+    Latin-1 for themselves, the others from U+0100 on in order."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: 0x100 + k for k, b in enumerate(rest)}
+
+
+_BYTE_CHARS = _byte_chars()
 
 
 class Encoder:
@@ -102,53 +117,61 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known = HashIndex()
         self.ids = np.zeros(1 << 16, np.int32)
         self.start, self.size, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
 
-    def _learn(self, keys: list[int], texts: list[bytes]) -> None:
-        new: list[list[int]] = [[]] * len(texts)
-        whole: list[int] = []
-        for k, b in enumerate(texts):
-            if b.isascii() and (b.isalpha() or len(b) == 1 or not any(48 <= c < 58 or 97 <= c < 123 or c <= 32 or c in (39, 60, 127) for c in b)):
-                new[k] = [t.id for t in self.model.tokenize(b.decode())]
+    def _ids(self, pieces: list[bytes], pure: np.ndarray) -> list[list[int]]:
+        """Ids of pieces.  One of a single class is one pre-token: it goes to the
+        library's model in lower case, bytes as the byte-level characters; the rest
+        go through the whole library."""
+        found: list[list[int]] = [[]] * len(pieces)
+        whole = np.flatnonzero(~pure).tolist()
+        tokenize = self.model.tokenize
+        for k in np.flatnonzero(pure).tolist():
+            b = pieces[k]
+            if not b.isascii():
+                word = b.decode().lower().encode().decode("latin-1").translate(_BYTE_CHARS)
             else:
-                whole.append(k)
-        for k, e in zip(whole, self.tokenizer.encode_batch([texts[k].decode("utf-8", "replace") for k in whole], add_special_tokens=False)):
-            new[k] = e.ids
+                word = b.decode()
+            found[k] = [t.id for t in tokenize(word)]
+        for k, e in zip(whole, self.tokenizer.encode_batch([pieces[k].decode("utf-8", "replace") for k in whole], add_special_tokens=False)):
+            found[k] = e.ids
+        return found
+
+    def _learn(self, keys: np.ndarray, pieces: list[bytes], pure: np.ndarray) -> None:
+        new = self._ids(pieces, pure)
         sizes = np.array([len(x) for x in new], np.int64)
-        n, at = len(self.known), self.used
+        n, at = self.known.count, self.used
         while len(self.start) < n + len(new):
             self.start, self.size = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.start, self.size))
         while len(self.ids) < at + sizes.sum():
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.int32)])
         self.start[n : n + len(new)] = at + np.cumsum(sizes) - sizes
         self.size[n : n + len(new)] = sizes
-        self.ids[at : at + sizes.sum()] = np.fromiter((i for x in new for i in x), np.int32, int(sizes.sum()))
+        self.ids[at : at + sizes.sum()] = np.array([i for x in new for i in x], np.int32)
         self.used += int(sizes.sum())
-        self.known.update(zip(keys, range(n, n + len(new))))
+        self.known.add(keys, np.arange(n, n + len(new), dtype=np.int32))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, each followed by END, and the number of each row's."""
         data, offsets = text_bytes(texts)
         data = LOWER[data]
-        start, end, row = piece_spans(data, offsets)
+        start, end, row, pure = piece_spans(data, offsets)
         codes, distinct = pd.factorize(span_hashes(data, start, end))
-        keys = distinct.tolist()
-        if len(self.known) + len(keys) > CACHE_PIECES:
+        if self.known.count + len(distinct) > CACHE_PIECES:
             self.clear()
-        get = self.known.get
-        at = np.fromiter((get(k, -1) for k in keys), np.int64, len(keys))
+        at = self.known.find(distinct)
         if len(new := np.flatnonzero(at < 0)):
-            first = np.full(len(keys), -1, np.int64)
+            first = np.zeros(len(distinct), np.int64)
             first[codes[::-1]] = np.arange(len(codes))[::-1]
-            raw = data.tobytes()
-            self._learn([keys[k] for k in new], [raw[start[first[k]] : end[first[k]]] for k in new])
-            at[new] = np.arange(len(self.known) - len(new), len(self.known))
+            raw, first = data.tobytes(), first[new]
+            at[new] = np.arange(self.known.count, self.known.count + len(new))
+            self._learn(distinct[new], [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())], pure[first])
         which = at[codes]
         per_row = np.bincount(row, self.size[which], len(offsets) - 1).astype(np.int64)
         ids = gather(self.ids, self.start, self.size, which)
-        return np.insert(ids, np.cumsum(per_row), END).astype(np.int32) if len(per_row) else ids, per_row + 1
+        return np.insert(ids, np.cumsum(per_row), END).astype(np.int32, copy=False) if len(per_row) else ids, per_row + 1
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -161,36 +184,43 @@ def repair(a: np.ndarray, rounds: int = RUN_ROUNDS) -> tuple[np.ndarray, np.ndar
     for _ in range(rounds):
         if len(a) < 2:
             break
-        pair = (a[:-1].astype(np.uint64) << np.uint64(32)) | a[1:].astype(np.uint64)
-        slot = (pair * _MIX) >> np.uint64(64 - 20)
-        slot = slot.astype(np.int32)
-        free = (a[:-1] != END) & (a[1:] != END)
-        count = np.bincount(slot[free], minlength=1 << 20)
-        owner = np.zeros(1 << 20, np.uint64)
-        owner[slot[free]] = pair[free]
+        pair = a[:-1].astype(np.uint64)
+        pair <<= np.uint64(32)
+        pair |= a[1:].astype(np.uint64)
+        slot = ((pair * _MIX) >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
+        # pairs with the end id go to a slot of their own
+        ends = np.flatnonzero(a == END)
+        slot[ends[ends < len(slot)]] = 1 << SLOT_BITS
+        slot[ends[ends > 0] - 1] = 1 << SLOT_BITS
+        count = np.bincount(slot, minlength=(1 << SLOT_BITS) + 1)[: 1 << SLOT_BITS]
         top = np.argpartition(count, -ROUND_PAIRS)[-ROUND_PAIRS:]
         top = top[count[top] >= LEAST_USES]
         if not len(top):
             break
-        index = np.full(1 << 20, -1, np.int32)
+        index = np.full((1 << SLOT_BITS) + 1, -1, np.int16)
         index[top] = np.arange(len(top))
         rule = index[slot]
-        hit = np.flatnonzero((rule >= 0) & free)
-        hit = hit[owner[slot[hit]] == pair[hit]]
+        hit = np.flatnonzero(rule >= 0)
+        rule, pair = rule[hit].astype(np.int64), pair[hit]
+        owner = np.zeros(len(top), np.uint64)
+        owner[rule] = pair  # of pairs that share a slot one has it in this round
+        same = owner[rule] == pair
+        hit, rule = hit[same], rule[same]
         # every other one of neighbouring hits, from the left
         run = np.ones(len(hit), bool)
         run[1:] = np.diff(hit) != 1
         begin = np.maximum.accumulate(np.where(run, np.arange(len(hit)), 0))
-        hit = hit[((np.arange(len(hit)) - begin) & 1) == 0]
-        uses = np.bincount(rule[hit], minlength=len(top))
-        good = uses >= LEAST_USES
+        odd = ((np.arange(len(hit)) - begin) & 1) == 0
+        hit, rule = hit[odd], rule[odd]
+        good = np.bincount(rule, minlength=len(top)) >= LEAST_USES
         if not good.any():
             break
         number = np.cumsum(good) - 1
-        hit = hit[good[rule[hit]]]
-        rules.append(np.stack([owner[top[good]] >> np.uint64(32), owner[top[good]] & np.uint64(0xFFFFFFFF)], 1).astype(np.int32))
+        used = good[rule]
+        hit, rule = hit[used], rule[used]
+        rules.append(np.stack([owner[good] >> np.uint64(32), owner[good] & np.uint64(0xFFFFFFFF)], 1).astype(np.int32))
         b = a.copy()
-        b[hit] = FIRST_RULE + n_rules + number[rule[hit]]
+        b[hit] = FIRST_RULE + n_rules + number[rule]
         keep = np.ones(len(a), bool)
         keep[hit + 1] = False
         a = b[keep]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkernel import SPACE, pieces, span_hashes, text_bytes
+from .textkernel import SPACE, HashIndex, pieces, span_hashes, text_bytes
 from .token_files import piece_spans
 
 CACHE_COUNTS = 1_500_000
@@ -36,7 +36,7 @@ class Unigram:
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
         self.longest = max(map(len, scores), default=0)
-        self.known: dict[int, int] = {}
+        self.known = HashIndex()
 
     @classmethod
     def load(cls, path: str) -> Unigram:
@@ -74,27 +74,24 @@ class Unigram:
         """Pre-tokens and tokens of each row."""
         data, offsets = text_bytes(texts)
         n = len(offsets) - 1
-        start, end, row = piece_spans(data, offsets)
+        start, end, row, _ = piece_spans(data, offsets)
         if not len(start):
             return np.zeros(n, np.int64), np.zeros(n, np.int64)
         leads = np.ones(len(start), bool)
         inner = start > offsets[row]
         leads[inner] = SPACE[data[start[inner] - 1]]
         codes, distinct = pd.factorize(span_hashes(data, start, end) ^ leads.astype(np.uint64))
-        keys = distinct.tolist()
-        if len(self.known) + len(keys) > CACHE_COUNTS:
-            self.known.clear()
-        get = self.known.get
-        size = np.fromiter((get(k, -1) for k in keys), np.int64, len(keys))
+        if self.known.count + len(distinct) > CACHE_COUNTS:
+            self.known = HashIndex()
+        size = self.known.find(distinct).astype(np.int64)
         if len(new := np.flatnonzero(size < 0)):
-            first = np.zeros(len(keys), np.int64)
+            first = np.zeros(len(distinct), np.int64)
             first[codes[::-1]] = np.arange(len(codes))[::-1]
-            raw = data.tobytes()
-            words = [(MARK if leads[first[k]] else "") + raw[start[first[k]] : end[first[k]]].decode("utf-8", "replace") for k in new]
+            raw, first = data.tobytes(), first[new]
+            words = [(MARK if lead else "") + raw[a:b].decode("utf-8", "replace") for a, b, lead in zip(start[first].tolist(), end[first].tolist(), leads[first].tolist())]
             order = sorted(range(len(words)), key=words.__getitem__)
-            found = self.counts([words[i] for i in order])
-            size[new[order]] = found
-            self.known.update((keys[new[i]], c) for i, c in zip(order, found))
+            size[new[order]] = self.counts([words[i] for i in order])
+            self.known.add(distinct[new], size[new].astype(np.int32))
         return np.bincount(row, minlength=n), np.bincount(row, size[codes], n).astype(np.int64)
 
 
