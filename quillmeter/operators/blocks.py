@@ -77,7 +77,7 @@ def _follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def with_block(events: DataFrame, tz: str, block_ms: int = DEFAULT_BLOCK_MS) -> DataFrame:
     """``events`` (with ts_ms) and block_start; null where there is no instant."""
     width = block_ms if block_ms > 0 else DEFAULT_BLOCK_MS
-    instants = events.where("ts_ms is not null").select("ts_ms").distinct()
+    instants = events.where("ts_ms is not null").select("ts_ms").distinct().persist()  # read twice below
     opened = openings(instants, tz, width).groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("opened", "start"))).alias("_opened"))
     keyed = events.withColumn("_cell", cell(F.col("ts_ms"), tz, width))
     joined = keyed.join(opened, F.col("_cell") == F.col("cell"), "left")

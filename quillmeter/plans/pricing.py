@@ -21,7 +21,12 @@ BROADCAST_KEYS = 200_000
 
 
 def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else df
+    """Broadcast if the counted rows allow, else joined as Spark sees fit.
+
+    What is counted is kept, so that it is not computed twice.
+    """
+    kept = df.persist()
+    return F.broadcast(kept) if kept.count() <= BROADCAST_KEYS else kept
 
 
 def lookup(models: DataFrame, catalog: DataFrame) -> DataFrame:
