@@ -32,7 +32,8 @@ WEIGHTS, MOST = (5, 2, 1), 3
 #: Fixed value: the words of a text
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS, SHARD_SLOTS, BUCKETS, ROUNDS, SEED = 128, 1024, 1024, 24, 17
-CHUNK = 1 << 16
+#: Slots that one task draws at least
+CHUNK = 1 << 12
 
 
 def permuted(x: Column, n: Column, *key: Column) -> Column:
@@ -94,7 +95,8 @@ def mix(docs: DataFrame, folder: str | None = None) -> tuple[DataFrame, DataFram
     q = sources.select("source", quota.alias("quota"), blocks.alias("blocks"))
     q = q.withColumn("base", F.coalesce(F.sum("quota").over(Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     q = q.withColumn("total", F.sum("quota").over(Window.partitionBy())).where("quota > 0")
-    chunks = q.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - 1) / CHUNK)))).repartition("source", "chunk")
+    # a chunk is a few bytes but much work: a stated number of partitions is not coalesced
+    chunks = q.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - 1) / CHUNK)))).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source", "chunk")
     last = F.least(F.col("quota"), (F.col("chunk") + 1) * CHUNK) - 1
     slots = chunks.withColumn("j", F.explode(F.sequence(F.col("chunk") * CHUNK, last)))
     epoch = F.floor(F.col("j") / F.col("blocks"))
@@ -157,9 +159,10 @@ def mixed_documents(docs: DataFrame, folder: str | None = None) -> DataFrame:
         rows = rows.withColumn("_p_t", F.row_number().over(Window.partitionBy("doc_id", "_p_n", "source").orderBy("text")))
     match = F.col("doc_id").cast("long").eqNullSafe(F.col("_p_doc_id")) & (F.col("_p_n") == F.col("_p_size")) & F.col("source").cast("string").eqNullSafe(F.col("_p_source")) & (F.col("_p_t") == F.col("_p_twin"))
     words = F.regexp_extract_all("text", F.lit(PART), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("_p_cuts", lambda c: F.slice(F.col("_p_ws"), (c["at"] + 1).cast("int"), c["words"].cast("int")))), "")
+    # a text's words are bound to a lambda variable: found once, not once a cut
+    cut = F.transform(F.array(words), lambda ws: F.array_join(F.flatten(F.transform("_p_cuts", lambda c: F.slice(ws, (c["at"] + 1).cast("int"), c["words"].cast("int")))), ""))
     whole = F.col("_p_taken") == F.col("_p_n")
-    out = rows.join(plan, match).withColumn("_p_ws", F.when(~whole, words)).withColumn("text", F.when(whole, F.col("text")).otherwise(F.regexp_replace(cut, r"^[\x20\x09-\x0D]+", "")))
+    out = rows.join(plan, match).withColumn("text", F.when(whole, F.col("text")).otherwise(F.regexp_replace(F.get(cut, F.lit(0)), r"^[\x20\x09-\x0D]+", "")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
