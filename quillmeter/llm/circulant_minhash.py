@@ -218,11 +218,14 @@ def near_duplicates(docs: DataFrame, folder: str | None = None) -> DataFrame:
     if not extra.isEmpty():
         labels = components(links.union(extra), f"{folder}/last")
 
-    found = signed.select("doc_id", "n_shingles", "cls").join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left")
-    found = found.withColumn("label", F.coalesce("label", "cls"))
-    best = found.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    found = found.join(best, "label", "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")))
-    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+    # ids meet by class first: a group's rows are joined once, by what all copies share
+    classes = signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_id"))
+    placed = classes.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    best = placed.groupBy("label").agg(F.min("first_id").alias("least"))
+    named = placed.join(best, "label").select("cls", "least")
+    found = signed.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
+    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, folder: str | None = None) -> DataFrame:
