@@ -11,8 +11,8 @@ Format.  A row of the Parquet files is one block of consecutive documents:
 magic, counts, then int32 arrays: rules (left, right), expansion length of each
 rule, tokens of each document, symbols of each document, symbols; and int64
 doc_ids with a validity byte each.  Symbols from 2**20 on are nonterminals.
-Re-Pair: in rounds, the most frequent pairs of neighbouring symbols of the block
-become nonterminals, replaced from left to right.  The end id stays out of pairs,
+Re-Pair: in rounds, pairs of neighbouring symbols of the block become nonterminals,
+the more frequent of overlapping ones first, until no pair is there twice.  The end id stays out of pairs,
 so a document's symbols are its own; expansion lengths find any token span
 without expanding what lies before it.
 
@@ -38,7 +38,7 @@ from .textkernel import LOWER, SPACE, HashIndex, gather, pieces, span_hashes, te
 
 END_ID = 2
 END, FIRST_RULE = 1 << 19, 1 << 20  # how a block holds the end id; its first nonterminal
-BLOCK_TOKENS, RUN_ROUNDS, ROUND_PAIRS, LEAST_USES, SLOT_BITS = 2_000_000, 4, 4096, 6, 18
+BLOCK_TOKENS, LEAST_USES, SLOT_BITS = 2_000_000, 2, 20
 CACHE_PIECES = 1_500_000
 MAGIC = b"QMRP0001"
 
@@ -174,65 +174,103 @@ class Encoder:
         return np.insert(ids, np.cumsum(per_row), END).astype(np.int32, copy=False) if len(per_row) else ids, per_row + 1
 
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
+def repair(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, rules (left, right) and each rule's expansion length.
 
-def repair(a: np.ndarray, rounds: int = RUN_ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, rules (left, right) and each rule's expansion length."""
-    rules: list[np.ndarray] = []
-    n_rules = 0
-    for _ in range(rounds):
-        if len(a) < 2:
-            break
-        pair = a[:-1].astype(np.uint64)
-        pair <<= np.uint64(32)
-        pair |= a[1:].astype(np.uint64)
-        slot = ((pair * _MIX) >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
-        # pairs with the end id go to a slot of their own
-        ends = np.flatnonzero(a == END)
-        slot[ends[ends < len(slot)]] = 1 << SLOT_BITS
-        slot[ends[ends > 0] - 1] = 1 << SLOT_BITS
-        count = np.bincount(slot, minlength=(1 << SLOT_BITS) + 1)[: 1 << SLOT_BITS]
-        top = np.argpartition(count, -ROUND_PAIRS)[-ROUND_PAIRS:]
-        top = top[count[top] >= LEAST_USES]
-        if not len(top):
+    Rounds go on until no pair is found LEAST_USES times, overlaps aside.  Pairs
+    are counted exactly: a pair of old symbols never becomes more frequent, so
+    its positions are counted again only while it repeats, and new pairs stand
+    only beside symbols that the last round put in.
+    """
+    n = len(a)
+    symbol = np.append(a, END).astype(np.int32)
+    after = np.arange(1, n + 2, dtype=np.int32)
+    after[n] = n
+    before = np.arange(-1, n, dtype=np.int32)
+    before[0] = n
+    there = np.ones(n, bool)
+    rank = np.zeros(n + 1, np.int64)
+    rules, length, n_rules = [], np.zeros(0, np.int32), 0
+    at, code, n_codes = np.zeros(0, np.int32), np.zeros(0, np.int32), 0
+    fresh = np.arange(n, dtype=np.int32)
+    while True:
+        fresh = fresh[(symbol[fresh] != END) & (symbol[after[fresh]] != END)]
+        known = _repeated((symbol[fresh].astype(np.uint64) << np.uint64(32)) | symbol[after[fresh]].astype(np.uint64))
+        some = known >= 0
+        at, code = np.concatenate([at, fresh[some]]), np.concatenate([code, known[some] + n_codes])
+        if not len(at):
             break
-        index = np.full((1 << SLOT_BITS) + 1, -1, np.int16)
-        index[top] = np.arange(len(top))
-        rule = index[slot]
-        hit = np.flatnonzero(rule >= 0)
-        rule, pair = rule[hit].astype(np.int64), pair[hit]
-        owner = np.zeros(len(top), np.uint64)
-        owner[rule] = pair  # of pairs that share a slot one has it in this round
-        same = owner[rule] == pair
-        hit, rule = hit[same], rule[same]
-        # every other one of neighbouring hits, from the left
-        run = np.ones(len(hit), bool)
-        run[1:] = np.diff(hit) != 1
-        begin = np.maximum.accumulate(np.where(run, np.arange(len(hit)), 0))
-        odd = ((np.arange(len(hit)) - begin) & 1) == 0
-        hit, rule = hit[odd], rule[odd]
-        good = np.bincount(rule, minlength=len(top)) >= LEAST_USES
-        if not good.any():
+        # codes stay small: those no longer in use go
+        size = np.bincount(code)
+        code = (np.cumsum(size > 0, dtype=np.int32) - 1)[code]
+        # of a run of one symbol, every other position from the left is a use
+        own = np.ones(len(at), bool)
+        same = np.flatnonzero(symbol[at] == symbol[after[at]])
+        if len(same):
+            same = same[np.argsort(at[same])]
+            run = np.ones(len(same), bool)
+            run[1:] = after[at[same[:-1]]] != at[same[1:]]
+            begin = np.maximum.accumulate(np.where(run, np.arange(len(same)), 0))
+            own[same[((np.arange(len(same)) - begin) & 1) == 1]] = False
+        uses = np.bincount(code[own])
+        if len(same):
+            uses = np.append(uses, np.zeros(int(code.max()) + 1 - len(uses), np.int64))
+        n_codes = len(uses)
+        live = uses[code] >= LEAST_USES
+        at, code, own = at[live], code[live], own[live]
+        if not len(at):
             break
-        number = np.cumsum(good) - 1
-        used = good[rule]
-        hit, rule = hit[used], rule[used]
-        rules.append(np.stack([owner[good] >> np.uint64(32), owner[good] & np.uint64(0xFFFFFFFF)], 1).astype(np.int32))
-        b = a.copy()
-        b[hit] = FIRST_RULE + n_rules + number[rule]
-        keep = np.ones(len(a), bool)
-        keep[hit + 1] = False
-        a = b[keep]
-        n_rules += int(good.sum())
+        # of overlapping pairs the more frequent goes first; the most frequent keeps all its uses
+        mine = np.where(own, uses[code] * n_codes + code + 1, 0)
+        rank[at] = mine
+        hit = (mine > rank[before[at]]) & (mine > rank[after[at]])
+        rank[at] = 0
+        good = np.bincount(code[hit], minlength=n_codes) >= LEAST_USES
+        hit &= good[code]
+        first, which = at[hit], (np.cumsum(good, dtype=np.int32) - 1)[code[hit]]
+        second = after[first]
+        pair = np.empty((int(good.sum()), 2), np.int32)
+        pair[which, 0], pair[which, 1] = symbol[first], symbol[second]
+        rules.append(pair)
+        deep = pair >= FIRST_RULE
+        part = np.ones(pair.shape, np.int32)
+        part[deep] = length[pair[deep] - FIRST_RULE]
+        length = np.concatenate([length, part.sum(axis=1, dtype=np.int32)])
+        symbol[first] = FIRST_RULE + n_rules + which
+        n_rules += len(pair)
+        there[second] = False
+        after[first] = after[second]
+        before[after[first]] = first
+        left = before[first]
+        new = np.zeros(n + 1, bool)
+        new[first] = True
+        fresh = np.concatenate([first, left[~new[left]]])
+        new[left] = True
+        new[second] = True
+        stay = ~new[at]
+        at, code = at[stay], code[stay]
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.int32)
-    return a, table, _lengths(table)
+    return symbol[:n][there], table, length
+
+
+def _repeated(pair: np.ndarray) -> np.ndarray:
+    """A number for each pair that is there more than once, -1 for the others."""
+    out = np.full(len(pair), -1, np.int32)
+    # a pair alone in its slot is there once; the others are counted exactly
+    slot = ((pair * _MIX) >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
+    maybe = np.flatnonzero(np.bincount(slot, minlength=1 << SLOT_BITS)[slot] > 1)
+    code = pd.factorize(pair[maybe])[0]
+    size = np.bincount(code)
+    out[maybe] = np.where(size[code] > 1, code, -1)
+    return out
+
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _lengths(rules: np.ndarray) -> np.ndarray:
     """Tokens that each rule stands for; a rule uses earlier ones only."""
     size = np.zeros(len(rules), np.int32)
-    level = np.zeros(len(rules), np.int32)
     deep = rules >= FIRST_RULE
     todo = np.ones(len(rules), bool)
     while todo.any():
@@ -240,25 +278,29 @@ def _lengths(rules: np.ndarray) -> np.ndarray:
         ready = todo & ~(deep & todo[inner]).any(axis=1)
         size[ready] = np.where(deep[ready], size[inner[ready]], 1).sum(axis=1)
         todo &= ~ready
-    del level
     return size
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
+def expand(symbols: np.ndarray, rules: np.ndarray, length: np.ndarray | None = None) -> np.ndarray:
     """Tokens of symbols, END as it is."""
-    a = symbols
-    while len(at := np.flatnonzero(a >= FIRST_RULE)):
-        shift = np.arange(len(a))
-        extra = np.zeros(len(a), np.int64)
-        extra[at] = 1
-        shift += np.cumsum(extra) - extra
-        b = np.empty(len(a) + len(at), a.dtype)
-        b[shift] = a
-        pair = rules[a[at] - FIRST_RULE]
-        b[shift[at]] = pair[:, 0]
-        b[shift[at] + 1] = pair[:, 1]
-        a = b
-    return a
+    length = _lengths(rules) if length is None else length
+    size = np.ones(len(symbols), np.int64)
+    deep = symbols >= FIRST_RULE
+    size[deep] = length[symbols[deep] - FIRST_RULE]
+    start = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), symbols.dtype)
+    out[start[~deep]] = symbols[~deep]
+    at, rule = start[deep], symbols[deep] - FIRST_RULE
+    while len(at):
+        pair = rules[rule]
+        deep = pair >= FIRST_RULE
+        place = np.stack([at, at], 1)
+        first = deep[:, 0]
+        place[:, 1] += 1
+        place[first, 1] += length[pair[first, 0] - FIRST_RULE] - 1
+        out[place[~deep]] = pair[~deep]
+        at, rule = place[deep], pair[deep] - FIRST_RULE
+    return out
 
 
 def pack(ids: np.ndarray, n_tokens: np.ndarray, doc_ids: pa.Array) -> bytes:
@@ -291,7 +333,7 @@ class Block:
         self.doc_ids, self.valid = take("<i8", n), take("u1", n).astype(bool)
 
     def tokens(self) -> np.ndarray:
-        ids = expand(self.symbols, self.rules)
+        ids = expand(self.symbols, self.rules, self.length)
         return np.where(ids == END, END_ID, ids).astype(np.uint32)
 
     def document(self, k: int, start: int = 0, stop: int | None = None) -> np.ndarray:
@@ -307,7 +349,7 @@ class Block:
             return np.zeros(0, np.uint32)
         a, b = int(np.searchsorted(ends, start, side="right")), int(np.searchsorted(ends, stop, side="left")) + 1
         before = int(ends[a] - size[a])
-        ids = expand(own[a:b], self.rules)[start - before : stop - before]
+        ids = expand(own[a:b], self.rules, self.length)[start - before : stop - before]
         return np.where(ids == END, END_ID, ids).astype(np.uint32)
 
 

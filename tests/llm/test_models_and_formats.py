@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -138,6 +139,31 @@ def test_repair_round_trip():
     assert (token_files.expand(symbols, rules) == runs).all() and len(symbols) < 200
 
 
+def repeats(symbols):
+    """Uses of each pair, overlaps and the end id aside."""
+    found, last = Counter(), {}
+    for i, pair in enumerate(zip(symbols[:-1].tolist(), symbols[1:].tolist())):
+        if token_files.END not in pair and last.get(pair) != i - 1:
+            found[pair] += 1
+            last[pair] = i
+    return found
+
+
+def test_repair_leaves_no_pair_twice():
+    rng = np.random.default_rng(5)
+    cases = [rng.integers(0, 4, n) for n in range(60)] + [np.tile(rng.integers(0, 50_000, 3000), 2), rng.zipf(1.3, 20_000).clip(1, 60_000)]
+    for case in cases:
+        ids = np.append(case, token_files.END).astype(np.int32)
+        ids[rng.random(len(ids)) < 0.0005] = token_files.END
+        symbols, rules, length = token_files.repair(ids)
+        assert (token_files.expand(symbols, rules) == ids).all() and (length == token_files._lengths(rules)).all()
+        assert max(repeats(symbols).values(), default=0) < 2
+    copies = np.concatenate([np.append(rng.permutation(40_000)[:5000], token_files.END)] * 2).astype(np.int32)
+    copies[5001:] = copies[:5001]
+    symbols, _, length = token_files.repair(copies)
+    assert len(symbols) == 4 and length.max() == 5000
+
+
 def test_token_files(spark, odd, none, tmp_path):
     tokenizers = pytest.importorskip("tokenizers")
     path = token_files.default_tokenizer()
