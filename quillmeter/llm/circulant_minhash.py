@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import saved, sized, work_dir
@@ -87,7 +87,7 @@ def set_class(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-SIGNED = "doc_id long, n_shingles long, cls long, bands array<long>"
+SIGNED = "doc_id long, version long, n_shingles long, cls long, bands array<long>"
 SETS = "doc_id long, cls long, n long, shingles array<long>, sketch binary"
 
 
@@ -105,7 +105,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(len(s))
             cls.append(set_class(s) if len(s) else None)
             bands.append(band_keys(signature(s, ROWS * BANDS)) if len(s) else none)
-        yield pa.RecordBatch.from_arrays([p.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), _lists(bands, pa.int64())], names=["doc_id", "n_shingles", "cls", "bands"])
+        yield pa.RecordBatch.from_arrays([p.column("doc_id"), p.column("version"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), _lists(bands, pa.int64())], names=["doc_id", "version", "n_shingles", "cls", "bands"])
 
 
 def _collect_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,10 +182,20 @@ def near_duplicates(docs: DataFrame, folder: str | None = None) -> DataFrame:
     smallest doc_id of the component (null ids count last); a row without id
     is kept only where its whole component has none.
     """
+    return _judged(docs, folder).drop("version")
+
+
+def _version(text: Column) -> Column:
+    """With the doc_id, what a row is known by: ids may be null or repeated."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _judged(docs: DataFrame, folder: str | None) -> DataFrame:
+    """near_duplicates, and each row's version."""
     spark: SparkSession = docs.sparkSession
     folder = folder or work_dir(spark, "dedup")
     slim = docs.select(F.col("doc_id").cast("long"), "text")
-    signed = saved(slim.mapInArrow(_sign, SIGNED), f"{folder}/signed")
+    signed = saved(slim.withColumn("version", _version(F.col("text"))).mapInArrow(_sign, SIGNED), f"{folder}/signed")
 
     banded = signed.where("cls is not null").select("cls", F.explode("bands").alias("bucket"))
     full = saved(banded.groupBy("bucket").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("bucket"), f"{folder}/buckets")
@@ -223,9 +233,9 @@ def near_duplicates(docs: DataFrame, folder: str | None = None) -> DataFrame:
     placed = classes.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     best = placed.groupBy("label").agg(F.min("first_id").alias("least"))
     named = placed.join(best, "label").select("cls", "least")
-    found = signed.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
+    found = signed.select("doc_id", "version", "n_shingles", "cls").join(named, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    return found.select("doc_id", "version", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, folder: str | None = None) -> DataFrame:
@@ -234,10 +244,11 @@ def one_of_each(docs: DataFrame, folder: str | None = None) -> DataFrame:
     Rows that repeat a doc_id and a text count as one document.
     """
     folder = folder or work_dir(docs.sparkSession, "dedup")
-    result = saved(near_duplicates(docs, folder), f"{folder}/result")
-    gone = result.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    result = saved(_judged(docs, folder), f"{folder}/result")
+    gone = result.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("version").alias("_gone_version")).distinct()
     twice = result.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice"))
-    left = docs.join(sized(gone, gone.count()), docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")) & (_version(docs["text"]) == F.col("_gone_version"))
+    left = docs.join(sized(gone, gone.count()), same, "left_anti")
     n = twice.count()
     if not n:
         return left

@@ -83,6 +83,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, folder: str | None = No
     doc_id and a text get one result row each; items repeated in the benchmark
     count once by their item_id.
     """
+    return _judged(docs, benchmark, folder).drop("version")
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, folder: str | None) -> DataFrame:
+    """contamination, and each row's version: the hash of its text."""
     spark: SparkSession = docs.sparkSession
     folder = folder or work_dir(spark, "decontaminate")
     each, owners = windows(benchmark)
@@ -123,15 +128,16 @@ def _summed(found: DataFrame, owners: DataFrame, docs: DataFrame, folder: str, n
         base = base.distinct().join(docs.groupBy("doc_id", F.xxhash64("text").alias("version")).agg(F.count("*").alias("times")).toDF("d0", "v0", "times"), F.col("doc_id").eqNullSafe(F.col("d0")) & (F.col("version") == F.col("v0"))).select(*ids, "n_words", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("col")
     out = base.join(both, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left")
     none = F.array().cast("array<string>")
-    return out.select("doc_id", F.col("n_words").cast("long"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("item_ids", none)).cast("long").alias("n_items"), F.coalesce("item_ids", none).alias("item_ids"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    return out.select("doc_id", "version", F.col("n_words").cast("long"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("item_ids", none)).cast("long").alias("n_items"), F.coalesce("item_ids", none).alias("item_ids"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, folder: str | None = None) -> DataFrame:
     """``docs`` without the documents that hold a window, all columns as they are."""
     folder = folder or work_dir(docs.sparkSession, "decontaminate")
-    hit = contamination(docs, benchmark, folder).where("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
+    hit = _judged(docs, benchmark, folder).where("contaminated").select(F.col("doc_id").alias("_hit"), F.col("version").alias("_hit_version")).distinct()
     hit = saved(hit, f"{folder}/hit")
-    return docs.join(sized(hit, hit.count()), docs["doc_id"].cast("long").eqNullSafe(F.col("_hit")), "left_anti")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_hit")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_hit_version"))
+    return docs.join(sized(hit, hit.count()), same, "left_anti")
 
 
 def op1_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,6 +54,28 @@ def test_near_duplicates_odd(odd, none):
     assert ids[1] == 1 and ids[2] == 0 and ids[9] == ids[10] == 0 and ids[8] == 1 and ids[3] == 2 and ids[4] == 1
 
 
+def test_one_of_each_judges_rows_not_ids(spark):
+    """Null and repeated ids lose only the rows that are copies."""
+    rows = [(d, t) for d, t, _ in ODD] + [(None, prose(50, 40)), (None, ""), (2, prose(51, 40)), (2, None), (20, prose(52, 40)), (30, prose(52, 40)), (30, prose(53, 45))]
+    left = circulant_minhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    groups = {(d, len(shingles(t)), c) for d, t in rows for (e, n, c) in brute_groups(rows) if (d, len(shingles(t))) == (e, n)}
+    ambiguous = Counter((d, n) for d, n, _ in groups)
+    assert max(ambiguous.values()) == 1
+    least = {(d, n): c for d, n, c in groups}
+    want = {(d, t) for d, t in rows if least[d, len(shingles(t))] == d}
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter(want)
+    assert (None, None) in want and (None, prose(50, 40)) in want and (None, prose(2, 30)) not in want
+
+
+def test_decontamination_judges_rows_not_ids(spark):
+    item = prose(60, 12)
+    clean = [(None, None), (None, ""), (None, prose(61, 30)), (1, prose(62, 30)), (1, None), (2, prose(63, 30))]
+    dirty = [(None, f"a {item} b"), (1, item), (3, item.upper())]
+    docs = spark.createDataFrame(clean + dirty, "doc_id long, text string")
+    left = prefix_join.without_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter(clean)
+
+
 def test_near_duplicates_chains_and_groups(spark):
     rng, rows = random.Random(3), []
     base = prose(99, 120).split()
