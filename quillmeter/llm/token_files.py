@@ -68,8 +68,11 @@ def _classes(data: np.ndarray) -> np.ndarray:
     return cls
 
 
-def piece_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of the pieces of already lower-cased rows, and whether each is of one class."""
+def piece_spans(data: np.ndarray, offsets: np.ndarray, special: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of the pieces of rows, and whether each is of one class.
+
+    With ``special``, rows that hold a special token's opening stay whole.
+    """
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
@@ -80,8 +83,7 @@ def piece_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     cut = np.ones(n + 1, bool)
     cut[1:-1] = (left == _BLANK) | (right == _BLANK) | (plain & ((left != right) | (left == _DIGIT)))
     cut[offsets] = True
-    # rows that hold a special token's opening stay whole but for their bounds
-    opening = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|"))) if n > 1 else np.zeros(0, np.int64)
+    opening = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|"))) if special else np.zeros(0, np.int64)
     for r in np.unique(np.searchsorted(offsets, opening, side="right") - 1):
         cut[offsets[r] + 1 : offsets[r + 1]] = False
         cls[offsets[r] : offsets[r + 1]] = _OTHER
@@ -157,7 +159,7 @@ class Encoder:
         """All ids of the rows, each followed by END, and the number of each row's."""
         data, offsets = text_bytes(texts)
         data = LOWER[data]
-        start, end, row, pure = piece_spans(data, offsets)
+        start, end, row, pure = piece_spans(data, offsets, special=True)
         codes, distinct = pd.factorize(span_hashes(data, start, end))
         if self.known.count + len(distinct) > CACHE_PIECES:
             self.clear()
