@@ -9,9 +9,10 @@ bucket = hash(doc_id) mod 1024, so a document's first word index is a prefix sum
 over bucket totals plus one within its bucket, and no task holds a source.
 Block b of a source is the words [128 b, 128 b + 128).
 
-Drawing: a source gets q = floor(target / 128) output slots.  A pseudorandom
-permutation of all slots deals them to output shards of 1024 slots, so the
-shards' source counts are multinomial draws given the totals; the totals
+Drawing: a source gives its target, rounded to words: all its blocks in each full
+epoch, then blocks until the rest is met, the last one cut at the rest.  A
+pseudorandom permutation of all slots deals them to output shards of 1024 slots,
+so the shards' source counts are multinomial draws given the totals; the totals
 themselves carry no sampling noise.  Slot j of a source takes, in epoch
 j div n, block perm(source, epoch)(j mod n) of its n blocks: no block is taken
 twice before all are taken once, and never more than three times.
@@ -36,14 +37,16 @@ BLOCK_WORDS, SHARD_SLOTS, BUCKETS, ROUNDS, SEED = 128, 1024, 1024, 24, 17
 CHUNK = 1 << 12
 
 
-def permuted(x: Column, n: Column, *key: Column) -> Column:
-    """Where a pseudorandom permutation of [0, n), named by ``key``, puts x."""
+def permuted(x: Column, n: Column, *key: Column, back: bool = False) -> Column:
+    """Where a pseudorandom permutation of [0, n), named by ``key``, puts x; with ``back``, what it puts at x."""
 
     def swap(v: Column, i: Column) -> Column:
         other = F.pmod(F.pmod(F.xxhash64(F.lit(SEED), i, *key), n) - v, n)
         return F.when(F.xxhash64(F.lit(SEED + 1), i, F.greatest(v, other), *key) % 2 == 0, other).otherwise(v)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x.cast("long"), swap)
+    # a round is its own inverse
+    rounds = F.sequence(F.lit(ROUNDS), F.lit(1)) if back else F.sequence(F.lit(1), F.lit(ROUNDS))
+    return F.aggregate(rounds, x.cast("long"), swap)
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -75,7 +78,7 @@ def mix(docs: DataFrame, folder: str | None = None) -> tuple[DataFrame, DataFram
     """(placed documents, sources with targets, slots of the mix).
 
     documents: doc_id, source, size, first; slots: shard, slot, source, epoch,
-    block.  A null source is a source of its own; null texts have no words and
+    block, take: the words of the block that it takes at most.  A null source is a source of its own; null texts have no words and
     are never taken; an empty table has no slots.
     """
     folder = folder or work_dir(docs.sparkSession, "mix")
@@ -90,9 +93,7 @@ def mix(docs: DataFrame, folder: str | None = None) -> tuple[DataFrame, DataFram
     placed = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     placed = placed.select("doc_id", "source", "size", (F.col("base") + F.col("within")).alias("first"))
 
-    quota = F.floor(F.col("target") / BLOCK_WORDS).cast("long")
-    blocks = F.ceil(F.col("source_size") / BLOCK_WORDS).cast("long")
-    q = sources.select("source", quota.alias("quota"), blocks.alias("blocks"))
+    q = with_quotas(sources)
     q = q.withColumn("base", F.coalesce(F.sum("quota").over(Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     q = q.withColumn("total", F.sum("quota").over(Window.partitionBy())).where("quota > 0")
     # a chunk is a few bytes but much work: a stated number of partitions is not coalesced
@@ -101,25 +102,55 @@ def mix(docs: DataFrame, folder: str | None = None) -> tuple[DataFrame, DataFram
     slots = chunks.withColumn("j", F.explode(F.sequence(F.col("chunk") * CHUNK, last)))
     epoch = F.floor(F.col("j") / F.col("blocks"))
     slots = slots.withColumn("epoch", epoch).withColumn("slot", permuted(F.col("base") + F.col("j"), F.col("total"), F.lit("slots")))
-    block = permuted(F.pmod("j", "blocks"), F.col("blocks"), F.coalesce("source", F.lit("")), F.col("source").isNull(), F.col("epoch"))
-    slots = slots.withColumn("block", block).select(F.floor(F.col("slot") / SHARD_SLOTS).alias("shard"), "slot", "source", "epoch", "block")
+    block = permuted(F.pmod("j", "blocks"), F.col("blocks"), *_source_key(), F.col("epoch"))
+    take = F.when(F.col("j") == F.col("quota") - 1, F.col("last")).otherwise(F.lit(BLOCK_WORDS)).cast("long")
+    slots = slots.withColumn("block", block).select(F.floor(F.col("slot") / SHARD_SLOTS).alias("shard"), "slot", "source", "epoch", "block", take.alias("take"))
     return placed, sources, saved(slots, f"{folder}/slots")
 
 
+def _source_key() -> tuple[Column, Column]:
+    return F.coalesce("source", F.lit("")), F.col("source").isNull()
+
+
+def with_quotas(sources: DataFrame) -> DataFrame:
+    """Per source: its blocks, quota (slots) and last, the words that its last slot takes."""
+    size, blocks = F.col("source_size"), F.ceil(F.col("source_size") / BLOCK_WORDS).cast("long")
+    want = F.least(F.round("target").cast("long"), MOST * size)
+    q = sources.where(size > 0).select("source", "source_size", blocks.alias("blocks"), want.alias("want"))
+    epochs = F.floor(F.col("want") / size)
+    q = q.withColumn("epochs", epochs).withColumn("rest", F.col("want") - F.col("epochs") * size)
+    # the source's last block lacks some words; where the last, partial epoch takes it matters
+    lacks = F.col("blocks") * BLOCK_WORDS - size
+    q = q.withColumn("lacks", lacks).withColumn("short", permuted(F.col("blocks") - 1, F.col("blocks"), *_source_key(), F.col("epochs"), back=True))
+
+    def held(slots: Column) -> Column:
+        return slots * BLOCK_WORDS - F.when(F.col("short") < slots, F.col("lacks")).otherwise(0)
+
+    few = F.ceil(F.col("rest") / BLOCK_WORDS).cast("long")
+    q = q.withColumn("few", few + F.when(held(few) < F.col("rest"), 1).otherwise(0))
+    last = F.when(F.col("few") > 0, F.col("rest") - held(F.col("few") - 1)).otherwise(BLOCK_WORDS)
+    return q.select("source", "blocks", (F.col("epochs") * F.col("blocks") + F.col("few")).alias("quota"), last.alias("last"))
+
+
 def segments(placed: DataFrame) -> DataFrame:
-    """The words that each document has in each block: doc_id, source, block, at, words."""
+    """The words that each document has in each block: doc_id, source, block, at (in the document), off (in the block), words."""
     first, end = F.col("first"), F.col("first") + F.col("size")
     s = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(first / BLOCK_WORDS), F.floor((end - 1) / BLOCK_WORDS))))
     lo = F.greatest(first, F.col("block") * BLOCK_WORDS)
     hi = F.least(end, (F.col("block") + 1) * BLOCK_WORDS)
-    return s.select("doc_id", "source", "size", "first", "block", (lo - first).alias("at"), (hi - lo).alias("words"))
+    return s.select("doc_id", "source", "size", "first", "block", (lo - first).alias("at"), (lo - F.col("block") * BLOCK_WORDS).alias("off"), (hi - lo).alias("words"))
+
+
+def _taken() -> Column:
+    """The words of a segment that a slot takes of its block."""
+    return F.greatest(F.lit(0), F.least(F.col("words"), F.col("take") - F.col("off")))
 
 
 def usage(placed: DataFrame, slots: DataFrame) -> DataFrame:
     """Per placed document: taken, the words of it that the mix holds."""
-    times = slots.groupBy("source", "block").agg(F.count("*").alias("times")).select(F.col("source").alias("s"), F.col("block").alias("b"), "times")
+    times = slots.groupBy("source", "block", "take").agg(F.count("*").alias("times")).select(F.col("source").alias("s"), F.col("block").alias("b"), "take", "times")
     joined = segments(placed).join(times, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left")
-    taken = joined.groupBy("source", "first", "doc_id", "size").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
+    taken = joined.groupBy("source", "first", "doc_id", "size").agg(F.sum(F.when(F.col("times").isNull(), 0).otherwise(_taken() * F.col("times"))).alias("taken"))
     empty = placed.where("size = 0").select("source", "first", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
     return taken.unionByName(empty)
 
@@ -145,8 +176,8 @@ def mixed_documents(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """
     folder = folder or work_dir(docs.sparkSession, "mix")
     placed, _, slots = mix(docs, folder)
-    used = slots.select(F.col("source").alias("s"), F.col("block").alias("b"), "epoch")
-    parts = segments(placed).join(used, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
+    used = slots.select(F.col("source").alias("s"), F.col("block").alias("b"), "epoch", "take")
+    parts = segments(placed).join(used, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).withColumn("words", _taken()).where("words > 0")
     taken = parts.groupBy("doc_id", "source", "size", "first", "epoch").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct("at", "words"))).alias("cuts"))
     keys = ["doc_id", "size", "source"]
     twin = F.dense_rank().over(Window.partitionBy(*keys).orderBy("first"))

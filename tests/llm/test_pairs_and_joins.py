@@ -252,6 +252,22 @@ def test_mix(spark, odd, none):
     assert mixing.mixed_documents(none).count() == 0
 
 
+def test_mix_of_small_sources(spark):
+    """Sources of 1 to 300 words come as near their targets as large ones."""
+    sizes = {f"t{n:03}": n for n in range(1, 301, 13)} | {"t128": 128, "t129": 129, "t256": 256, "z": 40_000}
+    rows = [(k, prose(k, n - n // 3), s) for k, (s, n) in enumerate(sizes.items())] + [(1000 + k, prose(k, n // 3), s) for k, (s, n) in enumerate(sizes.items())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    placed, sources, slots = mixing.mix(docs)
+    taken, texts = Counter(), Counter()
+    for r in mixing.usage(placed, slots).collect():
+        taken[r["source"]] += r["taken"]
+    for r in mixing.mixed_documents(docs).collect():
+        texts[r["source"]] += len(r["text"].split())
+    assert taken == texts
+    for r in sources.collect():
+        assert abs(taken[r["source"]] - r["target"]) <= max(0.5, 0.001 * r["target"])
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 1000):
         got = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit("t"))).collect()]
