@@ -4,7 +4,8 @@ Encoding.  Texts are cut, on their bytes, into pre-token pieces at places where
 the tokenizer's own pattern must cut (white space; between ASCII letters,
 digits and symbols), and each distinct piece is encoded once per worker by the
 tokenizers library.  Rows with a special token's opening string and pieces with
-any other character go to the library uncut, so ids equal those of the whole text.
+any other character go to the library uncut, the rows in their own case, so ids equal
+those of the whole text.
 
 Format.  A row of the Parquet files is one block of consecutive documents:
 ``part, seq, n_docs, n_tokens, block``.  A block holds, little endian:
@@ -68,6 +69,12 @@ def _classes(data: np.ndarray) -> np.ndarray:
     return cls
 
 
+def opened_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The rows that hold a special token's opening."""
+    opening = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+    return np.unique(np.searchsorted(offsets, opening, side="right") - 1)
+
+
 def piece_spans(data: np.ndarray, offsets: np.ndarray, special: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of the pieces of rows, and whether each is of one class.
 
@@ -83,8 +90,7 @@ def piece_spans(data: np.ndarray, offsets: np.ndarray, special: bool = False) ->
     cut = np.ones(n + 1, bool)
     cut[1:-1] = (left == _BLANK) | (right == _BLANK) | (plain & ((left != right) | (left == _DIGIT)))
     cut[offsets] = True
-    opening = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|"))) if special else np.zeros(0, np.int64)
-    for r in np.unique(np.searchsorted(offsets, opening, side="right") - 1):
+    for r in opened_rows(data, offsets) if special else ():
         cut[offsets[r] + 1 : offsets[r + 1]] = False
         cls[offsets[r] : offsets[r + 1]] = _OTHER
     bound = np.flatnonzero(cut)
@@ -158,7 +164,10 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, each followed by END, and the number of each row's."""
         data, offsets = text_bytes(texts)
-        data = LOWER[data]
+        raw, data = data, LOWER[data]
+        # the library matches special tokens before it lowers case
+        for r in opened_rows(raw, offsets):
+            data[offsets[r] : offsets[r + 1]] = raw[offsets[r] : offsets[r + 1]]
         start, end, row, pure = piece_spans(data, offsets, special=True)
         codes, distinct = pd.factorize(span_hashes(data, start, end))
         if self.known.count + len(distinct) > CACHE_PIECES:

@@ -197,6 +197,15 @@ def test_pieces_equal_the_library():
         at += n
 
 
+def test_special_tokens_keep_their_case():
+    tokenizers = pytest.importorskip("tokenizers")
+    library, encoder = tokenizers.Tokenizer.from_file(token_files.default_tokenizer()), token_files.Encoder(token_files.default_tokenizer())
+    texts = ["A <|ENDOFTEXT|> b", "a <|endoftext|> b", "<|StartOfText|>Hi", "<|startoftext|>Hi", "IT <| x", "it <| X", "A <|EndOfText|> b", "plain A"]
+    for rows in (texts, texts[::-1]):
+        ids, size = encoder.encode(pa.array(rows))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(size))[:-1]] == [[*library.encode(t, add_special_tokens=False).ids, token_files.END] for t in rows]
+
+
 def brute_tokens(model, word):
     best = [(0.0, 0)] + [(-1e18, 0)] * len(word)
     for d in range(1, len(word) + 1):
