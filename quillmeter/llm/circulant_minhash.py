@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved, sized, work_dir
+from .common import mapped, saved, sized, work_dir
 from .components import components
 from .textkernel import LOWER, ngrams, pieces, words_of
 
@@ -195,7 +195,7 @@ def _judged(docs: DataFrame, folder: str | None) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     folder = folder or work_dir(spark, "dedup")
     slim = docs.select(F.col("doc_id").cast("long"), "text")
-    signed = saved(slim.withColumn("version", _version(F.col("text"))).mapInArrow(_sign, SIGNED), f"{folder}/signed")
+    signed = saved(mapped(slim.withColumn("version", _version(F.col("text"))), _sign, SIGNED), f"{folder}/signed")
 
     banded = signed.where("cls is not null").select("cls", F.explode("bands").alias("bucket"))
     full = saved(banded.groupBy("bucket").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("bucket"), f"{folder}/buckets")
@@ -207,7 +207,7 @@ def _judged(docs: DataFrame, folder: str | None) -> DataFrame:
     which = saved(which, f"{folder}/which")
     n_which = which.count()
     chosen = sized(which.select(F.col("doc_id").alias("_id")).distinct(), n_which)
-    sets = slim.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").mapInArrow(_collect_sets, SETS)
+    sets = mapped(slim.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"), _collect_sets, SETS)
     sets = sets.join(sized(which.select("cls"), n_which), "cls", "left_semi").dropDuplicates(["cls"]).drop("doc_id")
     sets = saved(sets, f"{folder}/sets")
 
@@ -223,7 +223,7 @@ def _judged(docs: DataFrame, folder: str | None) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     held = held.select("bucket", "cls", "comp", "block", other.alias("o")).select("bucket", "cls", "comp", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
     dealt = held.join(sets.select("cls", "n", "sketch"), "cls").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    more = dealt.select("bucket", "i", "j", "block", "cls", "comp", "n", "sketch").mapInArrow(_cross, "a long, b long").distinct()
+    more = mapped(dealt.select("bucket", "i", "j", "block", "cls", "comp", "n", "sketch"), _cross, "a long, b long").distinct()
     extra = saved(_verified(more, sets), f"{folder}/extra")
     if not extra.isEmpty():
         labels = components(links.union(extra), f"{folder}/last")

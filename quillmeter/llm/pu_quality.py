@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, saved, work_dir
+from .common import held_out, mapped, saved, work_dir
 from .docstats import statistics
 from .quality_rules import matrix, sample_features
 from .textkernel import pieces
@@ -106,8 +106,8 @@ def _scale(net: Network, x: np.ndarray, y: np.ndarray) -> None:
 
 def fit(docs: DataFrame, labels: DataFrame, folder: str | None = None) -> Network:
     folder = folder or work_dir(docs.sparkSession, "pu-quality")
-    known = saved(labelled(docs, labels, "quality").mapInArrow(sample_features, "label int, x array<double>"), f"{folder}/labelled")
-    web = saved(unlabelled(docs).mapInArrow(sample_features, "label int, x array<double>"), f"{folder}/unlabelled")
+    known = saved(mapped(labelled(docs, labels, "quality"), sample_features, "label int, x array<double>"), f"{folder}/labelled")
+    web = saved(mapped(unlabelled(docs), sample_features, "label int, x array<double>"), f"{folder}/unlabelled")
     x, y = matrix(known)
     u, _ = matrix(web)
     prior = (y.sum() + 0.5) / (len(y) + 1)
@@ -126,7 +126,7 @@ def scored(docs: DataFrame, net: Network) -> DataFrame:
             _, x = statistics(p.column("text"))
             yield pa.RecordBatch.from_arrays([p.column("doc_id"), pa.array(m.value.score(x))], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, score double")
 
 
 def op6_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

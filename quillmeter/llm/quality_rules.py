@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import trees
-from .common import saved, work_dir
+from .common import mapped, saved, work_dir
 from .docstats import BASE, FEATURES, LOWERING, statistics
 from .textkernel import pieces
 from .training import labelled
@@ -46,7 +46,7 @@ def matrix(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(docs: DataFrame, labels: DataFrame, folder: str | None = None) -> trees.Forest:
     folder = folder or work_dir(docs.sparkSession, "quality-rules")
-    sample = saved(labelled(docs, labels, "quality").mapInArrow(sample_features, "label int, x array<double>"), f"{folder}/sample")
+    sample = saved(mapped(labelled(docs, labels, "quality"), sample_features, "label int, x array<double>"), f"{folder}/sample")
     x, y = matrix(sample)
     return trees.fit(x, y, np.array([-1 if f in LOWERING else 0 for f in FEATURES]))
 
@@ -63,7 +63,7 @@ def judged(docs: DataFrame, forest: trees.Forest) -> DataFrame:
             cols = [pa.array(base[k], pa.int64()) for k in BASE]
             yield pa.RecordBatch.from_arrays([p.column("doc_id"), *cols, pa.array(failed), pa.array(score), pa.array(~failed & (score >= KEEP))], names=["doc_id", *BASE, "base_failed", "score", "kept"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{k} long" for k in BASE) + ", base_failed boolean, score double, kept boolean")
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, " + ", ".join(f"{k} long" for k in BASE) + ", base_failed boolean, score double, kept boolean")
 
 
 def op9_boosted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,13 @@
 Everything works on the UTF-8 bytes of a whole Arrow string column: word
 boundaries, 64-bit word hashes and n-gram hashes come out of a fixed number of
 numpy passes, so no Python object is made for a word.  Batches are cut into
-pieces of a bounded number of bytes (a single longer text is one piece).
+pieces of a bounded number of bytes (a single longer text is one piece), so a
+worker holds some arrays of a few megabytes, and gives them back after its task.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 18
 
 #: The separators of the word pattern [^\x20\x09-\x0D]+
 SPACE = np.zeros(256, bool)
@@ -160,6 +162,21 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BY
         cuts = np.flatnonzero(np.diff(group)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
             yield batch.slice(int(a), int(b - a))
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a reused worker would keep its peak beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """int32 numbers of the keys by first appearance, and the distinct keys."""
+    coded = pc.dictionary_encode(pa.array(keys), memory_pool=pa.system_memory_pool())
+    return coded.indices.to_numpy(), coded.dictionary.to_numpy()
 
 
 def gather(values: np.ndarray, first: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, saved, work_dir
+from .common import held_out, mapped, saved, work_dir
 from .textkernel import LOWER, pieces, span_hashes, split_spans, text_bytes
 from .training import labelled
 
@@ -103,7 +103,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, folder: str | None = None) -> Machine:
     """Fitted on labelled rows outside the held-out fold; with one class or none, a constant."""
     folder = folder or work_dir(docs.sparkSession, "toxicity")
-    sample = saved(labelled(docs, labels, "toxic").mapInArrow(_terms, "label int, terms array<int>"), f"{folder}/sample")
+    sample = saved(mapped(labelled(docs, labels, "toxic"), _terms, "label int, terms array<int>"), f"{folder}/sample")
     n, n1 = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     bias = float(np.log((n1 + 0.5) / (n - n1 + 0.5)))
     if not 0 < n1 < n:
@@ -135,7 +135,7 @@ def scored(docs: DataFrame, model: Machine) -> DataFrame:
         for p in pieces(batches, "text"):
             yield pa.RecordBatch.from_arrays([p.column("doc_id"), pa.array(m.value.score(p.column("text")))], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, score double")
 
 
 def without_toxic(docs: DataFrame, model: Machine) -> DataFrame:
@@ -146,7 +146,7 @@ def without_toxic(docs: DataFrame, model: Machine) -> DataFrame:
         for p in pieces(batches, "text"):
             yield p.filter(pa.array(m.value.score(p.column("text")) < REJECT))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def op10_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,12 +19,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkernel import SPACE, HashIndex, pieces, span_hashes, text_bytes
+from .common import mapped
+from .textkernel import SPACE, HashIndex, numbered, pieces, span_hashes, text_bytes
 from .token_files import piece_spans
 
 CACHE_COUNTS = 1_500_000
@@ -80,7 +80,7 @@ class Unigram:
         leads = np.ones(len(start), bool)
         inner = start > offsets[row]
         leads[inner] = SPACE[data[start[inner] - 1]]
-        codes, distinct = pd.factorize(span_hashes(data, start, end) ^ leads.astype(np.uint64))
+        codes, distinct = numbered(span_hashes(data, start, end) ^ leads.astype(np.uint64))
         if self.known.count + len(distinct) > CACHE_COUNTS:
             self.known = HashIndex()
         size = self.known.find(distinct).astype(np.int64)
@@ -108,7 +108,7 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
             pre, tokens = _loaded[model].per_row(p.column("text"))
             yield pa.RecordBatch.from_arrays([p.column("doc_id"), pa.array(pre, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_pretokens", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_pretokens long, n_tokens long")
 
 
 def default_model() -> str:
