@@ -7,15 +7,17 @@ tokenizers library.  Rows with a special token's opening string and pieces with
 any other character go to the library uncut, the rows in their own case, so ids equal
 those of the whole text.
 
-Format.  A row of the Parquet files is one block of consecutive documents:
-``part, seq, n_docs, n_tokens, block``.  A block holds, little endian:
-magic, counts, then int32 arrays: rules (left, right), expansion length of each
-rule, tokens of each document, symbols of each document, symbols; and int64
-doc_ids with a validity byte each.  Symbols from 2**20 on are nonterminals.
-Re-Pair: in rounds, pairs of neighbouring symbols of the block become nonterminals,
-the more frequent of overlapping ones first, until no pair is there twice.  The end id stays out of pairs,
-so a document's symbols are its own; expansion lengths find any token span
-without expanding what lies before it.
+Format.  A row of the Parquet files is a shard of consecutive documents, with a
+grammar of its own: ``part, seq, n_docs, n_tokens, block``.  A block holds, little
+endian: magic; int64 numbers of documents, rules, symbols and terminals, bits of a
+symbol, bytes of a length; the terminals (the ids in use, ascending, int32); rules
+(left, right) and symbols, packed to that many bits; the expansion length of each
+rule; tokens and symbols of each document, int32; doc_ids, int64, with a validity
+byte each.  Symbols from the number of terminals on are nonterminals.
+Re-Pair: in rounds, pairs of neighbouring symbols become nonterminals, the more
+frequent of overlapping ones first, until no pair is there twice.  The end id stays
+out of pairs, so a document's symbols are its own; expansion lengths find any token
+span without expanding what lies before it.
 
 Documents are range-partitioned and sorted by doc_id; parts and blocks are in
 ascending order.
@@ -28,20 +30,20 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved, work_dir
-from .textkernel import LOWER, SPACE, HashIndex, gather, pieces, span_hashes, text_bytes
+from .common import mapped, saved, work_dir
+from .textkernel import LOWER, SPACE, HashIndex, gather, give_back, numbered, pieces, span_hashes, text_bytes
 
 END_ID = 2
 END, FIRST_RULE = 1 << 19, 1 << 20  # how a block holds the end id; its first nonterminal
 BLOCK_TOKENS, LEAST_USES, SLOT_BITS = 2_000_000, 2, 20
-CACHE_PIECES = 1_500_000
-MAGIC = b"QMRP0001"
+STEP = 1 << 17  # positions that are worked on at once, so that temporary arrays stay small
+CACHE_PIECES, ENCODED_BYTES = 1_500_000, 1 << 19
+MAGIC = b"QMRP0002"
 
 _LETTER, _DIGIT, _SYMBOL, _OTHER, _BLANK = 1, 2, 3, 4, 0
 _CLASS = np.full(256, _SYMBOL, np.uint8)
@@ -169,7 +171,7 @@ class Encoder:
         for r in opened_rows(raw, offsets):
             data[offsets[r] : offsets[r + 1]] = raw[offsets[r] : offsets[r + 1]]
         start, end, row, pure = piece_spans(data, offsets, special=True)
-        codes, distinct = pd.factorize(span_hashes(data, start, end))
+        codes, distinct = numbered(span_hashes(data, start, end))
         if self.known.count + len(distinct) > CACHE_PIECES:
             self.clear()
         at = self.known.find(distinct)
@@ -200,20 +202,25 @@ def repair(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     before = np.arange(-1, n, dtype=np.int32)
     before[0] = n
     there = np.ones(n, bool)
-    rank = np.zeros(n + 1, np.int64)
+    rank = np.zeros(n + 1, np.int32)
     rules, length, n_rules = [], np.zeros(0, np.int32), 0
     at, code, n_codes = np.zeros(0, np.int32), np.zeros(0, np.int32), 0
     fresh = np.arange(n, dtype=np.int32)
     while True:
         fresh = fresh[(symbol[fresh] != END) & (symbol[after[fresh]] != END)]
-        known = _repeated((symbol[fresh].astype(np.uint64) << np.uint64(32)) | symbol[after[fresh]].astype(np.uint64))
+        pair = symbol[fresh].astype(np.uint64)
+        pair <<= np.uint64(32)
+        pair |= symbol[after[fresh]].astype(np.uint32)
+        known = _repeated(pair)
+        del pair
         some = known >= 0
-        at, code = np.concatenate([at, fresh[some]]), np.concatenate([code, known[some] + n_codes])
+        at, code = np.concatenate([at, fresh[some]]), np.concatenate([code, known[some] + np.int32(n_codes)])
+        del known, some, fresh
         if not len(at):
             break
         # codes stay small: those no longer in use go
-        size = np.bincount(code)
-        code = (np.cumsum(size > 0, dtype=np.int32) - 1)[code]
+        used = np.bincount(code) > 0
+        code = (np.cumsum(used, dtype=np.int32) - 1)[code]
         # of a run of one symbol, every other position from the left is a use
         own = np.ones(len(at), bool)
         same = np.flatnonzero(symbol[at] == symbol[after[at]])
@@ -232,9 +239,16 @@ def repair(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not len(at):
             break
         # of overlapping pairs the more frequent goes first; the most frequent keeps all its uses
-        mine = np.where(own, uses[code] * n_codes + code + 1, 0)
+        place = np.empty(n_codes, np.int32)
+        place[np.argsort(uses, kind="stable")] = np.arange(1, n_codes + 1, dtype=np.int32)
+        mine = place[code]
+        mine[~own] = 0
         rank[at] = mine
-        hit = (mine > rank[before[at]]) & (mine > rank[after[at]])
+        hit = np.empty(len(at), bool)
+        for a in range(0, len(at), STEP):
+            here = at[a : a + STEP]
+            hit[a : a + STEP] = (mine[a : a + STEP] > rank[before[here]]) & (mine[a : a + STEP] > rank[after[here]])
+        del mine
         rank[at] = 0
         good = np.bincount(code[hit], minlength=n_codes) >= LEAST_USES
         hit &= good[code]
@@ -268,11 +282,13 @@ def _repeated(pair: np.ndarray) -> np.ndarray:
     """A number for each pair that is there more than once, -1 for the others."""
     out = np.full(len(pair), -1, np.int32)
     # a pair alone in its slot is there once; the others are counted exactly
-    slot = ((pair * _MIX) >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
-    maybe = np.flatnonzero(np.bincount(slot, minlength=1 << SLOT_BITS)[slot] > 1)
-    code = pd.factorize(pair[maybe])[0]
-    size = np.bincount(code)
-    out[maybe] = np.where(size[code] > 1, code, -1)
+    slot = np.empty(len(pair), np.int32)
+    for a in range(0, len(pair), STEP):
+        slot[a : a + STEP] = (pair[a : a + STEP] * _MIX) >> np.uint64(64 - SLOT_BITS)
+    maybe = (np.bincount(slot, minlength=1 << SLOT_BITS) > 1)[slot]
+    del slot
+    code = numbered(pair[maybe])[0]
+    out[maybe] = np.where((np.bincount(code) < 2)[code], np.int32(-1), code)
     return out
 
 
@@ -314,14 +330,40 @@ def expand(symbols: np.ndarray, rules: np.ndarray, length: np.ndarray | None = N
     return out
 
 
+def pack_bits(values: np.ndarray, width: int) -> bytes:
+    """Values below 2**width, that many bits each, the highest first."""
+    shifts = np.arange(width - 1, -1, -1, dtype=np.uint32)
+    step = STEP >> 3 << 3  # whole bytes
+    parts = [np.packbits(((values[a : a + step, None].astype(np.uint32) >> shifts) & np.uint32(1)).astype(np.uint8).ravel()) for a in range(0, len(values), step)]
+    return b"".join(p.tobytes() for p in parts)
+
+
+def unpack_bits(raw: np.ndarray, width: int, count: int) -> np.ndarray:
+    out, step = np.zeros(count, np.int32), STEP >> 3 << 3
+    for a in range(0, count, step):
+        n = min(step, count - a)
+        bits = np.unpackbits(raw[a // 8 * width : a // 8 * width + (n * width + 7) // 8], count=n * width).reshape(n, width)
+        for j in range(width):
+            out[a : a + n] = (out[a : a + n] << 1) | bits[:, j]
+    return out
+
+
 def pack(ids: np.ndarray, n_tokens: np.ndarray, doc_ids: pa.Array) -> bytes:
     symbols, rules, length = repair(ids)
     ends = np.flatnonzero(symbols == END)
     n_symbols = np.diff(np.concatenate([[-1], ends])).astype(np.int32)
+    terminals = np.unique(np.concatenate([symbols[symbols < FIRST_RULE], rules[rules < FIRST_RULE]])).astype(np.int32)
+
+    def coded(x: np.ndarray) -> np.ndarray:
+        return np.where(x < FIRST_RULE, np.searchsorted(terminals, x), x - FIRST_RULE + len(terminals)).astype(np.int32)
+
+    width = max(1, int(len(terminals) + len(rules) - 1).bit_length())
+    kind = next(k for k in ("<u1", "<u2", "<u4") if length.max(initial=0) < 1 << 8 * np.dtype(k).itemsize)
     valid = np.asarray(doc_ids.is_valid()).astype(np.uint8)
     ids64 = np.asarray(doc_ids.fill_null(0), np.int64)
-    head = np.array([len(n_tokens), len(rules), len(symbols)], np.int64)
-    return b"".join([MAGIC, head.tobytes(), rules.astype("<i4").tobytes(), length.astype("<i4").tobytes(), n_tokens.astype("<i4").tobytes(), n_symbols.astype("<i4").tobytes(), symbols.astype("<i4").tobytes(), ids64.astype("<i8").tobytes(), valid.tobytes()])
+    head = np.array([len(n_tokens), len(rules), len(symbols), len(terminals), width, np.dtype(kind).itemsize], "<i8")
+    packed = [pack_bits(coded(x), width) for x in (rules.ravel(), symbols)]
+    return b"".join([MAGIC, head.tobytes(), terminals.astype("<i4").tobytes(), *packed, length.astype(kind).tobytes(), n_tokens.astype("<i4").tobytes(), n_symbols.astype("<i4").tobytes(), ids64.astype("<i8").tobytes(), valid.tobytes()])
 
 
 class Block:
@@ -330,8 +372,8 @@ class Block:
     def __init__(self, raw: bytes):
         if raw[:8] != MAGIC:
             raise ValueError("not a token block")
-        n, r, s = np.frombuffer(raw, "<i8", 3, 8)
-        at = 32
+        n, r, s, t, width, size = (int(x) for x in np.frombuffer(raw, "<i8", 6, 8))
+        at = 56
 
         def take(kind: str, count: int) -> np.ndarray:
             nonlocal at
@@ -339,8 +381,17 @@ class Block:
             at += out.nbytes
             return out
 
-        self.rules, self.length = take("<i4", 2 * r).reshape(-1, 2), take("<i4", r)
-        self.n_tokens, self.n_symbols, self.symbols = take("<i4", n), take("<i4", n), take("<i4", s)
+        terminals = take("<i4", t)
+
+        def symbols(count: int) -> np.ndarray:
+            x = unpack_bits(take("u1", (count * width + 7) // 8), width, count)
+            if not t:
+                return x + FIRST_RULE
+            return np.where(x < t, terminals[np.minimum(x, t - 1)], x - t + FIRST_RULE).astype(np.int32)
+
+        self.rules, self.symbols = symbols(2 * r).reshape(-1, 2), symbols(s)
+        self.length = take(f"<u{size}", r).astype(np.int32)
+        self.n_tokens, self.n_symbols = take("<i4", n), take("<i4", n)
         self.doc_ids, self.valid = take("<i8", n), take("u1", n).astype(bool)
 
     def tokens(self) -> np.ndarray:
@@ -377,11 +428,14 @@ def _writer(path: str):
         ids, sizes, docs, held = [], [], [], 0
 
         def block() -> pa.RecordBatch:
-            n = np.concatenate(sizes)
-            raw = pack(np.concatenate(ids), n, pa.concat_arrays(docs))
+            nonlocal ids, sizes, docs, held
+            n, all_ids, all_docs = np.concatenate(sizes), np.concatenate(ids), pa.concat_arrays(docs)
+            ids, sizes, docs, held = [], [], [], 0
+            raw = pack(all_ids, n, all_docs)
+            give_back()
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(n)], pa.int64()), pa.array([int(n.sum())], pa.int64()), pa.array([raw], pa.binary())], names=["part", "seq", "n_docs", "n_tokens", "block"])
 
-        for p in pieces(batches, "text"):
+        for p in pieces(batches, "text", ENCODED_BYTES):
             a, n = encoder.encode(p.column("text"))
             ids.append(a)
             sizes.append(n)
@@ -390,7 +444,6 @@ def _writer(path: str):
             if held >= BLOCK_TOKENS:
                 yield block()
                 seq += 1
-                ids, sizes, docs, held = [], [], [], 0
         if docs:
             yield block()
 
@@ -406,7 +459,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("text")]
     ranged = slim.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(*order)
-    return saved(ranged.mapInArrow(_writer(tokenizer), "part int, seq int, n_docs long, n_tokens long, block binary"), path)
+    return saved(mapped(ranged, _writer(tokenizer), "part int, seq int, n_docs long, n_tokens long, block binary"), path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -429,7 +482,7 @@ def read_digests(blocks: DataFrame) -> DataFrame:
     # one row per part goes through a single task
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("held")).withColumn("base", F.coalesce(F.sum("held").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     at = sizes.withColumn("in_part", in_part).join(parts.select("part", "base"), "part").select("part", "seq", (F.col("base") + F.col("in_part")).alias("offset"))
-    read = blocks.select("part", "seq", "block").mapInArrow(_read, "part int, seq int, doc_id long, inner long, n_tokens long, ids_crc32 long")
+    read = mapped(blocks.select("part", "seq", "block"), _read, "part int, seq int, doc_id long, inner long, n_tokens long, ids_crc32 long")
     return read.join(at, ["part", "seq"]).select("doc_id", (F.col("offset") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -164,6 +164,26 @@ def test_repair_leaves_no_pair_twice():
     assert len(symbols) == 4 and length.max() == 5000
 
 
+def test_blocks_are_smaller_than_plain_ids():
+    """Symbols, rules and lengths together take less than two bytes a token, and come back."""
+    rng = np.random.default_rng(6)
+    for width in (1, 2, 7, 8, 17, 20):
+        values = rng.integers(0, 1 << width, 300_001).astype(np.int32)
+        raw = np.frombuffer(token_files.pack_bits(values, width), np.uint8)
+        assert len(raw) == (len(values) * width + 7) // 8 and (token_files.unpack_bits(raw, width, len(values)) == values).all()
+    phrases = [rng.integers(0, 49_000, rng.integers(1, 9)) for _ in range(4000)]
+    docs = [np.append(np.concatenate([phrases[k] for k in rng.zipf(1.2, 300).clip(1, 4000) - 1]), token_files.END) for _ in range(200)]
+    ids, sizes = np.concatenate(docs).astype(np.int32), np.array([len(d) for d in docs])
+    raw = token_files.pack(ids, sizes, pa.array([None, *range(1, 200)], pa.int64()))
+    assert len(raw) < 2 * len(ids)
+    block = token_files.Block(raw)
+    assert (block.tokens() == np.where(ids == token_files.END, token_files.END_ID, ids)).all() and block.n_tokens.tolist() == sizes.tolist()
+    assert block.valid.tolist() == [False] + [True] * 199 and (block.document(7) == np.where(docs[7] == token_files.END, token_files.END_ID, docs[7])).all()
+    for few in ([], [token_files.END], [5, 5, 5, 5, token_files.END]):
+        own = np.array(few, np.int32)
+        assert token_files.Block(token_files.pack(own, np.array([len(own)] if few else []), pa.array([1] if few else [], pa.int64()))).tokens().tolist() == [2 if x == token_files.END else x for x in few]
+
+
 def test_token_files(spark, odd, none, tmp_path):
     tokenizers = pytest.importorskip("tokenizers")
     path = token_files.default_tokenizer()
