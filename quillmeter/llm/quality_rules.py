@@ -27,21 +27,26 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 KEEP = 0.5
 
 
+def lists_of(x: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
+
+
 def sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label,) features of a sample's texts."""
+    """label and features of a sample's texts."""
     for p in pieces(batches, "text"):
         _, x = statistics(p.column("text"))
-        lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
-        label = p.column("label") if "label" in p.schema.names else pa.nulls(p.num_rows, pa.int32())
-        yield pa.RecordBatch.from_arrays([label, lists], names=["label", "x"])
+        yield pa.RecordBatch.from_arrays([p.column("label"), lists_of(x)], names=["label", "x"])
 
 
 def matrix(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The rows of a bounded sample, in an order of their values."""
-    rows = sample.orderBy("label", "x").toPandas()
-    if not len(rows):
+    rows = sample.select("label", "x").toArrow()
+    if not rows.num_rows:
         return np.zeros((0, len(FEATURES))), np.zeros(0)
-    return np.stack(rows["x"].to_numpy()), rows["label"].to_numpy(float)
+    x = pa.concat_arrays(rows.column("x").chunks).flatten().to_numpy().reshape(rows.num_rows, -1)
+    y = rows.column("label").to_numpy().astype(float)
+    order = np.lexsort([*x.T, y])
+    return x[order], y[order]
 
 
 def fit(docs: DataFrame, labels: DataFrame, folder: str | None = None) -> trees.Forest:
@@ -52,7 +57,12 @@ def fit(docs: DataFrame, labels: DataFrame, folder: str | None = None) -> trees.
 
 
 def judged(docs: DataFrame, forest: trees.Forest) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): the statistics, base_failed, score, kept.  Null texts have no words."""
+    """Per row of ``docs`` (doc_id, text): the statistics, base_failed, score, kept.
+
+    Null and empty texts have no words and fail the base rule; rows that repeat an
+    id are each judged by their text; an empty table gives an empty one; further
+    columns are not read.  A score of exactly KEEP is kept.
+    """
     m = docs.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

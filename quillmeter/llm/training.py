@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out
 
-#: Most labelled (and, where used, unlabelled) documents that a model is fitted on
+#: Most labelled documents that a model is fitted on
 SAMPLE_ROWS = 20_000
 
 
@@ -22,13 +22,10 @@ def training_labels(labels: DataFrame, column: str, limit: int = SAMPLE_ROWS) ->
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, limit: int = SAMPLE_ROWS) -> DataFrame:
-    """(text, label) of the sample; its ids are at most ``limit`` rows, so they are broadcast."""
-    few = F.broadcast(training_labels(labels, column, limit))
-    return docs.select("doc_id", "text").join(few, F.col("doc_id").cast("long") == F.col("label_id")).select("text", "label")
-
+    """(text, label): one row of each of at most ``limit`` labelled ids, which are broadcast.
 
-def unlabelled(docs: DataFrame, limit: int = SAMPLE_ROWS) -> DataFrame:
-    """(text) of at most ``limit`` documents outside the held-out fold, by hash order of ids."""
-    ids = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("label_id")).distinct()
-    few = F.broadcast(ids.orderBy(F.xxhash64("label_id"), "label_id").limit(limit))
-    return docs.select("doc_id", "text").join(few, F.col("doc_id").cast("long") == F.col("label_id"), "left_semi").select("text")
+    Of texts that repeat an id the one of the smallest hash holds.
+    """
+    few = F.broadcast(training_labels(labels, column, limit))
+    rows = docs.select("doc_id", "text").join(few, F.col("doc_id").cast("long") == F.col("label_id"))
+    return rows.groupBy("label_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "label")
