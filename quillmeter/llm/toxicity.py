@@ -1,16 +1,21 @@
 """Toxicity: a factorization machine over hashed terms.
 
 Terms are lower-cased words (runs of ASCII letters, digits and non-ASCII bytes)
-and their first four and five bytes, hashed to 2**18 buckets.  The 4096 buckets
-at most that tell the sample's labels apart best (by log-likelihood ratio, beyond
-chance) are the machine's inputs; a document has an input or not.  score = sigmoid(bias + sum w_i
-+ sum over pairs <v_i, v_j>), so that two terms together can weigh more, or less,
-than each alone.  It is fitted on at most SAMPLE_ROWS labelled documents.
+and their first four to eight bytes, hashed to 2**18 buckets.  Every bucket is an
+input of the machine.  score = sigmoid(bias + sum w_i x_i + sum over pairs
+<v_i, v_j> x_i x_j), so that two terms together can weigh more, or less, than
+each alone.  x_i is the bucket's value if the document has it: g / (g + CHANCE),
+squared g = the log-likelihood ratio by which the sample's labels differ with the
+bucket alone, plus 1 / sqrt(buckets of a mean document).  Terms that tell nothing
+alone thus have together the weight of one that does, and still form pairs.
+
+It is fitted on one text of each of at most SAMPLE_ROWS labelled ids, as many of
+them, by hash order, as have SAMPLE_TERMS buckets together.
 """
 
 from __future__ import annotations
 
-import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,116 +24,153 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, mapped, saved, work_dir
-from .textkernel import LOWER, pieces, span_hashes, split_spans, text_bytes
+from .textkernel import LOWER, gather, mix, pieces, span_hashes, split_spans, text_bytes
 from .training import labelled
 
-HASH_BITS, INPUTS, FACTORS, EPOCHS, BATCH = 18, 4096, 8, 30, 256
-#: Least log-likelihood ratio (G) of an input: what a term reaches by chance among 100,000
-LEAST_G = 24.0
+HASH_BITS, FACTORS, SAMPLE_TERMS, STEP_TERMS = 18, 8, 24_000_000, 400_000
+BUCKETS = 1 << HASH_BITS
+#: Prefixes, in bytes; log-likelihood ratio that counts half
+PREFIXES, CHANCE = range(4, 9), 16.0
+#: Passes over the sample, and steps at least; documents of a step; rate; weight of a toxic document; decays of w and v
+EPOCHS, STEPS, BATCH, RATE, WEIGHT, DECAY, DECAY_PAIRS = 6, 150, 128, 0.15, 3.0, 1e-4, 1e-3
 REJECT = 0.5
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
 
 
 def term_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, row) of every term occurrence."""
+    """The distinct buckets of each row, one row after the other, and where each row's begin."""
     data, offsets = text_bytes(texts)
     data = LOWER[data]
     w = split_spans(data, offsets, _SEPARATOR)
     found, rows = [w.hashes()], [w.row]
-    for cut in (4, 5):
+    for cut in PREFIXES:
         long = np.flatnonzero(w.end - w.start > cut)
-        found.append(span_hashes(data, w.start[long], w.start[long] + cut) + np.uint64(cut))
+        found.append(mix(span_hashes(data, w.start[long], w.start[long] + cut) + np.uint64(cut)))
         rows.append(w.row[long])
-    return (np.concatenate(found) >> np.uint64(64 - HASH_BITS)).astype(np.int32), np.concatenate(rows)
+    pair = np.unique((np.concatenate(rows) << HASH_BITS) | (np.concatenate(found) >> np.uint64(64 - HASH_BITS)).astype(np.int64))
+    first = np.searchsorted(pair, np.arange(len(offsets), dtype=np.int64) << HASH_BITS)
+    return (pair & (BUCKETS - 1)).astype(np.int32), first
 
 
-class Machine:
-    """Weights over chosen buckets; ``place`` maps a bucket to its input or -1."""
+def steps(order: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """The documents in order, up to BATCH and STEP_TERMS buckets (or one document) at once."""
+    ends, at = np.cumsum(size[order]), 0
+    while at < len(order):
+        most = int(np.searchsorted(ends, STEP_TERMS + (ends[at - 1] if at else 0), side="right"))
+        stop = max(at + 1, min(at + BATCH, most))
+        yield order[at:stop]
+        at = stop
 
-    def __init__(self, buckets: np.ndarray, bias: float):
-        self.place = np.full(1 << HASH_BITS, -1, np.int32)
-        self.place[buckets] = np.arange(len(buckets))
-        rng = np.random.Generator(np.random.PCG64(5))
-        self.bias, self.w = bias, np.zeros(len(buckets))
-        self.v = rng.normal(0, 0.02, (len(buckets), FACTORS))
 
-    def raw(self, inputs: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        total = np.stack([np.bincount(row, self.v[inputs, f], n) for f in range(FACTORS)], 1)
-        square = np.bincount(row, (self.v[inputs] ** 2).sum(axis=1), n)
-        return self.bias + np.bincount(row, self.w[inputs], n) + 0.5 * ((total**2).sum(axis=1) - square), total
+def evidence(x: np.ndarray, first: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Each bucket's log-likelihood ratio: how much better the labels are told with it than without."""
+    n, n1 = len(labels), labels.sum()
+    has, has1 = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for docs in steps(np.arange(n), np.diff(first)):
+        own = x[first[docs[0]] : first[docs[-1] + 1]]
+        has += np.bincount(own, minlength=BUCKETS)
+        has1 += np.bincount(own, np.repeat(labels[docs], np.diff(first)[docs]), BUCKETS)
+
+    def nats(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        return np.where(part > 0, part * np.log(np.where(part > 0, part, 1) / np.where(whole > 0, whole, 1)), 0)
 
-    def fit(self, inputs: np.ndarray, first: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.03, decay: float = 1e-4) -> None:
+    told = nats(has1, has) + nats(has - has1, has) + nats(n1 - has1, n - has) + nats(n - n1 - (has - has1), n - has)
+    return np.maximum(0, 2 * (told - n1 * np.log(n1 / n) - (n - n1) * np.log((n - n1) / n)))
+
+
+class Machine:
+    """bias, w and v over all buckets, and the value of each bucket."""
+
+    def __init__(self, bias: float, value: np.ndarray):
+        rng = np.random.Generator(np.random.PCG64(5))
+        self.bias, self.value = bias, value.astype(np.float32)
+        self.w = np.zeros(BUCKETS, np.float32)
+        self.v = rng.normal(0, 0.05, (BUCKETS, FACTORS)).astype(np.float32)
+
+    def raw(self, x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For documents of ``size`` buckets each: the sum before the sigmoid, factor sums, and each bucket's v and document."""
+        n = len(size)
+        row, value = np.repeat(np.arange(n), size), self.value[x]
+        v = self.v[x] * value[:, None]
+        total, some = np.zeros((n, FACTORS), np.float32), size > 0
+        if len(x):
+            total[some] = np.add.reduceat(v, (np.cumsum(size) - size)[some], axis=0)
+        pairs = 0.5 * ((total * total).sum(axis=1) - np.bincount(row, (v * v).sum(axis=1), n))
+        return self.bias + np.bincount(row, self.w[x] * value, n) + pairs, total, v, row
+
+    def fit(self, x: np.ndarray, first: np.ndarray, labels: np.ndarray, order: np.ndarray, epochs: int = EPOCHS) -> None:
+        """Logistic loss, in steps whose length per weight falls with its past gradients."""
         rng = np.random.Generator(np.random.PCG64(6))
-        params = [np.array([self.bias]), self.w, self.v]
-        m, s, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-        for _ in range(epochs):
-            order = rng.permutation(len(labels))
-            for at in range(0, len(order), BATCH):
-                docs = order[at : at + BATCH]
-                size = first[docs + 1] - first[docs]
-                row = np.repeat(np.arange(len(docs)), size)
-                x = inputs[np.arange(len(row)) + np.repeat(first[docs] - (np.cumsum(size) - size), size)]
-                self.bias = float(params[0][0])
-                z, total = self.raw(x, row, len(docs))
-                err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[docs]) / len(docs)
-                used, pos = np.unique(x, return_inverse=True)
-                gw = np.bincount(pos, err[row], len(used)) + decay * self.w[used]
-                gv = np.stack([np.bincount(pos, err[row] * (total[row, f] - self.v[x, f]), len(used)) for f in range(FACTORS)], 1) + decay * self.v[used]
-                t += 1
-                for k, (g, idx) in enumerate(((np.array([err.sum()]), slice(None)), (gw, used), (gv, used))):
-                    m[k][idx] = 0.9 * m[k][idx] + 0.1 * g
-                    s[k][idx] = 0.999 * s[k][idx] + 0.001 * g * g
-                    params[k][idx] -= rate * (m[k][idx] / (1 - 0.9**t)) / (np.sqrt(s[k][idx] / (1 - 0.999**t)) + 1e-8)
-        self.bias = float(params[0][0])
+        size, n = np.diff(first), len(labels)
+        weight = np.where(labels == 1, WEIGHT, 1.0)
+        past_b, past_w, past_v = 1e-6, np.full(BUCKETS, 1e-6, np.float32), np.full((BUCKETS, 1), 1e-6, np.float32)
+        for _ in range(max(epochs, -(-STEPS * BATCH // n))):
+            for docs in steps(order[rng.permutation(n)], size):
+                own = gather(x, first[:-1], size, docs)
+                z, total, v, row = self.raw(own, size[docs])
+                err = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[docs]) * weight[docs] / len(docs)).astype(np.float32)
+                past_b += float(err.sum()) ** 2
+                self.bias -= RATE * float(err.sum()) / past_b**0.5
+                if not len(own):
+                    continue
+                by_bucket = np.argsort(own, kind="stable")
+                used, begin = np.unique(own[by_bucket], return_index=True)
+                pull = err[row] * self.value[own]
+                g = np.add.reduceat(pull[by_bucket], begin) + np.float32(DECAY) * self.w[used]
+                past_w[used] += g * g
+                self.w[used] -= RATE * g / np.sqrt(past_w[used])
+                g = np.add.reduceat((pull[:, None] * (total[row] - v))[by_bucket], begin, axis=0) + np.float32(DECAY_PAIRS) * self.v[used]
+                past_v[used] += (g * g).mean(axis=1, keepdims=True)
+                self.v[used] -= RATE * g / np.sqrt(past_v[used])
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        n = len(texts)
-        bucket, row = term_buckets(texts)
-        x = self.place[bucket]
-        x, row = x[x >= 0], row[x >= 0]
-        pair = np.unique(row.astype(np.int64) * max(1, len(self.w)) + x)
-        z, _ = self.raw(pair % max(1, len(self.w)), pair // max(1, len(self.w)), n)
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        x, first = term_buckets(texts)
+        return 1 / (1 + np.exp(-np.clip(self.raw(x, np.diff(first))[0], -30, 30)))
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for p in pieces(batches, "text"):
-        bucket, row = term_buckets(p.column("text"))
-        pair = np.unique((row.astype(np.int64) << HASH_BITS) | bucket)
-        ends = np.searchsorted(pair, np.arange(p.num_rows + 1, dtype=np.int64) << HASH_BITS)
-        yield pa.RecordBatch.from_arrays([p.column("label"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pair & ((1 << HASH_BITS) - 1), pa.int32()))], names=["label", "terms"])
+        x, first = term_buckets(p.column("text"))
+        lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(x, pa.int32()))
+        marks = [zlib.crc32(x[a:b].tobytes()) for a, b in zip(first[:-1], first[1:])]
+        yield pa.RecordBatch.from_arrays([p.column("label"), lists, pa.array(np.diff(first), pa.int64()), pa.array(marks, pa.int64())], names=["label", "terms", "size", "mark"])
+
+
+def bounded(sample: DataFrame, limit: int = SAMPLE_TERMS) -> DataFrame:
+    """The rows of a bounded sample, by (mark, size, label), that have ``limit`` terms together."""
+    order = [np.array(c) for c in zip(*sample.select("mark", "size", "label").collect())]
+    if not order or order[1].sum() <= limit:
+        return sample
+    by = np.lexsort(order[::-1])
+    last = by[max(0, int(np.searchsorted(np.cumsum(order[1][by]), limit, side="right")) - 1)]
+    return sample.where(F.struct("mark", "size", "label") <= F.struct(*[F.lit(int(c[last])).cast(t) for c, t in zip(order, ("long", "long", "int"))]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, folder: str | None = None) -> Machine:
     """Fitted on labelled rows outside the held-out fold; with one class or none, a constant."""
     folder = folder or work_dir(docs.sparkSession, "toxicity")
-    sample = saved(mapped(labelled(docs, labels, "toxic"), _terms, "label int, terms array<int>"), f"{folder}/sample")
-    n, n1 = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    bias = float(np.log((n1 + 0.5) / (n - n1 + 0.5)))
-    if not 0 < n1 < n:
-        return Machine(np.zeros(0, np.int64), bias)
-    seen = sample.select("label", F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("a"), F.sum("label").alias("a1")).where("a >= 3")
-
-    def nats(part, whole):  # part * log(part / whole), 0 for none
-        return F.when(part > 0, part * F.log(part / whole)).otherwise(0.0)
-
-    a, a1 = F.col("a").cast("double"), F.col("a1").cast("double")
-    gain = nats(a1, a) + nats(a - a1, a) + nats(F.lit(n1) - a1, F.lit(n) - a) + nats(F.lit(n - n1) - (a - a1), F.lit(n) - a)
-    apart = gain - (n1 * math.log(n1 / n) + (n - n1) * math.log((n - n1) / n))
-    top = np.array([r["t"] for r in seen.where(2 * apart >= LEAST_G).orderBy(apart.desc(), "t").limit(INPUTS).collect()], np.int64)
-    chosen = np.sort(top)
-    kept = F.array_intersect("terms", F.from_json(F.lit(str(chosen.tolist())), "array<int>"))
-    rows = sample.select("label", kept.alias("x")).orderBy("label", F.xxhash64("x"), "x").toPandas()  # at most SAMPLE_ROWS short rows
-    model = Machine(chosen, bias)
-    first = np.concatenate([[0], np.cumsum([len(x) for x in rows["x"]])]).astype(np.int64)
-    x = model.place[np.concatenate([np.asarray(v, np.int64) for v in rows["x"]] or [np.zeros(0, np.int64)])]
-    model.fit(x, first, rows["label"].to_numpy(float))
+    sample = saved(mapped(labelled(docs, labels, "toxic"), _terms, "label int, terms array<int>, size long, mark long"), f"{folder}/sample")
+    rows = bounded(sample).toArrow()  # at most SAMPLE_ROWS rows and SAMPLE_TERMS terms
+    y = rows.column("label").to_numpy().astype(float)
+    bias = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
+    if not 0 < y.sum() < len(y):
+        return Machine(bias, np.zeros(BUCKETS))
+    order = np.lexsort([rows.column(c).to_numpy() for c in ("label", "size", "mark")])
+    lists = pa.concat_arrays(rows.column("terms").chunks)
+    x, first = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+    g = evidence(x, first, y)
+    model = Machine(bias, g**2 / (g**2 + CHANCE**2) + 1 / np.sqrt(max(1.0, np.diff(first).mean())))
+    model.fit(x, first, y, order)
     return model
 
 
 def scored(docs: DataFrame, model: Machine) -> DataFrame:
-    """``docs`` rows' doc_id and score; null and empty texts score by the bias."""
+    """Per row of ``docs`` (doc_id, text): score.
+
+    Null and empty texts score by the bias; rows that repeat an id each score by
+    their text; an empty table gives an empty one; further columns are not read.
+    """
     m = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
