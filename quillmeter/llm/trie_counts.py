@@ -2,15 +2,20 @@
 
 Vocabulary: the pieces of a public sentencepiece model, in its order; piece r
 has log-probability -log(r + 2), Zipf's law, as the file's own scores are merge
-ranks.  A character without a piece costs one token per UTF-8 byte.  A
-pre-token is a run between the places where ASCII letters, digits, symbols and
-white space meet; one that starts a word is led by U+2581.
-
-The count of a pre-token is that of its best segmentation: forward scores
-best(d) = max over pieces that end at depth d.  The distinct pre-tokens of a
-batch are walked in sorted order, which is a depth-first walk of their trie:
-what a pre-token shares with the one before it is not computed again, and its
-count is read at its terminal depth.  Counts stay with the worker, up to a bound.
+ranks and no tokenizer is trained here.  A character without a piece costs one
+token per UTF-8 byte.  A pre-token is a run between the places where ASCII
+letters, digits, symbols and white space meet; one that starts a word is led by
+U+2581.
+
+The count of a pre-token is that of its best segmentation.  Distinct pre-tokens
+are inserted in a trie; a node holds the best score of its prefix, the tokens of
+that segmentation, and the pieces that are under way there: where in the
+vocabulary's own trie they stand, and with which score and tokens they began.  A
+child follows from its parent alone, so each shared prefix is computed once, and
+a pre-token's count is what its terminal node holds.  The trie keeps MOST_NODES
+nodes of DEPTH characters at most (about 400 bytes each) and begins anew beyond;
+what is deeper is computed without being kept.  Counts stay with the worker, up to
+CACHE_COUNTS.
 """
 
 from __future__ import annotations
@@ -27,16 +32,75 @@ from .common import mapped
 from .textkernel import SPACE, HashIndex, numbered, pieces, span_hashes, text_bytes
 from .token_files import piece_spans
 
-CACHE_COUNTS = 1_500_000
+CACHE_COUNTS, MOST_NODES, DEPTH = 1_500_000, 200_000, 48
 BYTE_COST = 14.0
 MARK = "▁"
 
 
+class Node:
+    """A prefix: children by character, best score and tokens, pieces under way."""
+
+    __slots__ = ("children", "best", "tokens", "open", "terminal")
+
+    def __init__(self, best: float, tokens: int, under_way: list[tuple[dict, float, int]]):
+        self.children: dict[str, Node] = {}
+        self.best, self.tokens, self.open = best, tokens, under_way
+        self.terminal: int | None = None  # the count of the pre-token that ends here
+
+
 class Unigram:
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
-        self.longest = max(map(len, scores), default=0)
+        self.vocabulary: dict = {}  # nested by character; a piece's score stands under the empty string
+        for piece, score in scores.items():
+            at = self.vocabulary
+            for c in piece:
+                at = at.setdefault(c, {})
+            at[""] = score
         self.known = HashIndex()
+        self.clear()
+
+    def clear(self) -> None:
+        self.root, self.nodes = Node(0.0, 0, []), 0
+
+    def child(self, node: Node, c: str) -> Node:
+        """The prefix of one more character."""
+        n_bytes = len(c.encode("utf-8", "surrogatepass"))
+        top, tokens, under_way = node.best - BYTE_COST * n_bytes, node.tokens + n_bytes, []
+        for at, best, begun in (*node.open, (self.vocabulary, node.best, node.tokens)):
+            after = at.get(c)
+            if after is None:
+                continue
+            under_way.append((after, best, begun))
+            score = after.get("")
+            if score is not None:
+                score += best
+                if score > top or (score == top and begun + 1 < tokens):
+                    top, tokens = score, begun + 1
+        return Node(top, tokens, under_way)
+
+    def insert(self, word: str) -> int:
+        """The tokens of a pre-token, from its terminal node."""
+        node = self.root
+        for c in word[:DEPTH]:
+            after = node.children.get(c)
+            if after is None:
+                after = node.children[c] = self.child(node, c)
+                self.nodes += 1
+            node = after
+        for c in word[DEPTH:]:
+            node = self.child(node, c)
+        node.terminal = node.tokens
+        return node.terminal
+
+    def counts(self, pretokens: list[str]) -> list[int]:
+        """Tokens of each of the distinct pre-tokens."""
+        out = []
+        for word in pretokens:
+            if self.nodes > MOST_NODES:
+                self.clear()
+            out.append(self.insert(word))
+        return out
 
     @classmethod
     def load(cls, path: str) -> Unigram:
@@ -46,30 +110,6 @@ class Unigram:
         usable = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
         return cls({p: -math.log(r + 2) for r, p in enumerate(usable)})
 
-    def counts(self, pretokens: list[str]) -> list[int]:
-        """Tokens of each of the sorted distinct pre-tokens."""
-        get, longest = self.scores.get, self.longest
-        best, count, last, out = [0.0], [0], "", []
-        for word in pretokens:
-            n, shared = min(len(last), len(word)), 0
-            while shared < n and last[shared] == word[shared]:
-                shared += 1
-            del best[shared + 1 :], count[shared + 1 :]
-            for d in range(shared + 1, len(word) + 1):
-                n_bytes = len(word[d - 1].encode("utf-8", "surrogatepass"))
-                top, tokens = best[d - 1] - BYTE_COST * n_bytes, count[d - 1] + n_bytes
-                for a in range(max(0, d - longest), d):
-                    s = get(word[a:d])
-                    if s is not None:
-                        s += best[a]
-                        if s > top or (s == top and count[a] + 1 < tokens):
-                            top, tokens = s, count[a] + 1
-                best.append(top)
-                count.append(tokens)
-            out.append(count[-1])
-            last = word
-        return out
-
     def per_row(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Pre-tokens and tokens of each row."""
         data, offsets = text_bytes(texts)
@@ -89,8 +129,7 @@ class Unigram:
             first[codes[::-1]] = np.arange(len(codes))[::-1]
             raw, first = data.tobytes(), first[new]
             words = [(MARK if lead else "") + raw[a:b].decode("utf-8", "replace") for a, b, lead in zip(start[first].tolist(), end[first].tolist(), leads[first].tolist())]
-            order = sorted(range(len(words)), key=words.__getitem__)
-            size[new[order]] = self.counts([words[i] for i in order])
+            size[new] = self.counts(words)
             self.known.add(distinct[new], size[new].astype(np.int32))
         return np.bincount(row, minlength=n), np.bincount(row, size[codes], n).astype(np.int64)
 
@@ -99,7 +138,12 @@ _loaded: dict[str, Unigram] = {}
 
 
 def token_counts(docs: DataFrame, model: str) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): n_pretokens, n_tokens.  Null and empty texts have none."""
+    """Per row of ``docs`` (doc_id, text): n_pretokens, n_tokens.
+
+    Null and empty texts have none; rows that repeat an id are each counted; of
+    segmentations that tie the one of fewest tokens counts; an empty table gives
+    an empty one; further columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model not in _loaded:
