@@ -20,7 +20,9 @@ pairs of different components whose 1024-byte sketches agree within five
 standard deviations of 0.75 are verified, each pair in its first common band.
 Links inside a component cannot change it, so none between components is lost
 but by the banding's and the sketch's stated chances.  Buckets of any size are
-searched, in blocks.  Verification intersects full shingle sets.
+searched, in blocks.  Verification intersects full shingle sets; the set that many
+others are verified against is copied once per HUB_MEMBERS of them, so that a
+group of any number of edited copies is spread over tasks.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mapped, saved, sized, work_dir
+from .common import held_rows, mapped, saved, sized, work_dir
 from .components import components
 from .textkernel import LOWER, ngrams, pieces, words_of
 
@@ -42,6 +44,7 @@ SHINGLE_WORDS, SIMILARITY = 5, 75  # percent
 ROWS, BANDS, SKETCH = 5, 60, 1024
 UNIVERSE_BITS = 20
 BLOCK = 2048  # classes of a bucket that are compared in one piece
+HUB_MEMBERS = 64  # sets that meet one copy of a set
 #: Sketch agreement that a pair at the threshold has but for five standard deviations.
 AGREE = int(SKETCH * (SIMILARITY / 100 - 5 * (SIMILARITY / 100 * (1 - SIMILARITY / 100) / SKETCH) ** 0.5))
 
@@ -147,7 +150,7 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, rows = None, []
 
     def table(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "hub"])
 
     for batch in batches:
         cols = [batch.column(c).to_pylist() for c in ("bucket", "i", "j", "block", "cls", "comp", "n", "sketch")]
@@ -164,12 +167,16 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield table(found)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
-    left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
+def _verified(pairs: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
+    """The pairs (a, hub) whose full sets reach the similarity, as (a, b)."""
+    hubs = saved(pairs.groupBy("hub").agg(F.count("*").alias("members")), f"{folder}-hubs")
+    copies = F.ceil(F.col("members") / HUB_MEMBERS)
+    dealt = pairs.join(sized(hubs, hubs.count()), "hub").select("a", "hub", F.pmod(F.xxhash64("a"), copies).alias("copy"))
+    left = dealt.join(sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa")), "a")
+    right = hubs.join(sets.select(F.col("cls").alias("hub"), F.col("n").alias("nb"), F.col("shingles").alias("sb")), "hub")
+    right = right.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("copy"), "nb", "sb")
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= SIMILARITY * (F.col("na") + F.col("nb") - both)).select("a", "b")
+    return left.join(right, ["hub", "copy"]).where(100 * both >= SIMILARITY * (F.col("na") + F.col("nb") - both)).select("a", F.col("hub").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, folder: str | None = None) -> DataFrame:
@@ -197,7 +204,7 @@ def _judged(docs: DataFrame, folder: str | None) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long"), "text")
     signed = saved(mapped(slim.withColumn("version", _version(F.col("text"))), _sign, SIGNED), f"{folder}/signed")
 
-    banded = signed.where("cls is not null").select("cls", F.explode("bands").alias("bucket"))
+    banded = signed.where("cls is not null").select("cls", "n_shingles", F.explode("bands").alias("bucket"))
     full = saved(banded.groupBy("bucket").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("bucket"), f"{folder}/buckets")
     members = saved(banded.join(sized(full, full.count()), "bucket").distinct(), f"{folder}/members")
 
@@ -206,14 +213,16 @@ def _judged(docs: DataFrame, folder: str | None) -> DataFrame:
     which = signed.join(sized(popular, popular.count()), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     which = saved(which, f"{folder}/which")
     n_which = which.count()
-    chosen = sized(which.select(F.col("doc_id").alias("_id")).distinct(), n_which)
-    sets = mapped(slim.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"), _collect_sets, SETS)
+    chosen = sized(which.select(F.col("doc_id").alias("chosen_id")).distinct(), n_which)
+    sets = mapped(slim.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen_id")), "left_semi"), _collect_sets, SETS)
     sets = sets.join(sized(which.select("cls"), n_which), "cls", "left_semi").dropDuplicates(["cls"]).drop("doc_id")
     sets = saved(sets, f"{folder}/sets")
 
-    lead = members.join(popular, "cls").groupBy("bucket").agg(F.max_by("cls", F.struct("fame", -F.col("cls").cast("decimal(20,0)"))).alias("lead"))
-    star = members.join(lead, "bucket").where("cls <> lead").select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
-    links = saved(_verified(star, sets), f"{folder}/links")
+    lead = members.join(popular, "cls").groupBy("bucket").agg(F.max_by(F.struct("cls", "n_shingles"), F.struct("fame", -F.col("cls").cast("decimal(20,0)"))).alias("lead"))
+    # sets whose sizes differ too much cannot be similar
+    alike = 100 * F.least("n_shingles", "lead.n_shingles") >= SIMILARITY * F.greatest("n_shingles", "lead.n_shingles")
+    star = members.join(lead, "bucket").where((F.col("cls") != F.col("lead.cls")) & alike).select(F.col("cls").alias("a"), F.col("lead.cls").alias("hub")).distinct()
+    links = saved(_verified(saved(star, f"{folder}/star"), sets, f"{folder}/star"), f"{folder}/links")
     labels = components(links, f"{folder}/first")
 
     placed = members.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").select("bucket", "cls", F.coalesce("label", "cls").alias("comp"))
@@ -223,18 +232,19 @@ def _judged(docs: DataFrame, folder: str | None) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     held = held.select("bucket", "cls", "comp", "block", other.alias("o")).select("bucket", "cls", "comp", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
     dealt = held.join(sets.select("cls", "n", "sketch"), "cls").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    more = mapped(dealt.select("bucket", "i", "j", "block", "cls", "comp", "n", "sketch"), _cross, "a long, b long").distinct()
-    extra = saved(_verified(more, sets), f"{folder}/extra")
+    more = mapped(dealt.select("bucket", "i", "j", "block", "cls", "comp", "n", "sketch"), _cross, "a long, hub long").distinct()
+    extra = saved(_verified(saved(more, f"{folder}/more"), sets, f"{folder}/more"), f"{folder}/extra")
     if not extra.isEmpty():
         labels = components(links.union(extra), f"{folder}/last")
 
-    # ids meet by class first: a group's rows are joined once, by what all copies share
-    classes = signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_id"))
-    placed = classes.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    best = placed.groupBy("label").agg(F.min("first_id").alias("least"))
-    named = placed.join(best, "label").select("cls", "least")
-    found = signed.select("doc_id", "version", "n_shingles", "cls").join(named, "cls", "left")
-    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    # ids meet by class first, and only classes of several rows or with links have another's id to learn
+    classes = signed.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+    placed = classes.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").where("copies > 1 or label is not null")
+    placed = saved(placed.select("cls", "first_id", F.coalesce("label", "cls").alias("label")), f"{folder}/placed")
+    best = saved(placed.groupBy("label").agg(F.min("first_id").alias("least")), f"{folder}/best")
+    named = saved(placed.join(sized(best, best.count()), "label").select("cls", "least"), f"{folder}/named")
+    found = signed.select("doc_id", "version", "n_shingles", "cls").join(sized(named.withColumn("known", F.lit(True)), named.count()), "cls", "left")
+    component = F.when(F.col("known"), F.col("least")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "version", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
@@ -245,15 +255,20 @@ def one_of_each(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """
     folder = folder or work_dir(docs.sparkSession, "dedup")
     result = saved(_judged(docs, folder), f"{folder}/result")
-    gone = result.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("version").alias("_gone_version")).distinct()
-    twice = result.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice"))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")) & (_version(docs["text"]) == F.col("_gone_version"))
-    left = docs.join(sized(gone, gone.count()), same, "left_anti")
+    by = ["id", "version"]
+    gone = saved(result.where("not kept").select(F.col("doc_id").alias("id"), "version").distinct(), f"{folder}/gone")
+    twice = saved(result.where("kept").groupBy(F.col("doc_id").alias("id"), "version").agg(F.count("*").alias("times")).where("times > 1").select(*by), f"{folder}/twice")
+
+    def same(rows: DataFrame, keys: DataFrame):
+        return rows["id"].eqNullSafe(keys["id"]) & (rows["version"] == keys["version"])
+
+    rows = held_rows(docs, id=F.col("doc_id").cast("long"), version=_version(F.col("text")), blank=F.col("text").isNull())
+    left = rows.join(sized(gone, gone.count()), same(rows, gone), "left_anti")
     n = twice.count()
     if not n:
-        return left
-    again = left.join(sized(twice, n), F.col("doc_id").eqNullSafe(F.col("_twice")), "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(sized(twice, n), F.col("doc_id").eqNullSafe(F.col("_twice")), "left_anti").unionByName(again)
+        return left.select("row.*")
+    again = left.join(sized(twice, n), same(left, twice), "left_semi").dropDuplicates([*by, "blank"])
+    return left.join(sized(twice, n), same(left, twice), "left_anti").unionByName(again).select("row.*")
 
 
 def op8_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
