@@ -23,12 +23,12 @@ def plain_statistics(text):
             dup += line in seen
             seen.add(line)
     grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
-    twice = {g for g in grams if grams.count(g) > 1} if len(grams) < 3000 else set()
+    twice = {g for g, n in Counter(grams).items() if n > 1}
     covered = {i + j for i, g in enumerate(grams) if g in twice for j in range(3)}
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(covered)
 
 
-TEXTS = [None, "", " ", "a", "a b c a b c", "x y z w x y z\nq\nq\n\nq ", "é日本 #$ <a|b>\r\né日本 #$ <a|b>\r\n", "a a a a", "one\ntwo\none\n one", prose(1, 300), "\n".join([prose(2, 9)] * 4), "y" * 5000]
+TEXTS = [None, "", " ", "a", "a b c a b c", "x y z w x y z\nq\nq\n\nq ", "é日本 #$ <a|b>\r\né日本 #$ <a|b>\r\n", "a a a a", "one\ntwo\none\n one", prose(1, 300), "\n".join([prose(2, 9)] * 4), "y" * 5000, prose(3, 6000) + " " + prose(1, 40), " ".join(["a b"] * 4000)]
 
 
 def test_statistics():
@@ -101,30 +101,111 @@ def test_toxicity(spark, odd, none):
     assert len({r["score"] for r in toxicity.scored(odd, constant).collect()}) == 1
 
 
-def test_factors_see_pairs():
-    """A label that only two terms together have is learnt by the pair term."""
+def pair_docs(spark, kind):
+    """Two words, each in half of the documents, that tell the label only together."""
+    rng, rows, labels = random.Random(7), [], []
+    for k in range(1500):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = prose(k % 40, 8).split() + ["zorblat"] * a + ["quimper"] * b
+        rng.shuffle(words)
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(a != b if kind == "either" else a and b)))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+@pytest.mark.parametrize("kind", ["either", "both"])
+def test_pairs_are_learnt(spark, kind):
+    """Through fit itself: with "either" neither word alone tells anything, so no linear weights do."""
+    docs, labels = pair_docs(spark, kind)
+    assert held_out_accuracy(toxicity.scored(docs, toxicity.fit(docs, labels)), labels, "toxic") > 0.95
+
+
+def test_machine_is_the_sum_over_pairs():
     rng = np.random.default_rng(4)
-    a, b = rng.integers(0, 2, 4000), rng.integers(0, 2, 4000)
-    first = np.concatenate([[0], np.cumsum(a + b)])
-    x = np.concatenate([[0] * i + [1] * j for i, j in zip(a, b)]).astype(np.int64)
-    m = toxicity.Machine(np.arange(2), 0.0)
-    m.fit(x, first, (a ^ b).astype(float), decay=0.0)
-    row = np.repeat(np.arange(4000), a + b)
-    assert ((m.raw(x, row, 4000)[0] > 0) == (a ^ b)).mean() > 0.95
+    m = toxicity.Machine(0.3, rng.uniform(0, 1, toxicity.BUCKETS))
+    m.w = rng.normal(0, 1, toxicity.BUCKETS).astype(np.float32)
+    size = np.array([0, 1, 5, 12, 0, 3])
+    x = np.concatenate([np.sort(rng.choice(toxicity.BUCKETS, n, replace=False)) for n in size]).astype(np.int32)
+    at, want = 0, []
+    for n in size.tolist():
+        own, z = x[at : at + n].tolist(), 0.3
+        for i, a in enumerate(own):
+            z += float(m.w[a] * m.value[a])
+            for b in own[:i]:
+                z += float(m.v[a].astype(float) @ m.v[b].astype(float)) * float(m.value[a]) * float(m.value[b])
+        want.append(z)
+        at += n
+    assert np.allclose(m.raw(x, size)[0], want, atol=1e-4)
+
+
+def test_terms_and_evidence(spark, monkeypatch):
+    x, first = toxicity.term_buckets(pa.array(["Idiot idiot, abc", None, "", "abcdefghij"], pa.string()))
+    assert np.diff(first).tolist() == [3, 0, 0, 6]  # idiot, idio, abc; the word and its prefixes of 4 to 8 bytes
+    labels = np.array([1.0, 0, 0, 1])
+    g = toxicity.evidence(x, first, labels)
+    told = lambda n, k: sum(c * np.log(c / n) for c in (k, n - k) if c)
+    assert np.allclose(g[x], 2 * (told(1, 1) + told(3, 1) - told(4, 2)))
+    monkeypatch.setattr(toxicity, "STEP_TERMS", 4)
+    assert [s.tolist() for s in toxicity.steps(np.array([3, 0, 1, 2]), np.diff(first))] == [[3], [0, 1, 2]]
+    docs, labels = labelled_docs(spark, "toxic")
+    sample = docs.join(labels, "doc_id").select(F.col("toxic").alias("label"), F.lit(10).cast("long").alias("size"), F.col("doc_id").alias("mark"))
+    assert sorted(r["mark"] for r in toxicity.bounded(sample, 95).collect()) == list(range(9)) and toxicity.bounded(sample, 7000).count() == 700
 
 
 def test_quality_models(spark, odd, none):
     docs, labels = labelled_docs(spark, "quality")
-    assert held_out_accuracy(pu_quality.scored(docs, pu_quality.fit(docs, labels)), labels, "quality") > 0.95
+    features = pu_quality.featured(docs).persist()
+    net = pu_quality.fit(features, labels)
+    assert held_out_accuracy(pu_quality.scored(features, net), labels, "quality") > 0.95
+    only_good = pu_quality.fit(features, labels.where("quality = 1"))  # bad labels are never used
+    assert all((a == b).all() for a, b in zip(net.p, only_good.p))
     forest = quality_rules.fit(docs, labels)
     assert held_out_accuracy(quality_rules.judged(docs, forest).select("doc_id", "score"), labels, "quality") > 0.95
     for rows, n in ((odd, len(ODD)), (none, 0)):
         assert quality_rules.judged(rows, forest).count() == n
-        net = pu_quality.fit(rows, labels.where("false"))
-        assert all(0 <= r["score"] <= 1 for r in pu_quality.scored(rows, net).collect())
+        net = pu_quality.fit(pu_quality.featured(rows), labels.where("false"))
+        scores = pu_quality.scored(pu_quality.featured(rows), net).collect()
+        assert len(scores) == n and all(0 <= r["score"] <= 1 for r in scores)
     assert not any(r["kept"] for r in quality_rules.judged(odd, forest).where("n_words < 50").collect())
 
 
+def test_prior_is_estimated_without_negatives():
+    """From scores of positives and a mixture, whatever the share of positives in it."""
+    rng = np.random.default_rng(8)
+    for share in (0.1, 0.5, 0.9):
+        good, bad = rng.beta(5, 2, 40_000), rng.beta(2, 8, 40_000)
+        mixed = np.where(rng.uniform(size=40_000) < share, good, bad)
+        counts = [np.histogram(s, pu_quality.BINS, (0, 1))[0].astype(float) for s in (rng.beta(5, 2, 5000), mixed)]
+        assert abs(pu_quality.prior_of(*counts) - share) < 0.06
+
+
+def test_risk_gradient_lowers_the_risk():
+    rng = np.random.default_rng(9)
+    good = rng.normal(1, 0.5, (500, len(docstats.FEATURES)))
+    web = np.concatenate([rng.normal(1, 0.5, (900, good.shape[1])), rng.normal(-1, 0.5, (600, good.shape[1]))])
+    inputs = pu_quality._inputs(web)
+    net = pu_quality.Network(inputs.mean(axis=0), inputs.std(axis=0) + 1e-9)
+    net.fit(good, web, 0.6, 0.01, 0)
+    assert ((net.score(web) > 0.5) == (np.arange(1500) < 900)).mean() > 0.97
+    again = pu_quality.Network(net.mean, net.scale)
+    again.put(net.flat())
+    assert (again.score(web) == net.score(web)).all()
+
+
+def test_flat_trees_equal_a_walk():
+    rng = np.random.default_rng(10)
+    x = rng.uniform(0, 1, (800, 3))
+    f = trees.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.8).astype(float), np.array([1, 0, 0]), trees=9)
+    for row, got in zip(x[:60], f.raw(x[:60])):
+        total = f.bias
+        for feature, cut, value in zip(f.feature, f.cut, f.value):
+            k = 0
+            while k < len(feature):
+                k = 2 * k + 1 + int(row[feature[k]] > cut[k])
+            total += value[k - len(feature)]
+        assert abs(total - got) < 1e-12
+
+
 def test_repair_round_trip():
     rng = np.random.default_rng(3)
     for n in (0, 1, 2, 10, 50_000):
@@ -242,6 +323,20 @@ def test_trie_counts(spark, odd, none):
     model = trie_counts.Unigram(scores)
     words = sorted({"▁" + w for w in prose(1, 300).split()} | {"▁", "é", "▁alpha12", "▁alpha1", "zz"})
     assert model.counts(words) == [brute_tokens(model, w) for w in words]
+    prefixes = {w[:d] for w in words for d in range(1, min(len(w), trie_counts.DEPTH) + 1)}
+    assert model.nodes == len(prefixes)  # a shared prefix is one node
+
+    def terminals(node):
+        return (node.terminal is not None) + sum(map(terminals, node.children.values()))
+
+    assert terminals(model.root) == len(words)
+    kept, trie_counts.MOST_NODES = trie_counts.MOST_NODES, 20
+    try:
+        assert model.counts(words[::-1]) == [brute_tokens(model, w) for w in words[::-1]] and model.nodes < 40
+    finally:
+        trie_counts.MOST_NODES = kept
+    deep = "▁al" * 40 + "é" * 30
+    assert model.counts([deep, deep[:-1]]) == [brute_tokens(model, deep), brute_tokens(model, deep[:-1])]
     pytest.importorskip("sentencepiece")
     path = trie_counts.default_model()
     public = trie_counts.Unigram.load(path)
@@ -279,11 +374,11 @@ def brute_pretokens(text):
 
 
 def bounded_tokens(model, word):
-    best = [(0.0, 0)]
+    best, longest = [(0.0, 0)], max(map(len, model.scores))
     for d in range(1, len(word) + 1):
         n = len(word[d - 1].encode())
         options = [(best[d - 1][0] - trie_counts.BYTE_COST * n, -(-best[d - 1][1] + n))]
-        options += [(best[a][0] + model.scores[word[a:d]], best[a][1] - 1) for a in range(max(0, d - model.longest), d) if word[a:d] in model.scores]
+        options += [(best[a][0] + model.scores[word[a:d]], best[a][1] - 1) for a in range(max(0, d - longest), d) if word[a:d] in model.scores]
         best.append(max(options))
     return -best[-1][1]
 
