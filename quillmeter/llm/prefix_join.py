@@ -10,7 +10,9 @@ that ends within the document (length bound); it is verified word for word.
 
 Both passes are one scan each: split, explode, hash, look up, verify, all in
 generated code.  The index holds the benchmark alone; it is broadcast if its
-counted rows allow, else shuffled by shingle.
+counted rows allow.  Else positions meet it by a shuffle of (key, document,
+position), without texts, and each document with a candidate then sends its words
+once to where its candidates are verified.
 """
 
 from __future__ import annotations
@@ -18,10 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved, sized, work_dir
+from .common import held_rows, saved, sized, work_dir
 
 WINDOW_WORDS, SHINGLE_WORDS = 10, 3
 INDEX_ROWS = 200_000
+HIT_ROWS = 50_000  # contaminated documents, with their items, up to which they are broadcast
 #: Fixed value: what separates words, after A-Z are in lower case
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -62,17 +65,27 @@ def _window_shingles(each: DataFrame) -> DataFrame:
     return at.withColumn("key", key)
 
 
-def _positions(docs: DataFrame, sizes: list[int], first: int) -> DataFrame:
-    """A row per document and position from ``first`` (-1: one more, for the document) with the shingle's hash."""
-    split = docs.select("doc_id", F.xxhash64("text").alias("version"), F.split(_lower(F.col("text")), SEPARATOR).alias("parts"))
+def _version(text: Column) -> Column:
+    """With the doc_id, what a row is known by: ids may be null or repeated."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _split(docs: DataFrame) -> DataFrame:
+    """doc_id, version, parts of the text, lead (1 if the first part is empty), n_words."""
+    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _version(F.col("text")).alias("version"), F.split(_lower(F.col("text")), SEPARATOR).alias("parts"))
     # an empty string can only be the first or the last part
-    lead = (F.get("parts", F.lit(0)) == "").cast("int")
-    split = split.withColumn("lead", lead).withColumn("n_words", F.greatest(F.size("parts") - F.col("lead") - F.when((F.size("parts") > 1) & (F.element_at("parts", -1) == ""), 1).otherwise(0), F.lit(0)))
-    at = split.withColumn("p", F.explode(F.sequence(F.lit(first), F.col("n_words") - 1)) if first < 0 else F.explode(F.when(F.col("n_words") > 0, F.sequence(F.lit(0), F.col("n_words") - 1))))
+    split = split.withColumn("lead", (F.get("parts", F.lit(0)) == "").cast("int"))
+    last = F.when((F.size("parts") > 1) & (F.element_at("parts", -1) == ""), 1).otherwise(0)
+    return split.withColumn("n_words", F.greatest(F.size("parts") - F.col("lead") - last, F.lit(0)))
+
+
+def _positions(split: DataFrame, sizes: list[int], first: int = 0) -> DataFrame:
+    """A row per document, position and size with the shingle's hash; with ``first`` -1 one more, for the document."""
+    at = split.withColumn("p", F.explode(F.sequence(F.lit(first), F.col("n_words") - 1) if first < 0 else F.when(F.col("n_words") > 0, F.sequence(F.lit(0), F.col("n_words") - 1))))
     keys = [_key(F.col("parts"), F.col("lead") + F.col("p"), n) for n in sizes]
     if len(keys) == 1:
         return at.withColumn("key", keys[0])
-    return at.withColumn("key", F.explode(F.array(*keys)))
+    return at.withColumn("key", F.explode(F.when(F.col("p") < 0, F.array(F.lit(0).cast("long"))).otherwise(F.array(*keys))))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, folder: str | None = None) -> DataFrame:
@@ -94,11 +107,10 @@ def _judged(docs: DataFrame, benchmark: DataFrame, folder: str | None) -> DataFr
     each, owners = saved(each, f"{folder}/windows"), saved(owners, f"{folder}/owners")
     shingles = saved(_window_shingles(each), f"{folder}/shingles")
     sizes = sorted(r["n"] for r in shingles.select("n").distinct().collect()) or [1]  # at most SHINGLE_WORDS values
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    split = _split(docs)
 
     keys = saved(shingles.select("key").distinct(), f"{folder}/keys")
-    n_keys = keys.count()
-    counts = _positions(docs, sizes, 0).select("key").join(sized(keys, n_keys, INDEX_ROWS), "key").groupBy("key").agg(F.count("*").alias("seen"))
+    counts = _positions(split, sizes).select("key").join(sized(keys, keys.count(), INDEX_ROWS), "key").groupBy("key").agg(F.count("*").alias("seen"))
     counts = saved(counts, f"{folder}/counts")
     rarest = Window.partitionBy("window_id").orderBy(F.coalesce("seen", F.lit(0)), "key", "o")
     index = shingles.join(counts, "key", "left").withColumn("rank", F.row_number().over(rarest)).where("rank = 1")
@@ -106,27 +118,35 @@ def _judged(docs: DataFrame, benchmark: DataFrame, folder: str | None) -> DataFr
     n_index = index.count()
 
     start = F.col("p") - F.col("o")
-    verified = (F.col("key") == F.col("k")) & (F.col("p") >= 0) & (start >= 0) & (start + F.col("length") <= F.col("n_words")) & (F.slice("parts", F.col("lead") + start + 1, F.col("length")) == F.col("words"))
-    found = _positions(docs, sizes, -1).join(sized(index, n_index, INDEX_ROWS), verified, "left").where((F.col("p") == -1) | F.col("k").isNotNull())
-    found = found.select("doc_id", "version", "n_words", F.when(F.col("k").isNotNull(), start).alias("start"), "length", "window_id").where(F.col("start").isNotNull() | (F.col("p") == -1))
-    found = found.distinct() if len(sizes) > 1 else found
-    return _summed(found, owners, docs, folder, len(sizes))
-
-
-def _summed(found: DataFrame, owners: DataFrame, docs: DataFrame, folder: str, n_sizes: int) -> DataFrame:
-    found = saved(found, f"{folder}/found")
+    fits = (F.col("key") == F.col("k")) & (F.col("p") >= 0) & (start >= 0) & (start + F.col("length") <= F.col("n_words"))
+    holds = F.slice("parts", F.col("lead") + F.col("start") + 1, F.col("length")) == F.col("words")
+    if n_index <= INDEX_ROWS:
+        verified = fits & (F.slice("parts", F.col("lead") + start + 1, F.col("length")) == F.col("words"))
+        found = _positions(split, sizes, -1).join(F.broadcast(index), verified, "left").where((F.col("p") == -1) | F.col("k").isNotNull())
+        found = saved(found.select("doc_id", "version", "n_words", F.when(F.col("k").isNotNull(), start).alias("start"), "length", "window_id"), f"{folder}/found")
+        base, hits = found.where("start is null"), found.where("start is not null")
+    else:
+        base = saved(split.select("doc_id", "version", "n_words"), f"{folder}/base")
+        may = _positions(split, sizes).select("doc_id", "version", "n_words", "p", "key").join(index.drop("words"), fits)
+        may = saved(may.select("doc_id", "version", start.alias("start"), "window_id").distinct(), f"{folder}/may")
+        asked = may.select(F.col("doc_id").alias("d"), F.col("version").alias("v")).distinct()
+        same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v"))
+        words = split.drop("n_words").join(asked, same, "left_semi").dropDuplicates(["doc_id", "version"])
+        words = words.select(F.col("doc_id").alias("d"), F.col("version").alias("v"), "parts", "lead")
+        hits = may.join(index.drop("k", "o"), "window_id").join(words, same).where(holds).select("doc_id", "version", "start", "length", "window_id")
+    return _summed(base, hits, owners, folder)
+
+
+def _summed(base: DataFrame, hits: DataFrame, owners: DataFrame, folder: str) -> DataFrame:
     ids = ["doc_id", "version"]
-    base = found.where("start is null").select(*ids, "n_words")
-    hits = found.where("start is not null").distinct()
+    hits = saved(hits.select(*ids, "start", "length", "window_id").distinct(), f"{folder}/hits")
     reach = F.max(F.col("start") + F.col("length")).over(Window.partitionBy(*ids).orderBy("start", "length").rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0), F.col("start") + F.col("length") - F.greatest(F.col("start"), F.coalesce(reach, F.lit(0))))
     words = hits.select(*ids, fresh.alias("fresh")).groupBy(*ids).agg(F.sum("fresh").alias("n_hit"))
     named = hits.select(*ids, "window_id").distinct().join(owners, "window_id").where("item_id is not null").groupBy(*ids).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
     both = words.join(named, [words["doc_id"].eqNullSafe(named["doc_id"]), words["version"] == named["version"]], "left").select(words["doc_id"].alias("d"), words["version"].alias("v"), "n_hit", "item_ids")
-    if n_sizes > 1:
-        # one base row per document row was folded by distinct; take them from the documents again
-        base = base.distinct().join(docs.groupBy("doc_id", F.xxhash64("text").alias("version")).agg(F.count("*").alias("times")).toDF("d0", "v0", "times"), F.col("doc_id").eqNullSafe(F.col("d0")) & (F.col("version") == F.col("v0"))).select(*ids, "n_words", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("col")
-    out = base.join(both, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left")
+    both = saved(both, f"{folder}/both")
+    out = base.join(sized(both, both.count(), HIT_ROWS), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left")
     none = F.array().cast("array<string>")
     return out.select("doc_id", "version", F.col("n_words").cast("long"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("item_ids", none)).cast("long").alias("n_items"), F.coalesce("item_ids", none).alias("item_ids"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
@@ -134,10 +154,10 @@ def _summed(found: DataFrame, owners: DataFrame, docs: DataFrame, folder: str, n
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, folder: str | None = None) -> DataFrame:
     """``docs`` without the documents that hold a window, all columns as they are."""
     folder = folder or work_dir(docs.sparkSession, "decontaminate")
-    hit = _judged(docs, benchmark, folder).where("contaminated").select(F.col("doc_id").alias("_hit"), F.col("version").alias("_hit_version")).distinct()
+    hit = _judged(docs, benchmark, folder).where("contaminated").select("doc_id", "version").distinct()
     hit = saved(hit, f"{folder}/hit")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_hit")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_hit_version"))
-    return docs.join(sized(hit, hit.count()), same, "left_anti")
+    rows = held_rows(docs, id=F.col("doc_id").cast("long"), version=_version(F.col("text")))
+    return rows.join(sized(hit, hit.count()), rows["id"].eqNullSafe(hit["doc_id"]) & (rows["version"] == hit["version"]), "left_anti").select("row.*")
 
 
 def op1_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:

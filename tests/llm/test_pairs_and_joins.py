@@ -51,6 +51,10 @@ def test_near_duplicates_odd(odd, none):
     kept = circulant_minhash.one_of_each(odd)
     assert kept.columns == odd.columns
     ids = Counter(r["doc_id"] for r in kept.collect())
+    clash = odd.withColumns({c: F.lit(c) for c in ("id", "row", "blank", "_gone", "_twice", "_gone_version")})
+    again = circulant_minhash.one_of_each(clash)
+    assert again.columns == clash.columns and all(r["_gone"] == "_gone" and r["row"] == "row" for r in again.collect())
+    assert Counter(r["doc_id"] for r in again.collect()) == ids
     assert ids[1] == 1 and ids[2] == 0 and ids[9] == ids[10] == 0 and ids[8] == 1 and ids[3] == 2 and ids[4] == 1
 
 
@@ -76,7 +80,13 @@ def test_decontamination_judges_rows_not_ids(spark):
     assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter(clean)
 
 
-def test_near_duplicates_chains_and_groups(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_near_duplicates_chains_and_groups(spark, monkeypatch, small):
+    """Also with hubs of few members, small blocks and no broadcast."""
+    if small:
+        monkeypatch.setattr(circulant_minhash, "HUB_MEMBERS", 3)
+        monkeypatch.setattr(circulant_minhash, "BLOCK", 4)
+        monkeypatch.setattr(circulant_minhash, "sized", lambda df, rows, limit=0: df)
     rng, rows = random.Random(3), []
     base = prose(99, 120).split()
     for k in range(60):  # edited copies, some near each other only through others
@@ -141,7 +151,7 @@ def found_hits(docs, bench):
 
 
 @pytest.mark.parametrize("lengths", [(14, 30, 12), (1, 2, 3, 9, 10, 11, 40)])
-def test_decontamination(spark, lengths):
+def test_decontamination(spark, lengths, monkeypatch):
     rng = random.Random(len(lengths))
     items = [(k, prose(1000 + k, n).upper() if k % 2 else prose(1000 + k, n)) for k, n in enumerate(lengths)]
     items += [(90, items[0][1]), (91, None), (92, "..."), (None, prose(77, 15))]
@@ -152,11 +162,18 @@ def test_decontamination(spark, lengths):
         cut = piece.split()[: rng.choice((8, 10, 12, 40))]
         at = rng.randrange(0, 61)
         docs.append((100 + k, rng.choice((" ", ", ", "\n")).join(w[:at] + cut + w[at:] + cut)))
+    docs += docs[-3:] + [(None, docs[-1][1])] * 2
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    assert found_hits(d, b) == brute_hits(docs, items)
-    left = prefix_join.without_contaminated(d.withColumn("k", F.lit(1)), b)
-    clean = {doc for (doc, _, n, _), _ in brute_hits(docs, items).items() if n == 0}
-    assert left.columns == ["doc_id", "text", "k"] and {r["doc_id"] for r in left.collect()} <= clean
+    want = brute_hits(docs, items)
+    assert found_hits(d, b) == want
+    monkeypatch.setattr(prefix_join, "INDEX_ROWS", 0)  # everything is shuffled
+    monkeypatch.setattr(prefix_join, "HIT_ROWS", 0)
+    assert found_hits(d, b) == want
+    clash = {c: F.lit(c) for c in ("k", "version", "id", "row", "n_words", "start", "p", "_hit")}
+    left = prefix_join.without_contaminated(d.withColumns(clash), b)
+    clean = [(doc, t) for doc, t in docs if all(not n for (_, _, n, _) in brute_hits([(doc, t)], items))]
+    assert left.columns == ["doc_id", "text", *clash] and Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter(clean)
+    assert all(r[c] == c for r in left.collect() for c in clash)
 
 
 def test_decontamination_empty(spark, odd, none):
