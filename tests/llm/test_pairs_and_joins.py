@@ -265,10 +265,38 @@ def test_mix(spark, odd, none):
     for r in used:
         words[r["doc_id"]] += r["taken"]
     assert {r["doc_id"]: r["n"] for r in texts.collect()} == {d: n for d, n in words.items() if n}
-    assert mixing.mixed_documents(odd).columns == odd.columns and mixing.mixed_documents(odd).count() > 0
+    clash = odd.withColumns({c: F.lit(c) for c in ("_p_n", "_p_taken", "_p_cuts", "row", "id", "nth", "cuts", "whole", "sid")})
+    mixed = mixing.mixed_documents(clash)
+    assert mixed.columns == clash.columns and mixed.count() > 0
+    assert all(r["row"] == "row" and r["_p_n"] == "_p_n" and r["n_chars"] == len(r["text"]) for r in mixed.collect())
     assert mixing.mixed_documents(none).count() == 0
 
 
+def test_shards_are_multinomial_draws(spark):
+    """Counts of a source in a shard have the mean and variance of the multinomial, and totals are the quotas."""
+    rows = [(k, prose(k, 4000), f"s{k % 3}") for k in range(120)]
+    placed, sources, slots = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    took = slots.groupBy("source", "shard").count().toPandas()
+    total, quota = took["count"].sum(), took.groupby("source")["count"].sum()
+    assert {r["source"]: -(-round(r["target"]) // 128) for r in sources.collect()} == pytest.approx(quota.to_dict(), abs=4)
+    one = mixing.SHARD_SLOTS
+    full = took[took["shard"] < total // one]
+    for source, own in full.groupby("source"):
+        p = quota[source] / total
+        assert abs(own["count"].mean() - one * p) < 5 * (one * p * (1 - p) / len(own)) ** 0.5
+    p = quota / total
+    chi = sum((r["count"] - one * p[r["source"]]) ** 2 / (one * p[r["source"]]) for _, r in full.iterrows())
+    free = 2 * (total // one)  # sources less one, for each full shard
+    assert abs(chi - free) < 5 * (2 * free) ** 0.5 + 5
+
+
+def test_running_totals(spark, monkeypatch):
+    rows = [(k % 3, k, (7 * k) % 11) for k in range(200)]
+    monkeypatch.setattr(mixing, "SPAN", 8)
+    got = mixing.running(spark.createDataFrame(rows, "g long, at long, v long"), ["g"], "at", "v", "before").collect()
+    assert len(got) == 200 and all(r["before"] == sum(v for g, at, v in rows if g == r["g"] and at < r["at"]) for r in got)
+
+
 def test_mix_of_small_sources(spark):
     """Sources of 1 to 300 words come as near their targets as large ones."""
     sizes = {f"t{n:03}": n for n in range(1, 301, 13)} | {"t128": 128, "t129": 129, "t256": 256, "z": 40_000}
