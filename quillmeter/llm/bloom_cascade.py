@@ -9,14 +9,20 @@ until a level has no false positives.  A key of the universe is listed if and
 only if the first level that rejects it is even (counted from 1), so membership
 is exact and a url's rule is its longest listed candidate.
 
-Filters are arrays of longs in the plan, tested in generated code; a scan of
-urls needs no shuffle.  Building needs one distinct over the keys that pass
-level 1.  A list over ``MOST_KEYS`` keys is matched by shuffled semi-joins.
+Keys are dealt over shards of about SHARD_KEYS by a hash, each with filters of its
+own size, so a list of any length has the same cascade.  The filters of one shard
+are arrays of longs in the plan, tested in generated code: a scan of urls needs no
+shuffle and no join.  Of more shards they are a table of a row per shard, which
+candidate keys meet by their shard's number (broadcast while the filters take
+FILTER_BYTES at most, else shuffled, with SALTS copies of each row); the list
+itself is joined in neither case.  Building needs one distinct over the keys that
+pass level 1.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +33,8 @@ from .common import saved, work_dir
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 DEFAULT = "allow"  # what no rule lists
 BITS_PER_KEY, HASHES = 8, 4
-#: Keys of a level that are put into the plan: 8 bits each, so at most 2 MB a level
-MOST_KEYS = 2_000_000
+#: Listed keys of a shard, about; bytes of all filters up to which they are broadcast; copies of a filter where they are not
+SHARD_KEYS, FILTER_BYTES, SALTS = 1 << 17, 64 << 20, 16
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -54,62 +60,95 @@ def candidates(host: Column, path: Column, lengths: list[int]) -> Column:
     return F.array_sort(pairs)
 
 
-class Level:
-    """One filter: m bits in longs, HASHES positions a key."""
-
-    def __init__(self, number: int, words: list[int]):
-        self.number, self.words = number, words
-
-    def slots(self, key: Column, words: int) -> list[Column]:
-        return [F.pmod(F.xxhash64(key, F.lit(1000 * self.number + k)), F.lit(64 * words)) for k in range(HASHES)]
-
-    def holds(self, key: Column) -> Column:
-        bits = F.array(*[F.lit(w) for w in self.words]) if len(self.words) <= 4096 else F.from_json(F.lit(str(self.words)), "array<bigint>")
-        test = F.lit(True)
-        for s in self.slots(key, len(self.words)):
-            test = test & (F.call_function("shiftright", F.get(bits, F.floor(s / 64).cast("int")), (s % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
-        return test
-
-
-def _level(number: int, keys: DataFrame, count: int) -> Level:
-    """The filter of ``count`` keys, a bounded number; its words come to the driver."""
-    words = max(1, math.ceil(count * BITS_PER_KEY / 64))
-    level = Level(number, [0] * words)
-    slot = keys.select(F.explode(F.array(*level.slots(F.col("key"), words))).alias("s"))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("s") % 64).cast("int"))
-    for r in slot.select(F.floor(F.col("s") / 64).alias("w"), one.alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).collect():
-        level.words[r["w"]] = r["bits"]
-    return level
-
-
-def cascade(listed: DataFrame, universe: DataFrame, folder: str) -> list[Level] | None:
-    """The levels that tell ``listed`` keys from all others of ``universe``; None beyond MOST_KEYS."""
-    n = listed.count()
-    if n > MOST_KEYS:
-        return None
-    levels: list[Level] = []
+def shard_of(key: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(shards))
+
+
+def _slots(key: Column, number: int, words: Column) -> list[Column]:
+    """A key's bit positions in a filter of that many longs."""
+    return [F.pmod(F.xxhash64(key, F.lit(1000 * number + k)), 64 * words) for k in range(HASHES)]
+
+
+def _holds(key: Column, number: int, words: Column) -> Column:
+    """Whether the filter passes the key; none passes where a shard has no filter."""
+    test = words.isNotNull()
+    for slot in _slots(key, number, F.size(words)):
+        test = test & (F.call_function("shiftright", F.get(words, F.floor(slot / 64).cast("int")), (slot % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
+    return F.coalesce(test, F.lit(False))
+
+
+def _level(number: int, keys: DataFrame) -> DataFrame:
+    """(shard, the filter's longs) of keys (shard, key)."""
+    sizes = keys.groupBy("shard").agg(F.greatest(F.lit(1).cast("long"), F.ceil(F.count("*") * BITS_PER_KEY / 64)).alias("words"))
+    slot = keys.join(sizes, "shard").select("shard", F.explode(F.array(*_slots(F.col("key"), number, F.col("words")))).alias("slot"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))
+    bits = slot.select("shard", F.floor(F.col("slot") / 64).alias("at"), one.alias("bit")).groupBy("shard", "at").agg(F.bit_or("bit").alias("bits"))
+    every = sizes.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("words") - 1)).alias("at")).join(bits, ["shard", "at"], "left")
+    return every.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("f")).select("shard", F.col("f.bits").alias(f"l{number}"))
+
+
+class Cascade:
+    """The filters by level: literals in the plan for one shard, else a table."""
+
+    def __init__(self, shards: int, levels: int, table: DataFrame | None, listed: int):
+        self.shards, self.levels, self.table, self.listed = shards, levels, table, listed
+        self.literals: list[Column] = []
+        if shards == 1 and table is not None:
+            row = table.first()  # one shard's filters: SHARD_KEYS bytes and less a level
+            for k in range(1, levels + 1):
+                words = row[f"l{k}"] or []
+                plain = F.array(*[F.lit(w) for w in words]) if 0 < len(words) <= 4096 else F.from_json(F.lit(str(words)), "array<bigint>")
+                self.literals.append(plain)
+
+    def listed_key(self, key: Column, words: list[Column] | None = None) -> Column:
+        """Whether a key of the universe is listed, by the shard's filters."""
+        words = self.literals if words is None else words
+        found = F.lit(self.levels % 2 == 1)
+        for number in range(self.levels, 0, -1):
+            found = F.when(_holds(key, number, words[number - 1]), found).otherwise(F.lit(number % 2 == 0))
+        return found
+
+    def marked(self, keys: DataFrame, key: Column, name: str) -> DataFrame:
+        """``keys`` with a column that says whether each is listed."""
+        if self.shards == 1 or self.table is None:
+            return keys.withColumn(name, self.listed_key(key))
+        return met(keys, key, self.shards, self.table, lambda: {name: self.listed_key(key, [F.col(f"l{k}") for k in range(1, self.levels + 1)])}, self.listed)
+
+
+def met(keys: DataFrame, key: Column, shards: int, table: DataFrame, found: Callable[[], dict[str, Column]], listed: int) -> DataFrame:
+    """``keys`` joined with their shard's row of ``table``, which ``found`` turns into columns."""
+    names = [c for c in table.columns if c != "shard"]
+    small = 2 * listed * BITS_PER_KEY // 8 <= FILTER_BYTES
+    rows, own = keys.withColumn("_shard", shard_of(key, shards)), table.withColumnRenamed("shard", "_shard")
+    if small:
+        joined = rows.join(F.broadcast(own), "_shard", "left")
+    else:
+        rows = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+        own = own.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        joined = rows.join(own, ["_shard", "_salt"], "left").drop("_salt")
+    return joined.withColumns(found()).drop("_shard", *names)
+
+
+def cascade(listed: DataFrame, universe: DataFrame, folder: str) -> Cascade:
+    """The levels that tell ``listed`` keys from all others of ``universe``; each has a column key."""
+    count = listed.count()
+    shards = max(1, math.ceil(count / SHARD_KEYS))
+    listed = listed.select("key", shard_of(F.col("key"), shards).alias("shard"))
+    table, number, left = None, 0, count
     inside, outside = listed, None
-    while n:
-        levels.append(_level(len(levels) + 1, inside, n))
-        passes = levels[-1].holds(F.col("key"))
+    while left:
+        number += 1
+        level = saved(_level(number, inside.select("shard", "key")), f"{folder}/filter{number}")
+        passes = lambda df, level=level, number=number: met(df, F.col("key"), shards, level, lambda: {"passes": _holds(F.col("key"), number, F.col(f"l{number}"))}, count).where("passes").select("key", "shard")
         if outside is None:
-            outside = universe.where(passes).distinct().join(listed, "key", "left_anti")
-            wrong = saved(outside, f"{folder}/level1")
+            own = passes(universe.select("key", shard_of(F.col("key"), shards).alias("shard"))).distinct()
+            wrong = saved(own.join(listed.select("key"), "key", "left_anti"), f"{folder}/level{number}")
         else:
-            wrong = saved(outside.where(passes), f"{folder}/level{len(levels)}")
+            wrong = saved(passes(outside), f"{folder}/level{number}")
+        table = level if table is None else saved(table.join(level, "shard", "left"), f"{folder}/filters{number}")
         inside, outside = wrong, inside
-        n = inside.count()
-        if n > MOST_KEYS:
-            return None
-    return levels
-
-
-def listed_key(key: Column, levels: list[Level]) -> Column:
-    """Whether a key of the universe is listed."""
-    found = F.lit(len(levels) % 2 == 1)
-    for level in reversed(levels):
-        found = F.when(level.holds(key), found).otherwise(F.lit(level.number % 2 == 0))
-    return found
+        left = inside.count()
+    return Cascade(shards, number, table, count)
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, folder: str | None = None) -> DataFrame:
@@ -117,7 +156,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, folder: st
 
     ``rules`` has (host, path, verdict).  Null urls and urls without :// have
     empty parts and no rule.  Of rules that repeat a host and path the smallest
-    verdict holds.
+    verdict holds; of rules that fit equally long the one of the longer host.
+    Rows that repeat a page_id are each judged; further columns are not read.
     """
     spark: SparkSession = pages.sparkSession
     folder = folder or work_dir(spark, "urls")
@@ -128,24 +168,20 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, folder: st
     urls = urls.withColumn("found", candidates(F.col("host"), F.col("path"), lengths) if lengths else F.lit(None))
     if not lengths:
         return urls.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    universe = urls.select(F.explode("found.key").alias("key"))
-    levels = cascade(rules.select("key"), universe, folder)
-    verdicts = {v: rules.where(F.col("verdict") == v).select("key") for v in sorted(r["verdict"] for r in rules.select("verdict").distinct().collect())}
-    if levels is not None:
-        best = F.get(F.filter("found", lambda c: listed_key(c["key"], levels)), F.lit(0))
-        urls = urls.withColumn("best", best)
-        sides = {v: cascade(k, rules.select("key"), f"{folder}/{v}") for v, k in list(verdicts.items())[1:]}
-        verdict = F.lit(next(iter(verdicts)))
-        for v, own in sides.items():
-            verdict = F.when(listed_key(F.col("best.key"), own), F.lit(v)).otherwise(verdict)
-        verdict = F.when(F.col("best").isNull(), F.lit(default)).otherwise(verdict)
-        return urls.select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))
-    spread = urls.withColumn("id", F.monotonically_increasing_id())
-    spread = saved(spread, f"{folder}/urls")
-    hits = spread.select("id", F.explode("found").alias("c")).join(rules.select("key", "verdict"), F.col("c.key") == F.col("key"))
-    top = hits.groupBy("id").agg(F.min(F.struct("c", "verdict")).alias("top"))
-    out = spread.join(top, "id", "left")
-    return out.select("page_id", "host", "path", F.col("top.c.rule").alias("rule"), F.coalesce("top.verdict", F.lit(default)).alias("verdict"))
+    levels = cascade(rules.select("key"), urls.select(F.explode("found.key").alias("key")), folder)
+    verdicts = sorted(r["verdict"] for r in rules.select("verdict").distinct().collect())
+    sides = {v: cascade(rules.where(F.col("verdict") == v).select("key"), rules.select("key"), f"{folder}/{v}") for v in verdicts[1:]}
+    if levels.shards == 1:
+        rows = urls.withColumn("best", F.get(F.filter("found", lambda c: levels.listed_key(c["key"])), F.lit(0)))
+    else:
+        spread = saved(urls.withColumn("id", F.monotonically_increasing_id()), f"{folder}/urls")
+        hits = levels.marked(spread.select("id", F.explode("found").alias("c")), F.col("c.key"), "listed").where("listed")
+        rows = spread.drop("found").join(hits.groupBy("id").agg(F.min("c").alias("best")), "id", "left")
+    verdict = F.lit(verdicts[0])
+    for k, (v, own) in enumerate(sides.items()):
+        rows = own.marked(rows, F.col("best.key"), f"side{k}")
+        verdict = F.when(F.col(f"side{k}"), F.lit(v)).otherwise(verdict)
+    return rows.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.when(F.col("best").isNull(), F.lit(default)).otherwise(verdict).alias("verdict"))
 
 
 def op3_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -200,10 +200,11 @@ def rule_table(spark):
     return spark.createDataFrame(list(bloom_cascade.RULES), "host string, path string, verdict string")
 
 
-@pytest.mark.parametrize("most", [2_000_000, 2])
-def test_url_rules(spark, monkeypatch, most):
-    """The cascade, and the join that stands in for lists beyond its bound."""
-    monkeypatch.setattr(bloom_cascade, "MOST_KEYS", most)
+@pytest.mark.parametrize(("keys", "size"), [(1 << 17, 64 << 20), (2, 64 << 20), (2, 0)])
+def test_url_rules(spark, monkeypatch, keys, size):
+    """One shard in the plan, several broadcast, several shuffled: the same cascade."""
+    monkeypatch.setattr(bloom_cascade, "SHARD_KEYS", keys)
+    monkeypatch.setattr(bloom_cascade, "FILTER_BYTES", size)
     pages = spark.createDataFrame([(k, u, 1) for k, u in enumerate(URLS)], "page_id long, url string, rule int")
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in bloom_cascade.judge(pages, rule_table(spark)).collect()}
     assert got == {k: brute_rule(u) for k, u in enumerate(URLS)}
@@ -211,14 +212,18 @@ def test_url_rules(spark, monkeypatch, most):
     assert {r["verdict"] for r in bloom_cascade.judge(pages, rule_table(spark).where("false")).collect()} == {"allow"}
 
 
-def test_cascade_is_exact(spark, tmp_path):
-    """Many keys, so that several levels are needed."""
+@pytest.mark.parametrize("keys", [1 << 17, 300])
+def test_cascade_is_exact(spark, tmp_path, monkeypatch, keys):
+    """Many keys, so that several levels are needed, in one shard and in ten."""
+    monkeypatch.setattr(bloom_cascade, "SHARD_KEYS", keys)
     universe = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = universe.where("crc32(cast(key as binary)) % 7 = 0")
-    levels = bloom_cascade.cascade(listed, universe, str(tmp_path / "l"))
-    assert len(levels) > 2
-    wrong = universe.where(bloom_cascade.listed_key(F.col("key"), levels) != F.expr("crc32(cast(key as binary)) % 7 = 0"))
+    found = bloom_cascade.cascade(listed, universe, str(tmp_path / "l"))
+    assert found.levels > 2 and found.shards == (1 if keys > 3000 else -(-listed.count() // keys))
+    wrong = found.marked(universe, F.col("key"), "found").where("found != (crc32(cast(key as binary)) % 7 = 0)")
     assert wrong.count() == 0
+    none = bloom_cascade.cascade(listed.where("false"), universe, str(tmp_path / "n"))
+    assert none.marked(universe, F.col("key"), "found").where("found").count() == 0
 
 
 def brute_targets(sizes):
