@@ -48,8 +48,11 @@ def expanded(conversations: DataFrame) -> DataFrame:
     """(conv_id, example, text, loss_start, loss_chars) from (conv_id, turn, role, text) rows.
 
     Turns are taken by (turn, role, text), null turns first; null roles and
-    texts are empty.  Null conv_ids are one conversation.  Offsets count code
-    points; an example without a trainable part has loss_chars null.
+    texts are empty; rows that repeat are turns of their own.  Null conv_ids are
+    one conversation.  Offsets count code points; an example without a trainable
+    part has loss_chars null.  An empty table has no examples; further columns
+    are not read.  A conversation is one row of one task, as its examples are:
+    it must fit there, with T turns T times.
     """
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     whole = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
