@@ -40,7 +40,8 @@ from .textkernel import LOWER, SPACE, HashIndex, gather, give_back, numbered, pi
 
 END_ID = 2
 END, FIRST_RULE = 1 << 19, 1 << 20  # how a block holds the end id; its first nonterminal
-BLOCK_TOKENS, LEAST_USES, SLOT_BITS = 2_000_000, 2, 20
+BLOCK_TOKENS, LEAST_USES, DENSE_ROUNDS = 2_000_000, 2, 3
+PLACE_BITS, SYMBOL_BITS = 22, 21  # of a sorted number that holds a pair and a place
 STEP = 1 << 17  # positions that are worked on at once, so that temporary arrays stay small
 CACHE_PIECES, ENCODED_BYTES = 1_500_000, 1 << 19
 MAGIC = b"QMRP0002"
@@ -129,7 +130,7 @@ class Encoder:
     def clear(self) -> None:
         self.known = HashIndex()
         self.ids = np.zeros(1 << 16, np.int32)
-        self.start, self.size, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+        self.start, self.size, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), 0
 
     def _ids(self, pieces: list[bytes], pure: np.ndarray) -> list[list[int]]:
         """Ids of pieces.  One of a single class is one pre-token: it goes to the
@@ -154,7 +155,7 @@ class Encoder:
         sizes = np.array([len(x) for x in new], np.int64)
         n, at = self.known.count, self.used
         while len(self.start) < n + len(new):
-            self.start, self.size = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.start, self.size))
+            self.start, self.size = (np.concatenate([x, np.zeros(len(x), np.int32)]) for x in (self.start, self.size))
         while len(self.ids) < at + sizes.sum():
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.int32)])
         self.start[n : n + len(new)] = at + np.cumsum(sizes) - sizes
@@ -190,79 +191,52 @@ class Encoder:
 def repair(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules (left, right) and each rule's expansion length.
 
-    Rounds go on until no pair is found LEAST_USES times, overlaps aside.  Pairs
-    are counted exactly: a pair of old symbols never becomes more frequent, so
-    its positions are counted again only while it repeats, and new pairs stand
-    only beside symbols that the last round put in.
+    Rounds go on until no pair is found LEAST_USES times, overlaps aside.  The
+    first rounds, which replace much, count all pairs and close the gaps.  Then
+    pairs are counted exactly by change: a pair of old symbols never becomes more
+    frequent, so its places are counted again only while it repeats, and new
+    pairs stand only beside symbols that the last round put in.
     """
-    n = len(a)
-    symbol = np.append(a, END).astype(np.int32)
+    grammar = _Grammar()
+    symbol = np.empty(len(a) + 1, np.int32)
+    symbol[:-1], symbol[-1] = a, END
+    nxt, prv = (lambda x: x + np.int32(1)), (lambda x: x - np.int32(1))
+    for _ in range(DENSE_ROUNDS):
+        at = np.flatnonzero((symbol[:-1] != END) & (symbol[1:] != END)).astype(np.int32)
+        at, code, n_codes = _repeated(symbol, nxt, at)
+        at, code, hit, which = _chosen(symbol, at, code, n_codes, nxt, prv)
+        if not len(at):
+            break
+        first = at[hit]
+        symbol[first] = grammar.add(symbol[first], symbol[first + 1], which)
+        stay = np.ones(len(symbol), bool)
+        stay[first + 1] = False
+        del at, code, hit, which, first
+        symbol = symbol[stay]
+        del stay
+    n = len(symbol) - 1
     after = np.arange(1, n + 2, dtype=np.int32)
     after[n] = n
     before = np.arange(-1, n, dtype=np.int32)
     before[0] = n
     there = np.ones(n, bool)
-    rank = np.zeros(n + 1, np.int32)
-    rules, length, n_rules = [], np.zeros(0, np.int32), 0
+    nxt, prv = after.__getitem__, before.__getitem__
     at, code, n_codes = np.zeros(0, np.int32), np.zeros(0, np.int32), 0
     fresh = np.arange(n, dtype=np.int32)
     while True:
         fresh = fresh[(symbol[fresh] != END) & (symbol[after[fresh]] != END)]
-        pair = symbol[fresh].astype(np.uint64)
-        pair <<= np.uint64(32)
-        pair |= symbol[after[fresh]].astype(np.uint32)
-        known = _repeated(pair)
-        del pair
-        some = known >= 0
-        at, code = np.concatenate([at, fresh[some]]), np.concatenate([code, known[some] + np.int32(n_codes)])
-        del known, some, fresh
-        if not len(at):
-            break
+        more, known, n_known = _repeated(symbol, nxt, fresh)
+        at, code = np.concatenate([at, more]), np.concatenate([code, known + np.int32(n_codes)])
+        del more, known, fresh
         # codes stay small: those no longer in use go
-        used = np.bincount(code) > 0
-        code = (np.cumsum(used, dtype=np.int32) - 1)[code]
-        # of a run of one symbol, every other position from the left is a use
-        own = np.ones(len(at), bool)
-        same = np.flatnonzero(symbol[at] == symbol[after[at]])
-        if len(same):
-            same = same[np.argsort(at[same])]
-            run = np.ones(len(same), bool)
-            run[1:] = after[at[same[:-1]]] != at[same[1:]]
-            begin = np.maximum.accumulate(np.where(run, np.arange(len(same)), 0))
-            own[same[((np.arange(len(same)) - begin) & 1) == 1]] = False
-        uses = np.bincount(code[own])
-        if len(same):
-            uses = np.append(uses, np.zeros(int(code.max()) + 1 - len(uses), np.int64))
-        n_codes = len(uses)
-        live = uses[code] >= LEAST_USES
-        at, code, own = at[live], code[live], own[live]
+        used = np.bincount(code, minlength=n_codes + n_known) > 0
+        code, n_codes = (np.cumsum(used, dtype=np.int32) - 1)[code], int(used.sum())
+        at, code, hit, which = _chosen(symbol, at, code, n_codes, nxt, prv)
         if not len(at):
             break
-        # of overlapping pairs the more frequent goes first; the most frequent keeps all its uses
-        place = np.empty(n_codes, np.int32)
-        place[np.argsort(uses, kind="stable")] = np.arange(1, n_codes + 1, dtype=np.int32)
-        mine = place[code]
-        mine[~own] = 0
-        rank[at] = mine
-        hit = np.empty(len(at), bool)
-        for a in range(0, len(at), STEP):
-            here = at[a : a + STEP]
-            hit[a : a + STEP] = (mine[a : a + STEP] > rank[before[here]]) & (mine[a : a + STEP] > rank[after[here]])
-        del mine
-        rank[at] = 0
-        good = np.bincount(code[hit], minlength=n_codes) >= LEAST_USES
-        hit &= good[code]
-        first, which = at[hit], (np.cumsum(good, dtype=np.int32) - 1)[code[hit]]
+        first = at[hit]
         second = after[first]
-        pair = np.empty((int(good.sum()), 2), np.int32)
-        pair[which, 0], pair[which, 1] = symbol[first], symbol[second]
-        rules.append(pair)
-        deep = pair >= FIRST_RULE
-        part = np.ones(pair.shape, np.int32)
-        part[deep] = length[pair[deep] - FIRST_RULE]
-        length = np.concatenate([length, part.sum(axis=1, dtype=np.int32)])
-        symbol[first] = FIRST_RULE + n_rules + which
-        n_rules += len(pair)
+        symbol[first] = grammar.add(symbol[first], symbol[second], which)
         there[second] = False
         after[first] = after[second]
         before[after[first]] = first
@@ -274,25 +248,105 @@ def repair(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         new[second] = True
         stay = ~new[at]
         at, code = at[stay], code[stay]
-    table = np.concatenate(rules) if rules else np.zeros((0, 2), np.int32)
-    return symbol[:n][there], table, length
-
-
-def _repeated(pair: np.ndarray) -> np.ndarray:
-    """A number for each pair that is there more than once, -1 for the others."""
-    out = np.full(len(pair), -1, np.int32)
-    # a pair alone in its slot is there once; the others are counted exactly
-    slot = np.empty(len(pair), np.int32)
-    for a in range(0, len(pair), STEP):
-        slot[a : a + STEP] = (pair[a : a + STEP] * _MIX) >> np.uint64(64 - SLOT_BITS)
-    maybe = (np.bincount(slot, minlength=1 << SLOT_BITS) > 1)[slot]
-    del slot
-    code = numbered(pair[maybe])[0]
-    out[maybe] = np.where((np.bincount(code) < 2)[code], np.int32(-1), code)
-    return out
+    return symbol[:n][there], *grammar.tables()
+
 
+class _Grammar:
+    """Rules in the order in which they came, with their expansion lengths."""
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+    def __init__(self) -> None:
+        self.rules, self.length = [np.zeros((0, 2), np.int32)], np.zeros(0, np.int32)
+
+    def add(self, left: np.ndarray, right: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Rules for the pairs that have the numbers ``which``; the symbols that stand for them."""
+        pair = np.empty((int(which.max()) + 1, 2), np.int32)
+        pair[which, 0], pair[which, 1] = left, right
+        deep = pair >= FIRST_RULE
+        part = np.ones(pair.shape, np.int32)
+        part[deep] = self.length[pair[deep] - FIRST_RULE]
+        begin = FIRST_RULE + len(self.length)
+        self.rules.append(pair)
+        self.length = np.concatenate([self.length, part.sum(axis=1, dtype=np.int32)])
+        return begin + which
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate(self.rules), self.length
+
+
+def _chosen(symbol: np.ndarray, at: np.ndarray, code: np.ndarray, n_codes: int, nxt, prv) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of places and their pairs' numbers: those of pairs that repeat, which places a
+    rule replaces, and the rule's number at each of these."""
+    none = np.zeros(0, bool)
+    if not len(at):
+        return at, code, none, code
+    # of a run of one symbol, every other position from the left is a use
+    own = np.ones(len(at), bool)
+    same = np.flatnonzero(symbol[at] == symbol[nxt(at)])
+    uses = np.bincount(code, minlength=n_codes)
+    if len(same):
+        same = same[np.argsort(at[same])]
+        run = np.ones(len(same), bool)
+        run[1:] = nxt(at[same[:-1]]) != at[same[1:]]
+        begin = np.maximum.accumulate(np.where(run, np.arange(len(same)), 0))
+        other = same[((np.arange(len(same)) - begin) & 1) == 1]
+        own[other] = False
+        uses -= np.bincount(code[other], minlength=n_codes)
+    few = uses < LEAST_USES
+    if few.any():
+        live = ~few[code]
+        at, code, own = at[live], code[live], own[live]
+    if not len(at):
+        return at, code, none, code
+    # of overlapping pairs the more frequent goes first; the most frequent keeps all its uses
+    place = np.empty(len(uses), np.int32)
+    place[np.argsort(uses, kind="stable")] = np.arange(1, len(uses) + 1, dtype=np.int32)
+    mine = place[code]
+    if len(same):
+        mine[~own] = 0
+    rank = np.zeros(len(symbol), np.int32)
+    rank[at] = mine
+    hit = np.empty(len(at), bool)
+    for a in range(0, len(at), STEP):
+        here = at[a : a + STEP]
+        hit[a : a + STEP] = (mine[a : a + STEP] > rank[prv(here)]) & (mine[a : a + STEP] > rank[nxt(here)])
+    good = np.bincount(code[hit], minlength=len(uses)) >= LEAST_USES
+    hit &= good[code]
+    return at, code, hit, (np.cumsum(good, dtype=np.int32) - 1)[code[hit]]
+
+
+def _repeated(symbol: np.ndarray, nxt, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The places, of those given, whose pairs are there more than once; numbers of their pairs; how many numbers."""
+    none = np.zeros(0, np.int32)
+    if not len(first):
+        return none, none, 0
+    left, right = symbol[first], symbol[nxt(first)]
+    if len(first) > 1 << PLACE_BITS or max(left.max(), right.max()) >= 1 << SYMBOL_BITS:
+        code = numbered((left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint32))[0]
+        size = np.bincount(code)
+        some = size[code] > 1
+        return first[some], code[some], len(size)
+    # pair and place in one number: sorted, equal pairs are neighbours, in the order of their places
+    key = left.astype(np.uint64)
+    key <<= np.uint64(SYMBOL_BITS)
+    key |= right.astype(np.uint32)
+    key <<= np.uint64(PLACE_BITS)
+    key |= np.arange(len(first), dtype=np.uint32)
+    del left, right
+    key.sort()
+    place = (key & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int32)
+    key >>= np.uint64(PLACE_BITS)
+    same = key[1:] == key[:-1]
+    del key
+    some = np.zeros(len(place), bool)
+    some[1:] = same
+    begins = np.ones(len(place), bool)
+    begins[1:] = ~same
+    some[:-1] |= same
+    begins &= some
+    code = np.full(len(first), -1, np.int32)
+    code[place[some]] = np.cumsum(begins[some], dtype=np.int32) - 1
+    some = code >= 0
+    return first[some], code[some], int(begins.sum())
 
 
 def _lengths(rules: np.ndarray) -> np.ndarray:
@@ -431,6 +485,7 @@ def _writer(path: str):
             nonlocal ids, sizes, docs, held
             n, all_ids, all_docs = np.concatenate(sizes), np.concatenate(ids), pa.concat_arrays(docs)
             ids, sizes, docs, held = [], [], [], 0
+            give_back()  # what the encoder freed
             raw = pack(all_ids, n, all_docs)
             give_back()
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(n)], pa.int64()), pa.array([int(n.sum())], pa.int64()), pa.array([raw], pa.binary())], names=["part", "seq", "n_docs", "n_tokens", "block"])

@@ -1,7 +1,7 @@
 """Toxicity: a factorization machine over hashed terms.
 
 Terms are lower-cased words (runs of ASCII letters, digits and non-ASCII bytes)
-and their first four to eight bytes, hashed to 2**18 buckets.  Every bucket is an
+and their first five, seven and nine bytes, hashed to 2**18 buckets.  Every bucket is an
 input of the machine.  score = sigmoid(bias + sum w_i x_i + sum over pairs
 <v_i, v_j> x_i x_j), so that two terms together can weigh more, or less, than
 each alone.  x_i is the bucket's value if the document has it: g / (g + CHANCE),
@@ -24,15 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, mapped, saved, work_dir
-from .textkernel import LOWER, gather, mix, pieces, span_hashes, split_spans, text_bytes
+from .textkernel import LOWER, gather, give_back, mix, pieces, span_hashes, split_spans, text_bytes
 from .training import labelled
 
 HASH_BITS, FACTORS, SAMPLE_TERMS, STEP_TERMS = 18, 8, 24_000_000, 400_000
 BUCKETS = 1 << HASH_BITS
 #: Prefixes, in bytes; log-likelihood ratio that counts half
-PREFIXES, CHANCE = range(4, 9), 16.0
+PREFIXES, CHANCE = (5, 7, 9), 16.0
 #: Passes over the sample, and steps at least; documents of a step; rate; weight of a toxic document; decays of w and v
-EPOCHS, STEPS, BATCH, RATE, WEIGHT, DECAY, DECAY_PAIRS = 6, 150, 128, 0.15, 3.0, 1e-4, 1e-3
+EPOCHS, STEPS, BATCH, RATE, WEIGHT, DECAY, DECAY_PAIRS = 2, 150, 128, 0.15, 4.0, 1e-4, 1e-3
 REJECT = 0.5
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
@@ -159,6 +159,8 @@ def fit(docs: DataFrame, labels: DataFrame, folder: str | None = None) -> Machin
     order = np.lexsort([rows.column(c).to_numpy() for c in ("label", "size", "mark")])
     lists = pa.concat_arrays(rows.column("terms").chunks)
     x, first = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+    del rows
+    give_back()
     g = evidence(x, first, y)
     model = Machine(bias, g**2 / (g**2 + CHANCE**2) + 1 / np.sqrt(max(1.0, np.diff(first).mean())))
     model.fit(x, first, y, order)

@@ -140,12 +140,12 @@ def test_machine_is_the_sum_over_pairs():
 
 def test_terms_and_evidence(spark, monkeypatch):
     x, first = toxicity.term_buckets(pa.array(["Idiot idiot, abc", None, "", "abcdefghij"], pa.string()))
-    assert np.diff(first).tolist() == [3, 0, 0, 6]  # idiot, idio, abc; the word and its prefixes of 4 to 8 bytes
+    assert np.diff(first).tolist() == [2, 0, 0, 4]  # idiot, abc; the word and its prefixes of 5, 7 and 9 bytes
     labels = np.array([1.0, 0, 0, 1])
     g = toxicity.evidence(x, first, labels)
     told = lambda n, k: sum(c * np.log(c / n) for c in (k, n - k) if c)
     assert np.allclose(g[x], 2 * (told(1, 1) + told(3, 1) - told(4, 2)))
-    monkeypatch.setattr(toxicity, "STEP_TERMS", 4)
+    monkeypatch.setattr(toxicity, "STEP_TERMS", 3)
     assert [s.tolist() for s in toxicity.steps(np.array([3, 0, 1, 2]), np.diff(first))] == [[3], [0, 1, 2]]
     docs, labels = labelled_docs(spark, "toxic")
     sample = docs.join(labels, "doc_id").select(F.col("toxic").alias("label"), F.lit(10).cast("long").alias("size"), F.col("doc_id").alias("mark"))
