@@ -114,8 +114,8 @@ def split_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) ->
         after[edges - 1] = False
     start = np.flatnonzero(inside & ~before)
     end = np.flatnonzero(inside & ~after) + 1
-    row = np.searchsorted(offsets, start, side="right") - 1
     first = np.searchsorted(start, offsets)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     return Words(data, offsets, start, end, row, first)
 
 

@@ -43,7 +43,7 @@ END, FIRST_RULE = 1 << 19, 1 << 20  # how a block holds the end id; its first no
 BLOCK_TOKENS, LEAST_USES, DENSE_ROUNDS = 2_000_000, 2, 3
 PLACE_BITS, SYMBOL_BITS = 22, 21  # of a sorted number that holds a pair and a place
 STEP = 1 << 17  # positions that are worked on at once, so that temporary arrays stay small
-CACHE_PIECES, ENCODED_BYTES = 1_500_000, 1 << 19
+CACHE_PIECES, ENCODED_BYTES = 1_500_000, 1 << 17
 MAGIC = b"QMRP0002"
 
 _LETTER, _DIGIT, _SYMBOL, _OTHER, _BLANK = 1, 2, 3, 4, 0
@@ -79,7 +79,7 @@ def opened_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def piece_spans(data: np.ndarray, offsets: np.ndarray, special: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of the pieces of rows, and whether each is of one class.
+    """Start, end and row of the pieces of rows, and whether each is of one class.  Rows hold ascending pieces.
 
     With ``special``, rows that hold a special token's opening stay whole.
     """
@@ -100,9 +100,10 @@ def piece_spans(data: np.ndarray, offsets: np.ndarray, special: bool = False) ->
     start, end = bound[:-1], bound[1:]
     full = cls[start] != _BLANK
     start, end = start[full], end[full]
-    odd = np.zeros(n + 1, np.int32)
-    np.cumsum(cls == _OTHER, out=odd[1:])
-    return start, end, np.searchsorted(offsets, start, side="right") - 1, odd[end] == odd[start]
+    pure = np.ones(len(start), bool)
+    pure[np.searchsorted(start, np.flatnonzero(cls == _OTHER), side="right") - 1] = False
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(start, offsets)))
+    return start, end, row, pure
 
 
 def _byte_chars() -> dict[int, int]:
@@ -183,7 +184,8 @@ class Encoder:
             at[new] = np.arange(self.known.count, self.known.count + len(new))
             self._learn(distinct[new], [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())], pure[first])
         which = at[codes]
-        per_row = np.bincount(row, self.size[which], len(offsets) - 1).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(self.size[which], dtype=np.int64)])
+        per_row = np.diff(ends[np.searchsorted(start, offsets)])
         ids = gather(self.ids, self.start, self.size, which)
         return np.insert(ids, np.cumsum(per_row), END).astype(np.int32, copy=False) if len(per_row) else ids, per_row + 1
 
@@ -200,20 +202,17 @@ def repair(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     grammar = _Grammar()
     symbol = np.empty(len(a) + 1, np.int32)
     symbol[:-1], symbol[-1] = a, END
-    nxt, prv = (lambda x: x + np.int32(1)), (lambda x: x - np.int32(1))
     for _ in range(DENSE_ROUNDS):
-        at = np.flatnonzero((symbol[:-1] != END) & (symbol[1:] != END)).astype(np.int32)
-        at, code, n_codes = _repeated(symbol, nxt, at)
-        at, code, hit, which = _chosen(symbol, at, code, n_codes, nxt, prv)
-        if not len(at):
+        if len(symbol) > 1 << PLACE_BITS or len(symbol) < 3 or symbol.max() >= 1 << SYMBOL_BITS:
+            break
+        first, which = _all_chosen(symbol)
+        if not len(first):
             break
-        first = at[hit]
         symbol[first] = grammar.add(symbol[first], symbol[first + 1], which)
         stay = np.ones(len(symbol), bool)
         stay[first + 1] = False
-        del at, code, hit, which, first
         symbol = symbol[stay]
-        del stay
+        del first, which, stay
     n = len(symbol) - 1
     after = np.arange(1, n + 2, dtype=np.int32)
     after[n] = n
@@ -251,6 +250,54 @@ def repair(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return symbol[:n][there], *grammar.tables()
 
 
+def _all_chosen(symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a whole sequence: the places whose pairs a rule replaces, and the rule's number at each."""
+    left, right = symbol[:-1], symbol[1:]
+    # pair and place in one number: sorted, equal pairs are neighbours
+    key = left.astype(np.uint64)
+    key <<= np.uint64(SYMBOL_BITS)
+    key |= right.view(np.uint32)
+    key <<= np.uint64(PLACE_BITS)
+    key |= np.arange(len(key), dtype=np.uint64)
+    key.sort()
+    place = (key & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int32)
+    key >>= np.uint64(PLACE_BITS)
+    edge = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=edge[1:])
+    begin = np.flatnonzero(edge).astype(np.int32)
+    size = np.diff(begin, append=np.int32(len(key))).astype(np.int32)
+    many = size > 1
+    pairs, uses = key[begin[many]], size[many].astype(np.int64)
+    del key, edge, begin
+    # of a run of one symbol, every other position from the left is a use
+    same = np.flatnonzero(left == right)
+    if len(same):
+        run = np.ones(len(same), bool)
+        run[1:] = same[1:] != same[:-1] + 1
+        start = np.maximum.accumulate(np.where(run, np.arange(len(same)), 0))
+        same = same[((np.arange(len(same)) - start) & 1) == 1]
+        own = (left[same].astype(np.uint64) << np.uint64(SYMBOL_BITS)) | right[same].astype(np.uint64)
+        uses -= np.bincount(np.searchsorted(pairs, own), minlength=len(uses))
+    # of overlapping pairs the more frequent goes first; the most frequent keeps all its uses
+    order = np.empty(len(uses), np.int32)
+    order[np.argsort(uses, kind="stable")] = np.arange(1, len(uses) + 1, dtype=np.int32)
+    end, low = np.uint64(END), np.uint64((1 << SYMBOL_BITS) - 1)
+    order[(uses < LEAST_USES) | (pairs >> np.uint64(SYMBOL_BITS) == end) | (pairs & low == end)] = 0
+    each = np.zeros(len(size), np.int32)
+    each[many] = order
+    rank = np.zeros(len(symbol) + 1, np.int32)  # the last two places, and what stands before the first, are no pairs
+    rank[place] = np.repeat(each, size)
+    rank[same] = 0
+    del place, each, size
+    hit = rank[:-2] > rank[1:-1]
+    hit[1:] &= rank[1:-2] > rank[:-3]
+    first = np.flatnonzero(hit).astype(np.int32)
+    pair = rank[first]
+    good = np.bincount(pair, minlength=len(uses) + 1) >= LEAST_USES
+    keep = good[pair]
+    return first[keep], (np.cumsum(good, dtype=np.int32) - 1)[pair[keep]]
+
+
 class _Grammar:
     """Rules in the order in which they came, with their expansion lengths."""
 
@@ -365,22 +412,24 @@ def _lengths(rules: np.ndarray) -> np.ndarray:
 def expand(symbols: np.ndarray, rules: np.ndarray, length: np.ndarray | None = None) -> np.ndarray:
     """Tokens of symbols, END as it is."""
     length = _lengths(rules) if length is None else length
+    left, right = rules[:, 0], rules[:, 1]
+    left_deep, right_deep = left >= FIRST_RULE, right >= FIRST_RULE
+    left_rule, right_rule = np.where(left_deep, left - FIRST_RULE, 0), np.where(right_deep, right - FIRST_RULE, 0)
+    half = np.where(left_deep, length[left_rule], 1).astype(np.int32) if len(rules) else length
     size = np.ones(len(symbols), np.int64)
     deep = symbols >= FIRST_RULE
     size[deep] = length[symbols[deep] - FIRST_RULE]
-    start = np.cumsum(size) - size
-    out = np.empty(int(size.sum()), symbols.dtype)
-    out[start[~deep]] = symbols[~deep]
+    ends = np.cumsum(size)
+    start = (ends - size).astype(np.int32 if not len(ends) or ends[-1] < 1 << 31 else np.int64)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, symbols.dtype)
+    out[start] = symbols
     at, rule = start[deep], symbols[deep] - FIRST_RULE
     while len(at):
-        pair = rules[rule]
-        deep = pair >= FIRST_RULE
-        place = np.stack([at, at], 1)
-        first = deep[:, 0]
-        place[:, 1] += 1
-        place[first, 1] += length[pair[first, 0] - FIRST_RULE] - 1
-        out[place[~deep]] = pair[~deep]
-        at, rule = place[deep], pair[deep] - FIRST_RULE
+        # a nonterminal's place is written again by what it stands for
+        other = at + half[rule]
+        out[at], out[other] = left[rule], right[rule]
+        first, second = left_deep[rule], right_deep[rule]
+        at, rule = np.concatenate([at[first], other[second]]), np.concatenate([left_rule[rule[first]], right_rule[rule[second]]])
     return out
 
 
