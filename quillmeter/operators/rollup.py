@@ -10,8 +10,9 @@ from ..functions.instants import day_key, iso, zone
 from ..schema import COUNTERS
 from .blocks import DEFAULT_BLOCK_MS, with_block
 
-#: Fixed value: counters stop at the largest unsigned 64-bit number
-MOST = "18446744073709551615"
+#: Where counters stop, as unsigned and as signed 64-bit numbers
+MOST, MOST_LONG = "18446744073709551615", "9223372036854775807"
+LOW_BITS = 24
 DIMENSIONS = ("model", "day", "session", "harness", "workspace", "block")
 
 
@@ -23,31 +24,38 @@ def key_column(by: str, tz: str | None) -> Column:
     return F.col({"model": "model", "session": "session_id", "harness": "harness"}[by])
 
 
-def _saturating(total: Column) -> Column:
-    return F.least(total, F.lit(MOST).cast("decimal(38,0)"))
+def saturating_sum(c: Column, unsigned: bool = False) -> Column:
+    """The sum of counters, stopping at the largest 64-bit number instead of failing.
+
+    High and low parts are summed as longs, so rows cost no decimals; a group's
+    parts meet in one.  As a BIGINT, or with ``unsigned`` as a decimal.
+    """
+    low = F.sum(c.bitwiseAND(F.lit((1 << LOW_BITS) - 1)))
+    high = F.try_sum(F.call_function("shiftright", c, F.lit(LOW_BITS)))
+    most = F.lit(MOST if unsigned else MOST_LONG).cast("decimal(38,0)")
+    total = high.cast("decimal(28,0)") * F.lit(1 << LOW_BITS).cast("decimal(9,0)") + low.cast("decimal(28,0)")
+    held = F.when(low.isNotNull(), F.coalesce(F.least(total.cast("decimal(38,0)"), most), most))
+    return held if unsigned else held.cast("bigint")
 
 
 def aggregates(saturate: bool = False) -> list[Column]:
-    """Token sums (optionally as decimals that saturate), events, turns, calls, cost."""
+    """Token sums (with ``saturate`` as unsigned decimals), events, turns, calls, cost."""
     t = F.col("tokens")
-
-    def total(c: Column) -> Column:
-        return _saturating(F.sum(c.cast("decimal(20,0)"))) if saturate else F.sum(c)
-
-    sums = [F.coalesce(total(t[c]), F.lit(0)).alias(c) for c in COUNTERS]
+    zero = F.lit(0).cast("decimal(38,0)" if saturate else "bigint")
+    sums = [F.coalesce(saturating_sum(t[c], saturate), zero).alias(c) for c in COUNTERS]
     finite = F.when(F.abs("cost_usd") < float("inf"), F.col("cost_usd"))
     return [
         *sums,
-        total(one_hour_writes(t)).alias("cache_write_1h"),
+        saturating_sum(one_hour_writes(t), saturate).alias("cache_write_1h"),
         F.count("*").alias("events"),
         F.count_if(F.coalesce("turn", F.lit(False))).alias("turns"),
-        F.sum(F.coalesce("calls", F.lit(1))).cast("bigint").alias("calls"),
+        saturating_sum(F.coalesce("calls", F.lit(1).cast("bigint"))).alias("calls"),
         F.sum(finite).alias("cost_usd"),
     ]
 
 
-def rollup(events: DataFrame, by: str = "model", tz: str | None = "UTC", block_ms: int = DEFAULT_BLOCK_MS, saturate: bool = False) -> DataFrame:
-    """One row per key.  ``block`` keys are the ISO starts of greedy fixed windows;
+def rollup(events: DataFrame, by: str = "model", tz: str | None = None, block_ms: int = DEFAULT_BLOCK_MS, saturate: bool = False) -> DataFrame:
+    """One row per key; days and blocks are of ``tz``, by default the system's zone.  ``block`` keys are the ISO starts of greedy fixed windows;
     events without an instant share ``invalid-date``.  Rows come in key order
     from :func:`ordered`."""
     if by not in DIMENSIONS:
@@ -59,6 +67,11 @@ def rollup(events: DataFrame, by: str = "model", tz: str | None = "UTC", block_m
     return keyed.groupBy("key").agg(*aggregates(saturate))
 
 
+def canonical(events: DataFrame) -> DataFrame:
+    """Events in the order in which results are compared."""
+    return events.orderBy("timestamp", "session_id", "message_id", "model")
+
+
 def ordered(rows: DataFrame) -> DataFrame:
     """Bytewise by key, the invalid date last."""
     return rows.orderBy(F.col("key") == "invalid-date", "key")

@@ -61,3 +61,12 @@ def deltas(counters: list[str], by: list[str], order: list[str]) -> dict[str, Co
 def without_covered(df: DataFrame, covering: DataFrame, key: str) -> DataFrame:
     """Rows of sessions that the covering source does not have."""
     return df.join(covering.select(key).distinct(), key, "left_anti")
+
+
+def in_lanes(*lanes: DataFrame) -> DataFrame:
+    """All rows of the lanes, in order of precedence, with the lane's number."""
+    numbered = [df.withColumn("lane", F.lit(k)) for k, df in enumerate(lanes)]
+    out = numbered[0]
+    for df in numbered[1:]:
+        out = out.unionByName(df)
+    return out

@@ -1,7 +1,7 @@
 """Pricing: model lookup across catalogs, priced rollups and priced event groups.
 
 Only distinct models are looked up.  The catalog relation is small and bounded
-by its payloads; its size is checked before it is broadcast.
+by its payloads; what is found is counted before it is broadcast.
 """
 
 from __future__ import annotations
@@ -16,17 +16,14 @@ from ..functions.instants import iso, zone
 from ..operators.rollup import aggregates, key_column
 
 MODES = ("calculate", "display", "auto")
-#: Catalog rows up to which the relation is broadcast: a public catalog has some thousand
-BROADCAST_KEYS = 200_000
+#: Distinct models up to which their prices are broadcast
+BROADCAST_MODELS = 50_000
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """Broadcast if the counted rows allow, else joined as Spark sees fit.
-
-    What is counted is kept, so that it is not computed twice.
-    """
-    kept = df.persist()
-    return F.broadcast(kept) if kept.count() <= BROADCAST_KEYS else kept
+def _priced_models(models: DataFrame, catalog: DataFrame) -> DataFrame:
+    """The lookup of the distinct models, broadcast if their number allows."""
+    found = lookup(models, catalog).persist()  # read by the count and by the joins
+    return F.broadcast(found) if found.count() <= BROADCAST_MODELS else found
 
 
 def lookup(models: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -37,8 +34,9 @@ def lookup(models: DataFrame, catalog: DataFrame) -> DataFrame:
     catalogs the first override hit or tiered hit wins, else the first flat hit.
     """
     distinct = models.select("model").distinct().withColumn("keys", candidate_keys(F.col("model")))
-    tries = distinct.select("model", F.posexplode("keys").alias("rank", "key"))
-    found = tries.join(_bounded(catalog), "key")
+    # of an inner explode Spark would infer a filter on the keys and compute them for every row before the distinct
+    tries = distinct.select("model", F.posexplode_outer("keys").alias("rank", "key")).where("key is not null")
+    found = tries.join(catalog, "key")
     best = found.groupBy("model", "catalog_ord").agg(F.min_by(F.struct("key", "price", "source", "fetched_at", "is_override"), F.struct("rank", "key_ord")).alias("hit"))
     tiered = F.coalesce(F.size("hit.price.tiers") > 0, F.lit(False))
     best = best.withColumn("zero", is_zero_cost(F.col("hit.price")) & ~F.col("hit.is_override")).withColumn("tiered", tiered)
@@ -62,7 +60,7 @@ def price_rollups(rollups: DataFrame, catalog: DataFrame, mode: str = "calculate
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}")
     found = lookup(rollups.select(F.col("key").alias("model")), catalog).withColumnRenamed("model", "key")
-    rows = rollups.join(_bounded(found), "key", "left")
+    rows = rollups.join(found, "key", "left")
     calculated = cost_usd(_tokens(), F.col("price"))
     recorded = F.col("cost_usd")
     usd = {
@@ -72,15 +70,16 @@ def price_rollups(rollups: DataFrame, catalog: DataFrame, mode: str = "calculate
     }[mode]
     many = F.col("tiered") & ((F.col("events") > 1) | (F.col("calls") > 1))
     shown = {"calculate": F.lit(True), "display": F.lit(False), "auto": recorded.isNull()}[mode]
-    return rows.withColumn("usd", usd).withColumn("tiered_aggregate", F.col("priced") & many & shown).drop("fetched_at")
+    return rows.withColumn("usd", usd).withColumn("tiered_aggregate", F.col("priced") & many & shown)
 
 
-def price_events(events: DataFrame, catalog: DataFrame, by: str = "day", tz: str | None = "UTC", mode: str = "calculate", block_ms: int = DEFAULT_BLOCK_MS) -> DataFrame:
+def price_events(events: DataFrame, catalog: DataFrame, by: str = "day", tz: str | None = None, mode: str = "calculate", block_ms: int = DEFAULT_BLOCK_MS) -> DataFrame:
     """Groups of events with the exact sum of their costs (as decimals, so it
     does not depend on order) and the group's pricing kind.
 
-    Blocks are priced by their own keys.  ``events`` may carry ``seq``, the
-    input order, for the first hit and miss; else message_id stands for it.
+    Blocks are priced by their own keys.  ``seq``, where events have it, is their
+    order: of a group's models the first priced one gives ``hit``, and what the
+    others tried is listed as they came.  Else message_id stands for it.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}")
@@ -88,9 +87,9 @@ def price_events(events: DataFrame, catalog: DataFrame, by: str = "day", tz: str
         keyed = with_block(events, zone(tz), block_ms).withColumn("key", F.coalesce(iso(F.col("block_start")), F.lit("invalid-date")))
     else:
         keyed = events.withColumn("key", key_column(by, tz))
-    found = lookup(events.select("model"), catalog)
+    found = _priced_models(events.select("model"), catalog)
     seq = F.col("seq") if "seq" in events.columns else F.col("message_id")
-    rows = keyed.withColumn("_seq", seq).join(_bounded(found), "model", "left")
+    rows = keyed.withColumn("_seq", seq).join(found.select("model", "priced", "price"), "model", "left")
     recorded = F.when(F.abs("cost_usd") < float("inf"), F.col("cost_usd"))
     calculated = cost_usd(F.col("tokens"), F.col("price"))
     usd = {
@@ -98,17 +97,17 @@ def price_events(events: DataFrame, catalog: DataFrame, by: str = "day", tz: str
         "display": F.coalesce(recorded, F.lit(0.0)),
         "auto": F.coalesce(recorded, calculated, F.lit(0.0)),
     }[mode]
-    rows = rows.withColumn("_usd", usd.cast("decimal(28,12)"))
-    hit = F.struct("source", "matched_key", "tiered")
-    grouped = rows.groupBy("key").agg(
-        *aggregates(), F.sum("_usd").cast("double").alias("usd"), F.bool_and("priced").alias("priced"), F.array_sort(F.collect_set("model")).alias("models"),
-        F.min_by(F.when(F.col("priced"), hit), F.when(F.col("priced"), F.col("_seq"))).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("attempted")))).alias("attempted"),
-        F.bool_or(F.coalesce(F.col("calls") > 1, F.lit(False))).alias("multi_call"),
+    # by model first: the models of a group are few, and what is known of each joins those alone
+    one = rows.withColumn("_usd", usd.cast("decimal(28,12)")).groupBy("key", "model").agg(*aggregates(), F.sum("_usd").alias("_usd"), F.min("_seq").alias("_seq"), F.bool_or(F.coalesce(F.col("calls") > 1, F.lit(False))).alias("multi_call"))
+    one = one.join(found, "model", "left").withColumn("hit", F.when(F.col("priced"), F.struct("source", "matched_key", "fetched_at", "price", "tiered")))
+    sums = [F.sum(c).alias(c) for c in ("input", "output", "cache_read", "cache_write", "reasoning", "cache_write_1h", "events", "turns", "calls", "cost_usd")]
+    missed = F.array_sort(F.collect_list(F.when(~F.col("priced"), F.struct("_seq", "attempted"))))
+    grouped = one.groupBy("key").agg(
+        *sums, F.sum("_usd").cast("double").alias("usd"), F.bool_and("priced").alias("priced"), F.array_sort(F.collect_list("model")).alias("models"), F.min_by("hit", F.when(F.col("priced"), F.col("_seq"))).alias("hit"),
+        F.array_distinct(F.flatten(missed["attempted"])).alias("attempted"), F.min_by("zero_cost_key", F.when(~F.col("priced"), F.col("_seq"))).alias("zero_cost_key"), F.bool_or("multi_call").alias("multi_call"),
     )
     single = F.size("models") == 1
     kind = F.when(F.col("priced") & single, "single-hit").when(F.col("priced"), "multi-hit").when(single, "single-miss").otherwise("multi-miss")
     shown = F.col("usd") if mode != "calculate" else F.when(F.col("priced"), F.col("usd"))
     exposed = F.col("priced") & single & F.col("multi_call") & F.coalesce(F.col("hit.tiered"), F.lit(False)) & F.lit(mode != "display")
     return grouped.withColumn("kind", kind).withColumn("usd", shown).withColumn("tiered_aggregate", exposed)
-
-

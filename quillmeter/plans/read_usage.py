@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.instants import zone
-from ..schema import DIAGNOSTIC, SKIPPED, USAGE_EVENT
+from ..schema import DIAGNOSTIC, SEQ, SKIPPED, USAGE_EVENT
 from ..sources import scan
 from ..sources.kit import Context, parse_ms
 from ..sources.readers import IDS, REGISTRY
@@ -58,36 +58,42 @@ def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def bounded(events: DataFrame, since_ms: int | None = None, until_ms: int | None = None, subagents: str = "include") -> DataFrame:
+    """Events with an instant in [since, until), with ``subagents="exclude"`` without those of subagents."""
+    kept = events.where(F.col("ts_ms").isNotNull())
+    if since_ms is not None:
+        kept = kept.where(F.col("ts_ms") >= since_ms)
+    if until_ms is not None:
+        kept = kept.where(F.col("ts_ms") < until_ms)
+    return kept.where(~F.col("subagent")) if subagents == "exclude" else kept
+
+
 def read_usage(spark: SparkSession, ctx: Context | None = None, harnesses: Iterable[str] | None = None, since: str | None = None, until: str | None = None, subagents: str = "include", tz: str | None = None) -> Usage:
     """Events of the chosen readers (all by default), in [since, until), with diagnostics.
 
     Only the chosen readers' scans are built.  Events without a usable instant
-    are dropped with a diagnostic, bounds or not.
+    are dropped with a diagnostic, bounds or not.  ``seq`` is an event's place in
+    the order in which the readers read.
     """
     ctx = ctx or Context.of_process()
     chosen = list(IDS if harnesses is None else harnesses)
     unknown = [h for h in chosen if h not in REGISTRY and h not in UNSUPPORTED]
     if unknown:
         raise ValueError(f"unknown harness {', '.join(unknown)}")
-    parts = [scan.read(spark, REGISTRY[h], ctx) for h in IDS if h in chosen and REGISTRY[h].find(ctx)]
-    names = [c.split()[0] for c in USAGE_EVENT.split(", ") if c.split()[0].isidentifier()]
-    names = [n for n in names if n in ("harness", "timestamp", "ts_ms", "session_id", "message_id", "turn", "subagent", "model", "tokens", "calls", "cost_usd", "workspace", "title")]
+    parts = [(k, scan.read(spark, REGISTRY[h], ctx)) for k, h in enumerate(IDS) if h in chosen and REGISTRY[h].find(ctx)]
     if not parts:
-        return Usage(empty(spark, USAGE_EVENT), empty(spark, DIAGNOSTIC), empty(spark, SKIPPED))
-    events = reduce(DataFrame.unionByName, (e for e, _ in parts))
-    notes = reduce(DataFrame.unionByName, (n for _, n in parts))
-    lost = events.where("ts_ms is null").select(F.lit("warning").alias("severity"), F.concat(F.lit("dropping event "), "message_id", F.lit(' with unusable timestamp "'), F.coalesce("timestamp", F.lit("")), F.lit('"')).alias("message"), "harness", F.col("src_path").alias("path"))
-    kept = events.where("ts_ms is not null")
+        return Usage(empty(spark, f"{USAGE_EVENT}, {SEQ}"), empty(spark, DIAGNOSTIC), empty(spark, SKIPPED))
+    place = lambda k: F.struct(F.lit(k).alias("reader"), *[F.col(c) for c in scan.ORDER]).alias("seq")
+    events = reduce(DataFrame.unionByName, (e.select("*", place(k)) for k, (e, _) in parts))
+    notes = reduce(DataFrame.unionByName, (n for _, (_, n) in parts))
+    quoted = F.regexp_extract(F.to_json(F.struct(F.coalesce("timestamp", F.lit("")).alias("t"))), r"^\{\"t\":(.*)\}$", 1)
+    lost = events.where("ts_ms is null").select(F.lit("warning").alias("severity"), F.concat(F.lit("dropping event "), "message_id", F.lit(" with unusable timestamp "), quoted).alias("message"), "harness", F.col("src_path").alias("path"))
     where = zone(tz)
-    if since is not None:
-        kept = kept.where(F.col("ts_ms") >= bound_ms(since, where))
-    if until is not None:
-        kept = kept.where(F.col("ts_ms") < bound_ms(until, where, end=True))
-    if subagents == "exclude":
-        kept = kept.where(~F.col("subagent"))
+    kept = bounded(events, None if since is None else bound_ms(since, where), None if until is None else bound_ms(until, where, end=True), subagents)
+    names = [c.name for c in empty(spark, USAGE_EVENT).schema]
     diagnostics = notes.select("severity", "message", "harness", "path").unionByName(lost)
     skipped = notes.where("skipped").select("harness", F.col("path").alias("location"))
-    return Usage(kept.select(*names), diagnostics, skipped)
+    return Usage(kept.select(*names, "seq"), diagnostics, skipped)
 
 
 def detect(ctx: Context | None = None) -> dict[str, bool]:
@@ -96,9 +102,8 @@ def detect(ctx: Context | None = None) -> dict[str, bool]:
     return {name: bool(REGISTRY[name].find(ctx)) for name in IDS} | dict.fromkeys(UNSUPPORTED, False)
 
 
-def envelope(usage: Usage) -> DataFrame:
-    """Events as JSON in the wire shape: camelCase, absent values left out."""
-    t = F.col("tokens")
-    tokens = F.struct(t["input"].alias("input"), t["output"].alias("output"), t["cache_read"].alias("cacheRead"), t["cache_write"].alias("cacheWrite"), t["cache_write_1h"].alias("cacheWrite1h"), t["reasoning"].alias("reasoning"))
-    row = F.struct("harness", "timestamp", F.col("session_id").alias("sessionId"), F.col("message_id").alias("messageId"), "turn", "subagent", "model", tokens.alias("tokens"), "calls", F.col("cost_usd").alias("costUsd"), "workspace", "title")
-    return usage.events.select(F.to_json(row, {"ignoreNullFields": "true"}).alias("event"))
+def detect_by_read(spark: SparkSession, ctx: Context | None = None) -> dict[str, bool]:
+    """Which agents' stores give at least one event."""
+    ctx = ctx or Context.of_process()
+    found = {name: bool(REGISTRY[name].find(ctx)) and not scan.read(spark, REGISTRY[name], ctx)[0].isEmpty() for name in IDS}
+    return found | dict.fromkeys(UNSUPPORTED, False)

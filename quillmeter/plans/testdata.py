@@ -11,13 +11,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.cells import counter_at
 from ..functions.instants import parse_ms
-from ..functions.models import candidate_keys
+from ..functions.models import candidate_keys, estimate_tokens
 from ..functions.paths import normalize_workspace
 from ..operators import windows as W
 from ..operators.rollup import rollup
 from ..sources import catalogs as C
 from . import pricing
+from .homes import HOMES, read_home
+from .read_usage import bounded
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,7 +39,7 @@ SELECT event_id AS seq, 'h_' || event_type AS harness, {ms} AS ts_ms, concat('u'
 FROM (SELECT *, {k} AS k FROM {source}) e"""
 
 
-USAGE_DUCK = _usage_sql("epoch_ms(ts)", "CAST(json_extract(props, '$.k') AS BIGINT)", "events")
+USAGE_DUCK = _usage_sql("epoch_us(ts) // 1000", "CAST(json_extract(props, '$.k') AS BIGINT)", "events")
 
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,14 +156,17 @@ def _covered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lanes(spark: SparkSession, d: str) -> DataFrame:
-    e = usage(spark, d)
-    a = e.where("k % 2 = 0").select(*_PLAIN, F.lit(0).alias("lane"))
-    return a.unionByName(e.where("k % 3 = 0").select(*_PLAIN, F.lit(1).alias("lane")))
+    e = usage(spark, d).select(*_PLAIN, "harness")
+    return W.in_lanes(e.where("harness = 'h_click'"), e.where("harness <> 'h_click'")).drop("harness")
 
 
 def _est(spark: SparkSession, d: str) -> DataFrame:
     c = spark.read.parquet(f"{d}/conversations.parquet")
-    return c.select("conv_id", "turn", F.expr("(octet_length(text) div 4 + 5) div 10 * 10").alias("est_tokens"))
+    return c.select("conv_id", "turn", estimate_tokens(F.col("text")).alias("est_tokens"))
+
+
+def _home(agent: str) -> Query:
+    return lambda spark, d: read_home(usage(spark, d), agent)
 
 
 def _lookup(spark: SparkSession, d: str) -> DataFrame:
@@ -182,7 +188,7 @@ def _rollup_priced(mode: str) -> Query:
 def _events_priced(by: str, mode: str, key_ms: int = 18_000_000, digits: int = 6) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         p = pricing.price_events(usage(spark, d), catalog(spark), by, "UTC", mode, key_ms)
-        return p.select("key", "events", "priced", F.round("usd", digits).alias("usd"), "kind", F.array_join("models", ",").alias("models"))
+        return p.select("key", "events", "priced", F.round("usd", digits).alias("usd"), "kind", F.array_join("models", ",").alias("models"), F.array_join("attempted", ",").alias("attempted"), F.col("hit.matched_key").alias("first_key"), F.col("hit.source").alias("first_source"))
 
     return run
 
@@ -227,15 +233,9 @@ def _workspaces(spark: SparkSession, d: str) -> DataFrame:
     return e.select("seq", normalize_workspace(F.col("raw")).alias("workspace"))
 
 
-def _hermes(spark: SparkSession, d: str) -> DataFrame:
-    e = usage(spark, d)
-    g = e.groupBy("session_id", "model").agg(F.sum("tokens.input").alias("input"), F.sum("tokens.reasoning").alias("reasoning"), F.round(F.sum(F.coalesce(F.expr("nullif(cost_usd, 0)"), F.col("k") / 100, F.lit(0))), 6).alias("cost"))
-    return g.where("reasoning > 1")
-
-
 def _json_k(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet")
-    return e.select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
+    return e.select("event_id", counter_at(F.col("props"), "$.k").alias("k"))
 
 
 def queries() -> dict[str, Query]:
@@ -249,8 +249,8 @@ def queries() -> dict[str, Query]:
         "rollup_day_kolkata": _rolled("day", "Asia/Kolkata"),
         "rollup_block_5h": _rolled("block"),
         "rollup_block_40m": _rolled("block", block_ms=2_400_000),
-        "filter_since_until": _rolled("model", pick=lambda e: e.where((F.col("ts_ms") >= SINCE) & (F.col("ts_ms") < UNTIL))),
-        "exclude_subagents": _rolled("model", pick=lambda e: e.where(~F.col("subagent"))),
+        "filter_since_until": _rolled("model", pick=lambda e: bounded(e, SINCE, UNTIL)),
+        "exclude_subagents": _rolled("model", pick=lambda e: bounded(e, subagents="exclude")),
         "dedup_first_wins": _dedup_first,
         "dedup_last_wins": _dedup_last,
         "best_of_slot": _best,
@@ -274,8 +274,7 @@ def queries() -> dict[str, Query]:
         "ts_grammar": _grammar,
         "json_k_extract": _json_k,
         "workspace_norm": _workspaces,
-        "hermes_style_having": _hermes,
-    }
+    } | {f"reader_{agent}": _home(agent) for agent in HOMES}
 
 
 def _priced_rollup_sql(mode: str) -> str:
@@ -292,9 +291,11 @@ def _priced_events_sql(key: str, mode: str, digits: int = 6) -> str:
     one = {"calculate": calc, "display": "coalesce(cost_usd, 0)", "auto": f"coalesce(cost_usd, {calc})"}[mode]
     shown = "usd" if mode != "calculate" else "CASE WHEN priced THEN usd END"
     return f"""WITH u AS ({USAGE_DUCK}), {_RATES},
-g AS (SELECT {key} AS key, count(*) AS events, bool_and(source IS NOT NULL) AS priced, round(sum({one}), {digits}) AS usd, count(DISTINCT model) AS n, string_agg(DISTINCT model, ',' ORDER BY model) AS models
-  FROM u LEFT JOIN rates USING (model) GROUP BY 1)
-SELECT key, events, priced, {shown} AS usd, CASE WHEN n = 1 THEN 'single' ELSE 'multi' END || CASE WHEN priced THEN '-hit' ELSE '-miss' END AS kind, models FROM g"""
+g AS (SELECT {key} AS key, count(*) AS events, bool_and(source IS NOT NULL) AS priced, round(sum({one}), {digits}) AS usd, count(DISTINCT model) AS n, string_agg(DISTINCT model, ',' ORDER BY model) AS models,
+  min_by(matched_key, seq) FILTER (source IS NOT NULL) AS first_key, min_by(source, seq) FILTER (source IS NOT NULL) AS first_source
+  FROM u LEFT JOIN rates USING (model) GROUP BY 1),
+tries AS (SELECT key, coalesce(string_agg(model, ',' ORDER BY first) FILTER (source IS NULL), '') AS attempted FROM (SELECT {key} AS key, model, source, min(seq) AS first FROM u LEFT JOIN rates USING (model) GROUP BY 1, 2, 3) GROUP BY 1)
+SELECT key, events, attempted, first_key, first_source, priced, {shown} AS usd, CASE WHEN n = 1 THEN 'single' ELSE 'multi' END || CASE WHEN priced THEN '-hit' ELSE '-miss' END AS kind, models FROM g JOIN tries USING (key)"""
 
 
 _KEYS = {
@@ -342,7 +343,7 @@ def oracle_sql() -> dict[str, str]:
         "carry_model": u + f"SELECT seq, session_id, last_value(CASE WHEN k % 4 = 0 THEN model END IGNORE NULLS) OVER ({by} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried_model FROM u",
         "delta_cumulative": u + f"SELECT seq, CASE WHEN pa IS NULL OR output < pa OR cache_read < pb THEN output ELSE output - pa END AS delta_a, CASE WHEN pa IS NULL OR output < pa OR cache_read < pb THEN cache_read ELSE cache_read - pb END AS delta_b FROM (SELECT *, lag(output) OVER ({by}) AS pa, lag(cache_read) OVER ({by}) AS pb FROM u)",
         "covered_anti_join": u + f"SELECT {plain} FROM u WHERE NOT EXISTS (SELECT 1 FROM u c WHERE c.session_id = u.session_id AND c.harness = 'h_click' AND c.k % 17 = 0)",
-        "union_lanes": u + f"SELECT {plain}, 0 AS lane FROM u WHERE k % 2 = 0 UNION ALL SELECT {plain}, 1 FROM u WHERE k % 3 = 0",
+        "union_lanes": u + f"SELECT {plain}, 0 AS lane FROM u WHERE harness = 'h_click' UNION ALL SELECT {plain}, 1 FROM u WHERE harness <> 'h_click'",
         "est_tokens": "SELECT conv_id, turn, ((strlen(text) // 4 + 5) // 10 * 10)::BIGINT AS est_tokens FROM conversations",
         "candidate_keys": u + f"SELECT v.model, v.rank, v.key FROM (VALUES {keys}) v(model, rank, key) WHERE model IN (SELECT model FROM u)",
         "price_lookup": f"WITH u AS ({USAGE_DUCK}), {_RATES} SELECT model, source IS NOT NULL AS priced, source, matched_key, coalesce(tiered, false) AS tiered, CASE WHEN model = 'free-model' THEN model END AS zero_cost_key FROM (SELECT DISTINCT model FROM u) LEFT JOIN rates USING (model)",
@@ -358,7 +359,6 @@ def oracle_sql() -> dict[str, str]:
         "ts_grammar": _GRAMMAR_SQL,
         "json_k_extract": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
         "workspace_norm": u + "SELECT seq, lower(regexp_replace(rtrim(regexp_replace(replace(concat('C:\\W\\\\', workspace, '//'), '\\', '/'), '/+', '/', 'g'), '/'), '^$', '/')) AS workspace FROM u",
-        "hermes_style_having": u + "SELECT session_id, model, sum(input)::BIGINT AS input, sum(reasoning)::BIGINT AS reasoning, round(sum(coalesce(nullif(cost_usd, 0), k / 100, 0)), 6) AS cost FROM u GROUP BY 1, 2 HAVING sum(reasoning) > 1",
-    }
+    } | {f"reader_{agent}": home.sql(USAGE_DUCK) for agent, home in HOMES.items()}
 
 

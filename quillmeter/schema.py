@@ -7,6 +7,7 @@ USAGE_EVENT = (
     "harness STRING, timestamp STRING, ts_ms BIGINT, session_id STRING, message_id STRING, turn BOOLEAN, subagent BOOLEAN, "
     f"model STRING, tokens {TOKENS}, calls BIGINT, cost_usd DOUBLE, workspace STRING, title STRING"
 )
+SEQ = "seq STRUCT<reader: INT, lane: INT, root_ord: INT, src_path: STRING, src_ord: BIGINT>"
 TIER = "STRUCT<threshold: DOUBLE, input: DOUBLE, output: DOUBLE, cache_read: DOUBLE, cache_write: DOUBLE, cache_write_1h: DOUBLE>"
 PRICE = f"STRUCT<input: DOUBLE, output: DOUBLE, cache_read: DOUBLE, cache_write: DOUBLE, cache_write_1h: DOUBLE, tiers: ARRAY<{TIER}>, tier_mode: STRING>"
 CATALOG = f"catalog_ord INT, source STRING, fetched_at STRING, is_override BOOLEAN, key_ord INT, key STRING, price {PRICE}"

@@ -13,10 +13,13 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..schema import CATALOG
 
 MILLION = 1e6
+#: Catalog rows up to which the relation is broadcast: a public catalog has some thousand
+BROADCAST_KEYS = 200_000
 #: Fixed value: context thresholds, in thousands of tokens, of tiered rates
 TIER_THOUSANDS = (128, 200, 256, 272, 512)
 
@@ -154,11 +157,10 @@ def relation(spark: SparkSession, catalogs: list[Catalog]) -> DataFrame:
         for key_ord, (key, p) in enumerate(c.prices.items()):
             tiers = [(t["threshold"], *(t.get(r) for r in order)) for t in p["tiers"]] if p.get("tiers") else None
             rows.append((ord_, c.source, c.fetched_at, c.is_override, key_ord, key, (*(p.get(r) for r in order), tiers, p.get("tier_mode"))))
-    return spark.createDataFrame(rows, CATALOG)
+    made = spark.createDataFrame(rows, CATALOG)
+    return F.broadcast(made) if len(rows) <= BROADCAST_KEYS else made
 
 
 def provenance(catalog: DataFrame) -> DataFrame:
     """source, fetched_at and number of models of each catalog, in order."""
-    from pyspark.sql import functions as F
-
     return catalog.groupBy("catalog_ord", "source", "fetched_at").agg(F.count("*").alias("models")).orderBy("catalog_ord")

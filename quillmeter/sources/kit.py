@@ -64,6 +64,7 @@ class Loaded:
     lane: int
     data: bytes
     mtime_ms: int
+    log: bytes = b""  # the write-ahead log beside a SQLite store
 
     @property
     def text(self) -> str:

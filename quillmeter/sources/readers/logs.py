@@ -6,6 +6,9 @@ import os
 import re
 from collections.abc import Callable, Iterator
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
 from ..kit import Context, Event, File, Loaded, Malformed, Parsed, Reader, Skip, Warn, cell, counter, ends, epoch, finite, get, lines, objects, optional, split_input, stamp, stem, text, tokens_key, under, workspace
 
 JSONL = ends(".jsonl")
@@ -348,67 +351,90 @@ def _codex_counts(u: object) -> tuple[int, ...] | None:
     return split_input(counter(u, "input_tokens"), cached, wrote), counter(u, "output_tokens"), cached, wrote, counter(u, "reasoning_output_tokens")
 
 
+EMITTED, SEEN = 0.0, 1.0  # ranks: counts that make an event, and counts that only a later replay can repeat
+
+
 def _codex(files: list[Loaded]) -> Parsed:
-    """The unit is a root: replayed counts are known from earlier files that had events."""
-    seen: set[str] = set()
-    for f in files:
-        model, before, user, early, keys, pending = None, None, False, 0, [], []
-        session, sub = stem(f.path), False
-        for item in objects(f):
-            if isinstance(item, Skip):
-                yield item
-                continue
-            k, row = item
-            body, kind = row.get("payload"), row.get("type")
-            if kind == "session_meta":
-                session = text(get(body, "id")) or session
-                sub = isinstance(get(body, "source"), dict) and "subagent" in body["source"] or sub
-            elif kind == "turn_context":
-                model = text(get(body, "model")) or model
-            elif kind == "event_msg" and get(body, "type") == "user_message":
-                user = True
-            elif kind == "response_item" and get(body, "type") == "message" and get(body, "role") == "user":
-                user = True
-            elif kind == "event_msg" and get(body, "type") == "token_count":
-                totals, last = _codex_counts(get(body, "info", "total_token_usage")), _codex_counts(get(body, "info", "last_token_usage"))
-                if totals is None and last is None:
-                    continue
-                when = stamp(row.get("timestamp")) or f.mtime_iso
-                ident = f"{when}:{totals or last}"
-                counts = None
-                if totals is None or totals != before:
-                    counts = last
-                    if counts is None and totals is not None:
-                        falls = before is None or any(a < b for a, b in zip(totals, before))
-                        counts = totals if falls else tuple(a - b for a, b in zip(totals, before))
-                if totals is not None:
-                    before = totals
-                turn, user = user, False
-                if counts is None or not any(counts):
-                    continue
-                keys.append(ident)
-                if ident in seen:
-                    continue
-                if model is None:
-                    early += 1
-                    continue
-                i, o, r, w, z = counts
-                pending.append(Event(session, f"{f.path}:{k}", when, model, i, split_input(o, z), r, w, z, turn=turn, subagent=sub))
-        if model is None and (early or keys):
-            yield Skip(f.path, "no model context")
+    """Every count of a file with its replay key; which are replays of other files is found after."""
+    f = files[0]
+    model, before, user, early, out = None, None, False, 0, []
+    session = stem(f.path)
+    for item in objects(f):
+        if isinstance(item, Skip):
+            yield item
             continue
-        if early:
-            yield Warn(f"{early} token counts before the first model", f.path)
-        if pending:
-            seen.update(keys)
-            yield from pending
+        k, row = item
+        body, kind = row.get("payload"), row.get("type")
+        if kind == "session_meta":
+            session = text(get(body, "id")) or session
+        elif kind == "turn_context":
+            model = text(get(body, "model")) or model
+        elif kind == "event_msg" and get(body, "type") == "user_message":
+            user = True
+        elif kind == "response_item" and get(body, "type") == "message" and get(body, "role") == "user":
+            user = True
+        elif kind == "event_msg" and get(body, "type") == "token_count":
+            totals, last = _codex_counts(get(body, "info", "total_token_usage")), _codex_counts(get(body, "info", "last_token_usage"))
+            if totals is None and last is None:
+                continue
+            when = text(row.get("timestamp")) or f.mtime_iso
+            counts = None
+            if totals is None or totals != before:
+                counts = last
+                if counts is None and totals is not None:
+                    falls = before is None or any(a < b for a, b in zip(totals, before))
+                    counts = totals if falls else tuple(a - b for a, b in zip(totals, before))
+            if totals is not None:
+                before = totals
+            turn, user = user, False
+            some = counts is not None and any(counts)
+            early += some and model is None
+            i, o, r, w, z = counts or (0, 0, 0, 0, 0)
+            own = some and model is not None
+            out.append(Event(session, f"{f.path}:{k}", when, model or "", i, split_input(o, z), r, w, z, turn=turn, key=f"{when}:{totals or last}", rank=EMITTED if own else SEEN))
+    if model is None:
+        yield Skip(f.path, "no model context")
+        return
+    if early:
+        yield Warn(f"skipping {early} codex token event(s) before the first turn_context in {f.path}", f.path)
+    for e in out:
+        e.session_id = session
+    yield from out
+
+
+def without_replays(df: DataFrame) -> DataFrame:
+    """Events whose key no earlier file has that gave an event of its own.
+
+    A key of an earlier file counts if it made an event there (had that been a
+    replay, a still earlier file would have it) or if that file gave any event.
+    The second depends on what was a replay before, so it is settled in rounds,
+    over the keys that several files have, until no file's standing changes.
+    """
+    files = ["lane", "root_ord", "src_path"]
+    keys = df.groupBy("key", *files).agg(F.min("rank").alias("rank"))
+    first = Window.partitionBy("key").orderBy(*files).rowsBetween(Window.unboundedPreceding, -1)
+    shared = keys.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n")
+    shared = shared.withColumn("made", F.coalesce(F.max((F.col("rank") == EMITTED).cast("int")).over(first), F.lit(0))).persist()
+    own = df.where(F.col("rank") == EMITTED)
+    if shared.isEmpty():
+        return own.withColumn("key", F.lit(None).cast("string"))
+    giving, before = None, None
+    while True:
+        stands = shared if giving is None else shared.join(giving.withColumn("gives", F.lit(1)), files, "left")
+        told = F.lit(0) if giving is None else F.coalesce(F.max("gives").over(first), F.lit(0))
+        replays = stands.withColumn("replay", F.greatest(F.col("made"), told)).where("replay = 1").select("key", *files).persist()
+        giving = own.join(replays, ["key", *files], "left_anti").select(*files).distinct().persist()
+        now = giving.count()
+        if now == before:
+            return own.join(replays, ["key", *files], "left_anti").withColumn("key", F.lit(None).cast("string"))
+        before = now
 
 
 def _codex_files(ctx: Context) -> list[File]:
     root = ctx.get("CODEX_HOME") or ctx.at(".codex")
     keep = lambda p: os.path.basename(p).startswith("rollout-") and p.endswith(".jsonl")
     found = under([os.path.join(root, "sessions"), os.path.join(root, "archived_sessions")], keep)
-    return [File(f.path, f.root, 0, root) for f in found]
+    return found
 
 
 # copilot
@@ -505,12 +531,12 @@ def _copilot_files(ctx: Context) -> list[File]:
     return own + under([export], lambda p: p.endswith((".jsonl", ".json")) or p == export, lane=1)
 
 
-def uncovered(df):
+def uncovered(df: DataFrame) -> DataFrame:
     """Later lanes give up the sessions that the first lane has."""
-    from pyspark.sql import functions as F
+    from ...operators.windows import without_covered
 
-    first = df.where("lane = 0").select(F.col("session_id").alias("_s")).distinct()
-    return df.where("lane = 0").unionByName(df.where("lane > 0").join(first, F.col("session_id") == F.col("_s"), "left_anti"))
+    first = df.where("lane = 0")
+    return first.unionByName(without_covered(df.where("lane > 0"), first, "session_id"))
 
 
 # fx
@@ -599,7 +625,7 @@ def _qwen_files(ctx: Context) -> list[File]:
 READERS = [
     Reader("claude", _claude_files, _claude("claude")),
     Reader("codebuddy", lambda c: under([os.path.join(c.get("CODEBUDDY_CONFIG_DIR") or c.at(".codebuddy"), "projects")], JSONL), _claude("codebuddy")),
-    Reader("codex", _codex_files, _codex),
+    Reader("codex", _codex_files, _codex, without_replays),
     Reader("commandcode", lambda c: under([c.at(".commandcode", "projects")], lambda p: p.endswith(".jsonl") and re.fullmatch(r"[^.]+\.jsonl", os.path.basename(p)) is not None), _commandcode),
     Reader("copilot", _copilot_files, _copilot, uncovered),
     Reader("qwen", _qwen_files, _qwen),

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
-from urllib.parse import unquote
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,23 +12,25 @@ from pyspark.sql import functions as F
 
 from ..functions.instants import parse_ms
 from ..operators.windows import first_wins
-from .kit import Context, Event, Loaded, Malformed, Reader, Skip
+from .kit import Context, Event, File, Loaded, Malformed, Reader, Skip
+from .messages import worded
+from .sqlite import LOG
 
+#: Files up to which the list is broadcast; fixed values: how SQLite stores are named
+LISTED, STORES = 200_000, (".db", ".sqlite", ".sqlite3")
 ORDER = ["lane", "root_ord", "src_path", "src_ord"]
 _EVENT = "session_id string, message_id string, timestamp string, model string, input bigint, output bigint, cache_read bigint, cache_write bigint, reasoning bigint, cache_write_1h bigint, turn boolean, subagent boolean, calls bigint, cost_usd double, workspace string, title string, key string, rank double"
 PARSED = f"kind string, message string, location string, lane int, root_ord int, src_path string, src_ord bigint, {_EVENT}"
 
 
-def _local(path: str) -> str:
-    return unquote(path[5:]) if path.startswith("file:") else path
-
-
 _KINDS = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
 _SCHEMA = pa.schema([(n, _KINDS[k]) for n, k in (c.split() for c in PARSED.split(", "))])
 
 
 def _rows(reader: Reader, files: list[Loaded]) -> pa.Table:
-    out, first = [], files[0]
+    out, first = [], files[0] if files else None
+    if first is None:
+        return pa.Table.from_pylist(out, schema=_SCHEMA)
     place = {"lane": first.lane, "root_ord": first.root, "src_path": first.path}
     try:
         for k, item in enumerate(reader.parse(files)):
@@ -40,38 +43,47 @@ def _rows(reader: Reader, files: list[Loaded]) -> pa.Table:
     return pa.Table.from_pylist(out, schema=_SCHEMA)
 
 
+def with_logs(files: list[File]) -> list[File]:
+    """The files, and the write-ahead logs beside SQLite stores, in their stores' units."""
+    out = []
+    for f in files:
+        log = f.path + LOG
+        if f.path.endswith(STORES) and os.path.isfile(log) and os.path.getsize(log):
+            f = File(f.path, f.root, f.lane, f.unit or f.path)
+            out.append(File(log, f.root, f.lane, f.unit))
+        out.append(f)
+    return out
+
+
+def _loaded(batch: pa.Table | pa.RecordBatch) -> list[Loaded]:
+    """The files of a batch in order, stores with their logs."""
+    found = [Loaded(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("path", "root", "lane", "content", "mtime")))]
+    logs = {x.path: x.data for x in found if x.path.endswith(LOG)}
+    rest = [replace(x, log=logs[x.path + LOG]) if x.path + LOG in logs else x for x in found if x.path not in logs]
+    return sorted(rest, key=lambda x: (x.lane, x.root, x.path))
+
+
 def parsed(spark: SparkSession, reader: Reader, ctx: Context) -> DataFrame:
     """All rows of a reader, before what spans its units."""
-    files = reader.find(ctx)
+    files = with_logs(reader.find(ctx))
     if not files:
         return spark.createDataFrame([], PARSED)
-    where = {f.path: f for f in files}
     grouped = any(f.unit is not None for f in files)
+    listed = spark.createDataFrame([(f.path, f.root, f.lane, f.unit or f.path) for f in files], "path string, root int, lane int, unit string")
     read = spark.read.format("binaryFile").load([f.path for f in files])
-    raw = read.select("path", "content", F.unix_millis("modificationTime").alias("mtime"))
-
-    def load(batch: pa.Table | pa.RecordBatch) -> list[Loaded]:
-        found = []
-        for path, content, mtime in zip(batch.column("path"), batch.column("content"), batch.column("mtime")):
-            f = where[_local(path.as_py())]
-            found.append(Loaded(f.path, f.root, f.lane, content.as_py(), mtime.as_py()))
-        return sorted(found, key=lambda x: (x.lane, x.root, x.path))
-
+    path = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^file:", "")
+    raw = read.select(path.alias("path"), "content", F.unix_millis("modificationTime").alias("mtime"))
+    # the list is rows of short texts that the driver has anyway
+    raw = raw.join(F.broadcast(listed) if len(files) <= LISTED else listed, "path")
     if grouped:
-        unit = F.create_map(*[F.lit(x) for p, f in where.items() for x in (p, f.unit or p)]) if len(where) <= 1000 else None
-        if unit is not None:
-            keyed = raw.withColumn("unit", unit[F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^file:", "")])
-        else:
-            table = spark.createDataFrame([(p, f.unit or p) for p, f in where.items()], "_p string, unit string")
-            keyed = raw.withColumn("_p", F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^file:", "")).join(table, "_p").drop("_p")
-        return keyed.groupBy("unit").applyInArrow(lambda t: _rows(reader, load(t)), PARSED)
+        return raw.groupBy("unit").applyInArrow(lambda t: _rows(reader, _loaded(t)), PARSED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for f in load(batch):
+            for f in _loaded(batch):
                 yield from _rows(reader, [f]).to_batches()
 
-    return raw.mapInArrow(run, PARSED)
+    return raw.drop("unit").mapInArrow(run, PARSED)
 
 
 def read(spark: SparkSession, reader: Reader, ctx: Context) -> tuple[DataFrame, DataFrame]:
@@ -84,7 +96,7 @@ def read(spark: SparkSession, reader: Reader, ctx: Context) -> tuple[DataFrame,
     events = first_wins(events.where("key is not null"), ["key"], ORDER).unionByName(keyless)
     tokens = F.struct("input", "output", "cache_read", "cache_write", "cache_write_1h", "reasoning").alias("tokens")
     shaped = events.select(F.lit(reader.id).alias("harness"), "timestamp", parse_ms(F.col("timestamp")).alias("ts_ms"), "session_id", "message_id", "turn", "subagent", "model", tokens, "calls", "cost_usd", "workspace", "title", *ORDER)
-    notes = rows.where("kind <> 'event'").select(F.lit("warning").alias("severity"), "message", F.lit(reader.id).alias("harness"), F.col("location").alias("path"), (F.col("kind") == "skip").alias("skipped"))
+    notes = rows.where("kind <> 'event'").select(F.lit("warning").alias("severity"), worded(reader.id).alias("message"), F.lit(reader.id).alias("harness"), F.col("location").alias("path"), (F.col("kind") == "skip").alias("skipped"))
     return shaped, notes
 
 

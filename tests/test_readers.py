@@ -6,7 +6,8 @@ import sqlite3
 import pytest
 
 from quillmeter.operators.rollup import rollup
-from quillmeter.plans.read_usage import bound_ms, detect, envelope, read_usage
+from quillmeter.plans.read_usage import bound_ms, detect, detect_by_read, read_usage
+from quillmeter.plans.wire import envelope, event_json
 from quillmeter.sources.kit import Context
 from quillmeter.sources.readers import IDS, REGISTRY
 
@@ -37,7 +38,10 @@ def test_claude(spark, tmp_path):
     assert u.diagnostics.count() == 3 and u.skipped.count() == 3
     assert rollup(u.events, "model").first()["input"] == 20
     assert read_usage(spark, Context(str(tmp_path)), ["claude"], subagents="exclude").events.count() == 1
-    sent = json.loads(envelope(u).first()["event"])
+    sent = json.loads(event_json(u.events.where("message_id = 'm1'")).first()["event"])
+    parts = {p: [json.loads(r["value"]) for r in envelope(u).where(f"part = '{p}'").collect()] for p in ("events", "diagnostics", "skipped")}
+    assert [len(v) for v in parts.values()] == [2, 3, 3] and all(list(x) == ["claude"] for x in parts["skipped"])
+    assert sorted(d["message"].split(" /")[0] for d in parts["diagnostics"]) == ["skipping malformed assistant record"] * 2 + ["skipping malformed line"]
     assert "costUsd" not in sent and sent["tokens"]["cacheRead"] == 3
     bounded = read_usage(spark, Context(str(tmp_path)), ["claude"], since="2026-08-01T10:00:01Z", until="2026-08-01", tz="UTC")
     assert [r["message_id"] for r in bounded.events.collect()] == ["m2"]
@@ -54,7 +58,13 @@ def test_codex_replay(spark, tmp_path):
     put(tmp_path / ".codex/sessions/rollout-3.jsonl", count("2026-08-01T13:00:00Z", 7))
     u = read_usage(spark, Context(str(tmp_path)), ["codex"], tz="UTC")
     assert sorted(r["tokens"]["input"] for r in u.events.collect()) == [30, 50, 100]
-    assert u.diagnostics.count() == 1
+    assert [r["message"] for r in u.diagnostics.collect()] == [f"codex session without turn_context model: {tmp_path}/.codex/sessions/rollout-3.jsonl"]
+    # a file that only replays gives nothing, and its own keys do not count against later files
+    put(tmp_path / ".codex/sessions/rollout-2a.jsonl", head, *first[1:3], {"timestamp": "2026-08-01T14:00:00Z", "type": "event_msg", "payload": first[2]["payload"]})
+    put(tmp_path / ".codex/sessions/rollout-4.jsonl", head, {"timestamp": "2026-08-01T14:00:00Z", "type": "event_msg", "payload": first[2]["payload"]})
+    put(tmp_path / ".codex/sessions/rollout-5.jsonl", {"type": "session_meta", "payload": {"id": "x"}})
+    u = read_usage(spark, Context(str(tmp_path)), ["codex"], tz="UTC")
+    assert sorted(r["tokens"]["input"] for r in u.events.collect()) == [30, 50, 100, 150] and u.diagnostics.count() == 2
 
 
 def test_sqlite_and_log_lanes(spark, tmp_path):
@@ -99,6 +109,46 @@ def test_databases(spark, tmp_path):
     assert [k for k, v in detect(ctx).items() if v] == ["kilo", "goose", "kiro"]
 
 
+def test_write_ahead_log(spark, tmp_path):
+    """Rows that a running agent has committed to the log only."""
+    kilo = tmp_path / ".local/share/kilo/kilo.db"
+    kilo.parent.mkdir(parents=True)
+    c = sqlite3.connect(kilo)
+    c.execute("PRAGMA journal_mode = WAL")
+    c.execute("CREATE TABLE message(id, session_id, data)")
+    data = lambda n: json.dumps({"role": "assistant", "modelID": "m", "time": {"created": 1769900000 + n}, "tokens": {"input": n, "output": 2}})
+    c.execute("INSERT INTO message VALUES ('1', 's', ?)", (data(1),))
+    c.commit()
+    c.execute("PRAGMA wal_checkpoint(TRUNCATE)")
+    c.execute("INSERT INTO message VALUES ('2', 's', ?)", (data(2),))
+    c.commit()
+    try:
+        assert (tmp_path / ".local/share/kilo/kilo.db-wal").stat().st_size
+        u = read_usage(spark, Context(str(tmp_path)), ["kilo"], tz="UTC")
+        assert sorted(r["tokens"]["input"] for r in u.events.collect()) == [1, 2] and u.diagnostics.count() == 0
+    finally:
+        c.close()
+    assert detect_by_read(spark, Context(str(tmp_path)))["kilo"]
+
+
+def test_hermes_across_stores(spark, tmp_path):
+    """Models of one session in two stores: calls once, with the larger count; totals only where no store has models."""
+    names = "input_tokens, output_tokens, cache_read_tokens, cache_write_tokens, reasoning_tokens"
+    for place, count, usage in (("state.db", 4, [("s", "m-b", 5)]), ("profiles/p/state.db", 9, [("s", "m-a", 7), ("s", "m-b", 6), ("bad", "m-a", 1)])):
+        db = tmp_path / ".hermes" / place
+        db.parent.mkdir(parents=True, exist_ok=True)
+        with sqlite3.connect(db) as c:
+            c.execute(f"CREATE TABLE sessions(id, model, billing_provider, started_at, message_count, {names})")
+            c.execute(f"CREATE TABLE session_model_usage(session_id, model, billing_provider, {names}, actual_cost_usd, estimated_cost_usd)")
+            c.executemany("INSERT INTO sessions VALUES (?, 'm-a', 'pr', ?, ?, ?, 0, 0, 0, 0)", [("s", 1769900000, count, 100), ("t", 1769900000, count, 30), ("bad", None, 1, 0), ("zero", 1769900000, 1, 0)])
+            c.executemany("INSERT INTO session_model_usage VALUES (?, ?, 'pr', ?, 0, 0, 0, 0, 0, 0)", usage)
+        c.close()
+    u = read_usage(spark, Context(str(tmp_path)), ["hermes"], tz="UTC")
+    rows = sorted((r["session_id"], r["model"], r["tokens"]["input"], r["calls"]) for r in u.events.collect())
+    assert rows == [("s", "pr/m-a", 7, 0), ("s", "pr/m-b", 5, 9), ("t", "pr/m-a", 30, 9)]
+    assert [r["message"].split(" /")[0] for r in u.diagnostics.collect()] == ["skipping malformed hermes session"]
+
+
 def test_best_of_readers(spark, tmp_path):
     for name, n in (("a", 5), ("b", 9)):
         put(tmp_path / f".reasonix/projects/p/{name}.acp.json", {"sessionId": "s", "model": "m", "updatedAt": f"2026-01-0{n}T00:00:00Z", "status": {"cumulative": {"promptTokens": n, "completionTokens": 2, "cacheMissTokens": n}}})

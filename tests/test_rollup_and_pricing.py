@@ -1,5 +1,6 @@
 """Rollups, blocks against a plain loop, lookups, catalogs and their cache."""
 
+import json
 import random
 
 import pytest
@@ -12,7 +13,9 @@ from quillmeter.plans import pricing
 from quillmeter.schema import USAGE_EVENT
 from quillmeter.sources import catalogs as C
 from quillmeter.sources import kit
-from quillmeter.sources.lifecycle import Loader, Source
+from quillmeter.plans import wire
+from quillmeter.plans.engine import create_pricing
+from quillmeter.sources.lifecycle import Loader, Source, default_cache_dir
 
 
 def events(spark, rows):
@@ -37,6 +40,9 @@ def test_saturation(spark):
     big = 2**63 - 1
     e = events(spark, [{"t": "2026-08-01T00:00:00Z", "tokens": {"input": big}}] * 3)
     assert int(rollup(e, saturate=True).first()["input"]) == 2**64 - 1
+    assert rollup(e).first()["input"] == big  # as BIGINTs, where they end
+    few = events(spark, [{"t": "2026-08-01T00:00:00Z", "tokens": {"input": n, "output": -n}} for n in (big // 2, big // 2, 1)])
+    assert (rollup(few).first()["input"], rollup(few).first()["output"]) == (big // 2 * 2 + 1, -(big // 2 * 2 + 1))
 
 
 def plain_blocks(times, width):
@@ -103,12 +109,98 @@ def test_modes(spark):
     assert usd == {"calculate": 2.5, "display": 9.0, "auto": 10.25}
     miss = {m: pricing.price_events(e, cat, "model", mode=m).where("key = 'nothing'").first() for m in pricing.MODES}
     assert (miss["calculate"]["usd"], miss["auto"]["usd"], miss["auto"]["kind"]) == (None, 0.0, "single-miss")
-    day = pricing.price_events(e, cat, "day").first()
+    day = pricing.price_events(e, cat, "day", "UTC").first()
     assert day["kind"] == "multi-miss" and day["attempted"] == ["nothing"]
     with pytest.raises(ValueError):
         pricing.price_events(e, cat, mode="guess")
 
 
+def test_groups_list_tries_as_they_came(spark):
+    cat = C.relation(spark, [C.parse("litellm", LITELLM)])
+    e = events(spark, [{"t": "2026-08-01T00:00:00Z", "model": m} for m in ("zz/b", "claude-x-4-5", "aa", "gpt-5", "zz/b")]).withColumn("seq", F.substring("message_id", 2, 9).cast("int"))
+    day = pricing.price_events(e, cat, "day", "UTC").first()
+    assert day["attempted"] == ["zz/b", "b", "aa"] and day["hit"]["matched_key"] == "claude-x-4-5" and day["kind"] == "multi-miss"
+    back = pricing.price_events(e.withColumn("seq", -F.col("seq")), cat, "day", "UTC").first()
+    assert back["attempted"] == ["zz/b", "b", "aa"] and back["hit"]["matched_key"] == "gpt-5"
+
+
+def test_keys_are_not_computed_for_every_event(spark):
+    """No expression of the candidate keys stands below the distinct models."""
+    cat = C.relation(spark, [C.parse("litellm", LITELLM)])
+    e = events(spark, [{"t": "2026-08-01T00:00:00Z", "model": "gpt-5"}])
+    plan = pricing.lookup(e, cat)._jdf.queryExecution().optimizedPlan().toString()
+    below = [line for line in plan.splitlines() if "LogicalRDD" in line or "LocalRelation" in line or "Filter" in line]
+    assert below and not any("transform" in line or "anthropic" in line for line in below)
+
+
+def test_create_pricing(spark, tmp_path):
+    asked = []
+
+    def fetch(url):
+        asked.append(url)
+        if "litellm" in url:
+            return LITELLM
+        if "openrouter" in url:
+            return ROUTER
+        raise OSError
+
+    now = [1_785_542_400_000]
+    p = create_pricing(spark, overrides=[{"model": "own", "input": 1, "output": 2}], cache_dir=tmp_path, fetch=fetch, clock=lambda: now[0], mode="auto")
+    assert [(r["source"], r["models"]) for r in p.catalogs().collect()] == [("override", 1), ("openrouter", 2), ("litellm", 3)] and len(asked) == 3
+    assert sorted(f.name for f in tmp_path.iterdir()) == ["pricing-litellm.json", "pricing-openrouter.json"]
+    assert p.price_tokens("own", {"input": 1_000_000, "output": 500_000})["usd"] == 2.0
+    assert p.price_tokens("nothing", {"input": 5})["usd"] is None and p.price_tokens("nothing", {})["attempted"] == ["nothing"]
+    assert p.lookup_models(spark.createDataFrame([("gpt-5",)], "model string")).first()["source"] == "openrouter"
+    e = events(spark, [{"t": "2026-08-01T00:00:00Z", "model": "own", "tokens": {"input": 1_000_000}}, {"t": "2026-08-01T00:00:00Z", "model": "gpt-5", "cost": 4.0}])
+    assert p.price_events(e, "day", "UTC").first()["usd"] == 5.0
+    assert {r["key"]: r["usd"] for r in p.price_rollups(rollup(e)).collect()} == {"own": 1.0, "gpt-5": 4.0}
+    assert len(asked) == 3  # kept while fresh
+    now[0] += 3_600_000
+    p.catalogs()
+    assert len(asked) == 4  # the disk caches are just fresh; the one without is asked again
+    with pytest.raises(ValueError):
+        create_pricing(spark, mode="guess")
+
+
+def test_refresh_holds_once(tmp_path):
+    now, calls = [1_785_542_400_000], []
+
+    def source(name, fail=()):
+        def fetch():
+            calls.append(name)
+            if len(calls) in fail:
+                raise KeyboardInterrupt  # not a failed fetch: the load itself ends
+            return LITELLM
+
+        return Source("litellm", fetch, name)
+
+    loader = Loader([source("a"), source("b", fail=(2,))], tmp_path, clock=lambda: now[0], refresh=True)
+    with pytest.raises(KeyboardInterrupt):
+        loader.catalogs()
+    assert len(loader.catalogs()) == 2 and calls == ["a", "b", "b"]  # the first was refreshed already
+    now[0] += 3_600_000
+    assert len(loader.catalogs()) == 2 and calls == ["a", "b", "b"]
+
+
+def test_cache_folders():
+    folder = lambda env, platform: str(default_cache_dir(env, "/h", platform))
+    assert folder({}, "linux") == "/h/.cache/quillmeter" and folder({"XDG_CACHE_HOME": ""}, "darwin") == "/h/Library/Caches/quillmeter"
+    assert folder({"XDG_CACHE_HOME": "/x"}, "darwin") == "/x/quillmeter" and folder({"LOCALAPPDATA": "/l"}, "win32") == "/l/quillmeter/cache" and folder({}, "win32") == "/h/AppData/Local/quillmeter/cache"
+
+
+def test_documents(spark):
+    cat = C.relation(spark, [C.parse("litellm", LITELLM, "2026-08-01T00:00:00.000Z"), C.overrides([{"model": "own", "input": 1, "output": 2}])])
+    e = events(spark, [{"t": "2026-08-01T00:00:00Z", "model": "own", "tokens": {"input": 2_000_000, "cache_write": 3, "cache_write_1h": 1}, "session": "a"}, {"t": "2026-08-01T00:00:00Z", "model": "gpt-5", "cost": 4.0, "session": "a"}, {"t": "2026-08-01T00:00:00Z", "model": "zero", "session": "b"}])
+    rows = {r["key"]: json.loads(r["rollup"]) for r in wire.rollup_json(rollup(e)).collect()}
+    assert rows["own"] == {"key": "own", "tokens": {"input": 2_000_000, "output": 0, "cacheRead": 0, "cacheWrite": 3, "cacheWrite1h": 1, "reasoning": 0}, "events": 1, "turns": 0, "calls": 1}
+    assert rows["gpt-5"]["costUsd"] == 4.0 and "cacheWrite1h" not in rows["gpt-5"]["tokens"]
+    priced = {r["key"]: json.loads(r["rollup"])["pricing"] for r in wire.priced_rollup_json(pricing.price_rollups(rollup(e), cat)).collect()}
+    assert priced["own"]["fetchedAt"] is None and priced["own"]["price"] == {"input": 1.0, "output": 2.0} and priced["own"]["usd"] == 2.000004
+    assert priced["gpt-5"]["fetchedAt"].startswith("2026") and priced["zero"] == {"priced": False, "model": "zero", "key": "zero", "attempted": ["zero"], "reason": "zeroCost"}
+    groups = {r["key"]: json.loads(r["group"])["pricing"] for r in wire.priced_group_json(pricing.price_events(e, cat, "session")).collect()}
+    assert groups["a"] == {"priced": True, "usd": 2.000004, "models": ["gpt-5", "own"]} and groups["b"]["reason"] == "zeroCost"
+
+
 def test_models_dev_and_tiers():
     dev = C.parse_models_dev({"openai": {"models": {"gpt-5": {"cost": {"input": 1.25, "output": 10}}}}, "other": {"models": {"gpt-5": {"cost": {"input": 2, "output": 2}}}}})
     assert list(dev) == ["openai/gpt-5", "gpt-5", "other/gpt-5"] and dev["gpt-5"]["input"] == 1.25
