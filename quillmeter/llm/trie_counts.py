@@ -20,6 +20,7 @@ CACHE_COUNTS.
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
 
@@ -32,20 +33,15 @@ from .common import mapped
 from .textkernel import SPACE, HashIndex, numbered, pieces, span_hashes, text_bytes
 from .token_files import piece_spans
 
-CACHE_COUNTS, MOST_NODES, DEPTH = 1_500_000, 200_000, 48
+CACHE_COUNTS, MOST_NODES, DEPTH = 1_500_000, 300_000, 48
 BYTE_COST = 14.0
 MARK = "▁"
 
 
-class Node:
-    """A prefix: children by character, best score and tokens, pieces under way."""
-
-    __slots__ = ("children", "best", "tokens", "open", "terminal")
-
-    def __init__(self, best: float, tokens: int, under_way: list[tuple[dict, float, int]]):
-        self.children: dict[str, Node] = {}
-        self.best, self.tokens, self.open = best, tokens, under_way
-        self.terminal: int | None = None  # the count of the pre-token that ends here
+#: What a node of the trie holds: children by character (None: none yet), best score,
+#: its tokens, pieces under way as (place in the vocabulary, score and tokens where it began),
+#: the count of the pre-token that ends here (None: none does)
+CHILDREN, BEST, TOKENS, OPEN, TERMINAL = range(5)
 
 
 class Unigram:
@@ -58,40 +54,55 @@ class Unigram:
                 at = at.setdefault(c, {})
             at[""] = score
         self.known = HashIndex()
+        self.sizes: dict[str, int] = {}  # UTF-8 bytes of characters, where more than one
         self.clear()
 
     def clear(self) -> None:
-        self.root, self.nodes = Node(0.0, 0, []), 0
-
-    def child(self, node: Node, c: str) -> Node:
-        """The prefix of one more character."""
-        n_bytes = len(c.encode("utf-8", "surrogatepass"))
-        top, tokens, under_way = node.best - BYTE_COST * n_bytes, node.tokens + n_bytes, []
-        for at, best, begun in (*node.open, (self.vocabulary, node.best, node.tokens)):
-            after = at.get(c)
-            if after is None:
-                continue
-            under_way.append((after, best, begun))
-            score = after.get("")
-            if score is not None:
-                score += best
-                if score > top or (score == top and begun + 1 < tokens):
-                    top, tokens = score, begun + 1
-        return Node(top, tokens, under_way)
+        self.root, self.nodes = [None, 0.0, 0, (), None], 0
+
+    def _size(self, c: str) -> int:
+        if c not in self.sizes:
+            self.sizes[c] = len(c.encode("utf-8", "surrogatepass"))
+        return self.sizes[c]
 
     def insert(self, word: str) -> int:
         """The tokens of a pre-token, from its terminal node."""
-        node = self.root
-        for c in word[:DEPTH]:
-            after = node.children.get(c)
+        node, start, depth = self.root, self.vocabulary, 0
+        for c in word:
+            depth += 1
+            children = node[CHILDREN]
+            after = children.get(c) if children is not None else None
             if after is None:
-                after = node.children[c] = self.child(node, c)
-                self.nodes += 1
+                best, tokens = node[BEST], node[TOKENS]
+                n_bytes = 1 if c < "\x80" else self._size(c)
+                top, count, under_way = best - BYTE_COST * n_bytes, tokens + n_bytes, []
+                for at, began, begun in node[OPEN]:
+                    at = at.get(c)
+                    if at is not None:
+                        under_way.append((at, began, begun))
+                        score = at.get("")
+                        if score is not None:
+                            score += began
+                            if score > top or (score == top and begun + 1 < count):
+                                top, count = score, begun + 1
+                at = start.get(c)
+                if at is not None:
+                    under_way.append((at, best, tokens))
+                    score = at.get("")
+                    if score is not None:
+                        score += best
+                        if score > top or (score == top and tokens + 1 < count):
+                            top, count = score, tokens + 1
+                after = [None, top, count, under_way, None]
+                if depth <= DEPTH:  # what is deeper is not kept
+                    if children is None:
+                        node[CHILDREN] = {c: after}
+                    else:
+                        children[c] = after
+                    self.nodes += 1
             node = after
-        for c in word[DEPTH:]:
-            node = self.child(node, c)
-        node.terminal = node.tokens
-        return node.terminal
+        node[TERMINAL] = node[TOKENS]
+        return node[TERMINAL]
 
     def counts(self, pretokens: list[str]) -> list[int]:
         """Tokens of each of the distinct pre-tokens."""
@@ -148,9 +159,13 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model not in _loaded:
             _loaded[model] = Unigram.load(model)
-        for p in pieces(batches, "text"):
-            pre, tokens = _loaded[model].per_row(p.column("text"))
-            yield pa.RecordBatch.from_arrays([p.column("doc_id"), pa.array(pre, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_pretokens", "n_tokens"])
+        gc.disable()  # nodes form no cycles, and the collector would walk the whole trie again and again
+        try:
+            for p in pieces(batches, "text"):
+                pre, tokens = _loaded[model].per_row(p.column("text"))
+                yield pa.RecordBatch.from_arrays([p.column("doc_id"), pa.array(pre, pa.int64()), pa.array(tokens, pa.int64())], names=["doc_id", "n_pretokens", "n_tokens"])
+        finally:
+            gc.enable()
 
     return mapped(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_pretokens long, n_tokens long")
 

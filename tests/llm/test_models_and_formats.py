@@ -327,7 +327,7 @@ def test_trie_counts(spark, odd, none):
     assert model.nodes == len(prefixes)  # a shared prefix is one node
 
     def terminals(node):
-        return (node.terminal is not None) + sum(map(terminals, node.children.values()))
+        return (node[trie_counts.TERMINAL] is not None) + sum(map(terminals, (node[trie_counts.CHILDREN] or {}).values()))
 
     assert terminals(model.root) == len(words)
     kept, trie_counts.MOST_NODES = trie_counts.MOST_NODES, 20
