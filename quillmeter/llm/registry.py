@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_cascade, chat_format, circulant_minhash, mixing, prefix_join, prefix_trie, pu_quality, quality_rules, token_files, toxicity, trie_counts
+from . import bloom_cascade, chat_format, circulant_minhash, mixing, prefix_join, prefix_trie, pu_quality, quality_rules, recompression, token_files, toxicity, trie_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_boosted_rules": quality_rules.op9_boosted_rules,
         "op10_factorization_machine": toxicity.op10_factorization_machine,
         "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+        "op13_recompression": recompression.op13_recompression,
     }
 
 
@@ -32,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_prefix_target": chat_format.OP4_SQL,
         "op8_circulant_minhash": circulant_minhash.OP8_SQL,
         "op12_prefix_trie": prefix_trie.OP12_SQL,
+        "op13_recompression": recompression.OP13_SQL,
     }
