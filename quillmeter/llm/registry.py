@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_cascade, chat_format, circulant_minhash, mixing, prefix_join, prefix_trie, pu_quality, quality_rules, recompression, token_files, toxicity, trie_counts
+from . import alignment, bloom_cascade, chat_format, circulant_minhash, mixing, prefix_join, prefix_trie, pu_quality, quality_rules, recompression, token_files, toxicity, trie_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_circulant_minhash": circulant_minhash.op8_circulant_minhash,
         "op9_boosted_rules": quality_rules.op9_boosted_rules,
         "op10_factorization_machine": toxicity.op10_factorization_machine,
+        "op11_token_alignment": alignment.op11_token_alignment,
         "op12_prefix_trie": prefix_trie.op12_prefix_trie,
         "op13_recompression": recompression.op13_recompression,
     }
