@@ -128,6 +128,7 @@ class Reader:
     find: Callable[[Context], list[File]]
     parse: Callable[[list[Loaded]], Parsed]
     finish: Callable[[DataFrame], DataFrame] | None = None
+    columns: Callable[[DataFrame], DataFrame] | None = None  # of the lines of logs; then nothing is parsed in Python
 
 
 def loads(text: str) -> Any:

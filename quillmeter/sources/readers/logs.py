@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..logs_in_columns import claude_events, pi_events
 from ..kit import Context, Event, File, Loaded, Malformed, Parsed, Reader, Skip, Warn, cell, counter, ends, epoch, finite, get, lines, objects, optional, split_input, stamp, stem, text, tokens_key, under, workspace
 
 JSONL = ends(".jsonl")
@@ -124,7 +125,7 @@ def _pi(files: list[Loaded]) -> Parsed:
 
 
 def _pi_reader(name: str, roots: Callable[[Context], list[str]]) -> Reader:
-    return Reader(name, lambda ctx: under(roots(ctx), JSONL), _pi)
+    return Reader(name, lambda ctx: under(roots(ctx), JSONL), _pi, columns=pi_events)
 
 
 def _below(ctx: Context, env: str, sub: str, *default: str) -> list[str]:
@@ -623,7 +624,7 @@ def _qwen_files(ctx: Context) -> list[File]:
 
 
 READERS = [
-    Reader("claude", _claude_files, _claude("claude")),
+    Reader("claude", _claude_files, _claude("claude"), columns=claude_events),
     Reader("codebuddy", lambda c: under([os.path.join(c.get("CODEBUDDY_CONFIG_DIR") or c.at(".codebuddy"), "projects")], JSONL), _claude("codebuddy")),
     Reader("codex", _codex_files, _codex, without_replays),
     Reader("commandcode", lambda c: under([c.at(".commandcode", "projects")], lambda p: p.endswith(".jsonl") and re.fullmatch(r"[^.]+\.jsonl", os.path.basename(p)) is not None), _commandcode),

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from ..functions.instants import parse_ms
 from ..operators.windows import first_wins
 from .kit import Context, Event, File, Loaded, Malformed, Reader, Skip
+from .logs_in_columns import LISTED, log_lines, plain_path
 from .messages import worded
 from .sqlite import LOG
 
-#: Files up to which the list is broadcast; fixed values: how SQLite stores are named
-LISTED, STORES = 200_000, (".db", ".sqlite", ".sqlite3")
+#: How SQLite stores are named
+STORES = (".db", ".sqlite", ".sqlite3")
 ORDER = ["lane", "root_ord", "src_path", "src_ord"]
 _EVENT = "session_id string, message_id string, timestamp string, model string, input bigint, output bigint, cache_read bigint, cache_write bigint, reasoning bigint, cache_write_1h bigint, turn boolean, subagent boolean, calls bigint, cost_usd double, workspace string, title string, key string, rank double"
 PARSED = f"kind string, message string, location string, lane int, root_ord int, src_path string, src_ord bigint, {_EVENT}"
@@ -68,11 +69,12 @@ def parsed(spark: SparkSession, reader: Reader, ctx: Context) -> DataFrame:
     files = with_logs(reader.find(ctx))
     if not files:
         return spark.createDataFrame([], PARSED)
+    if reader.columns is not None:
+        return reader.columns(log_lines(spark, files))
     grouped = any(f.unit is not None for f in files)
     listed = spark.createDataFrame([(f.path, f.root, f.lane, f.unit or f.path) for f in files], "path string, root int, lane int, unit string")
     read = spark.read.format("binaryFile").load([f.path for f in files])
-    path = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^file:", "")
-    raw = read.select(path.alias("path"), "content", F.unix_millis("modificationTime").alias("mtime"))
+    raw = read.select(plain_path(F.col("path")).alias("path"), "content", F.unix_millis("modificationTime").alias("mtime"))
     # the list is rows of short texts that the driver has anyway
     raw = raw.join(F.broadcast(listed) if len(files) <= LISTED else listed, "path")
     if grouped:
