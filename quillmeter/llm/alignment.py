@@ -41,7 +41,9 @@ from .common import mapped, saved, work_dir
 from .textkernel import HashIndex, gather, give_back, numbered, pieces, span_hashes, text_bytes
 
 #: Bytes of texts in a block; cuts, and bytes of their groups, that a worker remembers
-BLOCK_BYTES, CACHE_CUTS, CACHE_BYTES = 1 << 20, 600_000, 64 << 20
+BLOCK_BYTES, CACHE_CUTS, CACHE_BYTES = 1 << 19, 400_000, 32 << 20
+#: Cuts that go to the libraries at once
+ENCODED = 2048
 #: Keys summed at once in a task, and about how many a shard holds
 PARTIAL_KEYS, SHARD_KEYS = 1 << 21, 1 << 20
 SPACE_MARK = "▁"
@@ -131,9 +133,12 @@ class Aligner:
 
     def _learn(self, keys: np.ndarray, cuts: list[bytes]) -> None:
         texts = [c.decode("utf-8", "replace") for c in cuts]
-        a_ids = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
-        # B puts a space before a text; nothing joins a line feed, so what follows it stands as in the middle of a text
-        b_ids = [x[2:] for x in self.b.encode(["\n" + t for t in texts], num_threads=1)] if not self.line_feed else [self.b.encode(t[1:]) for t in texts]
+        a_ids, b_ids = [], []
+        for k in range(0, len(texts), ENCODED):  # what the library holds for a text is much larger than its ids
+            part = texts[k : k + ENCODED]
+            a_ids += [e.ids for e in self.a.encode_batch(part, add_special_tokens=False)]
+            # B puts a space before a text; nothing joins a line feed, so what follows it stands as in the middle of a text
+            b_ids += [x[2:] for x in self.b.encode(["\n" + t for t in part], num_threads=1)] if not self.line_feed else [self.b.encode(t[1:]) for t in part]
         n_a, n_b = np.array([len(x) for x in a_ids], np.int64), np.array([len(x) for x in b_ids], np.int64)
         a, b = (np.array([i for x in ids for i in x], np.int64) for ids in (a_ids, b_ids))
         size = np.array([len(c) for c in cuts], np.int64)
