@@ -6,9 +6,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from quillmeter.plans import testdata
+from quillmeter.plans import record_queries, testdata
 
 DATA = "/root/testdata/sf0.001"
+QUERIES, SQL = testdata.queries() | record_queries.queries(), testdata.oracle_sql() | record_queries.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -25,10 +26,10 @@ def rows(df: pd.DataFrame) -> list:
 
 
 def test_every_query_has_sql():
-    assert set(testdata.queries()) == set(testdata.oracle_sql())
+    assert set(QUERIES) == set(SQL)
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(testdata.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    assert rows(testdata.queries()[name](spark, DATA).toPandas()) == rows(duck.execute(testdata.oracle_sql()[name]).df())
+    assert rows(QUERIES[name](spark, DATA).toPandas()) == rows(duck.execute(SQL[name]).df())
