@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.sql import register
 from ..operators import records as R
 from ..sources.catalog_columns import relation
 from ..sources.logs_in_columns import claude_events, pi_events
-from .testdata import USAGE_DUCK, Query, usage
+from .testdata import _RATES, USAGE_DUCK, Query, _cost_sql, catalog, usage
 
 _ORDER = ["ts_ms", "seq"]
 _TOKENS = ("input", "output", "cache_read", "cache_write", "reasoning")
@@ -122,6 +123,31 @@ def _catalog(kind: str) -> Query:
     return run
 
 
+def _in_sql(text: str) -> Query:
+    """A query in SQL alone over views of events and prices, with the library's SQL functions."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        register(spark)
+        usage(spark, d).createOrReplaceTempView("usage_events")
+        catalog(spark).createOrReplaceTempView("prices")
+        return spark.sql(text)
+
+    return run
+
+
+_SQL_COST = """
+WITH models AS (SELECT DISTINCT model FROM usage_events),
+matched AS (SELECT m.model, r.key_rank, p.catalog_ord, p.source, p.price FROM models m, LATERAL ranked_keys(m.model) r JOIN prices p ON p.key = r.key WHERE p.price.input + p.price.output > 0),
+priced AS (SELECT model, min_by(price, struct(catalog_ord, key_rank)) AS price, min_by(source, struct(catalog_ord, key_rank)) AS source FROM matched GROUP BY model)
+SELECT u.model, p.source, count(*) AS events, round(sum(cost_usd(u.tokens, p.price)), 6) AS usd, sum(one_hour_writes(u.tokens)) AS hour_writes
+FROM usage_events u LEFT JOIN priced p ON p.model = u.model GROUP BY u.model, p.source"""
+
+_SQL_DAYS = """
+SELECT day_key(ts_ms, 'America/Los_Angeles') AS day, path_basename(normalize_workspace(concat(workspace, '//'))) AS project, count(*) AS events,
+  count_if(date_parse_ms(iso_instant(ts_ms)) = ts_ms) AS kept, max(within_hour(ts_ms, 'Asia/Kolkata')) AS latest
+FROM usage_events GROUP BY 1, 2"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "greedy_match_turns": _match_turns,
@@ -136,6 +162,8 @@ def queries() -> dict[str, Query]:
         "log_columns_pi_notes": _notes(_pi_log, pi_events),
         "catalog_columns_litellm": _catalog("litellm"),
         "catalog_columns_openrouter": _catalog("openrouter"),
+        "sql_cost_by_model": _in_sql(_SQL_COST),
+        "sql_days_by_project": _in_sql(_SQL_DAYS),
     }
 
 
@@ -182,5 +210,9 @@ t AS (SELECT *, n % 3 = 0 AS low, n % 2 = 0 AS high FROM r)
 SELECT source, key, n::DOUBLE AS input, v::DOUBLE AS output,
   CASE WHEN low OR high THEN concat_ws(';', CASE WHEN low THEN '200000:' || n || ':' || v END, CASE WHEN high THEN '256000:' || (2 * n) || ':' || v END) END AS tiers,
   CASE WHEN (low OR high) AND key LIKE 'claude%' THEN 'whole-request' END AS mode FROM t""",
+        "sql_cost_by_model": f"""{u}, {_RATES} SELECT model, source, count(*) AS events, round(sum(CASE WHEN source IS NOT NULL THEN {_cost_sql()} END), 6) AS usd,
+  sum(CASE WHEN cache_write_1h IS NOT NULL THEN least(cache_write_1h, cache_write) END)::BIGINT AS hour_writes FROM u LEFT JOIN rates USING (model) GROUP BY ALL""",
+        "sql_days_by_project": f"""{u} SELECT strftime(make_timestamp(ts_ms * 1000) AT TIME ZONE 'UTC' AT TIME ZONE 'America/Los_Angeles', '%Y-%m-%d') AS day, regexp_extract(workspace, '[^/]+$') AS project,
+  count(*) AS events, count(*) AS kept, max((ts_ms + 1800000) % 3600000) AS latest FROM u GROUP BY ALL""",
         "catalog_columns_openrouter": f"WITH r AS ({rates}) SELECT source, key, n::DOUBLE AS input, v::DOUBLE AS output, NULL::VARCHAR AS tiers, NULL::VARCHAR AS mode FROM r",
     }
