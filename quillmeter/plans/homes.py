@@ -8,8 +8,10 @@ reader owes for the same rows.
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
+import shutil
 import sqlite3
 import tempfile
 import uuid
@@ -474,7 +476,8 @@ def home_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.gettempdir()
+        base = tempfile.mkdtemp(prefix="quillmeter-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
     if "://" in base and not base.startswith("file:"):
         raise ValueError("agents keep their stores in a file system that can be listed")
     path = unquote(base.split("://", 1)[-1].removeprefix("file:"))

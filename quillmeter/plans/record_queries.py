@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.sql import register
 from ..operators import records as R
 from ..sources.catalog_columns import relation
+from ..sources import sqlite_source
 from ..sources.logs_in_columns import claude_events, pi_events
-from .testdata import _RATES, USAGE_DUCK, Query, _cost_sql, catalog, usage
+from .homes import home_dir
+from .testdata import _RATES, SINCE, UNTIL, USAGE_DUCK, Query, _cost_sql, catalog, usage
 
 _ORDER = ["ts_ms", "seq"]
 _TOKENS = ("input", "output", "cache_read", "cache_write", "reasoning")
@@ -123,6 +125,17 @@ def _catalog(kind: str) -> Query:
     return run
 
 
+def _sqlite(spark: SparkSession, d: str) -> DataFrame:
+    """Events written to stores by session, read back in ranges of rows with the bounds in each store's statement."""
+    sqlite_source.register(spark)
+    e = usage(spark, d).select("seq", "session_id", "ts_ms", "model", F.col("tokens.input").alias("input"), F.col("tokens.output").alias("output"))
+    path = home_dir(spark)
+    e.repartition("session_id").write.format("sqlite").options(path=path, table="usage").mode("append").save()
+    back = spark.read.format("sqlite").schema(e.schema).options(path=path, table="usage", rowsPerTask="20000").load()
+    kept = back.where((F.col("ts_ms") >= SINCE) & (F.col("ts_ms") < UNTIL))
+    return kept.groupBy("session_id", "model").agg(F.count("*").alias("events"), F.sum("input").alias("input"), F.sum("output").alias("output"), F.max("seq").alias("last_seq"))
+
+
 def _in_sql(text: str) -> Query:
     """A query in SQL alone over views of events and prices, with the library's SQL functions."""
 
@@ -162,6 +175,7 @@ def queries() -> dict[str, Query]:
         "log_columns_pi_notes": _notes(_pi_log, pi_events),
         "catalog_columns_litellm": _catalog("litellm"),
         "catalog_columns_openrouter": _catalog("openrouter"),
+        "sqlite_since_until": _sqlite,
         "sql_cost_by_model": _in_sql(_SQL_COST),
         "sql_days_by_project": _in_sql(_SQL_DAYS),
     }
@@ -210,6 +224,7 @@ t AS (SELECT *, n % 3 = 0 AS low, n % 2 = 0 AS high FROM r)
 SELECT source, key, n::DOUBLE AS input, v::DOUBLE AS output,
   CASE WHEN low OR high THEN concat_ws(';', CASE WHEN low THEN '200000:' || n || ':' || v END, CASE WHEN high THEN '256000:' || (2 * n) || ':' || v END) END AS tiers,
   CASE WHEN (low OR high) AND key LIKE 'claude%' THEN 'whole-request' END AS mode FROM t""",
+        "sqlite_since_until": f"{u} SELECT session_id, model, count(*) AS events, sum(input)::BIGINT AS input, sum(output)::BIGINT AS output, max(seq) AS last_seq FROM u WHERE ts_ms >= {SINCE} AND ts_ms < {UNTIL} GROUP BY 1, 2",
         "sql_cost_by_model": f"""{u}, {_RATES} SELECT model, source, count(*) AS events, round(sum(CASE WHEN source IS NOT NULL THEN {_cost_sql()} END), 6) AS usd,
   sum(CASE WHEN cache_write_1h IS NOT NULL THEN least(cache_write_1h, cache_write) END)::BIGINT AS hour_writes FROM u LEFT JOIN rates USING (model) GROUP BY ALL""",
         "sql_days_by_project": f"""{u} SELECT strftime(make_timestamp(ts_ms * 1000) AT TIME ZONE 'UTC' AT TIME ZONE 'America/Los_Angeles', '%Y-%m-%d') AS day, regexp_extract(workspace, '[^/]+$') AS project,
