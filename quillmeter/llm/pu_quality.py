@@ -6,11 +6,13 @@ loss.  Where the negative part falls below zero its gradient is turned round.
 Labelled bad documents are never used.
 
 Positives: at most SAMPLE_ROWS labelled good documents.  Unlabelled: all rows
-outside the held-out fold, at any size.  Their statistics are computed once,
-dealt at random over partitions and written; means and scales are aggregates
-over all of them.  In each round every partition goes on from the same weights,
-takes steps on its own rows and the positives, and the weights are averaged by
-rows in an aggregation, so the unlabelled risk is that of all rows.
+outside the held-out fold, at any size.  Their statistics are computed once and
+written; means and scales are aggregates over all of them.  Training shards of
+about SHARD_ROWS rows are dealt by the hash of a row, copies apart, and sorted, so
+neither the cluster nor the files decide what a shard holds.  In each round every
+shard goes on from the same weights, takes steps on its own rows and the
+positives, and the weights are averaged by rows in an aggregation, so the
+unlabelled risk is that of all rows.
 
 The class prior is estimated from positives and unlabelled alone: whatever the
 network scores above a threshold holds at least pi times the share of positives
@@ -36,7 +38,9 @@ from .textkernel import pieces
 from .training import training_labels
 
 HIDDEN, BATCH, RATE = 32, 128, 0.01
-#: Rounds with the first prior and with the estimated one; least steps of a partition in a round; bins of scores
+#: Rows of a training shard; copies of one row that are dealt at once
+SHARD_ROWS, COPIES = 1 << 14, 4096
+#: Rounds with the first prior and with the estimated one; least steps of a shard in a round; bins of scores
 ROUNDS, STEPS, BINS = (2, 2), 400, 1000
 START, ERROR = 0.5, 1.0  # the first prior; standard errors that a share is widened by
 GOOD = 0.3
@@ -125,21 +129,31 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
             yield b.column("x").flatten().to_numpy().reshape(b.num_rows, -1)
 
 
-def _round(web: DataFrame, net: Network, positive: np.ndarray, prior: float, rate: float, seed: int) -> None:
-    """One round over all of ``web``: partitions learn on, their weights are averaged by rows."""
-    sent = web.sparkSession.sparkContext.broadcast((net, positive))
+def sharded(web: DataFrame) -> DataFrame:
+    """(shard, x): the rows of ``web`` (doc_id, x) in shards that depend on the rows alone.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [x.copy() for x in _blocks(batches)]  # a hundred bytes for each document of the partition
-        if rows:
-            own, trusted = sent.value
-            mine = Network(own.mean, own.scale)
-            mine.put(own.flat())
-            other = np.concatenate(rows)
-            mine.fit(trusted, other, prior, rate, seed)
-            yield pa.RecordBatch.from_arrays([pa.array([len(other)], pa.int64()), pa.array([mine.flat().tolist()], pa.list_(pa.float64()))], names=["n", "weights"])
-
-    learnt = mapped(web.select("x"), run, "n long, weights array<double>").select("n", F.posexplode("weights").alias("k", "w"))
+    Rows that repeat are counted first and then dealt one by one, so no row, however often it is there, fills a shard.
+    """
+    shards = max(1, -(-web.count() // SHARD_ROWS))
+    counted = web.groupBy("doc_id", "x").agg((F.count("*") - 1).alias("more"))
+    some = counted.select("doc_id", "x", "more", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("more") / COPIES))).alias("part"))
+    each = some.select("doc_id", "x", F.explode(F.sequence(F.col("part") * COPIES, F.least(F.col("more"), (F.col("part") + 1) * COPIES - 1))).alias("copy"))
+    return each.select(F.pmod(F.xxhash64("doc_id", "x", "copy"), F.lit(shards)).alias("shard"), "x")
+
+
+def _round(shards: DataFrame, net: Network, positive: np.ndarray, prior: float, rate: float, seed: int) -> None:
+    """One round over all shards: each learns on, their weights are averaged by rows."""
+    sent = shards.sparkSession.sparkContext.broadcast((net, positive))
+
+    def run(table: pa.Table) -> pa.Table:
+        own, trusted = sent.value
+        mine = Network(own.mean, own.scale)
+        mine.put(own.flat())
+        other = np.concatenate(list(_blocks(table.to_batches())))  # a hundred bytes for each document of the shard
+        mine.fit(trusted, other[np.lexsort(other.T)], prior, rate, seed)
+        return pa.table({"n": pa.array([len(other)], pa.int64()), "weights": pa.array([mine.flat().tolist()], pa.list_(pa.float64()))})
+
+    learnt = shards.groupBy("shard").applyInArrow(run, "n long, weights array<double>").select("n", F.posexplode("weights").alias("k", "w"))
     mean = learnt.groupBy("k").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w")).orderBy("k").collect()  # a row per weight
     if mean:
         net.put(np.round([r["w"] for r in mean], 9))
@@ -176,11 +190,12 @@ def _moments(web: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.where(np.isnan(mean), 0, mean), np.where(scale > 1e-9, scale, 1.0)
 
 
-def fit(features: DataFrame, labels: DataFrame) -> Network:
+def fit(features: DataFrame, labels: DataFrame, folder: str | None = None) -> Network:
     """Fitted on rows of ``features`` (doc_id, x) outside the held-out fold.
 
     Without positives or rows it is the starting network.  Of rows that repeat a
-    labelled id the one of the least statistics is the positive.
+    labelled id the one of the least statistics is the positive.  Rows that tie in
+    all statistics are alike, so the number and order of partitions is of no account.
     """
     good = F.broadcast(training_labels(labels, "quality").where("label = 1"))
     known = features.join(good, F.col("doc_id") == F.col("label_id")).groupBy("label_id", "label").agg(F.min("x").alias("x"))
@@ -189,20 +204,20 @@ def fit(features: DataFrame, labels: DataFrame) -> Network:
     net = Network(*_moments(web))
     if not len(positive):
         return net
+    shards = saved(sharded(web), f"{folder or work_dir(features.sparkSession, 'pu-quality')}/shards")
     prior, step, total = START, 0, sum(ROUNDS)
     for rounds in ROUNDS:
         for _ in range(rounds):
-            _round(web, net, positive, prior, RATE * (1 - step / total), step)
+            _round(shards, net, positive, prior, RATE * (1 - step / total), step)
             step += 1
         if step < total:
             prior = prior_of(_binned(net, positive), _counts(web, net))
     return net
 
 
-def dealt(docs: DataFrame, folder: str) -> DataFrame:
-    """The statistics of all rows, at random over partitions, written."""
-    spread = F.pmod(F.monotonically_increasing_id(), F.lit(64))  # rows that repeat an id and a text
-    return saved(featured(docs).repartition(F.xxhash64("doc_id", "x", spread)), f"{folder}/features")
+def written(docs: DataFrame, folder: str) -> DataFrame:
+    """The statistics of all rows, written."""
+    return saved(featured(docs), f"{folder}/features")
 
 
 def scored(features: DataFrame, net: Network) -> DataFrame:
@@ -223,6 +238,7 @@ def scored(features: DataFrame, net: Network) -> DataFrame:
 
 def op6_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    features = dealt(docs, work_dir(spark, "pu-quality"))
-    out = scored(features, fit(features, labels))
+    folder = work_dir(spark, "pu-quality")
+    features = written(docs, folder)
+    out = scored(features, fit(features, labels, folder))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))

@@ -169,6 +169,40 @@ def test_quality_models(spark, odd, none):
     assert not any(r["kept"] for r in quality_rules.judged(odd, forest).where("n_words < 50").collect())
 
 
+def test_quality_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(pu_quality, "SHARD_ROWS", 150)
+    monkeypatch.setattr(pu_quality, "COPIES", 2)
+    docs, labels = labelled_docs(spark, "quality")
+    docs = docs.unionByName(docs.where("doc_id = 1")).unionByName(docs.where("doc_id = 1").crossJoin(spark.range(5)).drop("id"))
+    before, nets = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (2, 4, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            nets.append(pu_quality.fit(pu_quality.featured(docs.repartition(n)), labels).flat())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert np.abs(nets[0] - nets[1]).max() < 1e-6 and np.abs(nets[0] - nets[2]).max() < 1e-6
+
+
+def test_a_round_is_the_mean_of_its_shards(spark):
+    rng = np.random.default_rng(12)
+    width = len(docstats.FEATURES)
+    rows = [(k, rng.uniform(0, 2, width).tolist()) for k in range(90)]
+    web = spark.createDataFrame([*rows, *[rows[0]] * 4], "doc_id long, x array<double>")
+    assert pu_quality.sharded(web).count() == 94
+    shards = web.selectExpr("doc_id % 3 as shard", "x")
+    positive = rng.uniform(1, 2, (40, width))
+    net, own = (pu_quality.Network(np.ones(2 * width), np.ones(2 * width)) for _ in range(2))
+    pu_quality._round(shards, net, positive, 0.4, 0.01, 3)
+    total = 0
+    for s in range(3):
+        other = np.array([x for k, x in [*rows, *[rows[0]] * 4] if k % 3 == s])
+        mine = pu_quality.Network(own.mean, own.scale)
+        mine.fit(positive, other[np.lexsort(other.T)], 0.4, 0.01, 3)
+        total = total + mine.flat() * len(other) / 94
+    assert np.abs(net.flat() - total).max() < 1e-8
+
+
 def test_prior_is_estimated_without_negatives():
     """From scores of positives and a mixture, whatever the share of positives in it."""
     rng = np.random.default_rng(8)
