@@ -10,7 +10,9 @@ bucket alone, plus 1 / sqrt(buckets of a mean document).  Terms that tell nothin
 alone thus have together the weight of one that does, and still form pairs.
 
 It is fitted on one text of each of at most SAMPLE_ROWS labelled ids, as many of
-them, by hash order, as have SAMPLE_TERMS buckets together.
+them, by hash order, as have SAMPLE_TERMS buckets together.  The bias is set apart:
+a machine fitted without an inner fold of these documents scores that fold, and
+where its F1 is highest is where a score is REJECT.
 """
 
 from __future__ import annotations
@@ -33,7 +35,8 @@ BUCKETS = 1 << HASH_BITS
 PREFIXES, CHANCE = (5, 7, 9), 16.0
 #: Passes over the sample, and steps at least; documents of a step; rate; weight of a toxic document; decays of w and v
 EPOCHS, STEPS, BATCH, RATE, WEIGHT, DECAY, DECAY_PAIRS = 2, 150, 128, 0.15, 4.0, 1e-4, 1e-3
-REJECT = 0.5
+#: Of so many labelled documents one is of the inner fold, which sets where a score of REJECT lies
+FOLDS, REJECT = 5, 0.5
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
 
@@ -63,14 +66,15 @@ def steps(order: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
         at = stop
 
 
-def evidence(x: np.ndarray, first: np.ndarray, labels: np.ndarray) -> np.ndarray:
+def evidence(x: np.ndarray, first: np.ndarray, labels: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
     """Each bucket's log-likelihood ratio: how much better the labels are told with it than without."""
-    n, n1 = len(labels), labels.sum()
+    order, size = np.arange(len(labels)) if order is None else order, np.diff(first)
+    n, n1 = len(order), labels[order].sum()
     has, has1 = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for docs in steps(np.arange(n), np.diff(first)):
-        own = x[first[docs[0]] : first[docs[-1] + 1]]
+    for docs in steps(order, size):
+        own = gather(x, first[:-1], size, docs)
         has += np.bincount(own, minlength=BUCKETS)
-        has1 += np.bincount(own, np.repeat(labels[docs], np.diff(first)[docs]), BUCKETS)
+        has1 += np.bincount(own, np.repeat(labels[docs], size[docs]), BUCKETS)
 
     def nats(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
         return np.where(part > 0, part * np.log(np.where(part > 0, part, 1) / np.where(whole > 0, whole, 1)), 0)
@@ -102,7 +106,7 @@ class Machine:
     def fit(self, x: np.ndarray, first: np.ndarray, labels: np.ndarray, order: np.ndarray, epochs: int = EPOCHS) -> None:
         """Logistic loss, in steps whose length per weight falls with its past gradients."""
         rng = np.random.Generator(np.random.PCG64(6))
-        size, n = np.diff(first), len(labels)
+        size, n = np.diff(first), len(order)
         weight = np.where(labels == 1, WEIGHT, 1.0)
         past_b, past_w, past_v = 1e-6, np.full(BUCKETS, 1e-6, np.float32), np.full((BUCKETS, 1), 1e-6, np.float32)
         for _ in range(max(epochs, -(-STEPS * BATCH // n))):
@@ -148,25 +152,56 @@ def bounded(sample: DataFrame, limit: int = SAMPLE_TERMS) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, folder: str | None = None) -> Machine:
-    """Fitted on labelled rows outside the held-out fold; with one class or none, a constant."""
+    """Fitted on labelled rows outside the held-out fold; with one class or none, a constant.
+
+    Of labelled rows the order is that of their terms' hash, size and label; rows that tie in these are alike to the fit.
+    """
     folder = folder or work_dir(docs.sparkSession, "toxicity")
     sample = saved(mapped(labelled(docs, labels, "toxic"), _terms, "label int, terms array<int>, size long, mark long"), f"{folder}/sample")
     rows = bounded(sample).toArrow()  # at most SAMPLE_ROWS rows and SAMPLE_TERMS terms
     y = rows.column("label").to_numpy().astype(float)
-    bias = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     if not 0 < y.sum() < len(y):
-        return Machine(bias, np.zeros(BUCKETS))
+        return trained(np.zeros(0, np.int32), np.zeros(1, np.int64), y, np.arange(len(y)))
     order = np.lexsort([rows.column(c).to_numpy() for c in ("label", "size", "mark")])
     lists = pa.concat_arrays(rows.column("terms").chunks)
     x, first = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
     del rows
     give_back()
-    g = evidence(x, first, y)
-    model = Machine(bias, g**2 / (g**2 + CHANCE**2) + 1 / np.sqrt(max(1.0, np.diff(first).mean())))
+    inner = np.arange(len(order)) % FOLDS == 0
+    told, size = trained(x, first, y, order[~inner]), np.diff(first)
+    z = np.concatenate([told.raw(gather(x, first[:-1], size, docs), size[docs])[0] for docs in steps(order[inner], size)])
+    model = trained(x, first, y, order)
+    model.bias -= cut(z, y[order[inner]])
+    return model
+
+
+def trained(x: np.ndarray, first: np.ndarray, y: np.ndarray, order: np.ndarray) -> Machine:
+    """A machine fitted on the documents of ``order``; of one class, or of none, a constant."""
+    n, n1 = len(order), y[order].sum()
+    bias = float(np.log((n1 + 0.5) / (n - n1 + 0.5)))
+    if not 0 < n1 < n:
+        return Machine(bias, np.zeros(BUCKETS))
+    g = evidence(x, first, y, order)
+    model = Machine(bias, g**2 / (g**2 + CHANCE**2) + 1 / np.sqrt(max(1.0, np.diff(first)[order].mean())))
     model.fit(x, first, y, order)
     return model
 
 
+def cut(z: np.ndarray, y: np.ndarray) -> float:
+    """The sum from which a document of the inner fold is best called toxic: of the highest F1, midway to the next below.
+
+    Of cuts that tie the lowest holds; without toxic documents, or with them alone, it is zero.
+    """
+    if not 0 < y.sum() < len(y):
+        return 0.0
+    order = np.argsort(-z, kind="stable")
+    z, hit = z[order], np.cumsum(y[order])
+    ends = np.flatnonzero(np.append(z[1:] < z[:-1], True))  # equal sums go together
+    f1 = 2 * hit[ends] / (ends + 1 + y.sum())
+    best = ends[len(f1) - 1 - np.argmax(f1[::-1])]
+    return float(z[best] if best + 1 == len(z) else (z[best] + z[best + 1]) / 2)
+
+
 def scored(docs: DataFrame, model: Machine) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): score.
 

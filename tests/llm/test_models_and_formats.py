@@ -169,6 +169,17 @@ def test_quality_models(spark, odd, none):
     assert not any(r["kept"] for r in quality_rules.judged(odd, forest).where("n_words < 50").collect())
 
 
+def test_cut_has_the_highest_f1():
+    rng = np.random.default_rng(21)
+    for n in (2, 3, 10, 200):
+        y = (rng.uniform(size=n) < 0.4).astype(float)
+        y[:2] = 0, 1
+        z = np.round(rng.normal(0, 1, n) + y, 1)
+        f1 = lambda c: 2 * (y[z >= c] == 1).sum() / ((z >= c).sum() + y.sum())
+        assert abs(f1(toxicity.cut(z, y)) - max(f1(c) for c in z)) < 1e-12
+    assert toxicity.cut(np.ones(3), np.zeros(3)) == toxicity.cut(np.ones(3), np.ones(3)) == 0
+
+
 def test_quality_does_not_depend_on_partitions(spark, monkeypatch):
     monkeypatch.setattr(pu_quality, "SHARD_ROWS", 150)
     monkeypatch.setattr(pu_quality, "COPIES", 2)
