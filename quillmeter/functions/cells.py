@@ -76,11 +76,14 @@ def epoch_ms(number: Column) -> Column:
     return F.when((number > 0) & (ms <= MAX_MS), ms.cast("bigint"))
 
 
-def stamp_of(value: Column) -> Column:
+def stamp_cells(value: Column) -> tuple[Column, Column]:
+    """What a stamp may be: trimmed text, and a number."""
+    return F.regexp_replace(string_of(value), r"^\s+|\s+$", ""), number_of(value)
+
+
+def stamp(text: Column, number: Column) -> Column:
     """ISO text of an ISO string, a numeric string or an epoch number."""
-    s = F.regexp_replace(string_of(value), r"^\s+|\s+$", "")
-    number = F.coalesce(number_of(value), s.try_cast("double"))
-    return iso(F.coalesce(parse_ms(s), epoch_ms(number)))
+    return iso(F.coalesce(parse_ms(text), epoch_ms(F.coalesce(number, text.try_cast("double")))))
 
 
 def number_at(json: Column, path: str) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.cells import at, counter_of, given, is_object, kind, number_of, optional_of, stamp_of, string_of, text_of, true_of
+from ..functions.cells import at, counter_of, given, is_object, kind, number_of, optional_of, stamp, stamp_cells, string_of, text_of, true_of
 from ..functions.paths import normalize_workspace, stem
 from ..operators.windows import carried, pending
 from .kit import File
@@ -42,7 +42,23 @@ def log_lines(spark: SparkSession, files: list[File]) -> DataFrame:
 
 def opened(lines: DataFrame) -> DataFrame:
     """Lines with ``row``, their VARIANT, null where a line is no JSON."""
-    return lines.select(*_PLACE, F.try_parse_json(F.regexp_replace("text", r"^\s+|\s+$", "")).alias("row"))
+    parsed = F.try_parse_json(F.regexp_replace("text", r"^\s+|\s+$", ""))
+    # generated, not projected: conditions on cells would otherwise parse the line once for each cell
+    return lines.select(*_PLACE, F.explode(F.array(parsed)).alias("row"))
+
+
+def celled(rows: DataFrame, **paths: str) -> DataFrame:
+    """The cells at some paths of ``row`` as variants, each taken out once."""
+    return rows.select(*_PLACE, F.inline(F.array(F.struct(*[at(F.col("row"), p).alias(name) for name, p in paths.items()]))))
+
+
+def _stamps(**cells: Column) -> list[Column]:
+    """The parts of stamps, which become instants only after the windows, where each is one column."""
+    return [c.alias(f"{name}_{part}") for name, cell in cells.items() for part, c in zip(("text", "number"), stamp_cells(cell))]
+
+
+def _stamped(*names: str) -> Column:
+    return F.coalesce(*[stamp(F.col(f"{n}_text"), F.col(f"{n}_number")) for n in names])
 
 
 def _skips(rows: DataFrame, message: str) -> DataFrame:
@@ -72,54 +88,56 @@ def _event(**own: Column | str) -> list[Column]:
 
 def claude_events(lines: DataFrame) -> DataFrame:
     """Rows of the claude reader.  A turn is an assistant's first message after a user's own words."""
-    rows = opened(lines)
-    r = F.col("row")
-    message, usage = at(r, "$.message"), at(r, "$.message.usage")
-    type_ = string_of(at(r, "$.type"))
-    role = F.coalesce(*[F.nullif(string_of(at(r, p)), F.lit("")) for p in ("$.message.role", "$.role", "$.type")])
-    content = F.when(given(message), at(r, "$.message.content")).otherwise(at(r, "$.content"))
+    rows, c = opened(lines), F.col
+    cells = celled(
+        rows, c_type="$.type", c_role="$.role", c_message="$.message", c_message_role="$.message.role", c_content="$.content", c_message_content="$.message.content", c_usage="$.message.usage", c_model="$.message.model", c_at="$.timestamp",
+        c_input="$.message.usage.input_tokens", c_output="$.message.usage.output_tokens", c_read="$.message.usage.cache_read_input_tokens", c_write="$.message.usage.cache_creation_input_tokens", c_hour="$.message.usage.cache_creation.ephemeral_1h_input_tokens",
+        c_id="$.message.id", c_request="$.requestId", c_uuid="$.uuid", c_own="$.id", c_session="$.sessionId", c_side="$.isSidechain", c_cost="$.costUSD", c_cwd="$.cwd",
+    )
+    type_ = string_of(c("c_type"))
+    role = F.coalesce(*[F.nullif(string_of(c(n)), F.lit("")) for n in ("c_message_role", "c_role", "c_type")])
+    content = F.when(given(c("c_message")), c("c_message_content")).otherwise(c("c_content"))
     parts = F.try_variant_get(content, "$", "array<variant>")
     own_words = F.exists(parts, lambda p: F.coalesce(string_of(at(p, "$.type")) != "tool_result", F.lit(True)))
     human = F.when(kind(content).startswith("ARRAY"), F.coalesce(own_words, F.lit(False))).otherwise(F.lit(True))
     user = F.coalesce((type_ == "user") | (role == "user"), F.lit(False))
-    said = rows.select(
-        *_PLACE, user.alias("user"), (user & human).alias("human"), F.coalesce(type_ == "assistant", F.lit(False)).alias("assistant"), given(usage).alias("used"),
-        text_of(at(r, "$.message.model")).alias("model"), stamp_of(at(r, "$.timestamp")).alias("timestamp"), counter_of(at(usage, "$.input_tokens")).alias("input"), counter_of(at(usage, "$.output_tokens")).alias("output"),
-        optional_of(at(usage, "$.cache_read_input_tokens")).alias("cache_read"), optional_of(at(usage, "$.cache_creation_input_tokens")).alias("cache_write"), F.lit(0).cast("bigint").alias("reasoning"),
-        counter_of(at(usage, "$.cache_creation.ephemeral_1h_input_tokens")).alias("cache_write_1h"), F.coalesce(*[text_of(at(r, p)) for p in ("$.message.id", "$.requestId", "$.uuid", "$.id")]).alias("own_id"),
-        text_of(at(r, "$.sessionId")).alias("own_session"), true_of(at(r, "$.isSidechain")).alias("subagent"), number_of(at(r, "$.costUSD")).alias("cost_usd"), normalize_workspace(string_of(at(r, "$.cwd"))).alias("workspace"),
+    said = cells.select(
+        *_PLACE, user.alias("user"), (user & human).alias("human"), F.coalesce(type_ == "assistant", F.lit(False)).alias("assistant"), given(c("c_usage")).alias("used"),
+        text_of(c("c_model")).alias("model"), *_stamps(own=c("c_at")), counter_of(c("c_input")).alias("input"), counter_of(c("c_output")).alias("output"), optional_of(c("c_read")).alias("cache_read"), optional_of(c("c_write")).alias("cache_write"),
+        F.lit(0).cast("bigint").alias("reasoning"), counter_of(c("c_hour")).alias("cache_write_1h"), F.coalesce(*[text_of(c(n)) for n in ("c_id", "c_request", "c_uuid", "c_own")]).alias("own_id"),
+        text_of(c("c_session")).alias("own_session"), true_of(c("c_side")).alias("subagent"), number_of(c("c_cost")).alias("cost_usd"), string_of(c("c_cwd")).alias("cwd"),
     ).where("user or assistant")
     consumes = ~F.col("human")
     flagged = said.withColumn("turn", pending(F.col("human"), consumes, _BY, _ORDER))
     billed = flagged.where("not user and assistant and used and coalesce(model, '') <> '<synthetic>'")
     ident = F.coalesce("own_id", F.concat("src_path", F.lit(":"), F.col("src_ord").cast("string")))
-    named = billed.withColumns({"message_id": ident, "session_id": F.coalesce("own_session", stem(F.col("src_path")))})
+    named = billed.withColumns({"timestamp": _stamped("own"), "workspace": normalize_workspace(F.col("cwd")), "message_id": ident, "session_id": F.coalesce("own_session", stem(F.col("src_path")))})
     records = named.select(*_PLACE, *_event(key="message_id", cost_usd="cost_usd", workspace="workspace", cache_write_1h="cache_write_1h"))
     return _found(rows, records, ["model", "timestamp", "input", "output", "cache_read", "cache_write"])
 
 
 def pi_events(lines: DataFrame) -> DataFrame:
     """Rows of the readers of the pi family: the session's name and depth come from its header lines."""
-    rows = opened(lines)
-    r = F.col("row")
-    usage = at(r, "$.message.usage")
-    type_, role = string_of(at(r, "$.type")), string_of(at(r, "$.message.role"))
+    rows, c = opened(lines), F.col
+    cells = celled(
+        rows, c_type="$.type", c_id="$.id", c_depth="$.rlmDepth", c_message="$.message", c_role="$.message.role", c_model="$.message.model", c_usage="$.message.usage", c_at="$.timestamp", c_message_at="$.message.timestamp", c_input="$.message.usage.input",
+        c_output="$.message.usage.output", c_read="$.message.usage.cacheRead", c_write="$.message.usage.cacheWrite", c_reasoning="$.message.usage.reasoning", c_hour="$.message.usage.cacheWrite1h",
+    )
+    type_, role, hour = string_of(c("c_type")), string_of(c("c_role")), c("c_hour")
     header = F.coalesce(type_ == "session", F.lit(False))
-    talk = F.coalesce((type_ == "message") & is_object(at(r, "$.message")), F.lit(False))
-    hour = at(usage, "$.cacheWrite1h")
-    said = rows.select(
-        *_PLACE, F.when(header, text_of(at(r, "$.id"))).alias("named"), F.when(header, F.coalesce(number_of(at(r, "$.rlmDepth")), F.lit(0.0))).alias("deep"), header.alias("header"),
-        (talk & F.coalesce(role == "user", F.lit(False))).alias("user"), (talk & F.coalesce(role == "assistant", F.lit(False))).alias("assistant"), given(usage).alias("used"), text_of(at(r, "$.id")).alias("message_id"),
-        text_of(at(r, "$.message.model")).alias("model"), F.coalesce(stamp_of(at(r, "$.timestamp")), stamp_of(at(r, "$.message.timestamp"))).alias("timestamp"), counter_of(at(usage, "$.input")).alias("input"),
-        counter_of(at(usage, "$.output")).alias("all_output"), counter_of(at(usage, "$.cacheRead")).alias("cache_read"), counter_of(at(usage, "$.cacheWrite")).alias("cache_write"), optional_of(at(usage, "$.reasoning")).alias("reasoning"),
-        F.when(given(hour), counter_of(hour)).alias("cache_write_1h"), (given(hour) & counter_of(hour).isNull()).alias("bad_hour"),
+    talk = F.coalesce((type_ == "message") & is_object(c("c_message")), F.lit(False))
+    said = cells.select(
+        *_PLACE, F.when(header, text_of(c("c_id"))).alias("named"), F.when(header, F.coalesce(number_of(c("c_depth")), F.lit(0.0))).alias("deep"), header.alias("header"),
+        (talk & F.coalesce(role == "user", F.lit(False))).alias("user"), (talk & F.coalesce(role == "assistant", F.lit(False))).alias("assistant"), given(c("c_usage")).alias("used"), text_of(c("c_id")).alias("message_id"),
+        text_of(c("c_model")).alias("model"), *_stamps(own=c("c_at"), message=c("c_message_at")), counter_of(c("c_input")).alias("input"), counter_of(c("c_output")).alias("all_output"), counter_of(c("c_read")).alias("cache_read"),
+        counter_of(c("c_write")).alias("cache_write"), optional_of(c("c_reasoning")).alias("reasoning"), F.when(given(hour), counter_of(hour)).alias("cache_write_1h"), (given(hour) & counter_of(hour).isNull()).alias("bad_hour"),
     ).where("header or user or assistant")
     flagged = said.withColumns({
         "turn": pending(F.col("user"), F.col("assistant"), _BY, _ORDER),
         "session_id": F.coalesce(carried("named", _BY, _ORDER), stem(F.col("src_path"))),
         "subagent": F.coalesce(carried("deep", _BY, _ORDER), F.lit(0.0)) > 0,
     })
-    billed = flagged.where("assistant and used").withColumns({"output": F.greatest(F.col("all_output") - F.col("reasoning"), F.lit(0)), "sound": F.when(~F.col("bad_hour"), F.lit(True))})
+    billed = flagged.where("assistant and used").withColumns({"timestamp": _stamped("own", "message"), "output": F.greatest(F.col("all_output") - F.col("reasoning"), F.lit(0)), "sound": F.when(~F.col("bad_hour"), F.lit(True))})
     key = F.to_json(F.struct("session_id", "message_id", "model", *_COUNTERS, "cache_write_1h"))
     records = billed.select(*_PLACE, "sound", *_event(key=key, cache_write_1h="cache_write_1h"))
     return _found(rows, records, ["message_id", "model", "timestamp", "input", "output", "cache_read", "cache_write", "reasoning", "sound"]).drop("sound")
