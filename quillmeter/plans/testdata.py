@@ -193,37 +193,37 @@ def _events_priced(by: str, mode: str, key_ms: int = 18_000_000, digits: int = 6
     return run
 
 
-def _tier_cost(model: str) -> Query:
-    """Rows of one model with 40 times the tokens, so that most pass the tier."""
+def _tier_cost(part: str) -> Query:
+    """Every event with 4000 times the tokens, so that most of those with tiers pass one, by model and ``part``."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        e = usage(spark, d).where(F.col("model") == model)
+        e = usage(spark, d).withColumn("session_id", F.concat_ws(":", part, "model"))
         big = F.struct(*[(F.col("tokens")[c] * 4000).alias(c) for c in ("input", "output", "cache_read", "cache_write", "cache_write_1h", "reasoning")])
         return pricing.price_events(e.withColumn("tokens", big), catalog(spark), "session").select("key", "events", F.round("usd", 4).alias("usd"))
 
     return run
 
 
-def _tier_sql(model: str) -> str:
-    return f"WITH u AS ({USAGE_DUCK}), {_RATES} SELECT session_id AS key, count(*) AS events, round(sum(round({_cost_sql('4000')}, 12)), 4) AS usd FROM u JOIN rates USING (model) WHERE model = '{model}' GROUP BY 1"
+def _tier_sql(part: str) -> str:
+    return f"WITH u AS ({USAGE_DUCK}), {_RATES} SELECT {part} || ':' || model AS key, count(*) AS events, round(sum(CASE WHEN source IS NOT NULL THEN round({_cost_sql('4000')}, 12) END), 4) AS usd FROM u LEFT JOIN rates USING (model) GROUP BY 1"
 
 
-VECTORS = ("2026-08-01T00:00:00Z", "2026-08-01T00:00:00.123456Z", "1969-12-31T23:59:59.000Z", "2026-08-01T01:00:00.000+01:00", "1970-01-01T00:01", "1970-01-01 00:00:01", "2026-02-31", "2024-02-29T12:00:00-08:00", "not-a-date", "2026/01/01", "2026-13-01", "2026-01-32", "2026-01-01T24:00", "2026-01-01T00:00:00.Z", "2026-01-01T00:00:00+0100", "2026-01-01T00:00:00+00:00garbage", "2026-01-01T00:00:00ZZ")
+#: Ways of writing an instant, as Spark formats it, and what each must be read as in DuckDB
+_WRITTEN = {
+    "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'": "ms", "yyyy-MM-dd'T'HH:mm:ss.SSS'+05:30'": "ms - 19800000", "yyyy-MM-dd": "ms - ms % 86400000", "yyyy-MM-dd HH:mm": "ms - ms % 60000", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'": "ms", "yyyy-MM-dd HH:mm:ss'-08:00'": "ms - ms % 1000 + 28800000",
+    "yyyy-MM-dd'T'HH:mm:ss.SSS'Z '": "NULL", "yyyy/MM/dd": "NULL", "yyyy-MM-dd'T'HH:mm:ss.'Z'": "NULL", "yyyy-MM-dd'T'24:mm": "NULL", "yyyy-MM-'31'": "ms - ms % 86400000 + (31 - day(ts)) * 86400000",
+}
 
 
 def _grammar(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(v,) for v in VECTORS], "text string").select("text", parse_ms(F.col("text")).alias("ms"))
+    """Each event's instant written in one of several ways, and read again."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    local = F.col("ts").cast("timestamp_ntz")
+    text = F.element_at(F.array(*[F.date_format(local, w) for w in _WRITTEN]), (F.col("event_id") % len(_WRITTEN) + 1).cast("int"))
+    return e.select("event_id", parse_ms(text).alias("ms"))
 
 
-_GRAMMAR_SQL = "WITH v(text) AS (VALUES " + ", ".join(f"('{v}')" for v in VECTORS) + r"""),
-p AS (SELECT text, regexp_full_match(text, '\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})?)?') AS ok FROM v),
-f AS (SELECT text, ok, TRY_CAST(substr(text, 1, 4) AS INT) AS y, TRY_CAST(substr(text, 6, 2) AS INT) AS m, TRY_CAST(substr(text, 9, 2) AS INT) AS d,
-  coalesce(TRY_CAST(nullif(substr(text, 12, 2), '') AS BIGINT), 0) AS h, coalesce(TRY_CAST(nullif(substr(text, 15, 2), '') AS BIGINT), 0) AS mi,
-  coalesce(TRY_CAST(regexp_extract(text, '^.{16}:(\d{2})', 1) AS BIGINT), 0) AS s, coalesce(TRY_CAST(rpad(substr(regexp_extract(text, '\.(\d+)', 1), 1, 3), 3, '0') AS BIGINT), 0) AS f,
-  regexp_extract(substr(text, 12), '([+-])(\d{2}):(\d{2})$', ['g', 'oh', 'om']) AS o FROM p)
-SELECT text, CASE WHEN ok AND m BETWEEN 1 AND 12 AND d BETWEEN 1 AND 31 AND h < 24 AND mi < 60 AND s < 60 THEN
-  epoch_ms(make_timestamp(y, CASE WHEN m BETWEEN 1 AND 12 THEN m ELSE 1 END, 1, 0, 0, 0)) + (d - 1)::BIGINT * 86400000 + h * 3600000 + mi * 60000 + s * 1000 + f
-  - CASE WHEN o.g = '' THEN 0 ELSE (CASE WHEN o.g = '-' THEN -1 ELSE 1 END) * (TRY_CAST(o.oh AS BIGINT) * 60 + TRY_CAST(o.om AS BIGINT)) * 60000 END END AS ms FROM f"""
+_GRAMMAR_SQL = "SELECT event_id, CASE event_id % " + str(len(_WRITTEN)) + " " + " ".join(f"WHEN {k} THEN {ms}" for k, ms in enumerate(_WRITTEN.values())) + " END::BIGINT AS ms FROM (SELECT event_id, ts, epoch_us(ts) // 1000 AS ms FROM events)"
 
 PATHS = (" /home/me/repo/ ", "/home//me///repo", r"C:\Users\Me\Repo", r"C:\\", r"\\\\Server\\Share\\Dir", "relative/Path/", "/", "   ")
 
@@ -269,8 +269,8 @@ def queries() -> dict[str, Query]:
         "price_events_by_session": _events_priced("session", "auto", digits=4),
         "price_events_by_model": _events_priced("model", "display"),
         "price_events_by_block": _events_priced("block", "calculate"),
-        "cost_tier_whole": _tier_cost("claude-sonnet-4-5"),
-        "cost_tier_marginal": _tier_cost("gpt-5"),
+        "cost_tier_whole": _tier_cost("session_id"),
+        "cost_tier_marginal": _tier_cost("harness"),
         "ts_grammar": _grammar,
         "json_k_extract": _json_k,
         "workspace_norm": _workspaces,
@@ -354,8 +354,8 @@ def oracle_sql() -> dict[str, str]:
         "price_events_by_session": _priced_events_sql("session_id", "auto", 4),
         "price_events_by_model": _priced_events_sql("model", "display"),
         "price_events_by_block": _priced_blocks_sql(18_000_000),
-        "cost_tier_whole": _tier_sql("claude-sonnet-4-5"),
-        "cost_tier_marginal": _tier_sql("gpt-5"),
+        "cost_tier_whole": _tier_sql("session_id"),
+        "cost_tier_marginal": _tier_sql("harness"),
         "ts_grammar": _GRAMMAR_SQL,
         "json_k_extract": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
         "workspace_norm": u + "SELECT seq, lower(regexp_replace(rtrim(regexp_replace(replace(concat('C:\\W\\\\', workspace, '//'), '\\', '/'), '/+', '/', 'g'), '/'), '^$', '/')) AS workspace FROM u",
