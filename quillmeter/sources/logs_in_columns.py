@@ -48,8 +48,11 @@ def opened(lines: DataFrame) -> DataFrame:
 
 
 def celled(rows: DataFrame, **paths: str) -> DataFrame:
-    """The cells at some paths of ``row`` as variants, each taken out once."""
-    return rows.select(*_PLACE, F.inline(F.array(F.struct(*[at(F.col("row"), p).alias(name) for name, p in paths.items()]))))
+    """The cells at some paths of ``row`` as variants, each taken out once.
+
+    A stack of one row: what reads the cells is then compiled apart from what takes them out, and stays small enough to be.
+    """
+    return rows.select(*_PLACE, F.stack(F.lit(1), *[at(F.col("row"), p) for p in paths.values()]).alias(*paths))
 
 
 def _stamps(**cells: Column) -> list[Column]:
@@ -57,8 +60,9 @@ def _stamps(**cells: Column) -> list[Column]:
     return [c.alias(f"{name}_{part}") for name, cell in cells.items() for part, c in zip(("text", "number"), stamp_cells(cell))]
 
 
-def _stamped(*names: str) -> Column:
-    return F.coalesce(*[stamp(F.col(f"{n}_text"), F.col(f"{n}_number")) for n in names])
+def _stamped(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` and timestamp: the first of the stamps that is one.  Generated, so that no condition on it repeats the parsing."""
+    return df.select("*", F.stack(F.lit(1), F.coalesce(*[stamp(F.col(f"{n}_text"), F.col(f"{n}_number")) for n in names])).alias("timestamp"))
 
 
 def _skips(rows: DataFrame, message: str) -> DataFrame:
@@ -111,7 +115,7 @@ def claude_events(lines: DataFrame) -> DataFrame:
     flagged = said.withColumn("turn", pending(F.col("human"), consumes, _BY, _ORDER))
     billed = flagged.where("not user and assistant and used and coalesce(model, '') <> '<synthetic>'")
     ident = F.coalesce("own_id", F.concat("src_path", F.lit(":"), F.col("src_ord").cast("string")))
-    named = billed.withColumns({"timestamp": _stamped("own"), "workspace": normalize_workspace(F.col("cwd")), "message_id": ident, "session_id": F.coalesce("own_session", stem(F.col("src_path")))})
+    named = _stamped(billed, "own").withColumns({"workspace": normalize_workspace(F.col("cwd")), "message_id": ident, "session_id": F.coalesce("own_session", stem(F.col("src_path")))})
     records = named.select(*_PLACE, *_event(key="message_id", cost_usd="cost_usd", workspace="workspace", cache_write_1h="cache_write_1h"))
     return _found(rows, records, ["model", "timestamp", "input", "output", "cache_read", "cache_write"])
 
@@ -137,7 +141,7 @@ def pi_events(lines: DataFrame) -> DataFrame:
         "session_id": F.coalesce(carried("named", _BY, _ORDER), stem(F.col("src_path"))),
         "subagent": F.coalesce(carried("deep", _BY, _ORDER), F.lit(0.0)) > 0,
     })
-    billed = flagged.where("assistant and used").withColumns({"timestamp": _stamped("own", "message"), "output": F.greatest(F.col("all_output") - F.col("reasoning"), F.lit(0)), "sound": F.when(~F.col("bad_hour"), F.lit(True))})
+    billed = _stamped(flagged.where("assistant and used"), "own", "message").withColumns({"output": F.greatest(F.col("all_output") - F.col("reasoning"), F.lit(0)), "sound": F.when(~F.col("bad_hour"), F.lit(True))})
     key = F.to_json(F.struct("session_id", "message_id", "model", *_COUNTERS, "cache_write_1h"))
     records = billed.select(*_PLACE, "sound", *_event(key=key, cache_write_1h="cache_write_1h"))
     return _found(rows, records, ["message_id", "model", "timestamp", "input", "output", "cache_read", "cache_write", "reasoning", "sound"]).drop("sound")
