@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import duckdb
+import pandas as pd
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -103,5 +104,6 @@ def test_sql(spark, name):
         c.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{DATA}/{f}'")
     want = c.execute(registry.oracle_sql()[name]).df()
     got = registry.queries()[name](spark, DATA).toPandas()[list(want.columns)]
-    plain = lambda df: sorted(str(tuple(None if v is None or v != v else v for v in r)) for r in df.astype(object).itertuples(index=False, name=None))
+    cell = lambda v: None if pd.isna(v) else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
+    plain = lambda df: sorted(str(tuple(cell(v) for v in r)) for r in df.astype(object).itertuples(index=False, name=None))
     assert plain(got) == plain(want)
