@@ -59,3 +59,11 @@ def test_cost(spark, names):
     df = spark.createDataFrame(rows, f"tokens {TOKENS}, price {PRICE}")
     same(df, one_hour_writes(F.col("tokens")), "one_hour_writes(tokens)")
     same(df, F.round(cost_usd(F.col("tokens"), F.col("price")), 12), "round(cost_usd(tokens, price), 12)")
+
+
+def test_the_example_of_the_readme(spark, names):
+    spark.createDataFrame([("a/m", 0, (1_000_000, 0, 0, 0, None, 0)), ("x", 1, (1, 0, 0, 0, None, 0))], f"model string, ts_ms bigint, tokens {TOKENS}").createOrReplaceTempView("usage_of_test")
+    spark.createDataFrame([("a/m", (2.0, 1.0, None, None, None, None, None))], f"key string, price {PRICE}").createOrReplaceTempView("prices_of_test")
+    found = spark.sql("""SELECT day_key(ts_ms, 'Europe/Berlin') AS day, sum(cost_usd(tokens, price)) AS usd
+FROM (SELECT *, candidate_keys(model) AS keys FROM usage_of_test) u JOIN prices_of_test p ON p.key = u.keys[0] GROUP BY 1""")
+    assert [tuple(r) for r in found.collect()] == [("1970-01-01", 2.0)]
