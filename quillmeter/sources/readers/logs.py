@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..logs_in_columns import claude_events, pi_events
+from ..logs_in_columns import claude_events, codebuddy_events, commandcode_events, junie_events, openclaw_events, opencodereview_events, pi_events, qwen_events
 from ..kit import Context, Event, File, Loaded, Malformed, Parsed, Reader, Skip, Warn, cell, counter, ends, epoch, finite, get, lines, objects, optional, split_input, stamp, stem, text, tokens_key, under, workspace
 
 JSONL = ends(".jsonl")
@@ -625,20 +625,20 @@ def _qwen_files(ctx: Context) -> list[File]:
 
 READERS = [
     Reader("claude", _claude_files, _claude("claude"), columns=claude_events),
-    Reader("codebuddy", lambda c: under([os.path.join(c.get("CODEBUDDY_CONFIG_DIR") or c.at(".codebuddy"), "projects")], JSONL), _claude("codebuddy")),
+    Reader("codebuddy", lambda c: under([os.path.join(c.get("CODEBUDDY_CONFIG_DIR") or c.at(".codebuddy"), "projects")], JSONL), _claude("codebuddy"), columns=codebuddy_events),
     Reader("codex", _codex_files, _codex, without_replays),
-    Reader("commandcode", lambda c: under([c.at(".commandcode", "projects")], lambda p: p.endswith(".jsonl") and re.fullmatch(r"[^.]+\.jsonl", os.path.basename(p)) is not None), _commandcode),
+    Reader("commandcode", lambda c: under([c.at(".commandcode", "projects")], lambda p: p.endswith(".jsonl") and re.fullmatch(r"[^.]+\.jsonl", os.path.basename(p)) is not None), _commandcode, columns=commandcode_events),
     Reader("copilot", _copilot_files, _copilot, uncovered),
-    Reader("qwen", _qwen_files, _qwen),
+    Reader("qwen", _qwen_files, _qwen, columns=qwen_events),
     _pi_reader("pi", lambda c: _below(c, "PI_AGENT_DIR", "sessions", ".pi", "agent")),
     _pi_reader("omp", lambda c: [c.at(".omp", "agent", "sessions")]),
     _pi_reader("prime", _prime_roots),
     _pi_reader("gajae", _gajae_roots),
     _pi_reader("kimchi", lambda c: _below(c, "KIMCHI_CODING_AGENT_DIR", "sessions", ".config", "kimchi", "harness")),
-    Reader("openclaw", lambda c: under(_openclaw_roots(c), lambda p: re.search(r"\.jsonl(\.(deleted|reset)\..*)?$", os.path.basename(p)) is not None), _openclaw),
+    Reader("openclaw", lambda c: under(_openclaw_roots(c), lambda p: re.search(r"\.jsonl(\.(deleted|reset)\..*)?$", os.path.basename(p)) is not None), _openclaw, columns=openclaw_events),
     Reader("kimi", _kimi_files, _kimi),
-    Reader("junie", lambda c: under([c.get("JUNIE_SESSIONS_DIR") or c.at(".junie", "sessions")], ends("events.jsonl")), _junie),
-    Reader("opencodereview", lambda c: under([c.at(".opencodereview", "sessions")], JSONL), _opencodereview),
+    Reader("junie", lambda c: under([c.get("JUNIE_SESSIONS_DIR") or c.at(".junie", "sessions")], ends("events.jsonl")), _junie, columns=junie_events),
+    Reader("opencodereview", lambda c: under([c.at(".opencodereview", "sessions")], JSONL), _opencodereview, columns=opencodereview_events),
     Reader("fx", _fx_files, _fx),
 ]
 
