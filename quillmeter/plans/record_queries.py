@@ -59,7 +59,7 @@ def _committed(spark: SparkSession, d: str) -> DataFrame:
     return R.final(marked, ["workspace"], ["session_id"], _ORDER).select("seq", "committed", "workspace")
 
 
-def _log(spark: SparkSession, d: str, entry, user, last: str) -> DataFrame:
+def session_log(spark: SparkSession, d: str, entry, user, last: str) -> DataFrame:
     """One log a session, as lines: a user's line where a turn begins, then the event's; a broken line last."""
     e = usage(spark, d)
     n = F.row_number().over(Window.partitionBy("session_id").orderBy("seq"))
@@ -77,17 +77,17 @@ def _claude_log(spark: SparkSession, d: str) -> DataFrame:
     entry = F.to_json(F.struct(F.lit("assistant").alias("type"), F.col("session_id").alias("sessionId"), F.col("ts_ms").alias("timestamp"), F.col("subagent").alias("isSidechain"), F.col("workspace").alias("cwd"), message.alias("message")))
     tool = '{"type":"user","message":{"role":"user","content":[{"type":"tool_result"}]}}'
     user = F.when(F.col("turn"), '{"type":"user","message":{"role":"user","content":"go on"}}').otherwise(tool)
-    return _log(spark, d, entry, user, "{broken")
+    return session_log(spark, d, entry, user, "{broken")
 
 
 def _pi_log(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("tokens")
     used = F.struct(t["input"].alias("input"), (t["output"] + t["reasoning"]).alias("output"), t["cache_read"].alias("cacheRead"), t["cache_write"].alias("cacheWrite"), t["reasoning"].alias("reasoning"))
     entry = F.to_json(F.struct(F.lit("message").alias("type"), F.col("message_id").alias("id"), F.col("ts_ms").alias("timestamp"), F.struct(F.lit("assistant").alias("role"), "model", used.alias("usage")).alias("message")))
-    return _log(spark, d, entry, F.when(F.col("turn"), '{"type":"message","message":{"role":"user"}}'), '{"type":"message","message":{"role":"assistant","usage":{"input":"x"}}}')
+    return session_log(spark, d, entry, F.when(F.col("turn"), '{"type":"message","message":{"role":"user"}}'), '{"type":"message","message":{"role":"assistant","usage":{"input":"x"}}}')
 
 
-def _scanned(log, read) -> Query:
+def scanned(log, read) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         found = read(log(spark, d)).where("kind = 'event'")
         ms = F.unix_millis(F.to_timestamp("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSX"))
@@ -96,7 +96,7 @@ def _scanned(log, read) -> Query:
     return run
 
 
-def _notes(log, read) -> Query:
+def noted(log, read) -> Query:
     return lambda spark, d: read(log(spark, d)).where("kind = 'skip'").select("src_path", "location", "message")
 
 
@@ -169,10 +169,10 @@ def queries() -> dict[str, Query]:
         "not_outranked": _outranked,
         "reconciled_totals": _reconciled,
         "committed_and_final": _committed,
-        "log_columns_claude": _scanned(_claude_log, claude_events),
-        "log_columns_pi": _scanned(_pi_log, pi_events),
-        "log_columns_notes": _notes(_claude_log, claude_events),
-        "log_columns_pi_notes": _notes(_pi_log, pi_events),
+        "log_columns_claude": scanned(_claude_log, claude_events),
+        "log_columns_pi": scanned(_pi_log, pi_events),
+        "log_columns_notes": noted(_claude_log, claude_events),
+        "log_columns_pi_notes": noted(_pi_log, pi_events),
         "catalog_columns_litellm": _catalog("litellm"),
         "catalog_columns_openrouter": _catalog("openrouter"),
         "sqlite_since_until": _sqlite,

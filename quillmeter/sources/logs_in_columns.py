@@ -61,9 +61,15 @@ def _stamps(**cells: Column) -> list[Column]:
     return [c.alias(f"{name}_{part}") for name, cell in cells.items() for part, c in zip(("text", "number"), stamp_cells(cell))]
 
 
+def _first_stamp(*stamps: tuple[Column, Column]) -> Column:
+    """The instant of the first stamp that is one.  A lambda's body is no generated code, of which parsing several stamps gives too much to compile."""
+    held = F.array(*[F.struct(text.alias("text"), number.alias("number")) for text, number in stamps])
+    return F.get(F.filter(F.transform(held, lambda x: stamp(x["text"], x["number"])), lambda t: t.isNotNull()), 0)
+
+
 def _stamped(df: DataFrame, *names: str) -> DataFrame:
     """``df`` and timestamp: the first of the stamps that is one.  Generated, so that no condition on it repeats the parsing."""
-    return df.select("*", F.stack(F.lit(1), F.coalesce(*[stamp(F.col(f"{n}_text"), F.col(f"{n}_number")) for n in names])).alias("timestamp"))
+    return df.select("*", F.stack(F.lit(1), _first_stamp(*[(F.col(f"{n}_text"), F.col(f"{n}_number")) for n in names])).alias("timestamp"))
 
 
 def _counted(df: DataFrame, usage: str, **paths: str) -> DataFrame:
@@ -292,7 +298,7 @@ def junie_events(lines: DataFrame) -> DataFrame:
     # a prompt comes before what its own line reports
     reports = F.transform(used, lambda u, j: F.struct(j.alias("j"), u.alias("report")))
     opener = F.when(prompt, F.array(F.struct(F.lit(-1).alias("j"), F.lit(None).cast("variant").alias("report")))).otherwise(F.array().cast("array<struct<j:int,report:variant>>"))
-    each = cells.select(*_PLACE, *_stamps(ms=c("c_ms"), own=c("c_at")), F.inline(F.concat(opener, reports))).withColumn("ms_text", F.lit(None).cast("string"))
+    each = cells.select(*_PLACE, *_stamps(ms=c("c_ms"), own=c("c_at")), F.inline(F.concat(opener, reports)))
     counted = _counted(
         each, "report", c_model="$.model", i1="$.inputTokens", i2="$.input_tokens", o1="$.outputTokens", o2="$.output_tokens", r1="$.cacheInputTokens", r2="$.cacheReadTokens", w1="$.cacheCreateTokens", w2="$.cacheWriteTokens", z1="$.reasoningTokens"
     )
@@ -301,7 +307,7 @@ def junie_events(lines: DataFrame) -> DataFrame:
         _lenient(c("w1"), c("w2")).alias("cache_write"), _lenient(c("z1")).alias("reasoning"),
     )
     ms = F.when((c("ms_number") > 0) & (c("ms_number") <= MAX_MS), c("ms_number").cast("bigint"))
-    when = F.stack(F.lit(1), F.coalesce(iso(ms), stamp(c("own_text"), c("own_number")))).alias("timestamp")
+    when = F.stack(F.lit(1), F.coalesce(iso(ms), _first_stamp((c("own_text"), c("own_number"))))).alias("timestamp")
     named = numbered.select("*", when).withColumns({
         "session_id": basename(parent(c("src_path"))), "message_id": F.concat(_line(), F.lit(":"), c("j").cast("string")), "subagent": F.lit(False), "cache_write_1h": F.lit(None).cast("bigint"), "key": _token_key("src_path", "timestamp", "model"),
     })

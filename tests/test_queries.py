@@ -6,10 +6,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from quillmeter.plans import record_queries, testdata
+from quillmeter.plans import log_queries, record_queries, testdata
 
 DATA = "/root/testdata/sf0.001"
-QUERIES, SQL = testdata.queries() | record_queries.queries(), testdata.oracle_sql() | record_queries.oracle_sql()
+QUERIES, SQL = testdata.queries() | record_queries.queries() | log_queries.queries(), testdata.oracle_sql() | record_queries.oracle_sql() | log_queries.oracle_sql()
 
 
 @pytest.fixture(scope="module")
