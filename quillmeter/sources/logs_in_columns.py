@@ -120,6 +120,7 @@ def claude_events(lines: DataFrame, buddy: bool = False) -> DataFrame:
 
     With ``buddy`` rows of the codebuddy reader: usage and model may stand with the provider's data,
     other types of lines report them too, and a call without usage leaves the turn open.
+    The provider's usage is passed over if it is null or {}.
     """
     rows, c = opened(lines), F.col
     cells = celled(
@@ -256,7 +257,7 @@ def qwen_events(lines: DataFrame) -> DataFrame:
 
 
 def openclaw_events(lines: DataFrame) -> DataFrame:
-    """Rows of the openclaw reader: session, folder, model and provider hold until a later line names others."""
+    """Rows of the openclaw reader: session, folder, model and provider hold until a later line names others; a folder that is no string names none."""
     rows, c = opened(lines), F.col
     cells = celled(
         rows, c_type="$.type", c_custom="$.customType", c_id="$.id", c_cwd="$.cwd", c_data="$.data", d_model="$.data.modelId", d_provider="$.data.provider", r_model="$.modelId", r_provider="$.provider", c_role="$.message.role", c_usage="$.message.usage",
