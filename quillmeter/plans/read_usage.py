@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.instants import zone
 from ..schema import DIAGNOSTIC, SEQ, SKIPPED, USAGE_EVENT
 from ..sources import scan
-from ..sources.kit import Context, parse_ms
+from ..sources.kit import Context, Contexts, parse_ms
 from ..sources.readers import IDS, REGISTRY
 
 #: Agents that are known but keep no usage on disk
@@ -68,9 +68,10 @@ def bounded(events: DataFrame, since_ms: int | None = None, until_ms: int | None
     return kept.where(~F.col("subagent")) if subagents == "exclude" else kept
 
 
-def read_usage(spark: SparkSession, ctx: Context | None = None, harnesses: Iterable[str] | None = None, since: str | None = None, until: str | None = None, subagents: str = "include", tz: str | None = None) -> Usage:
+def read_usage(spark: SparkSession, ctx: Contexts | None = None, harnesses: Iterable[str] | None = None, since: str | None = None, until: str | None = None, subagents: str = "include", tz: str | None = None) -> Usage:
     """Events of the chosen readers (all by default), in [since, until), with diagnostics.
 
+    ``ctx`` is a home, or several of as many machines, whose stores are read side by side.
     Only the chosen readers' scans are built.  Events without a usable instant
     are dropped with a diagnostic, bounds or not.  ``seq`` is an event's place in
     the order in which the readers read.
@@ -80,7 +81,7 @@ def read_usage(spark: SparkSession, ctx: Context | None = None, harnesses: Itera
     unknown = [h for h in chosen if h not in REGISTRY and h not in UNSUPPORTED]
     if unknown:
         raise ValueError(f"unknown harness {', '.join(unknown)}")
-    parts = [(k, scan.read(spark, REGISTRY[h], ctx)) for k, h in enumerate(IDS) if h in chosen and REGISTRY[h].find(ctx)]
+    parts = [(k, scan.read(spark, REGISTRY[h], ctx)) for k, h in enumerate(IDS) if h in chosen and REGISTRY[h].files(ctx)]
     if not parts:
         return Usage(empty(spark, f"{USAGE_EVENT}, {SEQ}"), empty(spark, DIAGNOSTIC), empty(spark, SKIPPED))
     place = lambda k: F.struct(F.lit(k).alias("reader"), *[F.col(c) for c in scan.ORDER]).alias("seq")

@@ -11,7 +11,7 @@ import json
 import math
 import os
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from datetime import date
 from pathlib import Path
@@ -49,6 +49,10 @@ class Context:
         return [p.strip() for p in (self.get(name) or "").split(",") if p.strip()]
 
 
+#: One home, or those of several machines, in order
+Contexts = Context | Sequence[Context]
+
+
 @dataclass(frozen=True)
 class File:
     path: str
@@ -130,6 +134,10 @@ class Reader:
     finish: Callable[[DataFrame], DataFrame] | None = None
     columns: Callable[[DataFrame], DataFrame] | None = None  # of the lines of logs; then nothing is parsed in Python
 
+    def files(self, ctx: Contexts) -> list[File]:
+        """The files of one home, or of several."""
+        return [f for c in ([ctx] if isinstance(ctx, Context) else ctx) for f in self.find(c)]
+
 
 def loads(text: str) -> Any:
     def never(_: str) -> None:

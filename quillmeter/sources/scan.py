@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.instants import parse_ms
 from ..operators.windows import first_wins
-from .kit import Context, Event, File, Loaded, Malformed, Reader, Skip
+from .kit import Contexts, Event, File, Loaded, Malformed, Reader, Skip
 from .logs_in_columns import LISTED, log_lines, plain_path
 from .messages import worded
 from .sqlite import LOG
@@ -64,16 +64,16 @@ def _loaded(batch: pa.Table | pa.RecordBatch) -> list[Loaded]:
     return sorted(rest, key=lambda x: (x.lane, x.root, x.path))
 
 
-def parsed(spark: SparkSession, reader: Reader, ctx: Context) -> DataFrame:
+def parsed(spark: SparkSession, reader: Reader, ctx: Contexts) -> DataFrame:
     """All rows of a reader, before what spans its units."""
-    files = with_logs(reader.find(ctx))
+    files = with_logs(reader.files(ctx))
     if not files:
         return spark.createDataFrame([], PARSED)
     if reader.columns is not None:
         return reader.columns(log_lines(spark, files))
     grouped = any(f.unit is not None for f in files)
     listed = spark.createDataFrame([(f.path, f.root, f.lane, f.unit or f.path) for f in files], "path string, root int, lane int, unit string")
-    read = spark.read.format("binaryFile").load([f.path for f in files])
+    read = spark.read.format("binaryFile").load(list(dict.fromkeys(f.path for f in files)))
     raw = read.select(plain_path(F.col("path")).alias("path"), "content", F.unix_millis("modificationTime").alias("mtime"))
     # the list is rows of short texts that the driver has anyway
     raw = raw.join(F.broadcast(listed) if len(files) <= LISTED else listed, "path")
@@ -82,13 +82,14 @@ def parsed(spark: SparkSession, reader: Reader, ctx: Context) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for f in _loaded(batch):
-                yield from _rows(reader, [f]).to_batches()
+            for k in range(batch.num_rows):
+                # one file at a time is copied and parsed
+                yield from _rows(reader, _loaded(batch.slice(k, 1))).to_batches()
 
     return raw.drop("unit").mapInArrow(run, PARSED)
 
 
-def read(spark: SparkSession, reader: Reader, ctx: Context) -> tuple[DataFrame, DataFrame]:
+def read(spark: SparkSession, reader: Reader, ctx: Contexts) -> tuple[DataFrame, DataFrame]:
     """(events in the normalized schema and order columns, diagnostics)."""
     rows = parsed(spark, reader, ctx).persist()
     events = rows.where("kind = 'event'")

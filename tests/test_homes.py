@@ -1,0 +1,62 @@
+"""Homes written by queries: of bounded size, and read side by side."""
+
+import glob
+import json
+import os
+import sqlite3
+
+import pytest
+
+from quillmeter.plans import homes, record_queries
+from quillmeter.plans.read_usage import read_usage
+from quillmeter.plans.testdata import usage
+from quillmeter.sources.kit import Context
+from quillmeter.sources.readers import REGISTRY
+
+DATA = "/root/testdata/sf0.001"
+WHOLE = sorted(a for a, h in homes.HOMES.items() if h.whole)
+have_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+
+
+@have_data
+@pytest.mark.parametrize("agent", WHOLE)
+def test_stores_have_a_bounded_number_of_sessions(spark, tmp_path, monkeypatch, agent):
+    monkeypatch.setattr(homes, "HOME_EVENTS", 300)
+    events = usage(spark, DATA)
+    roots = homes.write_home(events, agent, str(tmp_path))
+    assert len(roots) == -(-events.count() // 300) > 1
+    stores = [p for p in glob.glob(f"{tmp_path}/**", recursive=True, include_hidden=True) if p.endswith((".db", ".sqlite", ".sqlite3"))]
+    assert len(stores) >= len(roots) and not glob.glob(f"{tmp_path}/**/*.part", recursive=True, include_hidden=True)
+    found = read_usage(spark, [Context(r, cwd=r) for r in roots], [agent]).events
+    assert found.select("session_id").distinct().count() >= events.select("session_id").distinct().count()
+
+
+def test_kimi_logs_are_units_with_the_configuration(spark, tmp_path):
+    line = {"type": "usage.record", "usageScope": "turn", "id": "m", "time": 1_700_000_000_000, "usage": {"input": 1, "output": 2}}
+    for s in ("a", "b"):
+        at = tmp_path / ".kimi" / "sessions" / "h" / s / "wire.jsonl"
+        at.parent.mkdir(parents=True)
+        at.write_text(json.dumps(line))
+    (tmp_path / ".kimi" / "config.json").write_text('{"model": "x/k-9"}')
+    files = REGISTRY["kimi"].find(Context(str(tmp_path)))
+    assert len({f.unit for f in files}) == 2
+    assert sorted((r.session_id, r.model) for r in read_usage(spark, Context(str(tmp_path)), ["kimi"]).events.collect()) == [("a", "k-9"), ("b", "k-9")]
+
+
+def test_kiro_turns_of_other_projects_are_no_copies(spark, tmp_path):
+    at = tmp_path / ".kiro" / "data.sqlite3"
+    at.parent.mkdir()
+    turn = {"user": {"content": {"Prompt": {"prompt": "p" * 80}}, "timestamp": "2026-01-01T00:00:00Z"}, "assistant": {"Response": {"content": "ok" * 40}}}
+    with sqlite3.connect(at) as c:
+        c.execute("CREATE TABLE conversations (key, value)")
+        c.executemany("INSERT INTO conversations VALUES (?, ?)", [(k, json.dumps({"model": "m", "history": [turn, turn]})) for k in ("/w/a", "/w/b")])
+    c.close()
+    assert read_usage(spark, Context(str(tmp_path)), ["kiro"]).events.count() == 4
+
+
+@have_data
+def test_catalogs_are_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(record_queries, "CATALOG_USERS", 5)
+    for kind in ("litellm", "openrouter"):
+        sizes = [len(json.loads(r.payload)) if kind == "litellm" else len(json.loads(r.payload)["data"]) for r in record_queries._payloads(spark, DATA, kind).collect()]
+        assert max(sizes) <= 5 and len(sizes) > 5
