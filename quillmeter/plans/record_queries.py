@@ -13,6 +13,8 @@ from ..sources.logs_in_columns import claude_events, pi_events
 from .homes import home_dir
 from .testdata import _RATES, SINCE, UNTIL, USAGE_DUCK, Query, _cost_sql, catalog, usage
 
+#: Models of a catalog, which is parsed as one document
+CATALOG_USERS = 2_000
 _ORDER = ["ts_ms", "seq"]
 _TOKENS = ("input", "output", "cache_read", "cache_write", "reasoning")
 
@@ -101,7 +103,7 @@ def noted(log, read) -> Query:
 
 
 def _payloads(spark: SparkSession, d: str, kind: str) -> DataFrame:
-    """A catalog for each type of event, with a model for each of its users: what they saw sets the rates."""
+    """Catalogs for each type of event, one for every so many users, with a model for each of them: what they saw sets the rates."""
     e = spark.read.parquet(f"{d}/events.parquet")
     one = e.groupBy("event_type", "user_id").agg(F.count("*").alias("n"), F.sum(F.floor("value").cast("bigint")).alias("v"))
     name = F.concat(F.when(F.col("user_id") % 2 == 0, "claude-").otherwise("m-"), F.col("user_id").cast("string"))
@@ -112,8 +114,8 @@ def _payloads(spark: SparkSession, d: str, kind: str) -> DataFrame:
     else:
         rates = F.struct(F.col("n").cast("string").alias("prompt"), F.col("v").cast("string").alias("completion"))
         body = F.to_json(F.struct(F.array_sort(F.collect_list(F.struct(name.alias("id"), rates.alias("pricing")))).alias("data")))
-    held = one.groupBy("event_type").agg(body.alias("payload"))
-    return held.select(F.ascii("event_type").alias("catalog_ord"), F.lit(kind).alias("kind"), F.col("event_type").alias("source"), F.lit(None).cast("string").alias("fetched_at"), "payload")
+    held = one.groupBy("event_type", F.floor(F.col("user_id") / CATALOG_USERS).alias("part")).agg(body.alias("payload"))
+    return held.select((F.ascii("event_type") * 1_000_000 + F.col("part")).cast("int").alias("catalog_ord"), F.lit(kind).alias("kind"), F.col("event_type").alias("source"), F.lit(None).cast("string").alias("fetched_at"), "payload")
 
 
 def _catalog(kind: str) -> Query:

@@ -79,7 +79,9 @@ def _litellm_tiers(entry: Column, base: dict[str, Column]) -> Column:
 def litellm(payloads: DataFrame) -> DataFrame:
     """USD per token by model; tiers by context; Claude bills the whole request at its tier."""
     e = F.col("entry")
-    members = _members(payloads, "parsed", "key", "entry").where(F.col("key").isNotNull() & (F.col("key") != "sample_spec") & is_object(e))
+    # a variant for each member: taken out of the document's, each would carry the names of all
+    each = F.explode(F.from_json("payload", "map<string,variant>")).alias("key", "entry")
+    members = payloads.where(is_object(F.col("parsed"))).select("catalog_ord", each).where((F.col("key") != "sample_spec") & is_object(e))
     base = {r: _scaled(at(e, f"$.{name}")) for r, name in LITELLM.items()}
     flat = members.withColumns({f"_{r}": c for r, c in base.items()}).where("_input is not null and _output is not null")
     held = {r: F.col(f"_{r}") for r in _RATES}
@@ -123,7 +125,7 @@ def relation(payloads: DataFrame) -> DataFrame:
     ``key_ord`` orders the keys of a catalog and need not be dense.
     """
     about = payloads.select("catalog_ord", "source", "fetched_at")
-    parsed = payloads.select("catalog_ord", "kind", F.try_parse_json("payload").alias("parsed"))
+    parsed = payloads.select("catalog_ord", "kind", "payload", F.try_parse_json("payload").alias("parsed"))
     found = None
     for kind, parse in PARSERS.items():
         rows = parse(parsed.where(F.col("kind") == kind).drop("kind"))
