@@ -69,6 +69,7 @@ class Loaded:
     data: bytes
     mtime_ms: int
     log: bytes = b""  # the write-ahead log beside a SQLite store
+    idle: bool = False  # records that used no tokens are events too
 
     @property
     def text(self) -> str:
@@ -132,7 +133,7 @@ class Reader:
     find: Callable[[Context], list[File]]
     parse: Callable[[list[Loaded]], Parsed]
     finish: Callable[[DataFrame], DataFrame] | None = None
-    columns: Callable[[DataFrame], DataFrame] | None = None  # of the lines of logs; then nothing is parsed in Python
+    columns: Callable[[DataFrame, bool], DataFrame] | None = None  # of the lines of logs; then nothing is parsed in Python
 
     def files(self, ctx: Contexts) -> list[File]:
         """The files of one home, or of several."""

@@ -86,6 +86,11 @@ def _total() -> Column:
     return sum((F.col(n) for n in _COUNTERS[1:]), F.col(_COUNTERS[0]))
 
 
+def _uses(idle: bool) -> Column:
+    """A record of some tokens; with ``idle`` also one of none."""
+    return _total() >= 0 if idle else _total() > 0
+
+
 def _token_key(*names: str) -> Column:
     return F.to_json(F.struct(*names, *_COUNTERS))
 
@@ -234,7 +239,7 @@ def commandcode_events(lines: DataFrame) -> DataFrame:
     return events.unionByName(found.where("kind <> 'event'"))
 
 
-def qwen_events(lines: DataFrame) -> DataFrame:
+def qwen_events(lines: DataFrame, idle: bool = False) -> DataFrame:
     """Rows of the qwen reader.  A user's prompt may stand in another file of the session, in the same folder."""
     rows, c = opened(lines), F.col
     cells = celled(
@@ -250,13 +255,13 @@ def qwen_events(lines: DataFrame) -> DataFrame:
         F.lit(False).alias("subagent"),
     ).where("user or billed")
     dated = _stamped(said, "own")
-    counts = F.coalesce(c("timestamp").isNotNull() & (_total() > 0), F.lit(False))
+    counts = F.coalesce(c("timestamp").isNotNull() & _uses(idle), F.lit(False))
     flagged = dated.withColumn("turn", pending(c("user"), c("billed") & counts, ["lane", "root_ord", "folder", "session_id"], ["src_path", "src_ord"]))
-    records = flagged.where("billed").where(F.coalesce(_total() > 0, F.lit(True))).select(*_PLACE, *_event(key=F.lit(None).cast("string"), workspace="workspace"))
+    records = flagged.where("billed").where(F.coalesce(_uses(idle), F.lit(True))).select(*_PLACE, *_event(key=F.lit(None).cast("string"), workspace="workspace"))
     return _found(rows, records, ["timestamp", "input", "output", "cache_read", "reasoning"])
 
 
-def openclaw_events(lines: DataFrame) -> DataFrame:
+def openclaw_events(lines: DataFrame, idle: bool = False) -> DataFrame:
     """Rows of the openclaw reader: session, folder, model and provider hold until a later line names others; a folder that is no string names none."""
     rows, c = opened(lines), F.col
     cells = celled(
@@ -281,7 +286,7 @@ def openclaw_events(lines: DataFrame) -> DataFrame:
         "model": F.when(F.contains(model, F.lit("/")) | by.isNull(), model).otherwise(F.concat(by, F.lit("/"), model)), "session_id": F.coalesce("named", F.regexp_replace(basename(c("src_path")), r"\.jsonl(\..*)?$", "")), "workspace": normalize_workspace(c("cwd")),
         "cache_read": c("read"), "cache_write": c("write"), "output": F.when((c("own_output") == 0) & (rest > 0), rest).when(rest.isNotNull(), c("own_output")),
     })
-    records = whole.where(F.coalesce(_total() > 0, F.lit(True)) | c("model").isNull() | c("timestamp").isNull()).select(*_PLACE, *_event(key=_token_key("session_id", "timestamp", "model"), workspace="workspace"))
+    records = whole.where(F.coalesce(_uses(idle), F.lit(True)) | c("model").isNull() | c("timestamp").isNull()).select(*_PLACE, *_event(key=_token_key("session_id", "timestamp", "model"), workspace="workspace"))
     return _found(rows, records, ["model", "timestamp", "input", "output", "cache_read", "cache_write"])
 
 
@@ -290,7 +295,7 @@ def _lenient(*cells: Column) -> Column:
     return F.coalesce(*[F.when(number_of(x).isNotNull(), F.coalesce(counter_of(x), F.lit(0).cast("bigint"))) for x in cells], F.lit(0).cast("bigint"))
 
 
-def junie_events(lines: DataFrame) -> DataFrame:
+def junie_events(lines: DataFrame, idle: bool = False) -> DataFrame:
     """Rows of the junie reader: a line reports several models; what a log says again counts once, and its first report takes the turn."""
     rows, c = opened(lines), F.col
     cells = celled(rows, c_kind="$.kind", c_used="$.event.agentEvent.modelUsage", c_ms="$.timestampMs", c_at="$.timestamp")
@@ -314,7 +319,7 @@ def junie_events(lines: DataFrame) -> DataFrame:
     })
     sound = c("model").isNotNull() & c("timestamp").isNotNull()
     bad = named.where((c("j") >= 0) & ~sound)
-    once = first_wins(named.where((c("j") >= 0) & sound & (_total() > 0)), [*_BY, "key"], ["src_ord", "j"])
+    once = first_wins(named.where((c("j") >= 0) & sound & _uses(idle)), [*_BY, "key"], ["src_ord", "j"])
     flagged = once.unionByName(named.where("j < 0")).withColumn("turn", pending(c("j") < 0, c("j") >= 0, _BY, ["src_ord", "j"])).where("j >= 0")
     records = flagged.select(*_PLACE, *_event(key=_token_key("session_id", "timestamp", "model")))
     return _found(rows, records, []).unionByName(_skips(bad, "malformed usage record"), allowMissingColumns=True)

@@ -56,21 +56,21 @@ def with_logs(files: list[File]) -> list[File]:
     return out
 
 
-def _loaded(batch: pa.Table | pa.RecordBatch) -> list[Loaded]:
+def _loaded(batch: pa.Table | pa.RecordBatch, idle: bool = False) -> list[Loaded]:
     """The files of a batch in order, stores with their logs."""
-    found = [Loaded(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("path", "root", "lane", "content", "mtime")))]
+    found = [Loaded(*row, idle=idle) for row in zip(*(batch.column(c).to_pylist() for c in ("path", "root", "lane", "content", "mtime")))]
     logs = {x.path: x.data for x in found if x.path.endswith(LOG)}
     rest = [replace(x, log=logs[x.path + LOG]) if x.path + LOG in logs else x for x in found if x.path not in logs]
     return sorted(rest, key=lambda x: (x.lane, x.root, x.path))
 
 
-def parsed(spark: SparkSession, reader: Reader, ctx: Contexts) -> DataFrame:
+def parsed(spark: SparkSession, reader: Reader, ctx: Contexts, idle: bool = False) -> DataFrame:
     """All rows of a reader, before what spans its units."""
     files = with_logs(reader.files(ctx))
     if not files:
         return spark.createDataFrame([], PARSED)
     if reader.columns is not None:
-        return reader.columns(log_lines(spark, files))
+        return reader.columns(log_lines(spark, files), idle)
     grouped = any(f.unit is not None for f in files)
     listed = spark.createDataFrame([(f.path, f.root, f.lane, f.unit or f.path) for f in files], "path string, root int, lane int, unit string")
     read = spark.read.format("binaryFile").load(list(dict.fromkeys(f.path for f in files)))
@@ -78,20 +78,20 @@ def parsed(spark: SparkSession, reader: Reader, ctx: Contexts) -> DataFrame:
     # the list is rows of short texts that the driver has anyway
     raw = raw.join(F.broadcast(listed) if len(files) <= LISTED else listed, "path")
     if grouped:
-        return raw.groupBy("unit").applyInArrow(lambda t: _rows(reader, _loaded(t)), PARSED)
+        return raw.groupBy("unit").applyInArrow(lambda t: _rows(reader, _loaded(t, idle)), PARSED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 # one file at a time is copied and parsed
-                yield from _rows(reader, _loaded(batch.slice(k, 1))).to_batches()
+                yield from _rows(reader, _loaded(batch.slice(k, 1), idle)).to_batches()
 
     return raw.drop("unit").mapInArrow(run, PARSED)
 
 
-def read(spark: SparkSession, reader: Reader, ctx: Contexts) -> tuple[DataFrame, DataFrame]:
+def read(spark: SparkSession, reader: Reader, ctx: Contexts, idle: bool = False) -> tuple[DataFrame, DataFrame]:
     """(events in the normalized schema and order columns, diagnostics)."""
-    rows = parsed(spark, reader, ctx).persist()
+    rows = parsed(spark, reader, ctx, idle).persist()
     events = rows.where("kind = 'event'")
     if reader.finish is not None:
         events = reader.finish(events)

@@ -5,9 +5,11 @@ import json
 import os
 import sqlite3
 
+import duckdb
+import pandas as pd
 import pytest
 
-from quillmeter.plans import homes, record_queries
+from quillmeter.plans import homes, record_queries, testdata
 from quillmeter.plans.read_usage import read_usage
 from quillmeter.plans.testdata import usage
 from quillmeter.sources.kit import Context
@@ -60,3 +62,33 @@ def test_catalogs_are_of_bounded_size(spark, monkeypatch):
     for kind in ("litellm", "openrouter"):
         sizes = [len(json.loads(r.payload)) if kind == "litellm" else len(json.loads(r.payload)["data"]) for r in record_queries._payloads(spark, DATA, kind).collect()]
         assert max(sizes) <= 5 and len(sizes) > 5
+
+
+IDLE = ["augment", "cline", "codebuff", "deepseek", "fx", "gemini", "grok", "jcode", "kilocode", "reasonix", "roo", "zcode", "junie", "codex", "qwen", "openclaw", "kimi", "devin", "cherrystudio", "mux"]
+
+
+@pytest.fixture(scope="module")
+def idle_events(tmp_path_factory):
+    """Events of which some saw nothing: larger tables have a few."""
+    folder = tmp_path_factory.mktemp("idle")
+    k = "CASE WHEN event_id % 74 = 0 THEN '{\"k\": 0}' ELSE props END"
+    duckdb.sql(f"COPY (SELECT event_id, ts, user_id, event_type, CASE WHEN event_id % 37 = 0 THEN 0.0 ELSE value END AS value, {k} AS props FROM '{DATA}/events.parquet') TO '{folder}/events.parquet' (FORMAT parquet)")
+    return str(folder)
+
+
+@have_data
+@pytest.mark.parametrize("agent", IDLE)
+def test_records_of_no_tokens_are_events_where_asked_for(spark, idle_events, agent):
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{idle_events}/events.parquet'")
+    got, owed = testdata.queries()[f"reader_{agent}"](spark, idle_events).toPandas(), c.execute(testdata.oracle_sql()[f"reader_{agent}"]).df()
+    plain = lambda df: sorted(str([None if pd.isna(v) else v for v in r]) for r in df[sorted(owed.columns)].astype(object).itertuples(index=False, name=None))
+    assert plain(got) == plain(owed)
+
+
+def test_records_of_no_tokens_are_left_out_else(spark, tmp_path):
+    at = tmp_path / ".zcode" / "projects" / "p" / "s.jsonl"
+    at.parent.mkdir(parents=True)
+    at.write_text(json.dumps({"role": "assistant", "id": "m", "timestamp": "2026-01-01T00:00:00Z", "usage": {"input": 0, "output": 0}}))
+    counts = [read_usage(spark, Context(str(tmp_path)), ["zcode"], idle=i).events.count() for i in (False, True)]
+    assert counts == [0, 1]
