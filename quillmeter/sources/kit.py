@@ -133,7 +133,8 @@ class Reader:
     find: Callable[[Context], list[File]]
     parse: Callable[[list[Loaded]], Parsed]
     finish: Callable[[DataFrame], DataFrame] | None = None
-    columns: Callable[[DataFrame, bool], DataFrame] | None = None  # of the lines of logs; then nothing is parsed in Python
+    columns: Callable[[DataFrame], DataFrame] | None = None  # of the lines of logs; then nothing is parsed in Python
+    idle_columns: Callable[[DataFrame], DataFrame] | None = None  # the same with records of no tokens, where columns leaves them out
 
     def files(self, ctx: Contexts) -> list[File]:
         """The files of one home, or of several."""

@@ -70,7 +70,8 @@ def parsed(spark: SparkSession, reader: Reader, ctx: Contexts, idle: bool = Fals
     if not files:
         return spark.createDataFrame([], PARSED)
     if reader.columns is not None:
-        return reader.columns(log_lines(spark, files), idle)
+        found = reader.idle_columns if idle and reader.idle_columns is not None else reader.columns
+        return found(log_lines(spark, files))
     grouped = any(f.unit is not None for f in files)
     listed = spark.createDataFrame([(f.path, f.root, f.lane, f.unit or f.path) for f in files], "path string, root int, lane int, unit string")
     read = spark.read.format("binaryFile").load(list(dict.fromkeys(f.path for f in files)))
