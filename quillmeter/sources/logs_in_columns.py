@@ -8,6 +8,9 @@ skips come as the rows that the other readers' parsers give.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ from .kit import File
 
 #: Files up to which their list is broadcast
 LISTED = 200_000
+#: Tasks that look at the files of a list
+LISTING_TASKS = 64
 _PLACE = ["lane", "root_ord", "src_path", "src_ord"]
 _BY, _ORDER = ["lane", "root_ord", "src_path"], ["src_ord"]
 _COUNTERS = ["input", "output", "cache_read", "cache_write", "reasoning"]
@@ -29,13 +34,27 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "^file:(//(?=/))?", "")
 
 
+@contextmanager
+def few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """While files are named to Spark, it looks at them in some tasks, not in one for each path."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), LISTING_TASKS)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def log_lines(spark: SparkSession, files: list[File]) -> DataFrame:
     """(lane, root_ord, src_path, src_ord, text): the lines of some logs that are not blank, numbered from zero.
 
     Bytes that are no UTF-8 become U+FFFD.  A log is one row of the scan, its lines are many.
     """
     listed = spark.createDataFrame([(f.path, f.root, f.lane) for f in files], "src_path string, root_ord int, lane int")
-    logs = spark.read.text([f.path for f in files], wholetext=True).select(plain_path(F.col("_metadata.file_path")).alias("src_path"), F.make_valid_utf8("value").alias("log"))
+    with few_listing_tasks(spark):
+        read = spark.read.text([f.path for f in files], wholetext=True)
+    logs = read.select(plain_path(F.col("_metadata.file_path")).alias("src_path"), F.make_valid_utf8("value").alias("log"))
     logs = logs.join(F.broadcast(listed) if len(files) <= LISTED else listed, "src_path")
     lines = logs.select("lane", "root_ord", "src_path", F.posexplode(F.split("log", "\n")).alias("src_ord", "text"))
     return lines.select("lane", "root_ord", "src_path", F.col("src_ord").cast("bigint").alias("src_ord"), "text").where(F.col("text").rlike(r"\S"))

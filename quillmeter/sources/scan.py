@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from ..functions.instants import parse_ms
 from ..operators.windows import first_wins
 from .kit import Contexts, Event, File, Loaded, Malformed, Reader, Skip
-from .logs_in_columns import LISTED, log_lines, plain_path
+from .logs_in_columns import LISTED, few_listing_tasks, log_lines, plain_path
 from .messages import worded
 from .sqlite import LOG
 
+#: What opening a file is held to cost, in bytes, and Spark's own value, which it stands for: logs are many and small,
+#: and at Spark's own at most 32 of them make a task
+OPEN_BYTES, _OPEN, _SPARKS_OWN = 64 << 10, "spark.sql.files.openCostInBytes", ("4194304", "4194304b", "4MB")
 #: How SQLite stores are named
 STORES = (".db", ".sqlite", ".sqlite3")
 ORDER = ["lane", "root_ord", "src_path", "src_ord"]
@@ -64,17 +67,25 @@ def _loaded(batch: pa.Table | pa.RecordBatch, idle: bool = False) -> list[Loaded
     return sorted(rest, key=lambda x: (x.lane, x.root, x.path))
 
 
+def _many_in_a_task(spark: SparkSession) -> None:
+    """Set for the session, unless it was changed: a scan's tasks are made when it runs."""
+    if spark.conf.get(_OPEN) in _SPARKS_OWN:
+        spark.conf.set(_OPEN, str(OPEN_BYTES))
+
+
 def parsed(spark: SparkSession, reader: Reader, ctx: Contexts, idle: bool = False) -> DataFrame:
     """All rows of a reader, before what spans its units."""
     files = with_logs(reader.files(ctx))
     if not files:
         return spark.createDataFrame([], PARSED)
+    _many_in_a_task(spark)
     if reader.columns is not None:
         found = reader.idle_columns if idle and reader.idle_columns is not None else reader.columns
         return found(log_lines(spark, files))
     grouped = any(f.unit is not None for f in files)
     listed = spark.createDataFrame([(f.path, f.root, f.lane, f.unit or f.path) for f in files], "path string, root int, lane int, unit string")
-    read = spark.read.format("binaryFile").load(list(dict.fromkeys(f.path for f in files)))
+    with few_listing_tasks(spark):
+        read = spark.read.format("binaryFile").load(list(dict.fromkeys(f.path for f in files)))
     raw = read.select(plain_path(F.col("path")).alias("path"), "content", F.unix_millis("modificationTime").alias("mtime"))
     # the list is rows of short texts that the driver has anyway
     raw = raw.join(F.broadcast(listed) if len(files) <= LISTED else listed, "path")
@@ -92,12 +103,15 @@ def parsed(spark: SparkSession, reader: Reader, ctx: Contexts, idle: bool = Fals
 
 def read(spark: SparkSession, reader: Reader, ctx: Contexts, idle: bool = False) -> tuple[DataFrame, DataFrame]:
     """(events in the normalized schema and order columns, diagnostics)."""
-    rows = parsed(spark, reader, ctx, idle).persist()
+    rows = parsed(spark, reader, ctx, idle)
+    if reader.columns is None:
+        rows = rows.persist()  # what Python parsed is kept; columns are cheaper to read again, and events need no skips then
     events = rows.where("kind = 'event'")
     if reader.finish is not None:
         events = reader.finish(events)
-    keyless = events.where("key is null")
-    events = first_wins(events.where("key is not null"), ["key"], ORDER).unionByName(keyless)
+    # an event without a key is the only one of its place: all are read once
+    alone = F.when(F.col("key").isNull(), F.struct(*ORDER))
+    events = first_wins(events.withColumn("alone", alone), ["key", "alone"], ORDER).drop("alone")
     tokens = F.struct("input", "output", "cache_read", "cache_write", "cache_write_1h", "reasoning").alias("tokens")
     shaped = events.select(F.lit(reader.id).alias("harness"), "timestamp", parse_ms(F.col("timestamp")).alias("ts_ms"), "session_id", "message_id", "turn", "subagent", "model", tokens, "calls", "cost_usd", "workspace", "title", *ORDER)
     notes = rows.where("kind <> 'event'").select(F.lit("warning").alias("severity"), worded(reader.id).alias("message"), F.lit(reader.id).alias("harness"), F.col("location").alias("path"), (F.col("kind") == "skip").alias("skipped"))

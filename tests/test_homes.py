@@ -12,6 +12,7 @@ import pytest
 from quillmeter.plans import homes, record_queries, testdata
 from quillmeter.plans.read_usage import read_usage
 from quillmeter.plans.testdata import usage
+from quillmeter.sources import scan
 from quillmeter.sources.kit import Context
 from quillmeter.sources.readers import REGISTRY
 
@@ -92,3 +93,16 @@ def test_records_of_no_tokens_are_left_out_else(spark, tmp_path):
     at.write_text(json.dumps({"role": "assistant", "id": "m", "timestamp": "2026-01-01T00:00:00Z", "usage": {"input": 0, "output": 0}}))
     counts = [read_usage(spark, Context(str(tmp_path)), ["zcode"], idle=i).events.count() for i in (False, True)]
     assert counts == [0, 1]
+
+
+def test_many_small_logs_are_few_tasks(spark, tmp_path):
+    """A task reads more than the 32 files that Spark's own cost of opening one allows, and listing changes no setting."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    for k in range(400):
+        at = tmp_path / ".zcode" / "projects" / "p" / f"s{k}.jsonl"
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text(json.dumps({"role": "assistant", "id": f"m{k}", "timestamp": "2026-01-01T00:00:00Z", "usage": {"input": 1, "output": k}}))
+    rows = scan.parsed(spark, REGISTRY["zcode"], Context(str(tmp_path)))
+    assert rows.rdd.getNumPartitions() <= 8 and rows.count() == 400
+    assert spark.conf.get(name) == before
