@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from .instants import MAX_MS, iso, parse_ms
 
-#: What a JSON number is, as the type of a variant
-NUMBERS = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL)"
+#: What a JSON number is, as the type of a variant, besides decimals
+NUMBERS = ("BIGINT", "DOUBLE", "FLOAT")
+#: Fixed value: what is no text at a string's ends
+BLANKS = " \t\n\x0b\f\r"
 #: Fixed value: epoch numbers from here on are milliseconds, below seconds
 MS_FROM = 1e12
 
@@ -29,7 +31,7 @@ def kind(value: Column) -> Column:
 
 def given(value: Column) -> Column:
     """Whether there is a cell that is not null."""
-    return F.coalesce(kind(value) != "VOID", F.lit(False))
+    return value.isNotNull() & ~F.is_variant_null(value)
 
 
 def is_object(value: Column) -> Column:
@@ -38,7 +40,8 @@ def is_object(value: Column) -> Column:
 
 def number_of(value: Column) -> Column:
     """A finite number, as a double."""
-    n = F.when(kind(value).rlike(NUMBERS), F.try_variant_get(value, "$", "double"))
+    of = kind(value)
+    n = F.when(of.isin(*NUMBERS) | of.startswith("DECIMAL"), F.try_variant_get(value, "$", "double"))
     return F.when(F.abs(n) < float("inf"), n)
 
 
@@ -78,12 +81,14 @@ def epoch_ms(number: Column) -> Column:
 
 def stamp_cells(value: Column) -> tuple[Column, Column]:
     """What a stamp may be: trimmed text, and a number."""
-    return F.regexp_replace(string_of(value), r"^\s+|\s+$", ""), number_of(value)
+    return F.btrim(string_of(value), F.lit(BLANKS)), number_of(value)
 
 
 def stamp(text: Column, number: Column) -> Column:
     """ISO text of an ISO string, a numeric string or an epoch number."""
-    return iso(F.coalesce(parse_ms(text), epoch_ms(F.coalesce(number, text.try_cast("double")))))
+    ms = F.coalesce(parse_ms(text), epoch_ms(F.coalesce(number, text.try_cast("double"))))
+    # bound to a lambda variable, as iso names it several times and would have it parsed as often
+    return F.get(F.transform(F.array(ms), iso), F.lit(0))
 
 
 def number_at(json: Column, path: str) -> Column:

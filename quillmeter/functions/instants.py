@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed value: YYYY-MM-DD, optionally T or space HH:mm[:ss[.f]], optionally Z or an offset
-GRAMMAR = r"^(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{2}):(\d{2})(?::(\d{2})(?:\.(\d+))?)?(Z|[+-]\d{2}:\d{2})?)?$"
+GRAMMAR = r"^(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{2}):(\d{2})(?::(\d{2})(?:\.(\d+))?)?(Z|[+-]\d{2}:\d{2})?)?\z"
 MAX_MS = 8_640_000_000_000_000
 
 
@@ -16,16 +16,16 @@ def parse_ms(text: Column) -> Column:
     """Epoch milliseconds of an ISO string, or null.  No offset is UTC; a day past
     the month's end rolls over; fractions are cut to milliseconds."""
 
-    def part(k: int) -> Column:
-        return F.regexp_extract(text, GRAMMAR, k)
+    def number(start: int, length: int = 2) -> Column:
+        return F.coalesce(F.substring(text, start, length).try_cast("bigint"), F.lit(0))
 
-    def number(k: int) -> Column:
-        return F.coalesce(F.expr("try_cast(null as bigint)") if k < 0 else part(k).try_cast("bigint"), F.lit(0))
-
-    year, month, day, hour, minute, second = (number(k) for k in range(1, 7))
-    milli = F.rpad(F.substring(part(7), 1, 3), 3, "0").try_cast("bigint")
-    zone = part(8)
-    offset = F.when(F.length(zone) == 6, (F.substring(zone, 2, 2).try_cast("bigint") * 60 + F.substring(zone, 5, 2).try_cast("bigint")) * F.when(zone.startswith("-"), -1).otherwise(1)).otherwise(0)
+    # what fits the grammar has its parts in fixed places, but for the zone, which ends it
+    year, month, day, hour, minute = number(1, 4), number(6), number(9), number(12), number(15)
+    second = F.when(F.substring(text, 17, 1) == ":", number(18)).otherwise(0)
+    fraction = F.when(F.substring(text, 20, 1) == ".", F.regexp_replace(F.substring(text, 21, 3), r"\D.*", ""))
+    milli = F.rpad(fraction, 3, "0").try_cast("bigint")
+    sign = F.when(F.length(text) > 21, F.substring(text, -6, 1))
+    offset = F.when(sign.isin("+", "-"), (number(-5) * 60 + number(-2)) * F.when(sign == "-", -1).otherwise(1)).otherwise(0)
     fits = text.rlike(GRAMMAR) & month.between(1, 12) & day.between(1, 31) & (hour < 24) & (minute < 60) & (second < 60)
     first = F.make_date(year.cast("int"), F.when(month.between(1, 12), month).otherwise(1).cast("int"), F.lit(1))
     days = F.unix_date(first).cast("bigint") + day - 1

@@ -14,7 +14,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.cells import at, counter_of, given, is_object, kind, number_of, optional_of, stamp, stamp_cells, string_of, text_of, true_of
+from ..functions.cells import BLANKS, at, counter_of, given, is_object, kind, number_of, optional_of, stamp, stamp_cells, string_of, text_of, true_of
 from ..functions.instants import MAX_MS, iso
 from ..functions.paths import basename, normalize_workspace, parent, stem
 from ..operators.windows import carried, first_wins, last_wins, pending
@@ -62,7 +62,7 @@ def log_lines(spark: SparkSession, files: list[File]) -> DataFrame:
 
 def opened(lines: DataFrame) -> DataFrame:
     """Lines with ``row``, their VARIANT, null where a line is no JSON."""
-    parsed = F.try_parse_json(F.regexp_replace("text", r"^\s+|\s+$", ""))
+    parsed = F.try_parse_json(F.btrim("text", F.lit(BLANKS)))
     # generated, not projected: conditions on cells would otherwise parse the line once for each cell
     return lines.select(*_PLACE, F.explode(F.array(parsed)).alias("row"))
 

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quillmeter.functions.cells import stamp
 from quillmeter.functions.cost import cost_usd
 from quillmeter.functions.instants import day_key, iso, parse_ms, within_hour, zone
 from quillmeter.functions.models import candidate_keys
@@ -27,6 +28,19 @@ def test_instants(spark):
     assert all(kit.parse_ms(k) == v for k, v in INSTANTS.items() if k is not None)
 
 
+def test_instants_of_every_shape(spark):
+    heads, seconds, zones = ("2026-08-01T10:20", "2026-08-01 10:20", "0999-12-31T23:59"), ("", ":30", ":30.1", ":30.12", ":30.1239", ":60", ":30."), ("", "Z", "+05:30", "-12:45", "z", "+0530", "\n", "Z\n")
+    texts = [h + s + z for h in heads for s in seconds for z in zones] + ["2026-08-01Z", "2026-08-01+01:00", "2026-08-01T10", "26-08-01T10:20:30Z"]
+    rows = spark.createDataFrame([(k,) for k in texts], "t string").select("t", parse_ms(F.col("t")).alias("ms")).collect()
+    assert {r["t"]: r["ms"] for r in rows} == {t: kit.parse_ms(t) for t in texts}
+
+
+def test_a_stamp_matches_its_grammar_once(spark):
+    plan = spark.createDataFrame([("2026-08-01", 1.0)], "t string, n double").select(stamp(F.col("t"), F.col("n")).alias("s"))
+    assert plan.first()["s"] == "2026-08-01T00:00:00.000Z"
+    assert plan._jdf.queryExecution().analyzed().toString().count("d{4}") == 1
+
+
 def test_iso_round_trip(spark):
     values = [0, -1, -1000, 1785542400123, 253402300799999, -62135596800000]
     rows = spark.createDataFrame([(v,) for v in values], "ms bigint").select("ms", iso(F.col("ms")).alias("t"), parse_ms(iso(F.col("ms"))).alias("back")).collect()
