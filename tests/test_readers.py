@@ -170,3 +170,19 @@ def test_bounds():
     assert bound_ms("2024-09-08", "America/Santiago") % 3_600_000 == 0  # midnight is skipped that day
     with pytest.raises(ValueError):
         bound_ms("2026-02-30", "UTC")
+
+
+def test_amp_ledger_of_a_long_thread():
+    """Messages meet their own ledger rows by id, else the first free one of equal use; the search does not grow with the thread."""
+    import time
+
+    from quillmeter.sources.kit import Loaded
+
+    n, at = 20_000, "2026-08-01T00:00:00.000Z"
+    said = [{"role": "assistant", **({"messageId": f"e{k}"} if k % 2 else {}), "usage": {"model": "m", "inputTokens": 1, "outputTokens": 1, "timestamp": at}} for k in range(n)]
+    ledger = [{**({"toMessageId": f"e{k}"} if k % 2 else {"id": f"l{k}"}), "timestamp": at, "model": "m", "tokens": {"input": 1, "output": 1}} for k in range(n)]
+    doc = json.dumps({"id": "s", "messages": said, "usageLedger": {"events": ledger}}).encode()
+    began = time.process_time()
+    found = list(REGISTRY["amp"].parse([Loaded("T-s.json", 0, 0, doc, 0)]))
+    assert time.process_time() - began < 10
+    assert len({e.message_id for e in found}) == len(found) and {f"e{k}" for k in range(1, n, 2)} <= {e.message_id for e in found}
