@@ -111,7 +111,8 @@ WRITTEN: dict[str, tuple[str, str, str]] = {
 
 #: Table functions: parameters, columns, query
 TABLES: dict[str, tuple[str, str, str]] = {
-    "ranked_keys": ("model STRING", "key_rank INT, key STRING", "SELECT pos, col FROM (SELECT candidate_keys(model) AS held), LATERAL posexplode(held)"),
+    # outer, as Spark infers from a plain one that there are keys, and asks that of every row of the caller's table before it is grouped
+    "ranked_keys": ("model STRING", "key_rank INT, key STRING", "SELECT pos, col FROM (SELECT candidate_keys(model) AS held), LATERAL posexplode_outer(held) WHERE col IS NOT NULL"),
 }
 
 

@@ -67,3 +67,13 @@ def test_the_example_of_the_readme(spark, names):
     found = spark.sql("""SELECT day_key(ts_ms, 'Europe/Berlin') AS day, sum(cost_usd(tokens, price)) AS usd
 FROM (SELECT *, candidate_keys(model) AS keys FROM usage_of_test) u JOIN prices_of_test p ON p.key = u.keys[0] GROUP BY 1""")
     assert [tuple(r) for r in found.collect()] == [("1970-01-01", 2.0)]
+
+
+def test_ranked_keys_are_made_after_grouping(spark, names):
+    """No keys are made of the rows that the caller's DISTINCT has yet to group."""
+    spark.range(1000).select(F.concat(F.lit("openai/gpt-"), (F.col("id") % 3).cast("string")).alias("m")).createOrReplaceTempView("rows_of_models")
+    keys = spark.sql("SELECT d.m, k.key_rank, k.key FROM (SELECT DISTINCT m FROM rows_of_models) d, LATERAL ranked_keys(d.m) k")
+    plan = keys._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter " in line and "array_distinct" in line]
+    made = spark.table("rows_of_models").distinct().select("m", F.posexplode(candidate_keys(F.col("m"))))
+    assert sorted(map(tuple, keys.collect())) == sorted(map(tuple, made.collect()))
