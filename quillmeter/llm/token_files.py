@@ -43,6 +43,7 @@ END, FIRST_RULE = 1 << 19, 1 << 20  # how a block holds the end id; its first no
 BLOCK_TOKENS, LEAST_USES, DENSE_ROUNDS = 2_000_000, 2, 3
 PLACE_BITS, SYMBOL_BITS = 22, 21  # of a sorted number that holds a pair and a place
 STEP = 1 << 17  # positions that are worked on at once, so that temporary arrays stay small
+READ_TOKENS = 1 << 18  # tokens that are expanded at once when a block is read
 CACHE_PIECES, ENCODED_BYTES = 1_500_000, 1 << 17
 MAGIC = b"QMRP0002"
 
@@ -409,13 +410,17 @@ def _lengths(rules: np.ndarray) -> np.ndarray:
     return size
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, length: np.ndarray | None = None) -> np.ndarray:
+def _lefts(rules: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Tokens that each rule's left symbol stands for."""
+    half, deep = np.ones(len(rules), np.int32), rules[:, 0] >= FIRST_RULE
+    half[deep] = length[rules[deep, 0] - FIRST_RULE]
+    return half
+
+
+def expand(symbols: np.ndarray, rules: np.ndarray, length: np.ndarray | None = None, half: np.ndarray | None = None) -> np.ndarray:
     """Tokens of symbols, END as it is."""
     length = _lengths(rules) if length is None else length
-    left, right = rules[:, 0], rules[:, 1]
-    left_deep, right_deep = left >= FIRST_RULE, right >= FIRST_RULE
-    left_rule, right_rule = np.where(left_deep, left - FIRST_RULE, 0), np.where(right_deep, right - FIRST_RULE, 0)
-    half = np.where(left_deep, length[left_rule], 1).astype(np.int32) if len(rules) else length
+    half = _lefts(rules, length) if half is None else half
     size = np.ones(len(symbols), np.int64)
     deep = symbols >= FIRST_RULE
     size[deep] = length[symbols[deep] - FIRST_RULE]
@@ -427,9 +432,10 @@ def expand(symbols: np.ndarray, rules: np.ndarray, length: np.ndarray | None = N
     while len(at):
         # a nonterminal's place is written again by what it stands for
         other = at + half[rule]
-        out[at], out[other] = left[rule], right[rule]
-        first, second = left_deep[rule], right_deep[rule]
-        at, rule = np.concatenate([at[first], other[second]]), np.concatenate([left_rule[rule[first]], right_rule[rule[second]]])
+        left, right = rules[rule, 0], rules[rule, 1]
+        out[at], out[other] = left, right
+        first, second = left >= FIRST_RULE, right >= FIRST_RULE
+        at, rule = np.concatenate([at[first], other[second]]), np.concatenate([left[first], right[second]]) - FIRST_RULE
     return out
 
 
@@ -501,6 +507,16 @@ class Block:
         ids = expand(self.symbols, self.rules, self.length)
         return np.where(ids == END, END_ID, ids).astype(np.uint32)
 
+    def runs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All documents in order, some at once: their tokens and the number of each one's, about READ_TOKENS together or one document."""
+        group = (np.cumsum(self.n_tokens, dtype=np.int64) - self.n_tokens) // READ_TOKENS
+        cuts = (np.flatnonzero(np.diff(group)) + 1).tolist()
+        first, half = np.concatenate([[0], np.cumsum(self.n_symbols, dtype=np.int64)]), _lefts(self.rules, self.length)
+        for a, b in zip([0, *cuts], [*cuts, len(group)]):
+            ids = expand(self.symbols[first[a] : first[b]], self.rules, self.length, half)
+            ids[ids == END] = END_ID
+            yield ids.view(np.uint32), self.n_tokens[a:b]
+
     def document(self, k: int, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Tokens [start, stop) of the k-th document, expanding only the symbols that hold them."""
         first = int(self.n_symbols[:k].sum(dtype=np.int64))
@@ -567,14 +583,17 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str) -> DataFrame:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    _encoders.clear()  # a worker that wrote would keep what it learnt beside the blocks
+    give_back()
     for batch in batches:
         for part, seq, raw in zip(batch.column("part").to_pylist(), batch.column("seq").to_pylist(), batch.column("block")):
-            block = Block(raw.as_py())
-            ids = block.tokens().astype("<u4")
+            block, crc = Block(raw.as_py()), []
+            for ids, sizes in block.runs():
+                view = memoryview(ids.astype("<u4", copy=False).tobytes())
+                crc += [zlib.crc32(view[4 * (e - k) : 4 * e]) for e, k in zip(np.cumsum(sizes).tolist(), sizes.tolist())]
+                del ids, view
             n = block.n_tokens.astype(np.int64)
             ends = np.cumsum(n)
-            view = memoryview(ids.tobytes())
-            crc = [zlib.crc32(view[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), n.tolist())]
             doc = pa.array(block.doc_ids, mask=~block.valid)
             yield pa.RecordBatch.from_arrays([pa.array([part] * len(n), pa.int32()), pa.array([seq] * len(n), pa.int32()), doc, pa.array(ends - n), pa.array(n), pa.array(crc, pa.int64())], names=["part", "seq", "doc_id", "inner", "n_tokens", "ids_crc32"])
 

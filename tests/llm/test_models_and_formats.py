@@ -1,6 +1,7 @@
 """Classifiers, token files, token counts and chat formatting."""
 
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -310,6 +311,27 @@ def test_blocks_are_smaller_than_plain_ids():
         assert token_files.Block(token_files.pack(own, np.array([len(own)] if few else []), pa.array([1] if few else [], pa.int64()))).tokens().tolist() == [2 if x == token_files.END else x for x in few]
 
 
+def test_a_block_is_read_in_runs_of_documents():
+    """What is held beside an opened block does not grow with its tokens, nor is it kept beside what a writer learnt."""
+    rng, peaks = np.random.default_rng(9), []
+    for n_docs in (1000, 3000):
+        sizes = np.full(n_docs, 400)
+        sizes[5] = 1
+        ids = np.concatenate([np.append(rng.integers(3, 60, n - 1) // rng.integers(1, 9, n - 1) + 3, token_files.END) for n in sizes]).astype(np.int32)
+        raw = token_files.pack(ids, sizes, pa.array(range(n_docs), pa.int64()))
+        blocks = [pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([raw], pa.binary())], names=["part", "seq", "block"])]
+        token_files._encoders["learnt"] = None
+        tracemalloc.start()
+        (read,) = token_files._read(iter(blocks))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert not token_files._encoders
+        want = np.where(ids == token_files.END, token_files.END_ID, ids).astype("<u4")
+        assert read.column("ids_crc32").to_pylist() == [zlib.crc32(x.tobytes()) for x in np.split(want, np.cumsum(sizes)[:-1])]
+        assert read.column("n_tokens").to_pylist() == sizes.tolist() and read.column("inner").to_pylist() == (np.cumsum(sizes) - sizes).tolist()
+    assert (peaks[1] - peaks[0]) / 800_000 < 15  # bytes a token
+
+
 def test_token_files(spark, odd, none, tmp_path):
     tokenizers = pytest.importorskip("tokenizers")
     path = token_files.default_tokenizer()
