@@ -87,6 +87,15 @@ def test_records_of_no_tokens_are_events_where_asked_for(spark, idle_events, age
     assert plain(got) == plain(owed)
 
 
+@have_data
+def test_grok_events_of_one_instant_are_told_apart(spark, tmp_path):
+    """A session with the same events again, at the same instants and under ids of their own, has them all."""
+    duckdb.sql(f"COPY (SELECT event_id + r * 1000000 AS event_id, ts, user_id, event_type, value, props FROM '{DATA}/events.parquet', range(2) t(r) WHERE event_id < 300) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got = testdata.queries()["reader_grok"](spark, str(tmp_path))
+    owed = usage(spark, str(tmp_path))
+    assert got.count() == owed.count() == 600 and got.where("turn").count() == owed.where("turn").count()
+
+
 def test_records_of_no_tokens_are_left_out_else(spark, tmp_path):
     at = tmp_path / ".zcode" / "projects" / "p" / "s.jsonl"
     at.parent.mkdir(parents=True)
