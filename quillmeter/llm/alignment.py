@@ -196,6 +196,8 @@ class Aligner:
             raw = data.tobytes()
             at[new] = np.arange(self.known.count, self.known.count + len(new))
             self._learn(distinct[new], [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())])
+            del raw, first
+            give_back()  # what the libraries held for the new cuts
         which = at[codes] if len(codes) else np.zeros(0, np.int64)
         bounds = np.searchsorted(start, offsets)
         n = len(offsets) - 1
@@ -223,6 +225,12 @@ def _aligner(byte_level: str, sentence_piece: str) -> Aligner:
     return _loaded[byte_level, sentence_piece]
 
 
+def _forget() -> None:
+    """A worker that aligned would keep its tokenizers and cuts beside the counts."""
+    _loaded.clear()
+    give_back()
+
+
 BLOCKS = "doc_ids array<long>, n_a array<long>, n_b array<long>, n_links array<long>, shas array<string>, codes binary, keys binary, uses binary"
 
 
@@ -265,6 +273,7 @@ def _summed(keys: list[np.ndarray], uses: list[np.ndarray]) -> tuple[np.ndarray,
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of a task's blocks, summed each time PARTIAL_KEYS are held."""
+    _forget()
     keys, uses, held = [], [], 0
 
     def table(key: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
@@ -398,6 +407,7 @@ def alignment(docs: DataFrame, byte_level: str, sentence_piece: str, folder: str
     where = f"{folder}/shards"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
         shards = Shards(where, listed)
         for batch in batches:
             for k in range(batch.num_rows):

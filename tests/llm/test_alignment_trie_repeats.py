@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +65,18 @@ def test_alignment(spark):
     assert got == brute_alignment(rows)
 
 
+def test_workers_give_back_what_aligning_took(monkeypatch):
+    calls = []
+    monkeypatch.setattr(alignment, "give_back", lambda: calls.append(1))
+    aligner, texts = alignment.Aligner(*alignment.default_tokenizers()), pa.array(["one text, of few words", None])
+    first = aligner.align(texts)
+    assert len(calls) == 1
+    again = aligner.align(texts)
+    assert len(calls) == 1 and all(list(x) == list(y) for x, y in zip(first, again))
+    alignment._loaded["a", "b"] = aligner
+    assert list(alignment._partial(iter([]))) == [] and not alignment._loaded
+
+
 def test_alignment_odd(spark, odd, none):
     assert Counter(tuple(r) for r in alignment.alignment(odd, *alignment.default_tokenizers()).collect()) == brute_alignment([(d, t) for d, t, _ in ODD])
     assert alignment.alignment(none, *alignment.default_tokenizers()).count() == 0
