@@ -64,7 +64,7 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         return np.zeros(0, np.uint64)
     up, down = _power(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
-    v = _BYTE[data]
+    v = np.take(_BYTE, data)
     v *= up[: len(data)]
     np.cumsum(v, out=sums[1:])
     size = end - start

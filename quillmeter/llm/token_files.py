@@ -27,7 +27,10 @@ from __future__ import annotations
 
 import os
 import zlib
+from codecs import charmap_decode
 from collections.abc import Iterator
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import mapped, saved, work_dir
-from .textkernel import LOWER, SPACE, HashIndex, gather, give_back, numbered, pieces, span_hashes, text_bytes
+from .textkernel import LOWER, SPACE, HashIndex, give_back, numbered, pieces, span_hashes, text_bytes
 
 END_ID = 2
 END, FIRST_RULE = 1 << 19, 1 << 20  # how a block holds the end id; its first nonterminal
@@ -59,8 +62,13 @@ _CLASS[SPACE] = _BLANK
 _CLASS[[0x0B, 0x0C]] = _OTHER
 
 
+def _through(table: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """table[data] for bytes of both."""
+    return np.frombuffer(bytearray(data).translate(table.tobytes()), np.uint8)
+
+
 def _classes(data: np.ndarray) -> np.ndarray:
-    cls = _CLASS[data]
+    cls = _through(_CLASS, data)
     if len(data) > 1:
         # two-byte letters of the Latin blocks, but for the signs U+00D7 and U+00F7,
         # and U+0130, which lower case takes apart
@@ -107,12 +115,12 @@ def piece_spans(data: np.ndarray, offsets: np.ndarray, special: bool = False) ->
     return start, end, row, pure
 
 
-def _byte_chars() -> dict[int, int]:
-    """The characters that a byte-level pre-tokenizer writes for bytes: printable
+def _byte_chars() -> str:
+    """The characters that a byte-level pre-tokenizer writes for bytes 0 to 255: printable
     Latin-1 for themselves, the others from U+0100 on in order."""
     own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    rest = [b for b in range(256) if b not in own]
-    return {b: 0x100 + k for k, b in enumerate(rest)}
+    rest = iter(range(0x100, 0x200))
+    return "".join(chr(b if b in own else next(rest)) for b in range(256))
 
 
 _BYTE_CHARS = _byte_chars()
@@ -139,22 +147,21 @@ class Encoder:
         library's model in lower case, bytes as the byte-level characters; the rest
         go through the whole library."""
         found: list[list[int]] = [[]] * len(pieces)
-        whole = np.flatnonzero(~pure).tolist()
-        tokenize = self.model.tokenize
-        for k in np.flatnonzero(pure).tolist():
-            b = pieces[k]
-            if not b.isascii():
-                word = b.decode().lower().encode().decode("latin-1").translate(_BYTE_CHARS)
-            else:
-                word = b.decode()
-            found[k] = [t.id for t in tokenize(word)]
+        whole, single = np.flatnonzero(~pure).tolist(), np.flatnonzero(pure).tolist()
+        if single:
+            # at once, as no piece of a single class holds a line feed
+            joined = b"\n".join(map(pieces.__getitem__, single)).decode().lower().encode()
+            words = charmap_decode(joined, "strict", _BYTE_CHARS)[0].split(_BYTE_CHARS[10])
+            tokenize, ident = self.model.tokenize, attrgetter("id")
+            for k, word in zip(single, words):
+                found[k] = [*map(ident, tokenize(word))]
         for k, e in zip(whole, self.tokenizer.encode_batch([pieces[k].decode("utf-8", "replace") for k in whole], add_special_tokens=False)):
             found[k] = e.ids
         return found
 
     def _learn(self, keys: np.ndarray, pieces: list[bytes], pure: np.ndarray) -> None:
         new = self._ids(pieces, pure)
-        sizes = np.array([len(x) for x in new], np.int64)
+        sizes = np.fromiter(map(len, new), np.int64, len(new))
         n, at = self.known.count, self.used
         while len(self.start) < n + len(new):
             self.start, self.size = (np.concatenate([x, np.zeros(len(x), np.int32)]) for x in (self.start, self.size))
@@ -162,14 +169,14 @@ class Encoder:
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.int32)])
         self.start[n : n + len(new)] = at + np.cumsum(sizes) - sizes
         self.size[n : n + len(new)] = sizes
-        self.ids[at : at + sizes.sum()] = np.array([i for x in new for i in x], np.int32)
+        self.ids[at : at + sizes.sum()] = np.fromiter(chain.from_iterable(new), np.int32, int(sizes.sum()))
         self.used += int(sizes.sum())
         self.known.add(keys, np.arange(n, n + len(new), dtype=np.int32))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, each followed by END, and the number of each row's."""
         data, offsets = text_bytes(texts)
-        raw, data = data, LOWER[data]
+        raw, data = data, _through(LOWER, data)
         # the library matches special tokens before it lowers case
         for r in opened_rows(raw, offsets):
             data[offsets[r] : offsets[r + 1]] = raw[offsets[r] : offsets[r + 1]]
@@ -179,15 +186,19 @@ class Encoder:
             self.clear()
         at = self.known.find(distinct)
         if len(new := np.flatnonzero(at < 0)):
-            first = np.zeros(len(distinct), np.int64)
-            first[codes[::-1]] = np.arange(len(codes))[::-1]
-            raw, first = data.tobytes(), first[new]
+            # codes are by first appearance: where one exceeds all before, it is new
+            first = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=np.int32(-1)))[new]
+            raw = data.tobytes()
             at[new] = np.arange(self.known.count, self.known.count + len(new))
             self._learn(distinct[new], [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())], pure[first])
         which = at[codes]
-        ends = np.concatenate([[0], np.cumsum(self.size[which], dtype=np.int64)])
-        per_row = np.diff(ends[np.searchsorted(start, offsets)])
-        ids = gather(self.ids, self.start, self.size, which)
+        size = np.take(self.size, which)
+        ends = np.zeros(len(which) + 1, np.int64)
+        np.cumsum(size, out=ends[1:])
+        per_row = np.diff(ends[np.searchsorted(start, offsets)]).astype(np.int64)
+        at = np.repeat(np.take(self.start, which) - ends[:-1], size)
+        at += np.arange(len(at), dtype=at.dtype)
+        ids = np.take(self.ids, at)
         return np.insert(ids, np.cumsum(per_row), END).astype(np.int32, copy=False) if len(per_row) else ids, per_row + 1
 
 
@@ -255,14 +266,19 @@ def _all_chosen(symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of a whole sequence: the places whose pairs a rule replaces, and the rule's number at each."""
     left, right = symbol[:-1], symbol[1:]
     # pair and place in one number: sorted, equal pairs are neighbours
-    key = left.astype(np.uint64)
-    key <<= np.uint64(SYMBOL_BITS)
-    key |= right.view(np.uint32)
-    key <<= np.uint64(PLACE_BITS)
-    key |= np.arange(len(key), dtype=np.uint64)
+    key, place, mask = np.empty(len(left), np.uint64), np.empty(len(left), np.int32), np.uint64((1 << PLACE_BITS) - 1)
+    for a in range(0, len(key), STEP):
+        part, here = key[a : a + STEP], slice(a, a + STEP)
+        part[:] = left[here]
+        part <<= np.uint64(SYMBOL_BITS)
+        part |= right[here].view(np.uint32)
+        part <<= np.uint64(PLACE_BITS)
+        part |= np.arange(a, a + len(part), dtype=np.uint64)
     key.sort()
-    place = (key & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int32)
-    key >>= np.uint64(PLACE_BITS)
+    for a in range(0, len(key), STEP):
+        part = key[a : a + STEP]
+        place[a : a + STEP] = part & mask
+        part >>= np.uint64(PLACE_BITS)
     edge = np.ones(len(key), bool)
     np.not_equal(key[1:], key[:-1], out=edge[1:])
     begin = np.flatnonzero(edge).astype(np.int32)
@@ -281,7 +297,9 @@ def _all_chosen(symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         uses -= np.bincount(np.searchsorted(pairs, own), minlength=len(uses))
     # of overlapping pairs the more frequent goes first; the most frequent keeps all its uses
     order = np.empty(len(uses), np.int32)
-    order[np.argsort(uses, kind="stable")] = np.arange(1, len(uses) + 1, dtype=np.int32)
+    by_uses = (uses << 32) | np.arange(len(uses))
+    by_uses.sort()
+    order[by_uses & np.int64(0xFFFFFFFF)] = np.arange(1, len(uses) + 1, dtype=np.int32)
     end, low = np.uint64(END), np.uint64((1 << SYMBOL_BITS) - 1)
     order[(uses < LEAST_USES) | (pairs >> np.uint64(SYMBOL_BITS) == end) | (pairs & low == end)] = 0
     each = np.zeros(len(size), np.int32)
@@ -347,7 +365,9 @@ def _chosen(symbol: np.ndarray, at: np.ndarray, code: np.ndarray, n_codes: int,
         return at, code, none, code
     # of overlapping pairs the more frequent goes first; the most frequent keeps all its uses
     place = np.empty(len(uses), np.int32)
-    place[np.argsort(uses, kind="stable")] = np.arange(1, len(uses) + 1, dtype=np.int32)
+    by_uses = (uses << 32) | np.arange(len(uses))
+    by_uses.sort()
+    place[by_uses & np.int64(0xFFFFFFFF)] = np.arange(1, len(uses) + 1, dtype=np.int32)
     mine = place[code]
     if len(same):
         mine[~own] = 0
@@ -441,9 +461,8 @@ def expand(symbols: np.ndarray, rules: np.ndarray, length: np.ndarray | None = N
 
 def pack_bits(values: np.ndarray, width: int) -> bytes:
     """Values below 2**width, that many bits each, the highest first."""
-    shifts = np.arange(width - 1, -1, -1, dtype=np.uint32)
     step = STEP >> 3 << 3  # whole bytes
-    parts = [np.packbits(((values[a : a + step, None].astype(np.uint32) >> shifts) & np.uint32(1)).astype(np.uint8).ravel()) for a in range(0, len(values), step)]
+    parts = [np.packbits(np.unpackbits(values[a : a + step].astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - width :].ravel()) for a in range(0, len(values), step)]
     return b"".join(p.tobytes() for p in parts)
 
 
@@ -451,9 +470,9 @@ def unpack_bits(raw: np.ndarray, width: int, count: int) -> np.ndarray:
     out, step = np.zeros(count, np.int32), STEP >> 3 << 3
     for a in range(0, count, step):
         n = min(step, count - a)
-        bits = np.unpackbits(raw[a // 8 * width : a // 8 * width + (n * width + 7) // 8], count=n * width).reshape(n, width)
-        for j in range(width):
-            out[a : a + n] = (out[a : a + n] << 1) | bits[:, j]
+        whole = np.zeros((n, 32), np.uint8)
+        whole[:, 32 - width :] = np.unpackbits(raw[a // 8 * width : a // 8 * width + (n * width + 7) // 8], count=n * width).reshape(n, width)
+        out[a : a + n] = np.packbits(whole).view(">u4")
     return out
 
 
@@ -463,8 +482,11 @@ def pack(ids: np.ndarray, n_tokens: np.ndarray, doc_ids: pa.Array) -> bytes:
     n_symbols = np.diff(np.concatenate([[-1], ends])).astype(np.int32)
     terminals = np.unique(np.concatenate([symbols[symbols < FIRST_RULE], rules[rules < FIRST_RULE]])).astype(np.int32)
 
+    code = np.zeros(int(terminals[-1]) + 1 if len(terminals) else 1, np.int32)
+    code[terminals] = np.arange(len(terminals), dtype=np.int32)
+
     def coded(x: np.ndarray) -> np.ndarray:
-        return np.where(x < FIRST_RULE, np.searchsorted(terminals, x), x - FIRST_RULE + len(terminals)).astype(np.int32)
+        return np.where(x < FIRST_RULE, np.take(code, x, mode="clip"), x - np.int32(FIRST_RULE - len(terminals)))
 
     width = max(1, int(len(terminals) + len(rules) - 1).bit_length())
     kind = next(k for k in ("<u1", "<u2", "<u4") if length.max(initial=0) < 1 << 8 * np.dtype(k).itemsize)

@@ -332,6 +332,23 @@ def test_a_block_is_read_in_runs_of_documents():
     assert (peaks[1] - peaks[0]) / 800_000 < 15  # bytes a token
 
 
+class _Once(bytes):
+    """A piece that may not be taken apart alone."""
+
+    def decode(self, *_):
+        raise AssertionError("decoded alone")
+
+
+def test_pieces_of_one_class_are_decoded_together():
+    import tokenizers
+
+    library, encoder = tokenizers.Tokenizer.from_file(token_files.default_tokenizer()), token_files.Encoder(token_files.default_tokenizer())
+    words = ["a", "word", "7", "<>&", "Ċ", "ĠĊčß", "ÉÀÖŁƒ", "Ɏȿɀ", "".join(map(chr, range(0x180, 0x1C0))), "x" * 300]
+    got = encoder._ids([_Once(w.encode()) for w in words], np.ones(len(words), bool))
+    assert got == [library.encode(w, add_special_tokens=False).ids for w in words]
+    assert encoder._ids([], np.zeros(0, bool)) == []
+
+
 def test_token_files(spark, odd, none, tmp_path):
     tokenizers = pytest.importorskip("tokenizers")
     path = token_files.default_tokenizer()
