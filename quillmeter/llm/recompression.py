@@ -49,6 +49,10 @@ WINDOW, LEVELS = 13, 3
 BLOCK_BYTES, RANGE_NAMES, LEAST_RANGES = 2 << 20, 200_000, 64
 #: Bytes of answers and spans up to which they are broadcast
 ANSWER_BYTES = 64 << 20
+#: A row of a block is some MB: written files are cut by bytes looked at with every row (by itself Parquet looks at each
+#: hundredth), so that neither a writer nor a reader, which holds a row group, has many of them.  A writer keeps the least
+#: and greatest value of each group up to the file's end, and here these are as long as rows
+ROW_GROUPS = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1000, "parquet.column.statistics.enabled": "false"}
 #: Rank of a row without doc_id: it comes after all others
 LAST = (1 << 63) - 1
 
@@ -300,13 +304,14 @@ def _by_size(df: DataFrame, n_bytes: Column) -> DataFrame:
 
 def _answered(rows: DataFrame, answers: DataFrame, path: str) -> DataFrame:
     """``rows`` with the answers to their blocks."""
-    held = saved(answers.groupBy("block").agg(F.collect_list(F.struct("range", "bits")).alias("answers")), path)
-    size = F.aggregate("answers", F.lit(64).cast("long"), lambda s, a: s + 24 + F.octet_length(a["bits"]))
+    held = _packed(answers.groupBy("block").agg(F.collect_list(F.struct("range", "bits")).alias("answers")), path)
+    size = F.aggregate("answers", F.lit(64).cast("long"), lambda s, a: s + 48 + F.octet_length(a["bits"]))  # as a row in memory has them
     return rows.join(_by_size(held, size), "block", "left")
 
 
 def _packed(df: DataFrame, path: str) -> DataFrame:
-    df.write.option("compression", "zstd").parquet(path)
+    """``df``, written and read again, of rows that are large."""
+    df.write.options(compression="zstd", **ROW_GROUPS).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

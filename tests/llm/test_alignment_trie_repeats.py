@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -256,3 +257,16 @@ def test_cores_stand_alike_everywhere(seed):
         symbol, _, start, low, high = recompression.parsed(words, w.row, levels=levels)
         cores = {tuple(symbol[a:b].tolist()) if b > a else () for s, a, b in zip(start, low, high) if (words[s : s + recompression.WINDOW] == want).all()}
         assert len(cores) == 1
+
+
+def test_files_of_blocks_are_cut_by_bytes(spark, tmp_path):
+    """Neither a row group nor what a writer keeps of it grows with the rows of a task."""
+    r = random.Random(5)
+    rows = spark.createDataFrame([(k, r.randbytes(1 << 20)) for k in range(30)], "id long, held binary").coalesce(1)
+    back = recompression._packed(rows, str(tmp_path / "packed"))
+    assert back.agg({"id": "sum"}).first()[0] == 435
+    (path,) = (tmp_path / "packed").glob("*.parquet")
+    meta = pq.ParquetFile(path).metadata
+    groups = [meta.row_group(k) for k in range(meta.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 30 and max(g.num_rows for g in groups) <= 12
+    assert all(g.column(1).statistics is None for g in groups)
