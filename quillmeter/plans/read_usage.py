@@ -71,7 +71,8 @@ def bounded(events: DataFrame, since_ms: int | None = None, until_ms: int | None
 def read_usage(spark: SparkSession, ctx: Contexts | None = None, harnesses: Iterable[str] | None = None, since: str | None = None, until: str | None = None, subagents: str = "include", tz: str | None = None, idle: bool = False) -> Usage:
     """Events of the chosen readers (all by default), in [since, until), with diagnostics.
 
-    ``ctx`` is a home, or several of as many machines, whose stores are read side by side.
+    ``ctx`` is a home, or several of as many machines, whose stores are
+    listed and read side by side, by executors.
     With ``idle`` records that used no tokens, which many readers leave out, are events too.
     Only the chosen readers' scans are built.  Events without a usable instant
     are dropped with a diagnostic, bounds or not.  ``seq`` is an event's place in
@@ -82,7 +83,7 @@ def read_usage(spark: SparkSession, ctx: Contexts | None = None, harnesses: Iter
     unknown = [h for h in chosen if h not in REGISTRY and h not in UNSUPPORTED]
     if unknown:
         raise ValueError(f"unknown harness {', '.join(unknown)}")
-    parts = [(k, scan.read(spark, REGISTRY[h], ctx, idle)) for k, h in enumerate(IDS) if h in chosen and REGISTRY[h].files(ctx)]
+    parts = [(k, scan.read(spark, REGISTRY[h], ctx, idle)) for k, h in enumerate(IDS) if h in chosen and REGISTRY[h].any(ctx)]
     if not parts:
         return Usage(empty(spark, f"{USAGE_EVENT}, {SEQ}"), empty(spark, DIAGNOSTIC), empty(spark, SKIPPED))
     place = lambda k: F.struct(F.lit(k).alias("reader"), *[F.col(c) for c in scan.ORDER]).alias("seq")

@@ -140,6 +140,10 @@ class Reader:
         """The files of one home, or of several."""
         return [f for c in ([ctx] if isinstance(ctx, Context) else ctx) for f in self.find(c)]
 
+    def any(self, ctx: Contexts) -> bool:
+        """Whether a home has files; those after it are not looked at."""
+        return any(self.find(c) for c in ([ctx] if isinstance(ctx, Context) else ctx))
+
 
 def loads(text: str) -> Any:
     def never(_: str) -> None:

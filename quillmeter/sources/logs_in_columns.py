@@ -55,7 +55,11 @@ def log_lines(spark: SparkSession, files: list[File]) -> DataFrame:
     with few_listing_tasks(spark):
         read = spark.read.text([f.path for f in files], wholetext=True)
     logs = read.select(plain_path(F.col("_metadata.file_path")).alias("src_path"), F.make_valid_utf8("value").alias("log"))
-    logs = logs.join(F.broadcast(listed) if len(files) <= LISTED else listed, "src_path")
+    return split_logs(logs.join(F.broadcast(listed) if len(files) <= LISTED else listed, "src_path"))
+
+
+def split_logs(logs: DataFrame) -> DataFrame:
+    """The lines of (lane, root_ord, src_path, log), as ``log_lines`` gives them."""
     lines = logs.select("lane", "root_ord", "src_path", F.posexplode(F.split("log", "\n")).alias("src_ord", "text"))
     return lines.select("lane", "root_ord", "src_path", F.col("src_ord").cast("bigint").alias("src_ord"), "text").where(F.col("text").rlike(r"\S"))
 

@@ -1,9 +1,12 @@
-"""From a reader to DataFrames: Spark reads the files, executors parse the units."""
+"""From a reader to DataFrames: Spark reads the files, executors parse the units.
+
+Of several homes each is listed and read by a task: the driver knows homes, not files.
+"""
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import replace
 
 import pyarrow as pa
@@ -12,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.instants import parse_ms
 from ..operators.windows import first_wins
-from .kit import Contexts, Event, File, Loaded, Malformed, Reader, Skip
-from .logs_in_columns import LISTED, few_listing_tasks, log_lines, plain_path
+from .kit import Context, Contexts, Event, File, Loaded, Malformed, Reader, Skip
+from .logs_in_columns import LISTED, few_listing_tasks, log_lines, plain_path, split_logs
 from .messages import worded
 from .sqlite import LOG
 
@@ -61,12 +64,54 @@ def with_logs(files: list[File]) -> list[File]:
 
 def _loaded(batch: pa.Table | pa.RecordBatch, idle: bool = False) -> list[Loaded]:
     """The files of a batch in order, stores with their logs."""
-    found = [Loaded(*row, idle=idle) for row in zip(*(batch.column(c).to_pylist() for c in ("path", "root", "lane", "content", "mtime")))]
+    return _ordered([Loaded(*row, idle=idle) for row in zip(*(batch.column(c).to_pylist() for c in ("path", "root", "lane", "content", "mtime")))])
+
+
+def _ordered(found: list[Loaded]) -> list[Loaded]:
     logs = {x.path: x.data for x in found if x.path.endswith(LOG)}
     rest = [replace(x, log=logs[x.path + LOG]) if x.path + LOG in logs else x for x in found if x.path not in logs]
     return sorted(rest, key=lambda x: (x.lane, x.root, x.path))
 
 
+def _opened(f: File, idle: bool = False) -> Loaded:
+    with open(f.path, "rb") as h:
+        return Loaded(f.path, f.root, f.lane, h.read(), os.fstat(h.fileno()).st_mtime_ns // 1_000_000, idle=idle)
+
+
+def _each_home(spark: SparkSession, homes: Sequence[Context], run: Callable[[Context], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``run`` gives for each home, on the executors, a task for a home."""
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                yield from run(homes[k])
+
+    return spark.range(0, len(homes), 1, len(homes)).mapInArrow(tasks, schema)
+
+
+def _homes_rows(spark: SparkSession, reader: Reader, homes: Sequence[Context], idle: bool) -> DataFrame:
+    def run(home: Context) -> Iterator[pa.RecordBatch]:
+        units: dict[str, list[File]] = {}
+        for f in with_logs(reader.find(home)):
+            units.setdefault(f.unit or f.path, []).append(f)
+        for files in units.values():  # one unit at a time is read and parsed
+            yield from _rows(reader, _ordered([_opened(f, idle) for f in files])).to_batches()
+
+    return _each_home(spark, homes, run, PARSED)
+
+
+def _homes_lines(spark: SparkSession, reader: Reader, homes: Sequence[Context]) -> DataFrame:
+    """``log_lines`` of the logs of some homes."""
+
+    def run(home: Context) -> Iterator[pa.RecordBatch]:
+        for f in reader.find(home):
+            one = _opened(f)
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((f.lane, pa.int32()), (f.root, pa.int32()), (f.path, pa.string()), (one.data, pa.binary()))], names=["lane", "root_ord", "src_path", "log"])
+
+    logs = _each_home(spark, homes, run, "lane int, root_ord int, src_path string, log binary")
+    return split_logs(logs.withColumn("log", F.make_valid_utf8(F.col("log").cast("string"))))
+
+
 def _many_in_a_task(spark: SparkSession) -> None:
     """Set for the session, unless it was changed: a scan's tasks are made when it runs."""
     if spark.conf.get(_OPEN) in _SPARKS_OWN:
@@ -75,12 +120,14 @@ def _many_in_a_task(spark: SparkSession) -> None:
 
 def parsed(spark: SparkSession, reader: Reader, ctx: Contexts, idle: bool = False) -> DataFrame:
     """All rows of a reader, before what spans its units."""
+    found = reader.idle_columns if idle and reader.idle_columns is not None else reader.columns
+    if not isinstance(ctx, Context) and len(ctx) > 1:
+        return _homes_rows(spark, reader, ctx, idle) if found is None else found(_homes_lines(spark, reader, ctx))
     files = with_logs(reader.files(ctx))
     if not files:
         return spark.createDataFrame([], PARSED)
     _many_in_a_task(spark)
-    if reader.columns is not None:
-        found = reader.idle_columns if idle and reader.idle_columns is not None else reader.columns
+    if found is not None:
         return found(log_lines(spark, files))
     grouped = any(f.unit is not None for f in files)
     listed = spark.createDataFrame([(f.path, f.root, f.lane, f.unit or f.path) for f in files], "path string, root int, lane int, unit string")

@@ -13,7 +13,7 @@ from quillmeter.plans import homes, record_queries, testdata
 from quillmeter.plans.read_usage import read_usage
 from quillmeter.plans.testdata import usage
 from quillmeter.sources import scan
-from quillmeter.sources.kit import Context
+from quillmeter.sources.kit import Context, Reader
 from quillmeter.sources.readers import REGISTRY
 
 DATA = "/root/testdata/sf0.001"
@@ -115,3 +115,37 @@ def test_many_small_logs_are_few_tasks(spark, tmp_path):
     rows = scan.parsed(spark, REGISTRY["zcode"], Context(str(tmp_path)))
     assert rows.rdd.getNumPartitions() <= 8 and rows.count() == 400
     assert spark.conf.get(name) == before
+
+
+SESSION_LOGS = ["codex", "kilocode", "codebuddy", "pi", "omp", "kimchi", "claude", "grok", "cline"]
+
+
+@have_data
+@pytest.mark.parametrize("agent", SESSION_LOGS)
+def test_logs_are_dealt_to_homes_that_the_driver_does_not_list(spark, monkeypatch, agent):
+    monkeypatch.setattr(homes, "HOME_EVENTS", 300)
+
+    def listed(*_):
+        raise AssertionError("the driver holds a list of all files")
+
+    monkeypatch.setattr(Reader, "files", listed)
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{DATA}/events.parquet'")
+    got, owed = testdata.queries()[f"reader_{agent}"](spark, DATA).toPandas(), c.execute(testdata.oracle_sql()[f"reader_{agent}"]).df()
+    plain = lambda df: sorted(str([None if pd.isna(v) else v for v in r]) for r in df[sorted(owed.columns)].astype(object).itertuples(index=False, name=None))
+    assert plain(got) == plain(owed)
+
+
+def test_lines_of_several_homes_are_those_of_their_logs(spark, tmp_path):
+    """Broken bytes, blank lines and a folder without logs are as in one home."""
+    said = json.dumps({"type": "message", "id": "m", "timestamp": "2026-01-01T00:00:00Z", "message": {"role": "assistant", "model": "x", "usage": {"input": 1, "output": 2, "cacheRead": 0, "cacheWrite": 0}}})
+    for k, data in enumerate((said.encode() + b"\n\n\xff\xfe{\n", b"", said.encode().replace(b'"m"', b'"n"'))):
+        at = tmp_path / f"h{k}" / ".pi" / "agent" / "sessions" / "s +%.jsonl"
+        at.parent.mkdir(parents=True)
+        at.write_bytes(data)
+    (tmp_path / "h3").mkdir()
+    each = [Context(str(tmp_path / f"h{k}")) for k in range(4)]
+    plain = lambda df: sorted(map(str, df.drop("seq").collect() if "seq" in df.columns else df.collect()))
+    whole, parts = read_usage(spark, each, ["pi"]), [read_usage(spark, h, ["pi"]) for h in each]
+    assert plain(whole.events) == sorted(x for p in parts for x in plain(p.events)) and whole.events.count() == 2
+    assert plain(whole.diagnostics) == sorted(x for p in parts for x in plain(p.diagnostics)) and whole.skipped.count() == 1
